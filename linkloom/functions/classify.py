@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import strip
-from linkloom.functions.urls import slash_count, url_path
+from linkloom.functions.urls import bind, slash_count, url_path
 
 # Path patterns in order of precedence.
 CATEGORY_PATTERNS = [
@@ -94,18 +94,19 @@ CHALLENGE_WINDOW = 5_000
 
 
 def page_category(url: Column, depth: Column) -> Column:
-    path = F.lower(url_path(url))
-    matched = F.when(F.lit(False), F.lit(""))
-    for pattern, name in CATEGORY_PATTERNS:
-        matched = matched.when(path.rlike(pattern), F.lit(name))
-    return matched.when(depth <= 1, F.lit("Core Pages")).otherwise(F.lit("Other"))
+    def by_path(path: Column) -> Column:
+        return F.coalesce(*(F.when(path.rlike(p), F.lit(name)) for p, name in CATEGORY_PATTERNS))
+
+    by_depth = F.when(depth <= 1, F.lit("Core Pages")).otherwise(F.lit("Other"))
+    return F.coalesce(bind(F.lower(url_path(url)), by_path), by_depth)
 
 
 def page_relevance(url: Column, depth: Column, category: Column, in_sitemap: Column | None = None) -> Column:
     base = F.lit(UNKNOWN_SCORE)
     for name, score in BASE_SCORES.items():
         base = F.when(category == name, F.lit(score)).otherwise(base)
-    deep = F.greatest((slash_count(url_path(url)) - 3) * F.lit(0.05), F.lit(0.0))
+    slashes = bind(url_path(url), slash_count)
+    deep = F.greatest((slashes - 3) * F.lit(0.05), F.lit(0.0))
     listed = F.lit(0.0) if in_sitemap is None else F.when(in_sitemap, F.lit(0.1)).otherwise(F.lit(0.0))
     score = F.round(base - depth * F.lit(0.1) + listed - deep, 2)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))

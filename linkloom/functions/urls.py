@@ -6,6 +6,7 @@ strings which crawled pages do contain, and it leaves ``;params`` in the path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def tidy(url: Column) -> Column:
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @dataclass(frozen=True)
 class UrlParts:
     scheme: Column
@@ -30,6 +36,19 @@ class UrlParts:
     path: Column  # without ;params
     has_params: Column
 
+    @staticmethod
+    def of(packed: Column) -> UrlParts:
+        return UrlParts(*(packed.getField(f) for f in ("scheme", "netloc", "path", "has_params")))
+
+    @property
+    def packed(self) -> Column:
+        return F.struct(
+            self.scheme.alias("scheme"),
+            self.netloc.alias("netloc"),
+            self.path.alias("path"),
+            self.has_params.alias("has_params"),
+        )
+
     @property
     def is_web(self) -> Column:
         return self.scheme.isin(*WEB_SCHEMES) & (self.netloc != "")
@@ -39,8 +58,8 @@ class UrlParts:
         return F.concat(self.scheme, F.lit("://"), F.lower(self.netloc), drop_slash(self.path))
 
 
-def parts(url: Column) -> UrlParts:
-    url = tidy(url)
+def parts(url: Column, tidied: bool = False) -> UrlParts:
+    url = url if tidied else tidy(url)
     full_path = F.regexp_extract(url, PATH, 1)
     return UrlParts(
         scheme=F.lower(F.regexp_extract(url, SCHEME, 1)),
@@ -56,8 +75,9 @@ def drop_slash(path: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    p = parts(url)
-    return F.when(p.is_web, p.clean).otherwise(url)
+    """Lower scheme and host, no query, fragment or params, one trailing slash less."""
+    cleaned = bind(parts(url).packed, lambda p: F.when(UrlParts.of(p).is_web, UrlParts.of(p).clean))
+    return F.coalesce(cleaned, url)
 
 
 def url_host(url: Column) -> Column:
@@ -99,32 +119,44 @@ def _join_path(base_path: Column, path: Column) -> Column:
     folder = F.regexp_replace(base_path, "[^/]*$", "")
     joined = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
     # Empty inner segments vanish; the first and the last one stay.
-    single = F.regexp_replace(joined, "(?<=.)/{2,}|^/{2,}", "/")
+    single = F.regexp_replace(joined, "/{2,}", "/")
     rooted = F.when(single.startswith("/"), single).otherwise(F.concat(F.lit("/"), single))
     climbed = _climb(F.split(rooted, "/"))
     flat = F.when(rooted.rlike(r"(^|/)\.{1,2}(/|$)"), climbed).otherwise(rooted)
     return F.when(flat.startswith("/"), flat).otherwise(F.concat(F.lit("/"), flat))
 
 
-def resolve_href(base: UrlParts, href: Column) -> Column:
-    """Absolute, normalised URL of ``href`` seen on page ``base``; NULL if not http(s)."""
-    own = parts(href)
+def resolve(base: UrlParts, own: UrlParts) -> Column:
+    """Absolute, normalised URL of a link on page ``base``; NULL if not http(s)."""
     # "http:page" on an http page is a relative reference.
     foreign = (own.scheme != "") & (own.scheme != base.scheme)
-    scheme = F.when(own.scheme != "", own.scheme).otherwise(base.scheme)
     same_page = (own.path == "") & ~own.has_params
     path = F.when(same_page, base.path).otherwise(_join_path(base.path, own.path))
+    here = F.concat(base.scheme, F.lit("://"))
     target = (
         F.when(foreign, own.clean)
-        .when(own.netloc != "", F.concat(scheme, F.lit("://"), F.lower(own.netloc), drop_slash(own.path)))
-        .otherwise(F.concat(scheme, F.lit("://"), F.lower(base.netloc), drop_slash(path)))
+        .when(own.netloc != "", F.concat(here, F.lower(own.netloc), drop_slash(own.path)))
+        .otherwise(F.concat(here, F.lower(base.netloc), drop_slash(path)))
+    )
+    usable = F.when(foreign, own.is_web).otherwise(
+        base.scheme.isin(*WEB_SCHEMES) & ((own.netloc != "") | (base.netloc != ""))
     )
-    usable = scheme.isin(*WEB_SCHEMES) & F.when(foreign, own.netloc != "").otherwise(base.netloc != "")
     return F.when(usable, target)
 
 
+def resolve_href(base_url: Column, href: Column) -> Column:
+    return F.element_at(resolve_all(base_url, F.array(href)), 1)
+
+
+def resolve_all(base_url: Column, hrefs: Column) -> Column:
+    own = F.transform(F.transform(hrefs, tidy), lambda h: parts(h, tidied=True).packed)
+    return bind(
+        parts(base_url).packed,
+        lambda base: F.transform(own, lambda link: resolve(UrlParts.of(base), UrlParts.of(link))),
+    )
+
+
 def resolve_links(base_url: Column, hrefs: Column) -> Column:
     """All links of a page: absolute, normalised, first occurrence kept, in order."""
-    base = parts(base_url)
-    absolute = F.transform(hrefs, lambda h: resolve_href(base, h))
-    return F.array_distinct(F.filter(absolute, lambda u: u.isNotNull()))
+    absolute = F.filter(resolve_all(base_url, hrefs), lambda u: u.isNotNull())
+    return F.array_distinct(absolute)
