@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import strip
 from linkloom.functions.urls import tidy, url_host
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 SITEMAP = "(?i)^sitemap:"
 
 
