@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from linkloom.functions.text import empty_to_null, md_link, sha256, strip, strip_tagline
 from linkloom.operators.render import OPTIONAL, section_head, site_head
@@ -17,7 +16,7 @@ BROKEN = "_broken"
 
 
 def _parsed(plans: DataFrame) -> DataFrame:
-    schema = StructType([*PLAN.fields, StructField(BROKEN, StringType())])
+    schema = f"{PLAN}, {BROKEN} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
     plan = F.from_json(strip(F.coalesce("json", F.lit(""))), schema, options)
     parsed = plans.withColumn("_plan", plan)

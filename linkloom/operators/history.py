@@ -43,6 +43,11 @@ def lookup(df: DataFrame, **keys) -> DataFrame:
     return df
 
 
+def lookup_all(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows asked for by a table of keys; all key columns must agree (a job must belong to the site)."""
+    return df.join(wanted.distinct(), wanted.columns, "left_semi")
+
+
 def site_overview(sites: DataFrame, jobs: DataFrame, files: DataFrame, schedules: DataFrame) -> DataFrame:
     """Every site with its newest job, newest index and schedule.
 

@@ -18,7 +18,7 @@ from linkloom.functions.text import empty_to_null
 from linkloom.functions.urls import site_key
 from linkloom.operators.extract import score_pages
 from linkloom.plans.ordering import first_per, top_per
-from linkloom.schemas import TABLES
+from linkloom.schemas import table_schema
 
 KEY = ["site_id", "url"]
 COMPARED = ["content_hash", "metadata_hash", "headings_hash", "text_hash", "canonical_url"]
@@ -163,7 +163,7 @@ def snapshot_merge(
         "created_at": F.coalesce("s.created_at", F.when(F.col("s").isNull(), now)),
         "updated_at": F.when(checked, now).otherwise(F.col("s.updated_at")),
     }
-    fields = TABLES["pages"].fields
+    fields = table_schema("pages").fields
     return scored.select(
         *[
             (F.col(f.name) if f.name in KEY else columns[f.name].cast(f.dataType)).alias(f.name)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from linkloom.schemas import TABLES
+from linkloom.schemas import table_schema
 
 BUCKETS = 64
 VERSIONS = "version bigint, path string"
@@ -37,7 +37,7 @@ class StateStore:
 
     @staticmethod
     def _stored_schema(name: str) -> StructType:
-        return StructType(TABLES[name].fields).add("site_bucket", "int")
+        return table_schema(name).add("site_bucket", "int")
 
     def _key(self, name: str) -> str:
         return "id" if name == "sites" else "site_id"
@@ -45,7 +45,7 @@ class StateStore:
     def read(self, name: str) -> DataFrame:
         newest = self._newest(name)
         if newest is None:
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], table_schema(name))
         stored = self.spark.read.schema(self._stored_schema(name)).parquet(newest[1])
         return stored.drop("site_bucket")
 
@@ -53,7 +53,7 @@ class StateStore:
         """One site: a single bucket folder is listed, the key is pushed to the scan."""
         newest = self._newest(name)
         if newest is None:
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], table_schema(name))
         stored = self.spark.read.schema(self._stored_schema(name)).parquet(newest[1])
         bucket = self.spark.range(1).select(self._bucket(F.lit(site_id).cast("bigint"))).first()[0]
         picked = stored.filter((F.col("site_bucket") == bucket) & (F.col(self._key(name)) == site_id))
@@ -63,7 +63,7 @@ class StateStore:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def write(self, name: str, df: DataFrame) -> None:
-        fields = TABLES[name].fields
+        fields = table_schema(name).fields
         typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         bucketed = typed.withColumn("site_bucket", self._bucket(F.col(self._key(name))))
         newest = self._newest(name)
