@@ -101,13 +101,16 @@ def _(spark, sf):
     return robots_txt.robots_sitemaps(V.robots(spark, sf))
 
 
+S.CTES["named_maps"] = """
+SELECT site_id, pos, trim(l[9:]) AS url FROM (SELECT site_id, pos, trim(line) AS l FROM robot_lines)
+WHERE lower(l) LIKE 'sitemap:%' AND trim(l[9:]) <> ''"""
+
+
 @query(
     "sitemap_roots",
-    """WITH named AS (SELECT site_id, pos, trim(l[9:]) AS url FROM (SELECT site_id, pos, trim(line) AS l FROM robot_lines)
-          WHERE lower(l) LIKE 'sitemap:%' AND trim(l[9:]) <> '')
-       SELECT site_id, pos, url FROM named UNION ALL
+    """SELECT site_id, pos, url FROM named_maps UNION ALL
        SELECT id, 0, regexp_extract(url, '^([^:]+)://', 1) || '://' || domain || '/sitemap.xml' FROM page_sites
-       WHERE id NOT IN (SELECT site_id FROM named)""",
+       WHERE id NOT IN (SELECT site_id FROM named_maps)""",
 )
 def _(spark, sf):
     bodies = V.robots(spark, sf)
@@ -132,7 +135,7 @@ def _(spark, sf):
 def _(spark, sf):
     out = shared_path(spark, "export")
     sinks.export_index(V.files(spark, sf), out)
-    read = spark.read.schema("value string, site_id bigint").option("wholetext", "true").text(out)
+    read = spark.read.schema("value string, site_id bigint").text(out, wholetext=True)
     return read.select("site_id", F.col("value").alias("content"))
 
 

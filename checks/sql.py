@@ -439,7 +439,11 @@ def with_ctes(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS ({CTES[name].strip()})" for name in CTES if name in needed]
-    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body.strip()
+    body = body.strip()
+    if not parts:
+        return body
+    glue = f", {body[5:]}" if body.startswith("WITH ") else f" {body}"
+    return f"WITH RECURSIVE {', '.join(parts)}{glue}"
 
 
 def rendered(pages: str, sites: str) -> str:

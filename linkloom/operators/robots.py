@@ -31,7 +31,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 def _matcher(rule_path: Column) -> Column:
     """Rule path -> regular expression; only used for rules with ``*`` or ``$``."""
     literal = F.concat(F.lit(r"\Q"), F.regexp_replace(rule_path, r"\$$", ""), F.lit(r"\E"))
-    anywhere = F.regexp_replace(literal, r"\*+", r"\\\\E.*\\\\Q")
+    anywhere = F.regexp_replace(literal, r"\*+", r"\\E.*\\Q")
     return F.concat(F.lit("(?s)^"), anywhere, F.when(rule_path.endswith("$"), F.lit("$")).otherwise(F.lit("")))
 
 

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from linkloom.schemas import table_schema
 
@@ -37,7 +37,7 @@ class StateStore:
 
     @staticmethod
     def _stored_schema(name: str) -> StructType:
-        return table_schema(name).add("site_bucket", "int")
+        return table_schema(name).add("site_bucket", IntegerType())
 
     def _key(self, name: str) -> str:
         return "id" if name == "sites" else "site_id"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 
 def batch_path(out: str, batch_id: int) -> str:
@@ -36,7 +36,7 @@ def start(
 
 def collected(spark, out: str, schema: StructType) -> DataFrame:
     """All results so far, with the ``batch`` that wrote them."""
-    return spark.read.schema(StructType(schema.fields).add("batch", "bigint")).parquet(out)
+    return spark.read.schema(StructType(schema.fields).add("batch", LongType())).parquet(out)
 
 
 def drained(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
