@@ -15,7 +15,7 @@ from linkloom.operators import (
 )
 from linkloom.operators import robots as robots_txt
 from linkloom.plans.refresh import refresh
-from linkloom.session import shared_path
+from linkloom.session import cut_lineage, shared_path
 from linkloom.sources import pages as page_source
 from linkloom.sources import sinks, sitemaps
 from linkloom.sources.state import StateStore
@@ -618,14 +618,17 @@ def _(spark, sf):
     return render.category_counts(V.catalog(spark, sf))
 
 
+S.CTES["clean_edges"] = f"SELECT site_id, src, {S.nurl('dst')} AS dst FROM edges"
+
+
 @query(
     "link_degree",
     """SELECT site_id, url, count(*) FILTER (side = 'o') AS out_links, count(*) FILTER (side = 'c') AS crawlable_links, count(*) FILTER (side = 'i') AS in_links FROM (
-         SELECT DISTINCT site_id, src AS url, dst AS other, 'o' AS side FROM edges UNION ALL SELECT DISTINCT site_id, src, dst, 'c' FROM crawlable
-         UNION ALL SELECT DISTINCT site_id, dst, src, 'i' FROM edges) GROUP BY site_id, url""",
+         SELECT DISTINCT site_id, src AS url, dst AS other, 'o' AS side FROM clean_edges UNION ALL SELECT DISTINCT site_id, src, dst, 'c' FROM crawlable
+         UNION ALL SELECT DISTINCT site_id, dst, src, 'i' FROM clean_edges) GROUP BY site_id, url""",
 )
 def _(spark, sf):
-    return graph.link_degree(V.edges(spark, sf), _crawlable(spark, sf))
+    return graph.link_degree(graph.mark_crawlable(V.edges(spark, sf), V.page_sites(spark, sf), _robots(spark, sf)))
 
 
 @query("skip_reasons", "SELECT host, reason, count(*) AS skipped FROM reasons WHERE reason IS NOT NULL GROUP BY host, reason")
@@ -815,7 +818,7 @@ MERGED_COLUMNS = (
 def _(spark, sf):
     merged = snapshot.snapshot_merge(V.stored(spark, sf), V.crawled(spark, sf), V.ts(V.LATER))
     merged = merged.withColumn("links", words("links"))
-    return merged.drop("last_modified", "created_at", "updated_at")
+    return merged.drop("last_modified", "created_at", "updated_at", "change")
 
 
 @query("site_refresh", "SELECT id, url, domain, title, description FROM refreshed")
@@ -1027,5 +1030,7 @@ def refresh_index(spark, sf):
     """Extract a crawl, compare it with the stored pages, merge, render what changed."""
     known = V.page_sites(spark, sf)
     have = known.filter(F.length("domain") > 20).select(F.col("id").alias("site_id"))
-    done = refresh(known, V.stored(spark, sf), V.crawled(spark, sf), have, V.ts(V.LATER))
+    # Both sides come from one extraction here, written once like the tables of a real deployment.
+    found = cut_lineage(V.facts(spark, sf), "facts")
+    done = refresh(known, V.stored_of(found), V.crawl_of(found), have, V.ts(V.LATER))
     return done.rebuilt

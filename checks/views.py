@@ -116,9 +116,13 @@ def crawled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_of(facts(spark, sf))
+
+
+def stored_of(found: DataFrame) -> DataFrame:
     """The pages as stored before: ``.html`` pages had another address then, some
     texts were others, some pages were inactive, some rows are incomplete."""
-    old = facts(spark, sf).withColumn("url", F.regexp_replace("url", r"\.html$", ""))
+    old = found.withColumn("url", F.regexp_replace("url", r"\.html$", ""))
     old = score_pages(dedup_url(old, [F.asc("page_id")]))
     lang = F.regexp_extract("url", "^https?://[^/]*/([a-z]+)/", 1)
     born = after(BEGIN, "HOUR", F.col("page_id"))

@@ -66,8 +66,9 @@ def timeout_rate(timeouts: Column, requests: Column) -> Column:
 
 def _tally(log: DataFrame) -> DataFrame:
     """Running requests, timeouts, timeouts at the last answer, last success and first attempt."""
+    # No other columns: both uses of the sliced rows then share one shuffle.
     return running(
-        counted(log),
+        counted(log).select("host", "ts", "event_id", "timeout", "accepted"),
         keys=["host"],
         order=[F.asc("ts"), F.asc("event_id")],
         slice_by=time_slice(F.col("ts"), SLICE_SECONDS),

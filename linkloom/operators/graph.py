@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import title_case
 from linkloom.functions.urls import bind, normalize_url, url_host, url_path
 from linkloom.operators.extract import score_pages
-from linkloom.operators.robots import robots_filter
+from linkloom.operators.robots import with_allowed
 from linkloom.plans.ordering import top_per
 from linkloom.session import cut_lineage
 
@@ -52,15 +52,24 @@ def crawlable_path(url: Column) -> Column:
     return bind(F.lower(url_path(url)), ok)
 
 
-def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:
-    """Edges whose target is on the site's own host and may be crawled.
+def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:
+    """Edges with clean targets and a flag ``crawlable``: on the site's own host, a page, and allowed.
 
     ``sites`` (id, domain), ``robots`` (host, body).
     """
     own = sites.select(F.col("id").alias("site_id"), F.col("domain").alias("_domain"))
-    target = edges.withColumn("dst", normalize_url(F.col("dst")))
-    inside = target.join(own, "site_id").filter(url_host(F.col("dst")) == F.col("_domain")).drop("_domain")
-    return robots_filter(inside.filter(crawlable_path(F.col("dst"))), robots, "dst")
+    target = edges.withColumn("dst", normalize_url(F.col("dst"))).join(own, "site_id", "left")
+    inside = F.coalesce(url_host(F.col("dst")) == F.col("_domain"), F.lit(False))
+    flagged = target.withColumn("_inside", inside & crawlable_path(F.col("dst")))
+    allowed = with_allowed(flagged, robots, "dst", "_allowed")
+    return allowed.withColumn("crawlable", F.col("_inside") & F.col("_allowed")).drop(
+        "_domain", "_inside", "_allowed"
+    )
+
+
+def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:
+    """Edges whose target may be crawled."""
+    return mark_crawlable(edges, sites, robots).filter("crawlable").drop("crawlable")
 
 
 def frontier_seed(sites: DataFrame, listed: DataFrame) -> DataFrame:
@@ -120,19 +129,17 @@ def crawl_budget(frontier: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return top_per(frontier, ["site_id"], [F.asc("depth"), F.asc("url")], max_pages)
 
 
-def link_degree(edges: DataFrame, crawlable: DataFrame) -> DataFrame:
-    """Distinct out-links, crawlable out-links and in-links of every URL in the graph."""
-    once = edges.select("site_id", "src", "dst").distinct()
-    usable = crawlable.select("site_id", "src", "dst").distinct()
-    sides = (
-        once.select("site_id", F.col("src").alias("url"), F.lit("out").alias("side"))
-        .unionByName(usable.select("site_id", F.col("src").alias("url"), F.lit("usable").alias("side")))
-        .unionByName(once.select("site_id", F.col("dst").alias("url"), F.lit("in").alias("side")))
+def link_degree(marked: DataFrame) -> DataFrame:
+    """Distinct out-links, crawlable out-links and in-links of every URL among marked edges."""
+    once = marked.groupBy("site_id", "src", "dst").agg(F.max("crawlable").alias("_c"))
+    one, none = F.lit(1), F.lit(0)
+    ends = F.array(
+        F.struct(F.col("src").alias("url"), one.alias("o"), F.col("_c").cast("int").alias("c"), none.alias("i")),
+        F.struct(F.col("dst").alias("url"), none.alias("o"), none.alias("c"), one.alias("i")),
     )
+    sides = once.select("site_id", F.inline(ends))
     return sides.groupBy("site_id", "url").agg(
-        F.count_if(F.col("side") == "out").alias("out_links"),
-        F.count_if(F.col("side") == "usable").alias("crawlable_links"),
-        F.count_if(F.col("side") == "in").alias("in_links"),
+        F.sum("o").alias("out_links"), F.sum("c").alias("crawlable_links"), F.sum("i").alias("in_links")
     )
 
 

@@ -77,8 +77,8 @@ def _allowed(path: Column, rules: Column) -> Column:
     return F.coalesce(F.array_max(hits)["allow"], F.lit(True))
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL any agent may fetch; hosts without rules allow everything.
+def with_allowed(urls: DataFrame, robots: DataFrame, url: str, flag: str) -> DataFrame:
+    """Add ``flag``: may any agent fetch ``url``? Hosts without rules allow everything.
 
     The rules of a host arrive as one array, so a URL meets its rules inside its
     own row and no (URL, rule) pairs are built.
@@ -88,4 +88,9 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataF
     path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
     keyed = urls.withColumns({"_host": F.lower(url_host(F.col(url))), "_path": path})
     joined = keyed.join(rules, "_host", "left")
-    return joined.filter(_allowed(F.col("_path"), F.col("rules"))).select(*urls.columns)
+    return joined.withColumn(flag, _allowed(F.col("_path"), F.col("rules"))).drop("_host", "_path", "rules")
+
+
+def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
+    """Rows whose URL any agent may fetch."""
+    return with_allowed(urls, robots, url, "_allowed").filter("_allowed").drop("_allowed")

@@ -38,13 +38,15 @@ def reusable_pages(stored: DataFrame) -> DataFrame:
     return stored.filter(_reusable())
 
 
-def _line_up(stored: DataFrame, crawled: DataFrame) -> DataFrame:
+def _line_up(stored: DataFrame, crawled: DataFrame, content: list[str]) -> DataFrame:
     """Stored and crawled state of every URL side by side, as structs ``s`` and ``c``.
 
+    Only ``content`` and what decides is carried along: page text stays behind.
     Redirects may bring the same URL twice: the shallowest, then the oldest copy
     stands. A "not modified" answer for a page without reusable state is no page.
     """
-    once = first_per(crawled, KEY, [F.asc("depth"), F.asc("page_id")])
+    narrow = crawled.select(*KEY, "page_id", *dict.fromkeys(["depth", "not_modified", *content]))
+    once = first_per(narrow, KEY, [F.asc("depth"), F.asc("page_id")])
     new = once.select(*KEY, F.struct(*[c for c in once.columns if c not in KEY]).alias("c"))
     state = [F.col(c) for c in stored.columns if c not in KEY]
     old = stored.select(*KEY, F.struct(*state, _reusable().alias("reusable")).alias("s"))
@@ -70,8 +72,10 @@ def _change() -> Column:
     )
 
 
-def _compared(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame | None) -> DataFrame:
-    both = _line_up(stored, crawled).withColumn("change", _change())
+def _compared(
+    stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame | None, content: list[str]
+) -> DataFrame:
+    both = _line_up(stored, crawled, content).withColumn("change", _change())
     if aborted_sites is None:
         return both
     # An aborted crawl never gets to the removal pass.
@@ -82,7 +86,8 @@ def _compared(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame |
 
 def snapshot_diff(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame | None = None) -> DataFrame:
     """(site_id, url, change, not_modified) for every URL whose state was looked at."""
-    compared = _compared(stored, crawled, aborted_sites).filter(F.col("change").isNotNull())
+    state = stored.select(*KEY, *COMPARED, "links", "is_active")
+    compared = _compared(state, crawled, aborted_sites, COMPARED).filter(F.col("change").isNotNull())
     return compared.select(*KEY, "change", F.coalesce("c.not_modified", F.lit(False)).alias("not_modified"))
 
 
@@ -134,8 +139,8 @@ def needs_rebuild(counts: DataFrame, files: DataFrame) -> DataFrame:
 def snapshot_merge(
     stored: DataFrame, crawled: DataFrame, now: Column, aborted_sites: DataFrame | None = None
 ) -> DataFrame:
-    """The next pages table."""
-    compared = _compared(stored, crawled, aborted_sites)
+    """The next pages table, plus a last column ``change`` (NULL where nothing was looked at)."""
+    compared = _compared(stored, crawled, aborted_sites, [*CONTENT, "etag", "last_modified"])
     seen = F.col("c").isNotNull()
     fresh = seen & ~F.col("c.not_modified")
     gone = F.coalesce(F.col("change") == "removed", F.lit(False))
@@ -168,7 +173,8 @@ def snapshot_merge(
         *[
             (F.col(f.name) if f.name in KEY else columns[f.name].cast(f.dataType)).alias(f.name)
             for f in fields
-        ]
+        ],
+        "change",
     )
 
 

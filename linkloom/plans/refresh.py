@@ -11,7 +11,8 @@ from linkloom.operators.curation import assemble_plan, split_plans
 from linkloom.operators.dedup import clean_pages
 from linkloom.operators.listing import assign_page_ids
 from linkloom.operators.render import render_index
-from linkloom.operators.snapshot import change_counts, needs_rebuild, site_refresh, snapshot_diff, snapshot_merge
+from linkloom.operators.snapshot import change_counts, needs_rebuild, site_refresh, snapshot_merge
+from linkloom.session import cut_lineage
 
 
 @dataclass
@@ -46,11 +47,14 @@ def refresh(
 ) -> Refresh:
     """Compare, merge, and render only the sites whose index is out of date.
 
-    ``crawled`` are page facts; pass a written table, they are read by each step.
+    Stored and new pages are joined once; the merged table is written, and the
+    counters, the rebuild decision and the rendering read it from there.
+    ``crawled`` are page facts: pass a written table, extraction is the costly part.
     """
-    diff = snapshot_diff(stored, crawled, aborted_sites)
+    merged = cut_lineage(snapshot_merge(stored, crawled, now, aborted_sites), "merged")
+    diff = merged.filter("change IS NOT NULL").select("site_id", "url", "change")
+    pages = merged.drop("change")
     counts = change_counts(diff)
-    pages = snapshot_merge(stored, crawled, now, aborted_sites)
     renamed = site_refresh(sites, crawled)
     due = needs_rebuild(counts, files).filter("needs_rebuild").select(F.col("site_id").alias("id"))
     if aborted_sites is not None:

@@ -52,21 +52,19 @@ def expand_sitemaps(
     ``place`` is the path of positions that led to a URL. ``max_pages`` counts
     duplicates, too.
     """
-    text = docs.select("url", "xml")
+    index = is_index(F.col("xml"))
+    nested = docs.filter(index).select("url", children(F.col("xml")).alias("_children"))
+    leaves = docs.filter(~index).select("url", locations(F.col("xml")).alias("_locs"))
     level = roots.select("site_id", F.array(F.col("pos")).alias("place"), "url")
-    listed = []
-    for depth in range(max_level + 1):
-        found = level.join(text, "url")
-        pages = found.filter(~is_index(F.col("xml")))
-        listed.append(
-            pages.select("site_id", "place", F.posexplode(locations(F.col("xml"))).alias("_pos", "_loc"))
-        )
-        if depth < max_level:
-            nested = found.filter(is_index(F.col("xml")))
-            level = nested.select(
-                "site_id", "place", F.posexplode(children(F.col("xml"))).alias("_pos", "url")
-            ).select("site_id", F.concat("place", F.array("_pos")).alias("place"), "url")
-    urls = reduce(DataFrame.unionByName, listed).select(
+    levels = [level]
+    for _ in range(max_level):
+        below = level.join(nested, "url").select("site_id", "place", F.posexplode("_children").alias("_pos", "url"))
+        level = below.select("site_id", F.concat("place", F.array("_pos")).alias("place"), "url")
+        levels.append(level)
+    # Only lists of addresses are shuffled, and those of the leaves only once.
+    found = reduce(DataFrame.unionByName, levels).join(leaves, "url")
+    listed = found.select("site_id", "place", F.posexplode("_locs").alias("_pos", "_loc"))
+    urls = listed.select(
         "site_id", F.concat("place", F.array("_pos")).alias("place"), normalize_url(F.col("_loc")).alias("url")
     )
     if max_pages is None:

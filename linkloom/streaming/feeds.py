@@ -10,7 +10,7 @@ from linkloom.operators.fetchlog import fetch_counts
 from linkloom.operators.feed import HEARTBEAT_SECONDS, STATE, progress_changes
 from linkloom.operators.history import FINISHED
 from linkloom.operators.schedule import idempotency_key
-from linkloom.operators.snapshot import change_counts, snapshot_diff, snapshot_merge
+from linkloom.operators.snapshot import change_counts, snapshot_merge
 from linkloom.streaming.runner import batch_path, start
 
 DELAY = "10 minutes"
@@ -98,15 +98,13 @@ def change_feed(crawled: DataFrame, stored: DataFrame, out: str, now: Column, dr
     spark = stored.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
         state = stored
         if batch_id > 0:
             state = spark.read.schema(stored.schema).parquet(batch_path(f"{out}-state", batch_id - 1))
-        unfinished = state.select("site_id")
-        diff = snapshot_diff(state, batch, unfinished)
-        change_counts(diff).write.mode("overwrite").parquet(batch_path(out, batch_id))
-        merged = snapshot_merge(state, batch, now, unfinished)
-        merged.write.mode("overwrite").parquet(batch_path(f"{out}-state", batch_id))
-        batch.unpersist()
+        merged = snapshot_merge(state, batch, now, state.select("site_id"))
+        saved = batch_path(f"{out}-state", batch_id)
+        merged.write.mode("overwrite").parquet(saved)
+        looked_at = spark.read.schema(merged.schema).parquet(saved).filter("change IS NOT NULL")
+        change_counts(looked_at).write.mode("overwrite").parquet(batch_path(out, batch_id))
 
     return start(crawled, out, each=each, drain=drain)
