@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import sql as S
 from checks import views as V
@@ -370,13 +371,13 @@ def _robots(spark, sf):
     return V.robots(spark, sf).select("host", "body")
 
 
-def _crawlable(spark, sf):
-    return graph.crawlable_links(V.edges(spark, sf), V.page_sites(spark, sf), _robots(spark, sf))
+def _crawlable(spark, sf, found):
+    return graph.crawlable_links(V.edges_of(found), V.page_sites(spark, sf), _robots(spark, sf))
 
 
 @query("crawlable_links", "SELECT site_id, src, pos, dst FROM crawlable")
 def _(spark, sf):
-    return _crawlable(spark, sf).select("site_id", "src", "pos", "dst")
+    return _crawlable(spark, sf, V.facts(spark, sf)).select("site_id", "src", "pos", "dst")
 
 
 S.CTES["link_urls"] = "SELECT DISTINCT dst FROM tag_links"
@@ -460,14 +461,22 @@ WHERE f.depth <= 1 GROUP BY f.site_id, f.url, f.depth HAVING count(DISTINCT c.ds
 
 @query("low_yield_pages", "SELECT site_id, url, depth, crawlable_links FROM low")
 def _(spark, sf):
-    return graph.low_yield(V.facts(spark, sf), _crawlable(spark, sf))
+    found = cut_lineage(V.facts(spark, sf), "facts")
+    return graph.low_yield(found, _crawlable(spark, sf, found))
 
 
 # --- joins ---------------------------------------------------------------------------------------
 
 
+def _snapshots(spark, sf):
+    """Stored and crawled pages. Both come from one extraction here, so it is
+    written once, like the tables of a real deployment."""
+    found = cut_lineage(V.facts(spark, sf), "facts")
+    return V.stored_of(found), V.crawl_of(found)
+
+
 def _diff(spark, sf):
-    return snapshot.snapshot_diff(V.stored(spark, sf), V.crawled(spark, sf))
+    return snapshot.snapshot_diff(*_snapshots(spark, sf))
 
 
 @query("snapshot_diff", "SELECT site_id, url, change, not_modified FROM diff")
@@ -493,7 +502,7 @@ def _(spark, sf):
     """SELECT p.site_id, p.url FROM stored p WHERE p.is_active AND NOT EXISTS (SELECT 1 FROM crawled c WHERE c.site_id = p.site_id AND c.url = p.url)""",
 )
 def _(spark, sf):
-    return snapshot.removed_pages(V.stored(spark, sf), V.crawled(spark, sf))
+    return snapshot.removed_pages(*_snapshots(spark, sf))
 
 
 S.CTES["accepted"] = "SELECT request_id, regexp_replace(url, '/+$', '') AS url, max_pages FROM judged WHERE rejection IS NULL"
@@ -544,9 +553,9 @@ def _(spark, sf):
        SELECT site_id, count(*) AS attempts, count(*) FILTER (n IS NULL) AS failures, coalesce(max(n) >= 3, false) AS promoted FROM run WHERE go GROUP BY site_id""",
 )
 def _(spark, sf):
-    found = V.facts(spark, sf)
+    found = cut_lineage(V.facts(spark, sf), "facts")
     rendered = found.withColumn("crawlable_links", F.when(F.col("page_id") % 4 != 0, F.size("links")))
-    return graph.render_promotion(graph.low_yield(found, _crawlable(spark, sf)), rendered)
+    return graph.render_promotion(graph.low_yield(found, _crawlable(spark, sf, found)), rendered)
 
 
 @query(
@@ -628,7 +637,7 @@ S.CTES["clean_edges"] = f"SELECT site_id, src, {S.nurl('dst')} AS dst FROM edges
          UNION ALL SELECT DISTINCT site_id, dst, src, 'i' FROM clean_edges) GROUP BY site_id, url""",
 )
 def _(spark, sf):
-    return graph.link_degree(graph.mark_crawlable(V.edges(spark, sf), V.page_sites(spark, sf), _robots(spark, sf)))
+    return graph.link_degree(graph.mark_crawlable(V.edges_of(V.facts(spark, sf)), V.page_sites(spark, sf), _robots(spark, sf)))
 
 
 @query("skip_reasons", "SELECT host, reason, count(*) AS skipped FROM reasons WHERE reason IS NOT NULL GROUP BY host, reason")
@@ -816,14 +825,14 @@ MERGED_COLUMNS = (
 
 @query("snapshot_merge", f"SELECT {MERGED_COLUMNS} FROM merged")
 def _(spark, sf):
-    merged = snapshot.snapshot_merge(V.stored(spark, sf), V.crawled(spark, sf), V.ts(V.LATER))
+    merged = snapshot.snapshot_merge(*_snapshots(spark, sf), V.ts(V.LATER))
     merged = merged.withColumn("links", words("links"))
     return merged.drop("last_modified", "created_at", "updated_at", "change")
 
 
 @query("site_refresh", "SELECT id, url, domain, title, description FROM refreshed")
 def _(spark, sf):
-    return snapshot.site_refresh(V.page_sites(spark, sf), V.crawled(spark, sf)).select("id", "url", "domain", "title", "description")
+    return snapshot.site_refresh(V.page_sites(spark, sf), V.crawl_of(V.facts(spark, sf))).select("id", "url", "domain", "title", "description")
 
 
 @query(
@@ -984,7 +993,7 @@ def _(spark, sf):
     state = StateStore(spark, shared_path(spark, "state"), buckets=8)
     state.write("pages", V.stored(spark, sf))
     feeds.change_feed(crawl, state.read("pages"), out, V.ts(V.LATER)).awaitTermination()
-    schema = snapshot.change_counts(_diff(spark, sf)).schema
+    schema = T.StructType.fromDDL("site_id bigint, added bigint, updated bigint, removed bigint, unchanged bigint, changed bigint")
     return runner.collected(spark, out, schema).drop("batch")
 
 
@@ -1030,7 +1039,5 @@ def refresh_index(spark, sf):
     """Extract a crawl, compare it with the stored pages, merge, render what changed."""
     known = V.page_sites(spark, sf)
     have = known.filter(F.length("domain") > 20).select(F.col("id").alias("site_id"))
-    # Both sides come from one extraction here, written once like the tables of a real deployment.
-    found = cut_lineage(V.facts(spark, sf), "facts")
-    done = refresh(known, V.stored_of(found), V.crawl_of(found), have, V.ts(V.LATER))
+    done = refresh(known, *_snapshots(spark, sf), have, V.ts(V.LATER))
     return done.rebuilt

@@ -111,10 +111,6 @@ def crawl_of(found: DataFrame) -> DataFrame:
     )
 
 
-def crawled(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl_of(facts(spark, sf))
-
-
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     return stored_of(facts(spark, sf))
 
@@ -238,9 +234,9 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
+def edges_of(found: DataFrame) -> DataFrame:
     """Links of every page, bent so that each filter has something to drop."""
-    out = facts(spark, sf).select("site_id", "page_id", F.col("url").alias("src"), F.posexplode("links").alias("pos", "link"))
+    out = found.select("site_id", "page_id", F.col("url").alias("src"), F.posexplode("links").alias("pos", "link"))
     head = F.regexp_extract("link", "^(https?://[^/]*)", 1)
     rest = F.regexp_extract("link", "^https?://[^/]*(.*)$", 1)
     kind = (F.col("page_id") + F.col("pos")) % 8

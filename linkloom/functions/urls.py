@@ -127,7 +127,7 @@ def _join_path(base_path: Column, path: Column) -> Column:
 
 
 def resolve(base: UrlParts, own: UrlParts) -> Column:
-    """Absolute, normalised URL of a link on page ``base``; NULL if not http(s)."""
+    """Absolute, normalised URL of a link on page ``base``; NULL if there is none or it is not http(s)."""
     # "http:page" on an http page is a relative reference.
     foreign = (own.scheme != "") & (own.scheme != base.scheme)
     same_page = (own.path == "") & ~own.has_params
@@ -154,9 +154,3 @@ def resolve_all(base_url: Column, hrefs: Column) -> Column:
         parts(base_url).packed,
         lambda base: F.transform(own, lambda link: resolve(UrlParts.of(base), UrlParts.of(link))),
     )
-
-
-def resolve_links(base_url: Column, hrefs: Column) -> Column:
-    """All links of a page: absolute, normalised, first occurrence kept, in order."""
-    absolute = F.filter(resolve_all(base_url, hrefs), lambda u: u.isNotNull())
-    return F.array_distinct(absolute)

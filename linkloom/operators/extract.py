@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.classify import page_category, page_relevance
 from linkloom.functions.text import empty_to_null, normalize_text, sha256, strip
-from linkloom.functions.urls import resolve_href, resolve_links
+from linkloom.functions.urls import resolve_all
 from linkloom.sources.html import html_pieces
 
 # Fixed value: longest description taken from a paragraph.
@@ -49,10 +49,10 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         _stripped(F.col("_cut.meta_description")),
         F.substring("_cut.paragraph", 1, PARAGRAPH_CUT),
     )
-    canonical = F.when(
-        empty_to_null(F.col("_cut.canonical_href")).isNotNull(),
-        resolve_href(F.col(url), F.col("_cut.canonical_href")),
-    )
+    # The canonical link is resolved along with the others, as the last one.
+    hrefs = F.concat("_cut.hrefs", F.array(empty_to_null(F.col("_cut.canonical_href"))))
+    cut = cut.withColumn("_urls", resolve_all(F.col(url), hrefs))
+    links = F.slice("_urls", 1, F.size("_urls") - 1)
     facts = cut.withColumns(
         {
             "title": F.coalesce(
@@ -61,10 +61,10 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
             "description": described,
             "headings": F.col("_cut.headings"),
             "main_text": normalize_text(F.col("_cut.body_text")),
-            "links": resolve_links(F.col(url), F.col("_cut.hrefs")),
-            "canonical_url": canonical,
+            "links": F.array_distinct(F.filter(links, lambda u: u.isNotNull())),
+            "canonical_url": F.element_at("_urls", -1),
         }
-    ).drop("_cut")
+    ).drop("_cut", "_urls")
     return fingerprint(facts)
 
 
