@@ -1031,7 +1031,7 @@ def _(spark, sf):
 
 S.CTES["merged_active"] = "SELECT * FROM merged WHERE is_active"
 S.CTES["due_sites"] = """
-SELECT * FROM refreshed WHERE id IN (SELECT site_id FROM counts WHERE changed > 0 OR removed > 0 OR site_id NOT IN (SELECT site_id FROM stored_files))"""
+SELECT * FROM refreshed_seen WHERE id IN (SELECT site_id FROM counts WHERE changed > 0 OR removed > 0 OR site_id NOT IN (SELECT site_id FROM stored_files))"""
 
 
 @query("refresh_index", S.rendered("merged_active", "due_sites"))

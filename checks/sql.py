@@ -181,6 +181,7 @@ CTES["refreshed"] = """
 SELECT s.* REPLACE (coalesce(nullif(f.title, ''), s.title) AS title, coalesce(nullif(f.description, ''), s.description) AS description)
 FROM page_sites s LEFT JOIN (SELECT * FROM crawled QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY depth, url) = 1) f
   ON f.site_id = s.id"""
+CTES["refreshed_seen"] = CTES["refreshed"].replace("FROM crawled", "FROM seen")
 CTES["url_variants"] = f"""
 SELECT page_id, site_id, depth, {HEAD.format(u="url")} || ({PREFIX_LIST})[(page_id % 23 + 1)::INT] || {REST.format(u="url")} AS url FROM page_base"""
 CTES["catalog0"] = f"""
@@ -196,7 +197,7 @@ CTES["no_junk"] = f"SELECT * FROM by_url WHERE NOT {is_junk('title')}"
 CTES["clean"] = """
 SELECT * FROM no_junk QUALIFY row_number() OVER (PARTITION BY site_id, lower(trim(title)) ORDER BY relevance_score DESC, depth, url) = 1"""
 CTES["numbered"] = """
-SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY depth, url)::INT AS list_id FROM clean"""
+SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY depth, url) AS list_id FROM clean"""
 
 ENTRY = "'{{\"id\":' || {i} || ',\"title\":\"' || {t} || '\",\"description\":\"' || {d} || '\"}}'"
 

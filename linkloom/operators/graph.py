@@ -42,7 +42,7 @@ def link_edges(facts: DataFrame) -> DataFrame:
 
 
 def crawlable_path(url: Column) -> Column:
-    """False for files that are no pages and for account and admin areas."""
+    """False for files that are no pages and for account and admin areas; ``url`` is normalised."""
 
     def ok(path: Column) -> Column:
         endings = reduce(or_, [path.endswith(e) for e in SKIPPED_ENDINGS])

@@ -179,7 +179,10 @@ def snapshot_merge(
 
 
 def site_refresh(sites: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Sites with title and description of their first crawled page, where it has any."""
+    """Sites with title and description of their first crawled page, where it has any.
+
+    First is the shallowest page, then the least URL.
+    """
     first = crawled.groupBy("site_id").agg(
         F.min_by(
             F.struct(

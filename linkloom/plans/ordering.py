@@ -50,20 +50,20 @@ def ranked(
     """
     if largest_group(df, keys) <= whole_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(rank, F.row_number().over(window))
+        return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
     # Written down, because range bounds are sampled anew on every run.
     sliced = cut_lineage(
         df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()), "ranked"
     )
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sliced.groupBy(*keys, SLICE).count()
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    offsets = sizes.withColumn("_before_slice", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (
-        sliced.withColumn("_place", F.row_number().over(inside))
+        sliced.withColumn("_in_slice", F.row_number().over(inside))
         .join(offsets, [*keys, SLICE])
-        .withColumn(rank, (F.col("_place") + F.col("_offset")).cast("int"))
-        .drop("_place", "_offset", SLICE)
+        .withColumn(rank, F.col("_in_slice") + F.col("_before_slice"))
+        .drop("_in_slice", "_before_slice", SLICE)
     )
 
 

@@ -55,7 +55,11 @@ def refresh(
     diff = merged.filter("change IS NOT NULL").select("site_id", "url", "change")
     pages = merged.drop("change")
     counts = change_counts(diff)
-    renamed = site_refresh(sites, crawled)
+    # Merged rows, because a "not modified" page has its title from the stored row.
+    seen = merged.filter("change <> 'removed'")
+    if aborted_sites is not None:
+        seen = seen.join(aborted_sites.select("site_id").distinct(), "site_id", "left_anti")
+    renamed = site_refresh(sites, seen)
     due = needs_rebuild(counts, files).filter("needs_rebuild").select(F.col("site_id").alias("id"))
     if aborted_sites is not None:
         due = due.join(aborted_sites.select(F.col("site_id").alias("id")), "id", "left_anti")
