@@ -171,7 +171,7 @@ def _(spark, sf):
 
 @query("url_normalize", f"SELECT page_id, {S.nurl('url')} AS url FROM pages")
 def _(spark, sf):
-    return V.raw_pages(spark, sf).select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+    return V.raw_pages(spark, sf).select("page_id", urls.normalize_url("url").alias("url"))
 
 
 @query(
@@ -180,10 +180,8 @@ def _(spark, sf):
                {S.site_id(S.host_of("url"))} AS site_id FROM pages""",
 )
 def _(spark, sf):
-    p = urls.parts(F.col("url"))
-    return V.raw_pages(spark, sf).select(
-        "page_id", p.scheme.alias("scheme"), p.netloc.alias("host"), p.path.alias("path"), urls.site_key(p.netloc).alias("site_id")
-    )
+    cut = V.raw_pages(spark, sf).select("page_id", urls.url_parts("url").alias("p"))
+    return cut.select("page_id", "p.scheme", F.col("p.netloc").alias("host"), "p.path", urls.site_key("p.netloc").alias("site_id"))
 
 
 def _hrefs(page: DataFrame) -> DataFrame:
@@ -216,14 +214,14 @@ def _hrefs(page: DataFrame) -> DataFrame:
 )
 def _(spark, sf):
     pages = _hrefs(V.raw_pages(spark, sf).select("page_id", "url"))
-    resolved = urls.resolve_all(F.col("url"), F.col("hrefs"))
+    resolved = urls.resolve_all("url", "hrefs")
     return pages.select("page_id", F.posexplode(resolved).alias("pos", "url"))
 
 
 @query("page_category", f"SELECT page_id, url, depth, {S.category('url')} AS category FROM url_variants")
 def _(spark, sf):
     pages = V.url_variants(spark, sf)
-    return pages.select("page_id", "url", "depth", classify.page_category(F.col("url"), F.col("depth")).alias("category"))
+    return pages.select("page_id", "url", "depth", classify.page_category("url", "depth").alias("category"))
 
 
 @query(
@@ -234,7 +232,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     scored = extract.score_pages(V.url_variants(spark, sf))
-    listed = classify.page_relevance(F.col("url"), F.col("depth"), F.col("category"), F.lit(True))
+    listed = classify.page_relevance("url", "depth", "category", "true")
     return scored.select("page_id", "category", "relevance_score", listed.alias("listed_score"))
 
 
@@ -258,7 +256,7 @@ def _(spark, sf):
           '[a-zA-Z]+|[^a-zA-Z]+'), lambda r: upper(r[1]) || lower(r[2:])), '') AS title FROM url_variants""",
 )
 def _(spark, sf):
-    return V.url_variants(spark, sf).select("page_id", graph.title_from_url(F.col("url")).alias("title"))
+    return V.url_variants(spark, sf).select("page_id", graph.title_from_url("url").alias("title"))
 
 
 @query(

@@ -57,9 +57,9 @@ def with_site(pages: DataFrame) -> DataFrame:
     """Canonical URL, host, site id and depth of fetched pages."""
     return (
         pages.withColumn("raw_url", F.col("url"))
-        .withColumn("url", normalize_url(F.col("url")))
-        .withColumn("host", url_host(F.col("url")))
-        .withColumn("site_id", site_key(F.col("host")))
+        .withColumn("url", normalize_url("url"))
+        .withColumn("host", url_host("url"))
+        .withColumn("site_id", site_key("host"))
         .withColumn("depth", (F.col("page_id") % 4).cast("int"))
     )
 
@@ -85,7 +85,7 @@ def page_sites(spark: SparkSession, sf: str) -> DataFrame:
         size % 3 == 2, F.concat("domain", F.lit(" · Site"))
     )
     return sites.select(
-        site_key(F.col("domain")).alias("id"),
+        site_key("domain").alias("id"),
         "url",
         "domain",
         title.alias("title"),

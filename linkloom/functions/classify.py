@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import strip
-from linkloom.functions.urls import bind, slash_count, url_path
+from linkloom.functions.text import BLANK
+from linkloom.functions.urls import let, lower_path, slash_count
 
 # Path patterns in order of precedence.
 CATEGORY_PATTERNS = [
@@ -93,34 +90,31 @@ CHALLENGE_MARKS = [
 CHALLENGE_WINDOW = 5_000
 
 
-def page_category(url: Column, depth: Column) -> Column:
-    def by_path(path: Column) -> Column:
-        return F.coalesce(*(F.when(path.rlike(p), F.lit(name)) for p, name in CATEGORY_PATTERNS))
-
-    by_depth = F.when(depth <= 1, F.lit("Core Pages")).otherwise(F.lit("Other"))
-    return F.coalesce(bind(F.lower(url_path(url)), by_path), by_depth)
+def page_category(url: str, depth: str) -> Column:
+    """Category by the first matching path pattern, else by depth. Arguments are SQL text."""
+    by_path = " ".join(f"WHEN p rlike r'{pattern}' THEN '{name}'" for pattern, name in CATEGORY_PATTERNS)
+    by_depth = f"if({depth} <= 1, 'Core Pages', 'Other')"
+    return lower_path(url, "p", f"CASE {by_path} ELSE {by_depth} END")
 
 
-def page_relevance(url: Column, depth: Column, category: Column, in_sitemap: Column | None = None) -> Column:
-    base = F.lit(UNKNOWN_SCORE)
-    for name, score in BASE_SCORES.items():
-        base = F.when(category == name, F.lit(score)).otherwise(base)
-    slashes = bind(url_path(url), slash_count)
-    deep = F.greatest((slashes - 3) * F.lit(0.05), F.lit(0.0))
-    listed = F.lit(0.0) if in_sitemap is None else F.when(in_sitemap, F.lit(0.1)).otherwise(F.lit(0.0))
-    score = F.round(base - depth * F.lit(0.1) + listed - deep, 2)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+def page_relevance(url: str, depth: str, category: str, in_sitemap: str = "false") -> Column:
+    """Score in [0, 1]; deep pages and long paths lose, listed pages gain. Arguments are SQL text."""
+    bases = " ".join(f"WHEN '{name}' THEN {score}D" for name, score in BASE_SCORES.items())
+    base = F.expr(f"CASE {category} {bases} ELSE {UNKNOWN_SCORE}D END - {depth} * 0.1D + if({in_sitemap}, 0.1D, 0D)")
+    long_path = F.greatest((slash_count(url) - 3) * F.lit(0.05), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(base - long_path, 2)))
 
 
-def _any(text: Column, patterns: list[str], flags: str) -> Column:
-    return reduce(or_, [text.rlike(flags + p) for p in patterns])
+def _any(text: str, patterns: list[str], flags: str) -> str:
+    return "(" + " OR ".join(f"{text} rlike r'{flags}{p}'" for p in patterns) + ")"
 
 
-def is_junk_title(title: Column) -> Column:
+def is_junk_title(title: str) -> Column:
     """True for an empty title and for error, login, wiki-namespace and date pages."""
-    clean = strip(F.coalesce(title, F.lit("")))
-    return (clean == "") | _any(clean, JUNK_TITLES, "(?iuUd)")
+    tests = _any("t", JUNK_TITLES, "(?iuUd)")
+    trimmed = rf"regexp_replace(coalesce({title}, ''), r'(?U)^{BLANK}+|{BLANK}+$', '')"
+    return F.expr(let("t", trimmed, f"(t = '' OR {tests})"))
 
 
-def is_challenge(html: Column) -> Column:
-    return _any(F.substring(html, 1, CHALLENGE_WINDOW), CHALLENGE_MARKS, "(?iud)")
+def is_challenge(html: str) -> Column:
+    return F.expr(let("h", f"substring({html}, 1, {CHALLENGE_WINDOW})", _any("h", CHALLENGE_MARKS, "(?iud)")))

@@ -1,14 +1,12 @@
-"""URL expressions.
+"""URL expressions, written as Spark SQL.
 
-Parts are cut with regular expressions, not ``parse_url``: that one rejects
-strings which crawled pages do contain, and it leaves ``;params`` in the path.
+Every function takes SQL text, mostly a column name, and gives a Column. Parts
+are cut with regular expressions, not ``parse_url``: that one rejects strings
+which crawled pages do contain, and it leaves ``;params`` in the path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,141 +14,123 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 PARAMS = r";[^/]*$"
-WEB_SCHEMES = ("http", "https")
 
 
-def tidy(url: Column) -> Column:
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _tidy(url: str) -> str:
     """Drop what browsers drop: leading blanks and controls, tabs, line breaks."""
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-@dataclass(frozen=True)
-class UrlParts:
-    scheme: Column
-    netloc: Column
-    path: Column  # without ;params
-    has_params: Column
-
-    @staticmethod
-    def of(packed: Column) -> UrlParts:
-        return UrlParts(*(packed.getField(f) for f in ("scheme", "netloc", "path", "has_params")))
-
-    @property
-    def packed(self) -> Column:
-        return F.struct(
-            self.scheme.alias("scheme"),
-            self.netloc.alias("netloc"),
-            self.path.alias("path"),
-            self.has_params.alias("has_params"),
-        )
-
-    @property
-    def is_web(self) -> Column:
-        return self.scheme.isin(*WEB_SCHEMES) & (self.netloc != "")
-
-    @property
-    def clean(self) -> Column:
-        return F.concat(self.scheme, F.lit("://"), F.lower(self.netloc), drop_slash(self.path))
-
-
-def parts(url: Column, tidied: bool = False) -> UrlParts:
-    url = url if tidied else tidy(url)
-    full_path = F.regexp_extract(url, PATH, 1)
-    return UrlParts(
-        scheme=F.lower(F.regexp_extract(url, SCHEME, 1)),
-        netloc=F.regexp_extract(url, NETLOC, 1),
-        path=F.regexp_replace(full_path, PARAMS, ""),
-        has_params=full_path.rlike(PARAMS),
+    return rf"regexp_replace({url}, r'^[\x00-\x20]+|[\t\r\n]', '')"
+
+
+def _netloc(url: str) -> str:
+    return f"regexp_extract({_tidy(url)}, r'{NETLOC}', 1)"
+
+
+def _path(url: str) -> str:
+    return f"regexp_replace(regexp_extract({_tidy(url)}, r'{PATH}', 1), r'{PARAMS}', '')"
+
+
+def _parts(url: str) -> str:
+    """Struct of scheme, netloc, path (without params) and whether there were params."""
+    full = f"regexp_extract(t, r'{PATH}', 1)"
+    return let(
+        "t",
+        _tidy(url),
+        f"named_struct('scheme', lower(regexp_extract(t, r'{SCHEME}', 1)), 'netloc', regexp_extract(t, r'{NETLOC}', 1),"
+        f" 'path', regexp_replace({full}, r'{PARAMS}', ''), 'has_params', {full} rlike r'{PARAMS}')",
     )
 
 
-def drop_slash(path: Column) -> Column:
+def _drop_slash(path: str) -> str:
     """Empty path becomes ``/``; otherwise exactly one trailing slash goes."""
-    return F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
+    return f"if({path} IN ('', '/'), '/', regexp_replace({path}, r'/$', ''))"
 
 
-def normalize_url(url: Column) -> Column:
-    """Lower scheme and host, no query, fragment or params, one trailing slash less."""
-    cleaned = bind(parts(url).packed, lambda p: F.when(UrlParts.of(p).is_web, UrlParts.of(p).clean))
-    return F.coalesce(cleaned, url)
+def _is_web(p: str) -> str:
+    return f"({p}.scheme IN ('http', 'https') AND {p}.netloc <> '')"
 
 
-def url_host(url: Column) -> Column:
-    return F.regexp_extract(tidy(url), NETLOC, 1)
+def _clean(p: str) -> str:
+    return f"concat({p}.scheme, '://', lower({p}.netloc), {_drop_slash(p + '.path')})"
 
 
-def url_path(url: Column) -> Column:
-    return parts(url).path
+# Walk down split path segments: ".." leaves a folder, "." stays.
+_WALK = (
+    "aggregate(s, cast(array() AS array<string>), (done, part) -> CASE WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
+    " WHEN part = '.' THEN done ELSE concat(done, array(part)) END)"
+)
+_CLIMBED = f"concat('/', array_join({_WALK}, '/'), if(element_at(s, -1) IN ('.', '..'), '/', ''))"
 
 
-def slash_count(path: Column) -> Column:
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+def _joined(base: str, path: str) -> str:
+    """Path of a relative link: inner empty segments vanish, dots are resolved."""
+    below = f"if(startswith({path}, '/'), {path}, concat(regexp_replace({base}, r'[^/]*$', ''), {path}))"
+    single = f"regexp_replace(concat('/', {below}), r'/{{2,}}', '/')"
+    climbed = f"regexp_replace({let('s', 'split(r, r' + chr(39) + '/' + chr(39) + ')', _CLIMBED)}, r'^/{{2,}}', '/')"
+    return let("r", single, rf"if(r rlike r'(^|/)\.{{1,2}}(/|$)', {climbed}, r)")
 
 
-def site_key(name: Column) -> Column:
-    """Surrogate id of a site, the same in every run and on every executor.
+def _resolved(b: str, link: str) -> str:
+    """Clean absolute URL of a link on page ``b``; NULL if there is none or it is not http(s)."""
+    # "http:page" on an http page is a relative reference.
+    foreign = f"({link}.scheme <> '' AND {link}.scheme <> {b}.scheme)"
+    same_page = f"({link}.path = '' AND NOT {link}.has_params)"
+    path = let("j", f"if({same_page}, {b}.path, {_joined(b + '.path', link + '.path')})", _drop_slash("j"))
+    return (
+        f"CASE WHEN {foreign} THEN if({_is_web(link)}, {_clean(link)}, NULL)"
+        f" WHEN NOT ({b}.scheme IN ('http', 'https')) THEN NULL"
+        f" WHEN {link}.netloc <> '' THEN concat({b}.scheme, '://', lower({link}.netloc), {_drop_slash(link + '.path')})"
+        f" WHEN {b}.netloc <> '' THEN concat({b}.scheme, '://', lower({b}.netloc), {path}) END"
+    )
 
-    60 bits of a digest: no counter to agree on, no global sort.
+
+def url_parts(url: str) -> Column:
+    """Struct of scheme, netloc, path and has_params."""
+    return F.expr(_parts(url))
+
+
+def normalize_url(url: str) -> Column:
+    """Lower scheme and host, no query, fragment or params, one trailing slash less.
+
+    What is no http(s) URL comes back as it is.
     """
-    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
+    return F.expr(let("p", _parts(url), f"if({_is_web('p')}, {_clean('p')}, {url})"))
 
 
-def _climb(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` in a split path."""
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    ends_in_dir = F.element_at(segments, -1).isin(".", "..")
-    return F.concat(
-        F.array_join(walked, "/"), F.when(ends_in_dir, F.lit("/")).otherwise(F.lit(""))
-    )
+def url_host(url: str) -> Column:
+    return F.expr(_netloc(url))
 
 
-def _join_path(base_path: Column, path: Column) -> Column:
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    joined = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
-    # Empty inner segments vanish; the first and the last one stay.
-    single = F.regexp_replace(joined, "/{2,}", "/")
-    rooted = F.when(single.startswith("/"), single).otherwise(F.concat(F.lit("/"), single))
-    climbed = _climb(F.split(rooted, "/"))
-    flat = F.when(rooted.rlike(r"(^|/)\.{1,2}(/|$)"), climbed).otherwise(rooted)
-    return F.when(flat.startswith("/"), flat).otherwise(F.concat(F.lit("/"), flat))
+def url_path(url: str) -> Column:
+    return F.expr(_path(url))
 
 
-def resolve(base: UrlParts, own: UrlParts) -> Column:
-    """Absolute, normalised URL of a link on page ``base``; NULL if there is none or it is not http(s)."""
-    # "http:page" on an http page is a relative reference.
-    foreign = (own.scheme != "") & (own.scheme != base.scheme)
-    same_page = (own.path == "") & ~own.has_params
-    path = F.when(same_page, base.path).otherwise(_join_path(base.path, own.path))
-    here = F.concat(base.scheme, F.lit("://"))
-    target = (
-        F.when(foreign, own.clean)
-        .when(own.netloc != "", F.concat(here, F.lower(own.netloc), drop_slash(own.path)))
-        .otherwise(F.concat(here, F.lower(base.netloc), drop_slash(path)))
-    )
-    usable = F.when(foreign, own.is_web).otherwise(
-        base.scheme.isin(*WEB_SCHEMES) & ((own.netloc != "") | (base.netloc != ""))
-    )
-    return F.when(usable, target)
+def lower_path(url: str, name: str, body: str) -> Column:
+    """``body`` over the lower-case path, called ``name`` there."""
+    return F.expr(let(name, f"lower({_path(url)})", body))
 
 
-def resolve_href(base_url: Column, href: Column) -> Column:
-    return F.element_at(resolve_all(base_url, F.array(href)), 1)
+def slash_count(url: str) -> Column:
+    return F.expr(let("p", _path(url), "length(p) - length(replace(p, '/', ''))"))
 
 
-def resolve_all(base_url: Column, hrefs: Column) -> Column:
-    own = F.transform(F.transform(hrefs, tidy), lambda h: parts(h, tidied=True).packed)
-    return bind(
-        parts(base_url).packed,
-        lambda base: F.transform(own, lambda link: resolve(UrlParts.of(base), UrlParts.of(link))),
-    )
+def resolve_all(base: str, hrefs: str) -> Column:
+    """Clean absolute URL of each link of a page, in order, NULL where there is none."""
+    link = f"transform({hrefs}, h -> {_parts('h')})"
+    return F.expr(let("b", _parts(base), f"transform({link}, l -> {_resolved('b', 'l')})"))
+
+
+def resolve_href(base: str, href: str) -> Column:
+    return F.element_at(resolve_all(base, f"array({href})"), 1)
+
+
+def site_key(name: str) -> Column:
+    """Surrogate id of a site, the same in every run and on every executor.
+
+    60 bits of a digest: no counter to agree on, no global sort.
+    """
+    return F.expr(f"cast(conv(substring(md5({name}), 1, 15), 16, 10) AS bigint)")

@@ -20,7 +20,7 @@ def dedup_url(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def drop_junk(df: DataFrame) -> DataFrame:
-    return df.filter(~is_junk_title(F.col("title")))
+    return df.filter(~is_junk_title("title"))
 
 
 def dedup_title(df: DataFrame, tie_break: list[Column] | None = None) -> DataFrame:
@@ -36,4 +36,4 @@ def clean_pages(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
 
 
 def challenge_pages(pages: DataFrame) -> DataFrame:
-    return pages.filter(is_challenge(F.col("html")))
+    return pages.filter(is_challenge("html"))

@@ -50,8 +50,8 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         F.substring("_cut.paragraph", 1, PARAGRAPH_CUT),
     )
     # The canonical link is resolved along with the others, as the last one.
-    hrefs = F.concat("_cut.hrefs", F.array(empty_to_null(F.col("_cut.canonical_href"))))
-    cut = cut.withColumn("_urls", resolve_all(F.col(url), hrefs))
+    hrefs = "concat(_cut.hrefs, array(nullif(_cut.canonical_href, '')))"
+    cut = cut.withColumn("_urls", resolve_all(url, hrefs))
     links = F.slice("_urls", 1, F.size("_urls") - 1)
     facts = cut.withColumns(
         {
@@ -70,6 +70,6 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 def score_pages(df: DataFrame) -> DataFrame:
     """Add ``category`` and ``relevance_score`` from ``url`` and ``depth``."""
-    return df.withColumn("category", page_category(F.col("url"), F.col("depth"))).withColumn(
-        "relevance_score", page_relevance(F.col("url"), F.col("depth"), F.col("category"))
+    return df.withColumn("category", page_category("url", "depth")).withColumn(
+        "relevance_score", page_relevance("url", "depth", "category")
     )

@@ -44,7 +44,7 @@ def classify_fetch(log: DataFrame) -> DataFrame:
             ~F.contains(kind, F.lit("text/html")),
             result("not_html", F.concat(F.lit("Non-HTML ("), strip(F.substring_index(kind, ";", 1)), F.lit(")"))),
         )
-        .when(is_challenge(F.col("body")), result("challenge", "Bot protection (challenge page)"))
+        .when(is_challenge("body"), result("challenge", "Bot protection (challenge page)"))
         .otherwise(result("ok", None))
     )
     return log.withColumn("_r", judged).withColumns({"outcome": F.col("_r.outcome"), "reason": F.col("_r.reason")}).drop("_r")

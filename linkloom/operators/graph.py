@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import title_case
-from linkloom.functions.urls import bind, normalize_url, url_host, url_path
+from linkloom.functions.urls import lower_path, normalize_url, url_host, url_path
 from linkloom.operators.extract import score_pages
 from linkloom.operators.robots import with_allowed
 from linkloom.plans.ordering import top_per
@@ -41,15 +38,11 @@ def link_edges(facts: DataFrame) -> DataFrame:
     return facts.select("site_id", F.col("url").alias("src"), F.posexplode("links").alias("pos", "dst"))
 
 
-def crawlable_path(url: Column) -> Column:
+def crawlable_path(url: str) -> Column:
     """False for files that are no pages and for account and admin areas; ``url`` is normalised."""
-
-    def ok(path: Column) -> Column:
-        endings = reduce(or_, [path.endswith(e) for e in SKIPPED_ENDINGS])
-        areas = reduce(or_, [path.contains(p) for p in SKIPPED_PARTS])
-        return ~(endings | areas)
-
-    return bind(F.lower(url_path(url)), ok)
+    endings = " OR ".join(f"endswith(p, '{e}')" for e in SKIPPED_ENDINGS)
+    areas = " OR ".join(f"contains(p, '{a}')" for a in SKIPPED_PARTS)
+    return lower_path(url, "p", f"NOT ({endings} OR {areas})")
 
 
 def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:
@@ -58,9 +51,9 @@ def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Dat
     ``sites`` (id, domain), ``robots`` (host, body).
     """
     own = sites.select(F.col("id").alias("site_id"), F.col("domain").alias("_domain"))
-    target = edges.withColumn("dst", normalize_url(F.col("dst"))).join(own, "site_id", "left")
-    inside = F.coalesce(url_host(F.col("dst")) == F.col("_domain"), F.lit(False))
-    flagged = target.withColumn("_inside", inside & crawlable_path(F.col("dst")))
+    target = edges.withColumn("dst", normalize_url("dst")).join(own, "site_id", "left")
+    inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False))
+    flagged = target.withColumn("_inside", inside & crawlable_path("dst"))
     allowed = with_allowed(flagged, robots, "dst", "_allowed")
     return allowed.withColumn("crawlable", F.col("_inside") & F.col("_allowed")).drop(
         "_domain", "_inside", "_allowed"
@@ -74,8 +67,8 @@ def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Da
 
 def frontier_seed(sites: DataFrame, listed: DataFrame) -> DataFrame:
     """Roots at depth 0 and sitemap URLs at depth 1, each URL once at its least depth."""
-    roots = sites.select(F.col("id").alias("site_id"), normalize_url(F.col("url")).alias("url"), F.lit(0).alias("depth"))
-    maps = listed.select("site_id", normalize_url(F.col("url")).alias("url"), F.lit(1).alias("depth"))
+    roots = sites.select(F.col("id").alias("site_id"), normalize_url("url").alias("url"), F.lit(0).alias("depth"))
+    maps = listed.select("site_id", normalize_url("url").alias("url"), F.lit(1).alias("depth"))
     return roots.unionByName(maps).groupBy("site_id", "url").agg(F.min("depth").alias("depth"))
 
 
@@ -180,7 +173,7 @@ def render_promotion(probes: DataFrame, rendered: DataFrame) -> DataFrame:
     )
 
 
-def title_from_url(url: Column) -> Column:
+def title_from_url(url: str) -> Column:
     """Readable title from the last path segment, else the host."""
 
     def name(path: Column) -> Column:
@@ -194,6 +187,6 @@ def title_from_url(url: Column) -> Column:
 def sitemap_fallback(listed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Stand-in pages for a blocked site: listed URLs (site_id, url, pos) that were never fetched."""
     kept = top_per(listed, ["site_id"], [F.asc("pos"), F.asc("url")], max_pages)
-    pages = kept.select("site_id", "url", F.lit(1).alias("depth"), title_from_url(F.col("url")).alias("title"))
+    pages = kept.select("site_id", "url", F.lit(1).alias("depth"), title_from_url("url").alias("title"))
     empty = {h: F.lit("") for h in ("content_hash", "metadata_hash", "headings_hash", "text_hash")}
     return score_pages(pages.withColumns(empty).withColumn("http_status", F.lit(0)))

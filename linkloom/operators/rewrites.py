@@ -54,9 +54,9 @@ def register_sites(requests: DataFrame, sites: DataFrame, now: Column) -> tuple[
     fresh = asked.select("url").distinct().join(sites.select("url"), "url", "left_anti")
     no_text = F.lit(None).cast("string")
     new_sites = fresh.select(
-        site_key(F.col("url")).alias("id"),
+        site_key("url").alias("id"),
         "url",
-        url_host(F.col("url")).alias("domain"),
+        url_host("url").alias("domain"),
         no_text.alias("title"),
         no_text.alias("description"),
         now.alias("created_at"),
@@ -64,8 +64,8 @@ def register_sites(requests: DataFrame, sites: DataFrame, now: Column) -> tuple[
     )
     known = sites.select("url", F.col("id").alias("_known"))
     jobs = asked.join(known, "url", "left").select(
-        site_key(F.concat(F.lit("job|"), F.col("request_id").cast("string"))).alias("id"),
-        F.coalesce("_known", site_key(F.col("url"))).alias("site_id"),
+        site_key("concat('job|', request_id)").alias("id"),
+        F.coalesce("_known", site_key("url")).alias("site_id"),
         F.lit("pending").alias("status"),
         F.col("max_pages").cast("int").alias("max_pages"),
         now.alias("created_at"),

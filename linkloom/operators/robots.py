@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import strip
-from linkloom.functions.urls import tidy, url_host
+from linkloom.functions.urls import url_host
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 SITEMAP = "(?i)^sitemap:"
@@ -84,9 +84,9 @@ def with_allowed(urls: DataFrame, robots: DataFrame, url: str, flag: str) -> Dat
     own row and no (URL, rule) pairs are built.
     """
     rules = robots_rules(robots).withColumnRenamed("host", "_host")
-    target = F.regexp_extract(tidy(F.col(url)), r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
+    target = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
     path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    keyed = urls.withColumns({"_host": F.lower(url_host(F.col(url))), "_path": path})
+    keyed = urls.withColumns({"_host": F.lower(url_host(url)), "_path": path})
     joined = keyed.join(rules, "_host", "left")
     return joined.withColumn(flag, _allowed(F.col("_path"), F.col("rules"))).drop("_host", "_path", "rules")
 

@@ -155,7 +155,7 @@ def snapshot_merge(
 
     scored = score_pages(compared.withColumn("depth", F.col("c.depth")))
     columns = {name: content(name) for name in CONTENT} | {
-        "id": F.coalesce("s.id", site_key(F.concat_ws("|", "site_id", "url"))),
+        "id": F.coalesce("s.id", site_key("concat(site_id, '|', url)")),
         "etag": header("etag"),
         "last_modified": header("last_modified"),
         "is_active": seen | (F.col("s.is_active") & ~gone),

@@ -65,7 +65,7 @@ def expand_sitemaps(
     found = reduce(DataFrame.unionByName, levels).join(leaves, "url")
     listed = found.select("site_id", "place", F.posexplode("_locs").alias("_pos", "_loc"))
     urls = listed.select(
-        "site_id", F.concat("place", F.array("_pos")).alias("place"), normalize_url(F.col("_loc")).alias("url")
+        "site_id", F.concat("place", F.array("_pos")).alias("place"), normalize_url("_loc").alias("url")
     )
     if max_pages is None:
         return urls
