@@ -296,8 +296,7 @@ def _(spark, sf):
        FROM numbered n LEFT JOIN page_sites s ON s.id = n.site_id""",
 )
 def _(spark, sf):
-    numbered = listing.assign_page_ids(dedup.clean_pages(V.catalog(spark, sf)))
-    return listing.listing_lines(numbered, V.page_sites(spark, sf))
+    return listing.listing_lines(_numbered(spark, sf), V.page_sites(spark, sf))
 
 
 @query("fetch_outcome", "SELECT event_id, host, outcome, reason FROM reasons")
@@ -529,8 +528,14 @@ def _(spark, sf):
     return _registered(spark, sf)[1]
 
 
+def _stored_catalog(spark, sf):
+    """The catalog as the table it would be."""
+    return cut_lineage(V.catalog(spark, sf), "catalog")
+
+
 def _numbered(spark, sf):
-    return listing.assign_page_ids(dedup.clean_pages(V.catalog(spark, sf)))
+    pages = _stored_catalog(spark, sf)
+    return listing.assign_page_ids(dedup.clean_pages(pages), measured=pages)
 
 
 def _resolved(spark, sf):
@@ -654,7 +659,7 @@ def _(spark, sf):
 
 @query("render_index", S.rendered("catalog", "page_sites"))
 def _(spark, sf):
-    return render.render_index(V.page_sites(spark, sf), V.catalog(spark, sf))
+    return render.render_index(V.page_sites(spark, sf), _stored_catalog(spark, sf))
 
 
 @query(
@@ -943,7 +948,8 @@ def _(spark, sf):
 
 
 def _walk(spark, sf):
-    return graph.bfs(V.tag_graph(spark, sf), V.roots(spark, sf))
+    # Written once: every level of the walk reads the edges.
+    return graph.bfs(cut_lineage(V.tag_graph(spark, sf), "edges"), V.roots(spark, sf))
 
 
 @query("bfs_depth", "SELECT site_id, url, depth FROM bfs")

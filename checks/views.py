@@ -71,7 +71,8 @@ def page_base(spark: SparkSession, sf: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of every page, one per canonical URL. The text is cut before anything is shuffled."""
-    return dedup_url(extract_pages(with_site(raw_pages(spark, sf))), [F.asc("page_id")])
+    raw = scan_pages(spark, f"{sf}/pages.parquet", deal_out=True)
+    return dedup_url(extract_pages(with_site(raw)), [F.asc("page_id")])
 
 
 def page_sites(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,9 +254,9 @@ def edges_of(found: DataFrame) -> DataFrame:
 
 def tag_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Pages lead to the words in their menu, words to the pages that show them."""
-    out = facts(spark, sf).select("site_id", F.col("url").alias("src"), F.explode("links").alias("dst"))
-    back = out.select("site_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return out.unionByName(back)
+    out = facts(spark, sf).select("site_id", "url", F.explode("links").alias("link"))
+    both = F.expr("array(named_struct('src', url, 'dst', link), named_struct('src', link, 'dst', url))")
+    return out.select("site_id", F.inline(both))
 
 
 def roots(spark: SparkSession, sf: str) -> DataFrame:

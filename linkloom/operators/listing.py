@@ -15,9 +15,15 @@ OPTIONAL_PICKS = 5
 OPTIONAL_BELOW = 0.3
 
 
-def assign_page_ids(pages: DataFrame, whole_group_rows: int = WHOLE_GROUP_ROWS) -> DataFrame:
-    """Dense ids 1..n per site by depth, then URL."""
-    return ranked(pages, ["site_id"], [F.asc("depth"), F.asc("url")], "list_id", whole_group_rows)
+def assign_page_ids(
+    pages: DataFrame, whole_group_rows: int = WHOLE_GROUP_ROWS, measured: DataFrame | None = None
+) -> DataFrame:
+    """Dense ids 1..n per site by depth, then URL.
+
+    ``measured``: the pages before cleaning, if they are at hand.
+    """
+    order = [F.asc("depth"), F.asc("url")]
+    return ranked(pages, ["site_id"], order, "list_id", whole_group_rows, measured)
 
 
 def listing_lines(numbered: DataFrame, sites: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def category_counts(pages: DataFrame) -> DataFrame:
     return sectioned(pages).groupBy("site_id", "section").agg(F.count("*").alias("pages"))
 
 
-def glue(pieces: DataFrame, part_pieces: int, whole_group_rows: int) -> DataFrame:
+def glue(pieces: DataFrame, part_pieces: int, whole_group_rows: int, measured: DataFrame) -> DataFrame:
     """Pieces (site_id, section_pos, kind, relevance_score, depth, url, piece) -> index parts."""
     order = [
         F.asc("section_pos"),
@@ -69,7 +69,9 @@ def glue(pieces: DataFrame, part_pieces: int, whole_group_rows: int) -> DataFram
         F.asc("depth"),
         F.asc("url"),
     ]
-    placed = ranked(pieces, ["site_id"], order, "_place", whole_group_rows)
+    # A site has its pages and at most one head per section and one of its own.
+    room = whole_group_rows - len(SECTION_ORDER) - 2
+    placed = ranked(pieces, ["site_id"], order, "_place", room, measured)
     part = F.floor((F.col("_place") - 1) / part_pieces).cast("int")
     rows = placed.select("site_id", part.alias("part"), F.struct("_place", "piece").alias("_p"))
     texts = F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["piece"])
@@ -115,7 +117,7 @@ def render_index(
     ).withColumns({"section_pos": F.lit(0), "kind": F.lit(0), **blank})
     # Pages of unknown sites have no head to stand under.
     body = links.unionByName(sections).join(heads.select("site_id"), "site_id", "left_semi")
-    return glue(heads.select(columns).unionByName(body), part_pieces, whole_group_rows)
+    return glue(heads.select(columns).unionByName(body), part_pieces, whole_group_rows, pages)
 
 
 def index_description(files: DataFrame, sites: DataFrame) -> DataFrame:

@@ -41,14 +41,17 @@ def ranked(
     order: list[Column],
     rank: str,
     whole_group_rows: int = WHOLE_GROUP_ROWS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of every group 1..n in ``order``, a total order.
 
     Groups that fit one task share a plain window. If any group is bigger, rows
     are split by range on (keys, order): a slice is a run of neighbours, so the
     rank is the place in the slice plus the size of the group's earlier slices.
+
+    ``measured`` may name a cheaper frame whose groups are at least as big.
     """
-    if largest_group(df, keys) <= whole_group_rows:
+    if largest_group(df if measured is None else measured, keys) <= whole_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
     # Written down, because range bounds are sampled anew on every run.

@@ -30,7 +30,7 @@ def index_sites(sites: DataFrame, pages: DataFrame, plans: DataFrame | None = No
         return render_index(sites, pages)
     usable, _ = split_plans(plans)
     planned = usable.select(F.col("site_id").alias("id"))
-    numbered = assign_page_ids(clean_pages(pages))
+    numbered = assign_page_ids(clean_pages(pages), measured=pages)
     chosen = assemble_plan(sites, plans, numbered).withColumn("part", F.lit(0))
     plain_sites = sites.join(planned, "id", "left_anti")
     return chosen.unionByName(render_index(plain_sites, pages))
