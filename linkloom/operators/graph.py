@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import title_case
 from linkloom.functions.urls import lower_path, normalize_url, url_host, url_path
 from linkloom.operators.extract import score_pages
-from linkloom.operators.robots import with_allowed
+from linkloom.operators.robots import allowed, robots_rules
 from linkloom.plans.ordering import top_per
 from linkloom.session import cut_lineage
 
@@ -50,14 +50,14 @@ def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Dat
 
     ``sites`` (id, domain), ``robots`` (host, body).
     """
+    # A crawlable target is on the site's own host, so each site brings its
+    # domain and its rules along and the edges are joined once.
     own = sites.select(F.col("id").alias("site_id"), F.col("domain").alias("_domain"))
-    target = edges.withColumn("dst", normalize_url("dst")).join(own, "site_id", "left")
+    rules = robots_rules(robots).select(F.col("host").alias("_domain"), F.col("rules").alias("_rules"))
+    target = edges.withColumn("dst", normalize_url("dst")).join(own.join(rules, "_domain", "left"), "site_id", "left")
     inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False))
-    flagged = target.withColumn("_inside", inside & crawlable_path("dst"))
-    allowed = with_allowed(flagged, robots, "dst", "_allowed")
-    return allowed.withColumn("crawlable", F.col("_inside") & F.col("_allowed")).drop(
-        "_domain", "_inside", "_allowed"
-    )
+    usable = inside & crawlable_path("dst") & allowed("dst", F.col("_rules"))
+    return target.withColumn("crawlable", usable).drop("_domain", "_rules")
 
 
 def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:

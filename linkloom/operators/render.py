@@ -115,9 +115,11 @@ def render_index(
     heads = sites.select(
         F.col("id").alias("site_id"), site_head(name, F.col("description")).alias("piece")
     ).withColumns({"section_pos": F.lit(0), "kind": F.lit(0), **blank})
-    # Pages of unknown sites have no head to stand under.
-    body = links.unionByName(sections).join(heads.select("site_id"), "site_id", "left_semi")
-    return glue(heads.select(columns).unionByName(body), part_pieces, whole_group_rows, pages)
+    pieces = heads.select(columns).unionByName(links).unionByName(sections)
+    # Pages of unknown sites have no head to stand under. The few finished parts
+    # are filtered, not the many pieces.
+    parts = glue(pieces, part_pieces, whole_group_rows, pages)
+    return parts.join(heads.select("site_id"), "site_id", "left_semi")
 
 
 def index_description(files: DataFrame, sites: DataFrame) -> DataFrame:

@@ -64,7 +64,11 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     return robots.select("host", F.transform(lines, rule).alias("rules"))
 
 
-def _allowed(path: Column, rules: Column) -> Column:
+def allowed(url: str, rules: Column) -> Column:
+    """May any agent fetch ``url`` under these rules? No rules allow everything."""
+    target = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
+    path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+
     def applies(rule: Column) -> Column:
         return F.when(rule["wild"], F.call_function("rlike", path, rule["regex"])).otherwise(
             path.startswith(rule["path"])
@@ -77,20 +81,12 @@ def _allowed(path: Column, rules: Column) -> Column:
     return F.coalesce(F.array_max(hits)["allow"], F.lit(True))
 
 
-def with_allowed(urls: DataFrame, robots: DataFrame, url: str, flag: str) -> DataFrame:
-    """Add ``flag``: may any agent fetch ``url``? Hosts without rules allow everything.
+def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
+    """Rows whose URL any agent may fetch; hosts without rules allow everything.
 
     The rules of a host arrive as one array, so a URL meets its rules inside its
     own row and no (URL, rule) pairs are built.
     """
-    rules = robots_rules(robots).withColumnRenamed("host", "_host")
-    target = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
-    path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    keyed = urls.withColumns({"_host": F.lower(url_host(url)), "_path": path})
-    joined = keyed.join(rules, "_host", "left")
-    return joined.withColumn(flag, _allowed(F.col("_path"), F.col("rules"))).drop("_host", "_path", "rules")
-
-
-def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL any agent may fetch."""
-    return with_allowed(urls, robots, url, "_allowed").filter("_allowed").drop("_allowed")
+    rules = robots_rules(robots).select(F.col("host").alias("_host"), F.col("rules").alias("_rules"))
+    joined = urls.withColumn("_host", F.lower(url_host(url))).join(rules, "_host", "left")
+    return joined.filter(allowed(url, F.col("_rules"))).drop("_host", "_rules")

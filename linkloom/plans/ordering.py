@@ -123,7 +123,8 @@ def running(
             for n, (_, total) in marks.items()
         }
     ).select(*keys, SLICE, *[f"_{n}_in" for n in (*upper, *first)])
-    joined = local.join(carry, [*keys, SLICE])
+    # A left join adds no filter, so both uses of the scan share one shuffle.
+    joined = local.join(carry, [*keys, SLICE], "left")
     whole = (
         {n: F.coalesce(F.col(n) + F.col(f"_{total}_in"), F.col(f"_{n}_in")) for n, (_, total) in marks.items()}
         | {n: F.col(n) + F.col(f"_{n}_in") for n in sums}
