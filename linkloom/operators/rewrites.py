@@ -133,8 +133,8 @@ def schedule_upsert(schedules: DataFrame, requests: DataFrame, now: Column) -> D
             "is_active": F.coalesce("_active", "is_active"),
         }
     )
-    upcoming = F.when(F.col("is_active"), next_fire(F.col("cron_expression"), now))
-    return joined.withColumn(
+    upcoming = F.when(F.col("is_active"), next_fire("cron_expression", "_now"))
+    return joined.withColumn("_now", now).withColumn(
         "next_run_at", F.when(F.col("_asked"), upcoming).otherwise(F.col("next_run_at"))
     ).select(*schedules.columns)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import let
+
 # Days searched for the next fire time: every day of a month comes up within
 # four years.
 HORIZON_DAYS = 1462
@@ -17,85 +19,73 @@ HORIZON_DAYS = 1462
 BOUNDS = [("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7)]
 
 
-def _values(field: Column, low: int, high: int) -> Column:
+def _values(field: str, low: int, high: int) -> str:
     """``5``, ``1-4``, ``*/6``, ``10-20/5`` and comma lists of them -> array of ints."""
-
-    def one(item: Column) -> Column:
-        span = F.substring_index(item, "/", 1)
-        step = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(item, "/([0-9]+)$", 1), F.lit("")), F.lit("999")), F.lit(1))
-        first = F.when(span == "*", F.lit(low)).otherwise(F.substring_index(span, "-", 1).try_cast("int"))
-        last = (
-            F.when(span == "*", F.lit(high))
-            .when(F.contains(span, F.lit("-")), F.substring_index(span, "-", -1).try_cast("int"))
-            .when(F.contains(item, F.lit("/")), F.lit(high))
-            .otherwise(first)
-        )
-        ok = (first <= last) & (step > 0)
-        return F.when(ok, F.sequence(first, F.when(ok, last).otherwise(first), F.greatest(step.cast("int"), F.lit(1))))
-
-    spans = F.filter(F.transform(F.split(field, ","), one), lambda a: a.isNotNull())
-    return F.array_distinct(F.flatten(spans))
+    read = (
+        "named_struct('span', substring_index(i, '/', 1), 'stepped', contains(i, '/'),"
+        " 'step', coalesce(try_cast(nullif(regexp_extract(i, r'/([0-9]+)$', 1), '') AS int), 1))"
+    )
+    bounds = (
+        f"named_struct('low', if(x.span = '*', {low}, try_cast(substring_index(x.span, '-', 1) AS int)),"
+        f" 'high', CASE WHEN x.span = '*' THEN {high} WHEN contains(x.span, '-') THEN try_cast(substring_index(x.span, '-', -1) AS int)"
+        f" WHEN x.stepped THEN {high} ELSE try_cast(x.span AS int) END, 'step', x.step)"
+    )
+    items = f"transform(transform(split({field}, ','), i -> {read}), x -> {bounds})"
+    valid = f"filter({items}, y -> y.low <= y.high AND y.step > 0)"
+    return f"array_distinct(flatten(transform({valid}, z -> sequence(z.low, z.high, z.step))))"
 
 
-def cron_fields(cron: Column) -> dict[str, Column]:
-    fields = F.split(F.trim(cron), r"\s+")
-    return {name: _values(F.get(fields, F.lit(i)), low, high) for i, (name, low, high) in enumerate(BOUNDS)}
+def with_cron(cron: str, name: str, body: str) -> str:
+    """``body`` with the matching values of each field at hand as ``name.minute``, ``name.hour``, ..."""
+    fields = ", ".join(f"'{f}', {_values(f'get(f, {i})', low, high)}" for i, (f, low, high) in enumerate(BOUNDS))
+    return let("f", rf"split(trim({cron}), r'\s+')", let(name, f"named_struct({fields})", body))
 
 
-def minutes_of_day(cron: Column) -> Column:
-    f = cron_fields(cron)
-    return F.flatten(F.transform(f["hour"], lambda h: F.transform(f["minute"], lambda m: h * 60 + m)))
+def _minutes(c: str) -> str:
+    """Minutes of the day at which a schedule fires."""
+    return f"flatten(transform({c}.hour, h -> transform({c}.minute, m -> h * 60 + m)))"
 
 
-def matching_days(cron: Column, start: Column, days: Column) -> Column:
+def _days(c: str, start: str, days: str) -> str:
     """Dates from ``start`` on, ``days`` of them looked at, on which a schedule fires."""
-    f = cron_fields(cron)
-    weekdays = F.transform(f["weekday"], lambda d: d % 7)
-    window = F.transform(F.sequence(F.lit(0), days - 1), lambda i: F.date_add(start, i))
-    return F.filter(
-        window,
-        lambda d: F.array_contains(f["day"], F.dayofmonth(d))
-        & F.array_contains(f["month"], F.month(d))
-        & F.array_contains(weekdays, F.dayofweek(d) - 1),
+    window = f"transform(sequence(0, {days} - 1), n -> date_add({start}, n))"
+    return (
+        f"filter({window}, d -> array_contains({c}.day, day(d)) AND array_contains({c}.month, month(d))"
+        f" AND (array_contains({c}.weekday, dayofweek(d) - 1) OR (dayofweek(d) = 1 AND array_contains({c}.weekday, 7))))"
     )
 
 
-def at_minute(day: Column, minute: Column) -> Column:
-    return F.make_timestamp_ntz(
-        F.year(day), F.month(day), F.dayofmonth(day), F.floor(minute / 60).cast("int"), minute % 60, F.lit(0)
-    )
+def _at(day: str, minute: str) -> str:
+    return f"make_timestamp_ntz(year({day}), month({day}), day({day}), cast({minute} DIV 60 AS int), {minute} % 60, 0)"
 
 
-def next_fire(cron: Column, now: Column) -> Column:
-    """First fire time at or after ``now``, row by row, without a join."""
-    moment = now.cast("timestamp_ntz")
-    days = F.slice(matching_days(cron, F.to_date(moment), F.lit(HORIZON_DAYS)), 1, 2)
-    times = F.flatten(
-        F.transform(days, lambda d: F.transform(minutes_of_day(cron), lambda m: at_minute(d, m)))
-    )
-    return F.array_min(F.filter(times, lambda t: t >= moment))
+def next_fire(cron: str, now: str) -> Column:
+    """First fire time at or after ``now``, row by row, without a join. Arguments are SQL text."""
+    moment = f"cast({now} AS timestamp_ntz)"
+    days = f"slice({_days('c', f'to_date({moment})', str(HORIZON_DAYS))}, 1, 2)"
+    times = let("o", _minutes("c"), f"flatten(transform({days}, w -> transform(o, k -> {_at('w', 'k')})))")
+    return F.expr(with_cron(cron, "c", f"array_min(filter({times}, t -> t >= {moment}))"))
 
 
 def next_run(schedules: DataFrame, now: Column) -> DataFrame:
     """(site_id, next_run_at); inactive schedules have none."""
-    upcoming = F.when(F.col("is_active"), next_fire(F.col("cron_expression"), now))
-    return schedules.select("site_id", upcoming.alias("next_run_at"))
+    upcoming = F.when(F.col("is_active"), next_fire("cron_expression", "_now"))
+    return schedules.withColumn("_now", now).select("site_id", upcoming.alias("next_run_at"))
 
 
 def fire_times(schedules: DataFrame, start: Column, end: Column) -> DataFrame:
     """(site_id, fire_at) of the active schedules in [start, end)."""
-    cron = F.col("cron_expression")
-    first, last = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
-    span = F.datediff(F.to_date(last), F.to_date(first)) + 1
-    active = schedules.filter("is_active")
-    days = active.select(
-        "site_id",
-        minutes_of_day(cron).alias("_minutes"),
-        F.explode(matching_days(cron, F.to_date(first), span)).alias("_day"),
+    span = "datediff(to_date(_end), to_date(_start)) + 1"
+    fired = f"named_struct('minutes', {_minutes('c')}, 'days', {_days('c', 'to_date(_start)', f'({span})')})"
+    matched = (
+        schedules.filter("is_active")
+        .withColumns({"_start": start.cast("timestamp_ntz"), "_end": end.cast("timestamp_ntz")})
+        .select("site_id", "_start", "_end", F.expr(with_cron("cron_expression", "c", fired)).alias("_f"))
     )
-    times = days.select("site_id", "_day", F.explode("_minutes").alias("_minute"))
-    fired = times.select("site_id", at_minute(F.col("_day"), F.col("_minute")).alias("fire_at"))
-    return fired.filter((F.col("fire_at") >= first) & (F.col("fire_at") < last))
+    days = matched.select("site_id", "_start", "_end", "_f.minutes", F.explode("_f.days").alias("_day"))
+    times = days.select("site_id", "_start", "_end", "_day", F.explode("minutes").alias("_minute"))
+    at = times.select("site_id", "_start", "_end", F.expr(_at("_day", "_minute")).alias("fire_at"))
+    return at.filter("fire_at >= _start AND fire_at < _end").select("site_id", "fire_at")
 
 
 def idempotency_key(site_id: Column, ts: Column) -> Column:

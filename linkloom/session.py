@@ -35,14 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of this machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
     )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    local = os.path.join(tempfile.gettempdir(), f"linkloom-{spark.sparkContext.applicationId}")
+    local = os.path.join(tempfile.gettempdir(), f"linkloom-{context.applicationId}")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -66,12 +67,13 @@ SIBLINGS = {
 }
 INLINE = set("a abbr b big cite code em font i kbd mark q s small span strike strong sub sup tt u var".split())
 INLINE_OR_P = INLINE | {"p"}
+CLOSED_ALONG = INLINE_OR_P | {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Comments and declarations; raw-text elements with their content; tags.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>",
+    r"|<(?P<raw>script|style)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([^\s/=>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -97,7 +99,8 @@ class _Pieces:
         self.seen: list[str] = []  # every string but those of MUTE tags
         self.kept: list[str] = []  # those outside REMOVED tags
         self.open: list[tuple[str, dict]] = []
-        self.removed = self.mute = self.in_head = 0  # open elements of each kind
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.removed = self.mute = self.in_head = 0  # and by kind
         self.elements: list[dict] = []
         self.meta: dict[str, str] = {}
         self.roots: dict[str, dict] = {}
@@ -136,7 +139,8 @@ class _Pieces:
     def _mark(self, tag: str) -> dict:
         return {"tag": tag, "seen": len(self.seen), "kept": len(self.kept), "from": len(self.elements)}
 
-    def _count(self, tag: str, step: int) -> None:
+    def _note(self, tag: str, step: int) -> None:
+        self.count[tag] += step
         self.removed += step * (tag in REMOVED)
         self.mute += step * (tag in MUTE)
         self.in_head += step * (tag in ("head", "title"))
@@ -144,25 +148,26 @@ class _Pieces:
     def _close_down_to(self, depth: int) -> None:
         while len(self.open) > depth:
             tag, element = self.open.pop()
-            self._count(tag, -1)
+            self._note(tag, -1)
             element.update(seen_end=len(self.seen), kept_end=len(self.kept), to=len(self.elements))
 
     def _close_before(self, tag: str) -> None:
-        if tag in ENDS_PARAGRAPH:
+        if tag in ENDS_PARAGRAPH and self.count["p"]:
             for depth in range(len(self.open) - 1, -1, -1):
                 if self.open[depth][0] == "p":
                     self._close_down_to(depth)
                     break
                 if self.open[depth][0] not in INLINE:
                     break
-        if tag in SIBLINGS:
-            closes, boundary = SIBLINGS[tag]
+        closes, boundary = SIBLINGS.get(tag, ((), ()))
+        if any(self.count[c] for c in closes):
             lowest = None
             for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth][0] in boundary:
-                    break
-                if self.open[depth][0] in closes:
+                at = self.open[depth][0]
+                if at in closes:
                     lowest = depth
+                elif at in boundary or at not in CLOSED_ALONG:
+                    break
             if lowest is not None:
                 self._close_down_to(lowest)
 
@@ -193,9 +198,11 @@ class _Pieces:
                 self.roots.setdefault("role", element)
         element["from"] = len(self.elements)
         self.open.append((tag, element))
-        self._count(tag, 1)
+        self._note(tag, 1)
 
     def _end(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 self._close_down_to(depth)
