@@ -17,7 +17,6 @@ from linkloom.operators import (
 from linkloom.operators import robots as robots_txt
 from linkloom.plans.refresh import refresh
 from linkloom.session import cut_lineage, shared_path
-from linkloom.sources import pages as page_source
 from linkloom.sources import sinks, sitemaps
 from linkloom.sources.state import StateStore
 from linkloom.streaming import feeds, runner
@@ -93,6 +92,25 @@ def _(spark, sf):
     return listed.select("site_id", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "url")
 
 
+S.CTES["listed_inside"] = rf"""
+SELECT l.site_id, l.place, l.url AS dst FROM listed l JOIN page_sites s ON s.id = l.site_id WHERE {S.host_of("l.url")} = s.domain
+  AND NOT regexp_matches(lower({S.path_of("l.url")}), '\.(png|jpg|jpeg|gif|svg|ico|webp|pdf|zip|tar|gz|mp4|mp3|wav|css|js|woff|woff2|ttf|eot)$')
+  AND NOT regexp_matches(lower({S.path_of("l.url")}), '/(login|signin|signup|register|admin)')"""
+S.CTES["blocked_listed"] = S.blocked("listed_inside")
+
+
+@query(
+    "sitemap_urls",
+    """SELECT site_id, array_to_string(place, '.') AS place, dst AS url FROM listed_inside WHERE dst NOT IN (SELECT url FROM blocked_listed)
+       QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY place, dst) <= 200""",
+)
+def _(spark, sf):
+    docs = V.sitemap_docs(spark, sf)
+    roots = docs.select("site_id", F.col("page_id").cast("int").alias("pos"), "url")
+    usable = graph.listed_urls(sitemaps.expand_sitemaps(roots, docs), V.page_sites(spark, sf), _robots(spark, sf))
+    return usable.select("site_id", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "url")
+
+
 @query(
     "robots_sitemaps",
     r"""SELECT host, pos, trim(line[9:]) AS url FROM (SELECT host, pos, trim(line) AS line FROM robot_lines)
@@ -119,8 +137,16 @@ def _(spark, sf):
     return sitemaps.default_roots(V.page_sites(spark, sf), named.select("site_id", "pos", "url"))
 
 
+@query("read_state", "SELECT id, url, domain, title || '!' AS title, created_at FROM sites")
+def _(spark, sf):
+    store = StateStore(spark, shared_path(spark, "state"), buckets=8)
+    store.write("sites", V.sites(spark, sf))
+    store.write("sites", store.read("sites").withColumn("title", F.concat("title", F.lit("!"))))
+    return store.read("sites").select("id", "url", "domain", "title", "created_at")
+
+
 @query(
-    "state_store",
+    "write_state",
     """SELECT id, site_id, url, content_hash, array_to_string(links, ' ') AS links, is_active, category, relevance_score, depth,
               created_at AS first_seen_at FROM stored""",
 )
@@ -732,6 +758,18 @@ def _(spark, sf):
     return fetchlog.circuit_events(V.fetch_log(spark, sf))
 
 
+@query(
+    "abort_summary",
+    """SELECT o.host, 'timeout_circuit_open' AS abort_reason, 'trigger=' || o.trigger || ' url=https://' || o.host || '/' || o.event_id || ' timeouts=' || o.timeouts
+          || '/' || o.requests || ' streak=' || o.streak || ' stalled_for=' || printf('%.1f', (epoch_us(t.ts) - epoch_us(coalesce(t.last_success, t.started))) / 1e6) || 's' AS abort_detail,
+          o.requests AS request_count, o.timeouts AS timeout_count, round_even(o.timeouts::DOUBLE / o.requests, 4) AS timeout_rate, o.streak AS consecutive_timeouts,
+          1 AS circuit_open_count, (SELECT count(*) FROM fetch_log f WHERE f.host = o.host AND f.accepted AND (f.ts, f.event_id) <= (o.ts, o.event_id)) AS pages_crawled_so_far
+       FROM openings o JOIN tally t ON t.event_id = o.event_id QUALIFY row_number() OVER (PARTITION BY o.host ORDER BY o.ts, o.event_id) = 1""",
+)
+def _(spark, sf):
+    return fetchlog.abort_summaries(V.fetch_log(spark, sf))
+
+
 @query("progress_changes", "SELECT * FROM progress_changed")
 def _(spark, sf):
     return feed.progress_changes(V.progress_rows(V.table(spark, sf, "events")))

@@ -14,8 +14,8 @@ from linkloom.functions.text import sha256
 from linkloom.functions.urls import normalize_url, site_key, url_host
 from linkloom.operators.dedup import dedup_url
 from linkloom.operators.extract import extract_pages, score_pages
-from linkloom.schemas import RAW_PAGES, table_schema
-from linkloom.sources.pages import scan_pages
+from linkloom.schemas import table_schema
+from linkloom.sources.pages import read_page_stream, scan_pages
 
 # Category paths plus one that only looks like one, and none.
 PREFIXES = [
@@ -415,6 +415,7 @@ def fetch_rows(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         F.concat(F.lit("h"), user.cast("string")).alias("host"),
+        F.concat(F.lit("https://h"), user.cast("string"), F.lit("/"), event.cast("string")).alias("url"),
         "ts",
         timeout.alias("timeout"),
         F.when(~timeout & error.isNull(), status).alias("status"),
@@ -514,4 +515,4 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.readStream.schema(RAW_PAGES).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    return read_page_stream(spark, sf, names="pages.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.classify import is_challenge
 from linkloom.functions.text import strip
-from linkloom.plans.ordering import running, time_slice
+from linkloom.plans.ordering import first_per, running, time_slice
 
 # When a run of timeouts stops a crawl.
 STREAK = 8
@@ -15,6 +15,8 @@ MIN_SAMPLES = 12
 RATE = 0.7
 STALL_SECONDS = 30
 ERROR_CUT = 100
+DETAIL_CUT = 400
+ABORT_REASON = "timeout_circuit_open"
 
 # A crawl starts at most 400 fetches a second, so an hour of one host stays
 # below 1.5 million rows however long its log is.
@@ -64,15 +66,19 @@ def timeout_rate(timeouts: Column, requests: Column) -> Column:
     return F.bround(F.coalesce(F.try_divide(timeouts, requests), F.lit(0.0)), 4)
 
 
-def _tally(log: DataFrame) -> DataFrame:
-    """Running requests, timeouts, timeouts at the last answer, last success and first attempt."""
+def _tally(log: DataFrame, *extra: str) -> DataFrame:
+    """Running requests, timeouts, timeouts at the last answer, successes, last success and first attempt."""
     # No other columns: both uses of the sliced rows then share one shuffle.
     return running(
-        counted(log).select("host", "ts", "event_id", "timeout", "accepted"),
+        counted(log).select("host", "ts", "event_id", "timeout", "accepted", *extra),
         keys=["host"],
         order=[F.asc("ts"), F.asc("event_id")],
         slice_by=time_slice(F.col("ts"), SLICE_SECONDS),
-        sums={"requests": F.lit(1), "timeouts": F.col("timeout").cast("int")},
+        sums={
+            "requests": F.lit(1),
+            "timeouts": F.col("timeout").cast("int"),
+            "successes": F.col("accepted").cast("int"),
+        },
         marks={"answered_at": (~F.col("timeout"), "timeouts")},
         latest={"last_success": F.when(F.col("accepted"), F.col("ts"))},
         first={"started": F.col("ts")},
@@ -84,19 +90,24 @@ def timeout_streak(log: DataFrame) -> DataFrame:
     return _tally(log).select("event_id", "host", "ts", "timeout", F.col("streak").cast("bigint").alias("streak"))
 
 
-def circuit_openings(log: DataFrame) -> DataFrame:
-    """Attempts at which the breaker would open; only a timeout can open it."""
+def _openings(log: DataFrame, *extra: str) -> DataFrame:
     since = F.coalesce("last_success", "started")
     stalled = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 1e6
     enough = F.col("requests") >= MIN_SAMPLES
     by_streak = enough & (F.col("streak") >= STREAK)
     by_rate = enough & (F.col("timeouts") / F.col("requests") >= RATE) & (stalled >= STALL_SECONDS)
-    opened = _tally(log).filter(F.col("timeout") & (by_streak | by_rate))
-    return opened.select(
+    tally = _tally(log, *extra).withColumn("stalled", F.greatest(stalled, F.lit(0.0)))
+    trigger = F.when(by_streak, "streak").otherwise("rate+stall")
+    return tally.withColumn("trigger", trigger).filter(F.col("timeout") & (by_streak | by_rate))
+
+
+def circuit_openings(log: DataFrame) -> DataFrame:
+    """Attempts at which the breaker would open; only a timeout can open it."""
+    return _openings(log).select(
         "event_id",
         "host",
         "ts",
-        F.when(by_streak, "streak").otherwise("rate+stall").alias("trigger"),
+        "trigger",
         F.col("requests").cast("bigint").alias("requests"),
         F.col("timeouts").cast("bigint").alias("timeouts"),
         F.col("streak").cast("bigint").alias("streak"),
@@ -110,6 +121,29 @@ def circuit_events(log: DataFrame) -> DataFrame:
     return opened.join(first, "host").withColumn("aborts", F.col("event_id") == F.col("_first")).drop("_first")
 
 
+def abort_summaries(log: DataFrame) -> DataFrame:
+    """Why and in what state each aborted crawl stopped, at its host's first opening.
+
+    ``log`` needs ``url`` besides the other columns.
+    """
+    first = first_per(_openings(log, "url"), ["host"], [F.asc("ts"), F.asc("event_id")])
+    detail = F.format_string(
+        "trigger=%s url=%s timeouts=%d/%d streak=%d stalled_for=%.1fs",
+        "trigger", "url", "timeouts", "requests", "streak", "stalled",
+    )
+    return first.select(
+        "host",
+        F.lit(ABORT_REASON).alias("abort_reason"),
+        F.left(detail, F.lit(DETAIL_CUT)).alias("abort_detail"),
+        F.col("requests").alias("request_count"),
+        F.col("timeouts").alias("timeout_count"),
+        timeout_rate(F.col("timeouts"), F.col("requests")).alias("timeout_rate"),
+        F.col("streak").alias("consecutive_timeouts"),
+        F.lit(1).alias("circuit_open_count"),
+        F.col("successes").alias("pages_crawled_so_far"),
+    )
+
+
 def fetch_counts(log: DataFrame) -> DataFrame:
     """Requests, timeouts and successes per host; needs no order, so it also runs on a stream."""
     answered = F.col("timeout") | F.col("error").isNull()

@@ -65,6 +65,17 @@ def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Da
     return mark_crawlable(edges, sites, robots).filter("crawlable").drop("crawlable")
 
 
+def listed_urls(listed: DataFrame, sites: DataFrame, robots: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
+    """Sitemap URLs (site_id, place, url) that may be crawled, the first ``max_pages`` of each site.
+
+    Duplicates count towards the limit; they fall together when the walk starts.
+    """
+    usable = crawlable_links(listed.withColumnRenamed("url", "dst"), sites, robots).withColumnRenamed("dst", "url")
+    if max_pages is None:
+        return usable
+    return top_per(usable, ["site_id"], [F.asc("place"), F.asc("url")], max_pages)
+
+
 def frontier_seed(sites: DataFrame, listed: DataFrame) -> DataFrame:
     """Roots at depth 0 and sitemap URLs at depth 1, each URL once at its least depth."""
     roots = sites.select(F.col("id").alias("site_id"), normalize_url("url").alias("url"), F.lit(0).alias("depth"))

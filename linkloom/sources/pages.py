@@ -21,6 +21,7 @@ def scan_pages(spark: SparkSession, path: str, deal_out: bool = False) -> DataFr
     return pages
 
 
-def read_page_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def read_page_stream(spark: SparkSession, path: str, max_files: int = 1000, names: str = "*.parquet") -> DataFrame:
     """New files below ``path`` as they arrive."""
-    return spark.readStream.schema(RAW_PAGES).option("maxFilesPerTrigger", max_files).parquet(path)
+    reader = spark.readStream.schema(RAW_PAGES).option("maxFilesPerTrigger", max_files)
+    return reader.option("pathGlobFilter", names).parquet(path)

@@ -108,3 +108,9 @@ def test_only_html_travels_to_python(spark, sf):
     # Columns that need no text do not start Python at all.
     light = facts.select("url", "site_id")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in light and "html" not in light.split("ReadSchema")[1]
+
+
+def test_broken_markup_stays_cheap():
+    """Each of these would take hours if tags were looked up by scanning back and forth."""
+    for html in ("<span>" * 200_000 + "</b>" * 200_000, "<div>" * 50_000 + "<li>x" * 50_000, "<script " * 100_000):
+        cut_page(html)
