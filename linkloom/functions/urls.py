@@ -35,13 +35,13 @@ def _path(url: str) -> str:
 
 
 def _parts(url: str) -> str:
-    """Struct of scheme, netloc, path (without params) and whether there were params."""
+    """Struct of scheme, netloc, path (without params) and whether params were not empty."""
     full = f"regexp_extract(t, r'{PATH}', 1)"
     return let(
         "t",
         _tidy(url),
         f"named_struct('scheme', lower(regexp_extract(t, r'{SCHEME}', 1)), 'netloc', regexp_extract(t, r'{NETLOC}', 1),"
-        f" 'path', regexp_replace({full}, r'{PARAMS}', ''), 'has_params', {full} rlike r'{PARAMS}')",
+        f" 'path', regexp_replace({full}, r'{PARAMS}', ''), 'has_params', {full} rlike r';[^/]+$')",
     )
 
 
@@ -63,15 +63,23 @@ _WALK = (
     "aggregate(s, cast(array() AS array<string>), (done, part) -> CASE WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
     " WHEN part = '.' THEN done ELSE concat(done, array(part)) END)"
 )
-_CLIMBED = f"concat('/', array_join({_WALK}, '/'), if(element_at(s, -1) IN ('.', '..'), '/', ''))"
+_CLIMBED = f"concat(array_join({_WALK}, '/'), if(element_at(s, -1) IN ('.', '..'), '/', ''))"
+
+
+def _rooted(path: str) -> str:
+    return let("g", path, "if(startswith(g, '/'), g, concat('/', g))")
 
 
 def _joined(base: str, path: str) -> str:
-    """Path of a relative link: inner empty segments vanish, dots are resolved."""
-    below = f"if(startswith({path}, '/'), {path}, concat(regexp_replace({base}, r'[^/]*$', ''), {path}))"
-    single = f"regexp_replace(concat('/', {below}), r'/{{2,}}', '/')"
-    climbed = f"regexp_replace({let('s', 'split(r, r' + chr(39) + '/' + chr(39) + ')', _CLIMBED)}, r'^/{{2,}}', '/')"
-    return let("r", single, rf"if(r rlike r'(^|/)\.{{1,2}}(/|$)', {climbed}, r)")
+    """Path of a link on a page with path ``base``.
+
+    Below the page's folder, empty inner segments vanish; a path from the root
+    keeps them. Dots are resolved in both.
+    """
+    below = f"regexp_replace(concat('/', regexp_replace({base}, r'[^/]*$', ''), {path}), r'/{{2,}}', '/')"
+    whole = f"if(startswith({path}, '/'), {path}, {below})"
+    climbed = _rooted(let("s", "split(r, '/')", _CLIMBED))
+    return let("r", whole, rf"if(r rlike r'(^|/)\.{{1,2}}(/|$)', {climbed}, r)")
 
 
 def _resolved(b: str, link: str) -> str:

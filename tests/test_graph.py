@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from linkloom.functions.urls import normalize_url
 from linkloom.operators import graph
