@@ -373,6 +373,14 @@ def _(spark, sf):
     return curation.parse_plans(V.plans(spark, sf))
 
 
+@query(
+    "plan_descriptions",
+    """SELECT s.id, coalesce(nullif(p.j->>'site_description', ''), s.description) AS description FROM page_sites s LEFT JOIN good_plans p ON p.site_id = s.id""",
+)
+def _(spark, sf):
+    return curation.adopt_descriptions(V.page_sites(spark, sf), V.plans(spark, sf)).select("id", "description")
+
+
 @query("plan_invalid", "SELECT site_id FROM plans WHERE site_id NOT IN (SELECT site_id FROM good_plans)")
 def _(spark, sf):
     return curation.split_plans(V.plans(spark, sf))[1]
@@ -627,6 +635,24 @@ def _(spark, sf):
     return snapshot.needs_rebuild(snapshot.change_counts(_diff(spark, sf)), have)
 
 
+@query(
+    "job_counters",
+    """SELECT coalesce(c.site_id, k.site_id) AS site_id, 'completed' AS status, coalesce(added + updated + unchanged, 0)::INT + coalesce(k.n, 0)::INT AS pages_found,
+          coalesce(added + updated + unchanged, 0)::INT AS pages_crawled, coalesce(changed, 0)::INT AS pages_changed, coalesce(added, 0)::INT AS pages_added,
+          coalesce(updated, 0)::INT AS pages_updated, coalesce(removed, 0)::INT AS pages_removed, coalesce(unchanged, 0)::INT AS pages_unchanged, coalesce(k.n, 0)::INT AS pages_skipped,
+          CASE WHEN c.site_id IS NOT NULL THEN changed > 0 OR removed > 0 OR c.site_id NOT IN (SELECT site_id FROM stored_files) END AS index_regenerated
+       FROM counts c FULL JOIN (SELECT site_id, count(*) AS n FROM crawled WHERE (site_id, url) NOT IN (SELECT (site_id, url) FROM seen) GROUP BY site_id) k ON k.site_id = c.site_id""",
+)
+def _(spark, sf):
+    old, new = _snapshots(spark, sf)
+    diff = snapshot.snapshot_diff(old, new)
+    taken = diff.filter("change <> 'removed'").select("site_id", "url")
+    skipped = new.join(taken, ["site_id", "url"], "left_anti").groupBy("site_id").agg(F.count("*").alias("pages_skipped"))
+    have = V.page_sites(spark, sf).filter(F.length("domain") > 20).select(F.col("id").alias("site_id"))
+    counts = snapshot.change_counts(diff)
+    return snapshot.job_counters(counts, skipped, snapshot.needs_rebuild(counts, have))
+
+
 @query(
     "site_stats",
     """SELECT count(*) AS total, count(*) FILTER (latest_crawl_status = 'completed') AS crawled, count(*) FILTER (latest_crawl_status = 'running') AS running,

@@ -46,6 +46,14 @@ def split_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, parsed.filter(~F.col("usable")).select("site_id")
 
 
+def adopt_descriptions(sites: DataFrame, plans: DataFrame) -> DataFrame:
+    """Sites with the description their usable plan gives, if it gives one."""
+    usable, _ = split_plans(plans)
+    told = usable.select(F.col("site_id").alias("id"), empty_to_null(F.col("site_description")).alias("_told"))
+    joined = sites.join(told, "id", "left")
+    return joined.withColumn("description", F.coalesce("_told", "description")).select(*sites.columns)
+
+
 def parse_plans(plans: DataFrame) -> DataFrame:
     """One row per plan entry, with its place."""
     usable, _ = split_plans(plans)

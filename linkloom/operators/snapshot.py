@@ -111,6 +111,30 @@ def change_counts(diff: DataFrame) -> DataFrame:
     )
 
 
+def job_counters(counts: DataFrame, skipped: DataFrame, rebuild: DataFrame) -> DataFrame:
+    """Counters of a finished job per site; found pages are the crawled and the skipped ones.
+
+    ``skipped`` (site_id, pages_skipped), ``rebuild`` as ``needs_rebuild`` gives it.
+    """
+    taken = (F.col("added") + F.col("updated") + F.col("unchanged")).cast("int")
+    missed = F.coalesce("pages_skipped", F.lit(0)).cast("int")
+    # A site may have skipped pages only.
+    joined = counts.join(skipped, "site_id", "full_outer").fillna(0).join(rebuild, "site_id", "left")
+    return joined.select(
+        "site_id",
+        F.lit("completed").alias("status"),
+        (taken + missed).alias("pages_found"),
+        taken.alias("pages_crawled"),
+        F.col("changed").cast("int").alias("pages_changed"),
+        F.col("added").cast("int").alias("pages_added"),
+        F.col("updated").cast("int").alias("pages_updated"),
+        F.col("removed").cast("int").alias("pages_removed"),
+        F.col("unchanged").cast("int").alias("pages_unchanged"),
+        missed.alias("pages_skipped"),
+        F.col("needs_rebuild").alias("index_regenerated"),
+    )
+
+
 def change_summary(diff: DataFrame, health: DataFrame | None = None) -> DataFrame:
     """Counters, active pages and the first removed URLs of each site, as one JSON text.
 

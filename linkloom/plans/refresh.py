@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.curation import assemble_plan, split_plans
+from linkloom.operators.curation import adopt_descriptions, assemble_plan, split_plans
 from linkloom.operators.dedup import clean_pages
 from linkloom.operators.listing import assign_page_ids
 from linkloom.operators.render import render_index
@@ -65,4 +65,9 @@ def refresh(
         due = due.join(aborted_sites.select(F.col("site_id").alias("id")), "id", "left_anti")
     due_sites = renamed.join(due, "id", "left_semi")
     due_pages = pages.filter("is_active").join(due.withColumnRenamed("id", "site_id"), "site_id", "left_semi")
-    return Refresh(diff, counts, pages, renamed, index_sites(due_sites, due_pages, plans))
+    described = renamed
+    if plans is not None:
+        # Only a plan that is put to use now describes its site.
+        used = plans.join(due.withColumnRenamed("id", "site_id"), "site_id", "left_semi")
+        described = adopt_descriptions(renamed, used)
+    return Refresh(diff, counts, pages, described, index_sites(due_sites, due_pages, plans))

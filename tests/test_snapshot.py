@@ -134,6 +134,29 @@ def test_page_text_is_not_read(frames):
         assert scans and not any("main_text" in scan for scan in scans)
 
 
+def test_refresh_with_a_plan(spark, frames):
+    stored, crawled, _ = frames
+    sites = spark.createDataFrame(
+        [(1, "https://h", "h", "S", "d", None, None), (2, "https://a", "a", "A", "d", None, None)], table_schema("sites")
+    )
+    text = '{"site_description":"told","sections":[{"name":"A","pages":[{"id":1,"title":"One","description":""}]}],"optional":[]}'
+    plans = spark.createDataFrame([(1, text, "stop"), (2, text[:30], "stop")], "site_id bigint, json string, finish_reason string")
+    files = spark.createDataFrame([], "site_id bigint")
+    done = refresh(sites, stored, crawled, files, F.lit(T1).cast("timestamp"), plans)
+    built = {r.site_id: r.content for r in done.rebuilt.collect()}
+    assert built[1].startswith("# old\n\n> told\n\n## A\n\n- [One](https://h/")
+    assert built[2] == "# new\n\n> d\n\n## Core Pages\n\n- [new](https://a/new): d\n"
+    assert {r.id: r.description for r in done.sites.collect()} == {1: "told", 2: "d"}
+
+
+def test_counters_of_a_site_with_skips_only(spark):
+    counts = spark.createDataFrame([(1, 2, 1, 0, 3, 3)], "site_id bigint, added bigint, updated bigint, removed bigint, unchanged bigint, changed bigint")
+    skipped = spark.createDataFrame([(1, 4), (2, 5)], "site_id bigint, pages_skipped bigint")
+    rebuild = spark.createDataFrame([(1, True)], "site_id bigint, needs_rebuild boolean")
+    got = {r.site_id: (r.pages_found, r.pages_crawled, r.pages_skipped) for r in snapshot.job_counters(counts, skipped, rebuild).collect()}
+    assert got == {1: (10, 6, 4), 2: (5, 0, 5)}
+
+
 def test_refresh_renders_only_what_changed(spark, frames):
     stored, crawled, aborted = frames
     sites = spark.createDataFrame(
