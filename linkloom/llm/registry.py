@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkloom.llm import mixing, sharding
+from linkloom.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op4_source_mix": mixing.op4,
     "op8_histogram_shards": sharding.op8,
+    "op10_simhash_groups": simhash.op10,
 }
 
 ORACLES = {
