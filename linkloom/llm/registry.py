@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkloom.llm import langid, mixing, sharding, simhash
+from linkloom.llm import langid, mixing, sharding, simhash, tiling
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op4_source_mix": mixing.op4,
+    "op6_benchmark_leaks": tiling.op6,
     "op8_histogram_shards": sharding.op8,
     "op10_simhash_groups": simhash.op10,
 }
