@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from linkloom.llm import langid, mixing, sharding, simhash, tiling
+from linkloom.llm import langid, licences, mixing, rules, sharding, simhash, tiling
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op4_source_mix": mixing.op4,
     "op6_benchmark_leaks": tiling.op6,
+    "op7_quality_rules": rules.op7,
     "op8_histogram_shards": sharding.op8,
+    "op9_licence_scan": licences.op9,
     "op10_simhash_groups": simhash.op10,
 }
 
 ORACLES = {
+    "op9_licence_scan": licences.ORACLE,
     "op4_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source,
