@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,21 @@ from pyspark.sql import functions as F
 from linkloom.session import cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PIECE = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def word_pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """Folded words of a text, some ``PIECE`` bytes at a time."""
+    at = 0
+    while at < len(raw):
+        end = min(at + PIECE, len(raw))
+        while end < len(raw) and not raw[end : end + 1].isspace():
+            end += 1
+        yield raw[at:end].lower().split()
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from linkloom.llm import langid, licences, mixing, nearest, rules, sharding, simhash, tiling
+from linkloom.llm import langid, licences, lm, mixing, nearest, rules, sharding, simhash, tiling
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_lm_scores": lm.op2,
     "op3_nearest_vectors": nearest.op3,
     "op4_source_mix": mixing.op4,
     "op6_benchmark_leaks": tiling.op6,

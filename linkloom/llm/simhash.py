@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table
+from linkloom.llm.common import table, word_pieces
 from linkloom.llm.components import components
 from linkloom.session import cut_lineage
 
@@ -35,8 +35,6 @@ SEED = 42
 #: Fingerprints a shard is meant to hold, and the sample the tree is fitted on.
 SHARD = 8192
 SAMPLE = 65536
-#: Bytes of a text that are cut into words at a time.
-PIECE = 1 << 20
 #: Cells of one comparison block.
 CELLS = 1 << 20
 
@@ -44,17 +42,6 @@ CELLS = 1 << 20
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def word_pieces(raw: bytes) -> Iterator[list[bytes]]:
-    """Folded words of a text, piece by piece."""
-    at = 0
-    while at < len(raw):
-        end = min(at + PIECE, len(raw))
-        while end < len(raw) and not raw[end : end + 1].isspace():
-            end += 1
-        yield raw[at:end].lower().split()
-        at = end
-
-
 def shingle_hashes(raw: bytes, width: int = WIDTH) -> list[int]:
     """XXH64 of every run of ``width`` words; of the whole sequence if it is shorter."""
     out: list[int] = []
