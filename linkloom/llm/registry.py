@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linkloom.llm import langid, licences, lm, mixing, nearest, rules, sharding, simhash, tiling
+from linkloom.llm import langid, licences, lm, mixing, nearest, repeats, rules, sharding, simhash, tiling
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_lm_scores": lm.op2,
     "op3_nearest_vectors": nearest.op3,
     "op4_source_mix": mixing.op4,
+    "op5_long_repeats": repeats.op5,
     "op6_benchmark_leaks": tiling.op6,
     "op7_quality_rules": rules.op7,
     "op8_histogram_shards": sharding.op8,
