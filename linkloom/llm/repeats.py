@@ -2,10 +2,10 @@
 
 A byte goes if a string of ``WIDTH`` bytes covers it that also starts anywhere else.
 
-Every window of ``WIDTH`` bytes has an anchor: the run of ``GRAM`` bytes in it with the
-least hash, the first of equals. Equal windows have equal anchors at the same place, so
-windows are compared among those with one anchor only. Neighbouring windows with one
-anchor place form a segment. Segments are counted by hash, so copies never meet as
+Every window of ``WIDTH`` bytes has an anchor: the least hash of a run of ``GRAM`` bytes
+in it. Equal windows have equal anchors, so windows are compared among those with one
+anchor only. Neighbouring windows that hold the anchor at one place form a segment; the
+place is kept as long as it can be, so periodic text makes few segments, too. Segments are counted by hash, so copies never meet as
 text; one of each, where an anchor has several, goes to the comparison:
 
 The segments of a block are sorted into a suffix array, which gives the Burrows-Wheeler
@@ -64,7 +64,7 @@ class Anchors:
         self.inverse = np.cumprod(np.concatenate(([1], np.full(n, inverse, np.uint64))).astype(np.uint64))
 
     def of(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each gram, and the place of the anchor of each window."""
+        """Anchor of each window, and the last place where the window has it."""
         n = len(raw)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
@@ -73,7 +73,7 @@ class Anchors:
         grams *= np.uint64(0xD6E8FEB86659FD93)
         grams ^= grams >> np.uint64(29)
         mask = np.uint64((1 << PLACE) - 1)
-        order = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
+        order = (grams & ~mask) | (mask - np.arange(len(grams), dtype=np.uint64))
         # Least of each run: from the blocks' running minima from both ends.
         rows = -(-len(order) // self.run)
         padded = np.full(rows * self.run, NONE)
@@ -83,7 +83,7 @@ class Anchors:
         back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
         windows = n - self.width + 1
         least = np.minimum(back[:windows], ahead[self.run - 1 : self.run - 1 + windows])
-        return grams, (least & mask).astype(np.int64)
+        return (least >> np.uint64(PLACE)).astype(np.int64), (mask - (least & mask)).astype(np.int64)
 
 
 def stretches(texts: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -116,23 +116,33 @@ def segment_batches(width: int, gram: int):
             x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for raw, which, begin, inner in stretches(texts, width):
-                grams, place = anchors.of(np.frombuffer(raw, np.uint8))
+                anchor, place = anchors.of(np.frombuffer(raw, np.uint8))
                 ends = np.append(begin[1:], len(raw))
                 piece = np.searchsorted(begin, np.arange(len(place)), side="right") - 1
                 valid = np.arange(len(place)) + width <= ends[piece]
                 new = np.ones(len(place), bool)
-                new[1:] = (place[1:] != place[:-1]) | (piece[1:] != piece[:-1]) | ~valid[:-1]
-                at = np.flatnonzero(new & valid)
-                # A segment lasts to the next change, or to the last window of its piece.
-                change = np.flatnonzero(new | ~valid)
-                after = np.append(change, len(place))[np.searchsorted(change, at, side="right")]
+                new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (valid[1:] != valid[:-1])
+                change = np.flatnonzero(new)
+                stop = np.append(change[1:], len(place))[valid[change]]
+                start = change[valid[change]]
+                at, after = [], []
+                while len(start):
+                    # The place holds until the window has passed it.
+                    until = np.minimum(stop, place[start] + 1)
+                    at.append(start)
+                    after.append(until)
+                    more = until < stop
+                    start, stop = until[more], stop[more]
+                if not at:
+                    continue
+                at, after = np.concatenate(at), np.concatenate(after)
                 digest = xxhash.xxh3_64_intdigest
                 segs = [digest(raw[a : b + width - 1]) for a, b in zip(at.tolist(), after.tolist())]
                 own = piece[at]
                 yield pa.record_batch(
                     [pa.array(x[which[own]]), pa.array(y[which[own]]), pa.array((at - begin[own] + inner[own]).astype(np.int64)),
                      pa.array((after - at - 1).astype(np.int32)), pa.array((place[at] - at).astype(np.int32)),
-                     pa.array(grams[place[at]].view(np.int64)), pa.array(np.array(segs, np.uint64).view(np.int64))],
+                     pa.array(anchor[at]), pa.array(np.array(segs, np.uint64).view(np.int64))],
                     ["x", "y", "a", "more", "p", "anchor", "seg"],
                 )
 
@@ -176,6 +186,12 @@ def repeated(texts: list[bytes], width: int) -> list[np.ndarray]:
     row_of = np.empty(n, np.int64)
     row_of[rows] = np.arange(n)
     back = row_of[before]
+    # Rows go in runs of one preceding byte, so that long runs cost one step.
+    edge = np.flatnonzero(np.diff(last, prepend=-1))
+    edge_end = np.append(edge[1:], n)
+    run_of = np.zeros(n, np.int64)
+    run_of[edge[1:]] = 1
+    run_of = np.cumsum(run_of)
     # Row i begins a new string of at most ``width`` bytes where split[i]; ends are strings of their own.
     split = np.zeros(n + 1, bool)
     split[: len(texts) + 1] = True
@@ -191,16 +207,20 @@ def repeated(texts: list[bytes], width: int) -> list[np.ndarray]:
             high = np.concatenate((np.arange(1, len(texts) + 1), np.append(first[1:], n) if len(first) else first))
             split[high] = True
             continue
-        wide = high - low
-        at = np.repeat(low - np.append(0, np.cumsum(wide)[:-1]), wide) + np.arange(wide.sum())
+        wide = run_of[high - 1] - run_of[low] + 1
         interval = np.repeat(np.arange(len(low)), wide)
-        inside = last[at] > 0
-        at, interval = at[inside], interval[inside]
-        order = np.argsort(interval * 257 + last[at], kind="stable")
-        key = (interval * 257 + last[at])[order]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        end = np.append(begin[1:], len(key)) - 1 if len(key) else begin
-        low, high = back[at[order[begin]]], back[at[order[end]]] + 1
+        run = np.arange(wide.sum()) + np.repeat(run_of[low] - np.append(0, np.cumsum(wide)[:-1]), wide)
+        inside = last[edge[run]] > 0
+        run, interval = run[inside], interval[inside]
+        key = interval * 257 + last[edge[run]]
+        order = np.argsort(key, kind="stable")
+        run, interval, key = run[order], interval[order], key[order]
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        end = np.append(begin[1:], len(key))[: len(begin)] - 1
+        low, high = (
+            back[np.maximum(edge[run[begin]], low[interval[begin]])],
+            back[np.minimum(edge_end[run[end]], high[interval[end]]) - 1] + 1,
+        )
         new = ~split[high]
         low, high = low[new], high[new]
         split[high] = True
@@ -244,29 +264,32 @@ def compare_batches(width: int):
 def halves(width: int, gram: int):
     """Items of a group that is too large, cut to each half of the anchor's places.
 
-    An item's windows have the anchor at places ``p - first .. p - last`` from their
-    begin; the group's range of places is ``low .. high``.
+    A window's place is that of the first run of bytes in it that equals the anchor's,
+    counted from the window's begin; the windows of a half have it in ``low .. high``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                body, p = r["body"], r["p"]
+                body, mark = r["body"], r["body"][r["p"] : r["p"] + gram]
                 middle = (r["low"] + r["high"] + 1) // 2
-                for low, high in ((r["low"], middle - 1), (middle, r["high"])):
-                    first = max(0, p - high)
-                    last = min(len(body) - width, p - low)
-                    if first > last:
-                        continue
-                    # Bytes that all windows of this half share, seen from the anchor.
-                    core = body[p - low : p - high + width]
-                    own = body[first : last + width]
-                    digest = xxhash.xxh3_64(core)
-                    digest.update(f"{r['g']} {low} {high}".encode())
-                    name = xxhash.xxh3_64(own)
-                    name.update(f"{p - first}".encode())
-                    out.append((r["g"], r["t"], signed(digest.intdigest()), signed(name.intdigest()), first, r["n"], p - first, low, high, own))
+                passed, p = -1, body.find(mark)
+                while p >= 0:
+                    for low, high in ((r["low"], middle - 1), (middle, r["high"])):
+                        first = max(passed + 1, p - high)
+                        last = min(len(body) - width, p - low)
+                        if first > last:
+                            continue
+                        # Bytes that all windows of this half share, seen from the anchor.
+                        core = body[p - low : p - high + width]
+                        own = body[first : last + width]
+                        digest = xxhash.xxh3_64(core)
+                        digest.update(f"{r['g']} {low} {high}".encode())
+                        name = xxhash.xxh3_64(own)
+                        name.update(f"{p - first}".encode())
+                        out.append((r["g"], r["t"], signed(digest.intdigest()), signed(name.intdigest()), first, r["n"], p - first, low, high, own))
+                    passed, p = p, body.find(mark, p + 1)
             names = ["old_g", "old_t", "g", "t", "first", "n", "p", "low", "high", "body"]
             columns = list(zip(*out)) if out else [[] for _ in names]
             kinds = [pa.int64()] * 9 + [pa.binary()]
