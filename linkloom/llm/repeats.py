@@ -60,8 +60,10 @@ class Anchors:
         self.width, self.gram, self.run = width, gram, width - gram + 1
         n = STEP + 2 * width
         inverse = pow(BASE, -1, 1 << 64)
-        self.power = np.cumprod(np.concatenate(([1], np.full(n, BASE, np.uint64))).astype(np.uint64))
-        self.inverse = np.cumprod(np.concatenate(([1], np.full(n, inverse, np.uint64))).astype(np.uint64))
+        self.power = np.full(n, BASE, np.uint64)
+        self.inverse = np.full(n, inverse, np.uint64)
+        self.power[0] = self.inverse[0] = 1
+        self.power, self.inverse = np.cumprod(self.power), np.cumprod(self.inverse)
 
     def of(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Anchor of each window, and the last place where the window has it."""
@@ -108,7 +110,8 @@ def stretches(texts: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarra
 
 
 def segment_batches(width: int, gram: int):
-    """Rows x, y, a (first window), more (windows after it), p (anchor from a), anchor, seg."""
+    """Rows x, y, a (first window), more (windows after it), p (anchor from a), anchor, seg,
+    tied (the segment has the anchor at other places, too, so it may repeat itself)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(width, gram)
@@ -137,13 +140,17 @@ def segment_batches(width: int, gram: int):
                     continue
                 at, after = np.concatenate(at), np.concatenate(after)
                 digest = xxhash.xxh3_64_intdigest
-                segs = [digest(raw[a : b + width - 1]) for a, b in zip(at.tolist(), after.tolist())]
+                segs, tied = [], []
+                for a, b, p in zip(at.tolist(), (after + width - 1).tolist(), place[at].tolist()):
+                    segs.append(digest(raw[a:b]))
+                    mark = raw[p : p + gram]
+                    tied.append(raw.find(mark, a, b) < p or raw.find(mark, p + 1, b) >= 0)
                 own = piece[at]
                 yield pa.record_batch(
                     [pa.array(x[which[own]]), pa.array(y[which[own]]), pa.array((at - begin[own] + inner[own]).astype(np.int64)),
                      pa.array((after - at - 1).astype(np.int32)), pa.array((place[at] - at).astype(np.int32)),
-                     pa.array(anchor[at]), pa.array(np.array(segs, np.uint64).view(np.int64))],
-                    ["x", "y", "a", "more", "p", "anchor", "seg"],
+                     pa.array(anchor[at]), pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(tied)],
+                    ["x", "y", "a", "more", "p", "anchor", "seg", "tied"],
                 )
 
     return read
@@ -306,16 +313,17 @@ def marks(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = G
     """(x, y, raw), copies included -> x, y, first, last: windows that occur elsewhere, too."""
     found = cut_lineage(
         texts.mapInArrow(
-            segment_batches(width, gram), "x long, y long, a long, more int, p int, anchor long, seg long"
+            segment_batches(width, gram), "x long, y long, a long, more int, p int, anchor long, seg long, tied boolean"
         ),
         "segments",
     )
     where = F.min(F.struct("x", "y", "a")).alias("at")
     segments = cut_lineage(
-        found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.first("more").alias("more"), F.first("p").alias("p"), where),
+        found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.first("more").alias("more"), F.first("p").alias("p"), F.first("tied").alias("tied"), where),
         "distinct-segments",
     )
-    several = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    several = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("tied").alias("tied"))
+    several = several.where("kinds > 1 or tied").select("anchor")
     asked = segments.join(several, "anchor").select(
         F.col("at.x").alias("x"), F.col("at.y").alias("y"),
         F.struct(F.col("anchor").alias("g"), F.col("seg").alias("t"), "n", F.col("at.a").alias("a"), "more", "p").alias("s"),
