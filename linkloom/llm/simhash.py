@@ -33,7 +33,7 @@ WIDTH = 4
 RADIUS = 4
 SEED = 42
 #: Fingerprints a shard is meant to hold, and the sample the tree is fitted on.
-SHARD = 8192
+SHARD = 65536
 SAMPLE = 65536
 #: Cells of one comparison block.
 CELLS = 1 << 20
