@@ -54,19 +54,14 @@ def targets(
         sums={"caps_before": "cap", "weight_before": "weight"},
         name="mix-levels",
     )
-    whole = ranked.agg(
-        (F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(float(ratio))).alias("share"),
-        F.coalesce(F.sum("weight"), F.lit(0)).alias("all_weight"),
-    )
-    level = (F.col("share") - F.col("caps_before")) / (F.col("all_weight") - F.col("weight_before"))
-    filled = filled.join(whole).withColumn("level", level)
-    filled = filled.withColumn("capped", F.col("cap") <= F.col("weight") * F.col("level"))
-    rest = filled.agg(
-        F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)).alias("caps"),
-        F.coalesce(F.sum(F.when(F.col("capped"), F.col("weight"))), F.lit(0)).alias("capped_weight"),
-    )
-    open_level = (F.col("share") - F.col("caps")) / (F.col("all_weight") - F.col("capped_weight"))
-    return filled.join(rest).select(
+    whole = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    share, all_weight = float(ratio) * (whole.words or 0), whole.weight or 0
+    level = (F.lit(share) - F.col("caps_before")) / (F.lit(all_weight) - F.col("weight_before"))
+    filled = filled.withColumn("capped", F.col("cap") <= F.col("weight") * level)
+    rest = filled.where("capped").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+    free = all_weight - (rest.weight or 0)
+    open_level = (share - (rest.cap or 0)) / free if free else 0.0
+    return filled.select(
         "source",
         "source_size",
         "source_start",
