@@ -48,6 +48,10 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps}) if stamps else df
 
 
+# Runs of letters that have case, and what lies between them.
+LETTER_RUNS = r"'[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+'"
+
+
 def words(column: str) -> Column:
     return F.array_join(column, " ").alias(column)
 
@@ -101,8 +105,7 @@ S.CTES["blocked_listed"] = S.blocked("listed_inside")
 
 @query(
     "sitemap_urls",
-    """SELECT site_id, array_to_string(place, '.') AS place, dst AS url FROM listed_inside WHERE dst NOT IN (SELECT url FROM blocked_listed)
-       QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY place, dst) <= 200""",
+    """SELECT site_id, array_to_string(place, '.') AS place, dst AS url FROM listed_inside WHERE dst NOT IN (SELECT url FROM blocked_listed)""",
 )
 def _(spark, sf):
     docs = V.sitemap_docs(spark, sf)
@@ -161,7 +164,7 @@ def _(spark, sf):
 @query("export_index", "SELECT site_id, content || chr(10) AS content FROM newest_file")
 def _(spark, sf):
     out = shared_path(spark, "export")
-    sinks.export_index(V.files(spark, sf), out)
+    sinks.export_index(V.files(spark, sf).withColumn("content", F.concat("content", F.lit("\n"))), out)
     read = spark.read.schema("value string, site_id bigint").text(out, wholetext=True)
     return read.select("site_id", F.col("value").alias("content"))
 
@@ -270,7 +273,7 @@ def _(spark, sf):
 
 @query(
     "text_normalize",
-    r"SELECT doc_id, left(lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), 50000) AS text FROM documents",
+    r"SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS text FROM documents",
 )
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
@@ -279,7 +282,7 @@ def _(spark, sf):
 @query(
     "title_from_url",
     f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(replace(replace(string_split(trim({S.path_of("url")}, '/'), '/')[-1], '-', ' '), '_', ' '),
-          '[a-zA-Z]+|[^a-zA-Z]+'), lambda r: upper(r[1]) || lower(r[2:])), '') AS title FROM url_variants""",
+          {LETTER_RUNS}), lambda r: upper(r[1]) || lower(r[2:])), '') AS title FROM url_variants""",
 )
 def _(spark, sf):
     return V.url_variants(spark, sf).select("page_id", graph.title_from_url("url").alias("title"))
@@ -290,8 +293,8 @@ def _(spark, sf):
     f"""SELECT site_id, url, title, category, {S.relevance("url", "category", "1")} AS relevance_score, 0 AS http_status FROM (
           SELECT site_id, url, {S.category("url", "1")} AS category,
              array_to_string(list_transform(regexp_extract_all(replace(replace(string_split(trim({S.path_of("url")}, '/'), '/')[-1], '-', ' '), '_', ' '),
-             '[a-zA-Z]+|[^a-zA-Z]+'), lambda r: upper(r[1]) || lower(r[2:])), '') AS title
-          FROM url_variants QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY page_id, url) <= 200)""",
+             {LETTER_RUNS}), lambda r: upper(r[1]) || lower(r[2:])), '') AS title
+          FROM url_variants)""",
 )
 def _(spark, sf):
     listed = V.url_variants(spark, sf).select("site_id", "url", F.col("page_id").alias("pos"))
@@ -318,7 +321,7 @@ def _(spark, sf):
     "listing_line",
     """SELECT n.site_id, n.list_id, n.url, '[' || n.list_id || '] ' || n.title || CASE WHEN coalesce(n.description, '') = ''
           OR (coalesce(s.description, '') <> '' AND lower(trim(n.description)) = lower(trim(s.description))) OR lower(trim(n.description)) = lower(trim(n.title)) THEN ''
-          WHEN length(n.description) > 150 THEN ' — ' || left(n.description, 150) || '...' ELSE ' — ' || n.description END AS line
+          ELSE ' — ' || n.description END AS line
        FROM numbered n LEFT JOIN page_sites s ON s.id = n.site_id""",
 )
 def _(spark, sf):
@@ -358,8 +361,8 @@ def _(spark, sf):
 @query(
     "retry_schedule",
     f"""SELECT id, crawl_job_id, CASE WHEN dead THEN 'dead_letter' ELSE 'failed' END AS status, CASE WHEN NOT dead THEN d END AS retry_in_seconds,
-          left(coalesce(nullif(last_error, ''), 'Unknown worker failure'), 2048) AS last_error, CASE WHEN NOT dead THEN 'pending' END AS job_status,
-          CASE WHEN NOT dead THEN 'Retrying (attempt ' || attempt_count || '/' || max_attempts || '): ' || left(last_error, 200) END AS job_error,
+          coalesce(nullif(last_error, ''), 'Unknown worker failure') AS last_error, CASE WHEN NOT dead THEN 'pending' END AS job_status,
+          CASE WHEN NOT dead THEN 'Retrying (attempt ' || attempt_count || '/' || max_attempts || '): ' || last_error END AS job_error,
           CASE WHEN NOT dead THEN TIMESTAMP '{V.NOW}' + to_seconds(d) END AS available_at
         FROM (SELECT *, attempt_count >= max_attempts AS dead, (15 * pow(2, greatest(attempt_count - 1, 0)))::BIGINT AS d FROM tasks)""",
 )
@@ -411,6 +414,20 @@ def _(spark, sf):
     return _crawlable(spark, sf, V.facts(spark, sf)).select("site_id", "src", "pos", "dst")
 
 
+@query(
+    "redirected_sites",
+    f"""SELECT s.id, CASE WHEN m.host IS NOT NULL AND m.host <> s.domain THEN m.url ELSE s.url END AS url, coalesce(m.host, s.domain) AS domain
+        FROM page_sites s LEFT JOIN (SELECT id, CASE n % 3 WHEN 0 THEN 'www.' || domain ELSE domain END AS host,
+          'https://' || CASE n % 3 WHEN 0 THEN 'www.' || domain ELSE domain END || '/start' AS url FROM page_sites WHERE n % 4 <> 0) m ON m.id = s.id""",
+)
+def _(spark, sf):
+    own = V.page_sites(spark, sf)
+    size = F.length("domain")
+    host = F.when(size % 3 == 0, F.concat(F.lit("WWW."), "domain")).otherwise(F.col("domain"))
+    final = F.when(size % 4 != 0, F.concat(F.lit("https://"), host, F.lit("/start/?from=root"))).otherwise("gone")
+    return graph.redirected_sites(own, own.select(F.col("id").alias("site_id"), final.alias("final_url"))).select("id", "url", "domain")
+
+
 S.CTES["link_urls"] = "SELECT DISTINCT dst FROM tag_links"
 S.CTES["blocked_links"] = S.blocked("link_urls")
 
@@ -423,16 +440,16 @@ def _(spark, sf):
 
 @query(
     "challenge_pages",
-    """SELECT page_id FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ACCESS denied' || html WHEN 1 THEN repeat('x', 4996) || 'Access Denied' || html
+    """SELECT page_id FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ACCESS denied' || html WHEN 1 THEN repeat('x', 60000) || 'Access Denied' || html
           WHEN 2 THEN 'Attention Required! |' || chr(10) || ' CLOUDFLARE' || html WHEN 3 THEN 'blocked' || chr(10) || 'bot' || html ELSE html END AS h FROM pages)
-       WHERE regexp_matches(left(h, 5000), '(?i)access denied|just a moment[.][.][.]|enable javascript and cookies to continue|challenge-platform|checking your browser|cf-browser-verification|pardon our interruption|please verify you are a human|blocked.*bot')
-          OR regexp_matches(left(h, 5000), '(?is)attention required.*cloudflare')""",
+       WHERE regexp_matches(h, '(?i)access denied|just a moment[.][.][.]|enable javascript and cookies to continue|challenge-platform|checking your browser|cf-browser-verification|pardon our interruption|please verify you are a human|blocked.*bot')
+          OR regexp_matches(h, '(?is)attention required.*cloudflare')""",
 )
 def _(spark, sf):
     kind = F.col("page_id") % 5
     html = (
         F.when(kind == 0, F.concat(F.lit("ACCESS denied"), "html"))
-        .when(kind == 1, F.concat(F.repeat(F.lit("x"), 4996), F.lit("Access Denied"), "html"))
+        .when(kind == 1, F.concat(F.repeat(F.lit("x"), 60000), F.lit("Access Denied"), "html"))
         .when(kind == 2, F.concat(F.lit("Attention Required! |\n CLOUDFLARE"), "html"))
         .when(kind == 3, F.concat(F.lit("blocked\nbot"), "html"))
         .otherwise(F.col("html"))
@@ -458,11 +475,11 @@ def _(spark, sf):
 
 @query(
     "pages_since_job",
-    """SELECT p.id, p.site_id, p.url, j.id AS job_id, p.last_checked_at FROM live_pages p JOIN newest_live j ON j.site_id = p.site_id
+    """SELECT p.id, p.site_id, p.url, j.id AS job_id, p.last_checked_at FROM live_pages p JOIN passed_jobs j ON j.site_id = p.site_id
        WHERE p.is_active AND p.last_checked_at >= j.created_at""",
 )
 def _(spark, sf):
-    found = history.pages_since_job(V.live_pages(spark, sf), V.live_jobs(spark, sf))
+    found = history.pages_since_job(V.live_pages(spark, sf), history.recent_jobs(V.live_jobs(spark, sf), 3))
     return found.select("id", "site_id", "url", "job_id", "last_checked_at")
 
 
@@ -530,13 +547,14 @@ def _(spark, sf):
 
 @query(
     "removed_pages",
-    """SELECT p.site_id, p.url FROM stored p WHERE p.is_active AND NOT EXISTS (SELECT 1 FROM crawled c WHERE c.site_id = p.site_id AND c.url = p.url)""",
+    """SELECT p.site_id, p.url FROM stored p WHERE p.is_active AND NOT EXISTS (SELECT 1 FROM seen c WHERE c.site_id = p.site_id AND c.url = p.url)""",
 )
 def _(spark, sf):
     return snapshot.removed_pages(*_snapshots(spark, sf))
 
 
-S.CTES["accepted"] = "SELECT request_id, regexp_replace(url, '/+$', '') AS url, max_pages FROM judged WHERE rejection IS NULL"
+S.CTES["accepted"] = """SELECT request_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) ||
+  regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*(.*)$', 1), '/+$', '') AS url, max_depth, max_pages FROM judged WHERE rejection IS NULL"""
 
 
 def _registered(spark, sf):
@@ -569,7 +587,7 @@ def _stored_catalog(spark, sf):
 
 def _numbered(spark, sf):
     pages = _stored_catalog(spark, sf)
-    return listing.assign_page_ids(dedup.clean_pages(pages), measured=pages)
+    return listing.assign_page_ids(dedup.clean_pages(pages))
 
 
 def _resolved(spark, sf):
@@ -617,7 +635,7 @@ def _(spark, sf):
     "change_summary",
     """SELECT c.site_id, '{"added":' || added || ',"updated":' || updated || ',"removed":' || removed || ',"unchanged":' || unchanged || ',"removed_urls":'
           || to_json(coalesce(r.urls, [])) || ',"active_pages":' || (added + updated + unchanged) || '}' AS change_summary
-       FROM counts c LEFT JOIN (SELECT site_id, list(url ORDER BY url)[:50] AS urls FROM diff WHERE change = 'removed' GROUP BY site_id) r ON r.site_id = c.site_id""",
+       FROM counts c LEFT JOIN (SELECT site_id, list(url ORDER BY url) AS urls FROM diff WHERE change = 'removed' GROUP BY site_id) r ON r.site_id = c.site_id""",
 )
 def _(spark, sf):
     return snapshot.change_summary(_diff(spark, sf))
@@ -664,15 +682,27 @@ def _(spark, sf):
 
 @query(
     "fetch_health",
-    """SELECT f.host, count(*) FILTER (timeout OR error IS NULL) AS request_count, count(*) FILTER (timeout) AS timeout_count,
+    """SELECT f.host, f.job_id, count(*) FILTER (timeout OR error IS NULL) AS request_count, count(*) FILTER (timeout) AS timeout_count,
           round_even(coalesce(count(*) FILTER (timeout)::DOUBLE / nullif(count(*) FILTER (timeout OR error IS NULL), 0), 0), 4) AS timeout_rate,
-          count(*) FILTER (accepted) AS success_count, CASE WHEN f.host IN (SELECT host FROM openings) THEN 1 ELSE 0 END AS circuit_open_count
-       FROM fetch_log f GROUP BY f.host""",
+          count(*) FILTER (accepted) AS success_count, CASE WHEN f.job_id IN (SELECT job_id FROM openings) THEN 1 ELSE 0 END AS circuit_open_count
+       FROM fetch_log f GROUP BY f.host, f.job_id""",
 )
 def _(spark, sf):
     return fetchlog.fetch_health(V.fetch_log(spark, sf))
 
 
+@query(
+    "fallback_sites",
+    """SELECT host, job_id, blocked_count FROM (SELECT host, job_id, count(*) FILTER (outcome IN ('blocked', 'challenge')) AS blocked_count,
+          count(*) FILTER (outcome IN ('ok', 'not_modified')) AS taken FROM outcomes GROUP BY host, job_id)
+       WHERE taken = 0 AND blocked_count > 0 AND job_id NOT IN (SELECT job_id FROM openings) AND host IN (SELECT 'h' || (p_partkey % 50) FROM part)""",
+)
+def _(spark, sf):
+    log = V.fetch_log(spark, sf)
+    listed = V.table(spark, sf, "part").select(F.concat(F.lit("h"), (F.col("p_partkey") % 50).cast("string")).alias("host"))
+    return fetchlog.fallback_crawls(fetchlog.classify_fetch(log), log, listed)
+
+
 @query(
     "category_counts",
     f"""SELECT site_id, section, count(*) AS pages FROM (SELECT site_id, CASE WHEN relevance_score < 0.3 THEN 'Optional' ELSE category END AS section FROM by_url)
@@ -695,7 +725,7 @@ def _(spark, sf):
     return graph.link_degree(graph.mark_crawlable(V.edges_of(V.facts(spark, sf)), V.page_sites(spark, sf), _robots(spark, sf)))
 
 
-@query("skip_reasons", "SELECT host, reason, count(*) AS skipped FROM reasons WHERE reason IS NOT NULL GROUP BY host, reason")
+@query("skip_reasons", "SELECT host, job_id, reason, count(*) AS skipped FROM reasons WHERE reason IS NOT NULL GROUP BY host, job_id, reason")
 def _(spark, sf):
     return fetchlog.skip_reasons(fetchlog.classify_fetch(V.fetch_log(spark, sf)))
 
@@ -771,14 +801,14 @@ def _(spark, sf):
     return doubled.select("page_id", F.posexplode(graph.distinct_links(F.col("links"))).alias("pos", "link"))
 
 
-@query("timeout_streak", "SELECT event_id, host, ts, timeout, streak FROM tally")
+@query("timeout_streak", "SELECT event_id, host, job_id, ts, timeout, streak FROM tally")
 def _(spark, sf):
     return fetchlog.timeout_streak(V.fetch_log(spark, sf))
 
 
 @query(
     "circuit_events",
-    "SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) = 1 AS aborts FROM openings",
+    "SELECT *, row_number() OVER (PARTITION BY host, job_id ORDER BY ts, event_id) = 1 AS aborts FROM openings",
 )
 def _(spark, sf):
     return fetchlog.circuit_events(V.fetch_log(spark, sf))
@@ -786,11 +816,11 @@ def _(spark, sf):
 
 @query(
     "abort_summary",
-    """SELECT o.host, 'timeout_circuit_open' AS abort_reason, 'trigger=' || o.trigger || ' url=https://' || o.host || '/' || o.event_id || ' timeouts=' || o.timeouts
+    """SELECT o.host, o.job_id, 'timeout_circuit_open' AS abort_reason, 'trigger=' || o.trigger || ' url=https://' || o.host || '/' || o.event_id || ' timeouts=' || o.timeouts
           || '/' || o.requests || ' streak=' || o.streak || ' stalled_for=' || printf('%.1f', (epoch_us(t.ts) - epoch_us(coalesce(t.last_success, t.started))) / 1e6) || 's' AS abort_detail,
           o.requests AS request_count, o.timeouts AS timeout_count, round_even(o.timeouts::DOUBLE / o.requests, 4) AS timeout_rate, o.streak AS consecutive_timeouts,
-          1 AS circuit_open_count, (SELECT count(*) FROM fetch_log f WHERE f.host = o.host AND f.accepted AND (f.ts, f.event_id) <= (o.ts, o.event_id)) AS pages_crawled_so_far
-       FROM openings o JOIN tally t ON t.event_id = o.event_id QUALIFY row_number() OVER (PARTITION BY o.host ORDER BY o.ts, o.event_id) = 1""",
+          1 AS circuit_open_count, (SELECT count(*) FROM fetch_log f WHERE f.job_id = o.job_id AND f.accepted AND (f.ts, f.event_id) <= (o.ts, o.event_id)) AS pages_crawled_so_far
+       FROM openings o JOIN tally t ON t.event_id = o.event_id QUALIFY row_number() OVER (PARTITION BY o.job_id ORDER BY o.ts, o.event_id) = 1""",
 )
 def _(spark, sf):
     return fetchlog.abort_summaries(V.fetch_log(spark, sf))
@@ -868,7 +898,7 @@ def _(spark, sf):
 
 PROGRESS_COLUMNS = ", ".join(feed.PROGRESS)
 NO_PROGRESS = ", ".join(f"NULL::INT AS {c}" for c in feed.PROGRESS)
-S.CTES["finished"] = "SELECT * FROM newest_live WHERE status IN ('completed', 'failed')"
+S.CTES["finished"] = "SELECT * FROM passed_jobs WHERE status IN ('completed', 'failed')"
 
 
 @query(
@@ -881,7 +911,7 @@ S.CTES["finished"] = "SELECT * FROM newest_live WHERE status IN ('completed', 'f
           CASE WHEN status = 'failed' THEN error_message END FROM finished""",
 )
 def _(spark, sf):
-    return feed.event_replay(V.live_jobs(spark, sf), V.live_pages(spark, sf))
+    return feed.event_replay(history.recent_jobs(V.live_jobs(spark, sf), 3), V.live_pages(spark, sf))
 
 
 MERGED_COLUMNS = (
@@ -920,6 +950,7 @@ S.CTES["gone_jobs"] = "SELECT o_orderkey AS id FROM orders WHERE o_totalprice >
 @query(
     "cascade_delete",
     """SELECT 'sites' AS tbl, id, id AS site_id, NULL::BIGINT AS crawl_job_id FROM sites WHERE id NOT IN (SELECT id FROM gone_sites)
+       UNION ALL SELECT 'pages', id, site_id, NULL FROM live_pages WHERE site_id NOT IN (SELECT id FROM gone_sites)
        UNION ALL SELECT 'crawl_jobs', id, site_id, NULL FROM jobs WHERE site_id NOT IN (SELECT id FROM gone_sites) AND id NOT IN (SELECT id FROM gone_jobs)
        UNION ALL SELECT 'crawl_tasks', id, site_id, crawl_job_id FROM tasks WHERE site_id NOT IN (SELECT id FROM gone_sites) AND crawl_job_id NOT IN (SELECT id FROM gone_jobs)
        UNION ALL SELECT 'generated_files', id, site_id, CASE WHEN crawl_job_id NOT IN (SELECT id FROM gone_jobs) THEN crawl_job_id END FROM files WHERE site_id NOT IN (SELECT id FROM gone_sites)
@@ -928,6 +959,7 @@ S.CTES["gone_jobs"] = "SELECT o_orderkey AS id FROM orders WHERE o_totalprice >
 def _(spark, sf):
     tables = {
         "sites": V.sites(spark, sf),
+        "pages": V.live_pages(spark, sf),
         "crawl_jobs": V.jobs(spark, sf),
         "crawl_tasks": V.tasks(spark, sf),
         "generated_files": V.files(spark, sf),
@@ -947,13 +979,13 @@ def _(spark, sf):
 
 @query(
     "schedule_upsert",
-    """SELECT coalesce(s.site_id, r.site_id) AS site_id, coalesce(r.cron_expression, s.cron_expression) AS cron_expression, coalesce(r.is_active, s.is_active) AS is_active,
+    f"""SELECT coalesce(s.id, {S.site_id("'schedule|' || r.site_id")}) AS id, coalesce(s.site_id, r.site_id) AS site_id, coalesce(r.cron_expression, s.cron_expression) AS cron_expression, coalesce(r.is_active, s.is_active) AS is_active,
           CASE WHEN r.site_id IS NULL THEN s.next_run_at WHEN r.is_active THEN u.t END AS next_run_at
-       FROM schedules s FULL OUTER JOIN schedule_requests r ON r.site_id = s.site_id LEFT JOIN upcoming u ON u.cron = r.cron_expression""",
+       FROM schedules s FULL OUTER JOIN (SELECT * FROM schedule_requests QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY request_id DESC) = 1) r ON r.site_id = s.site_id LEFT JOIN upcoming u ON u.cron = r.cron_expression""",
 )
 def _(spark, sf):
     upserted = rewrites.schedule_upsert(V.schedules(spark, sf), V.schedule_requests(spark, sf), V.ts(V.NOW))
-    return upserted.select("site_id", "cron_expression", "is_active", "next_run_at")
+    return upserted.select("id", "site_id", "cron_expression", "is_active", "next_run_at")
 
 
 @query(
@@ -1086,13 +1118,13 @@ def _(spark, sf):
 
 @query(
     "stream_fetch_health",
-    """SELECT host, count(*) FILTER (timeout OR error IS NULL) AS request_count, count(*) FILTER (timeout) AS timeout_count,
-              count(*) FILTER (accepted) AS success_count FROM fetch_log GROUP BY host""",
+    """SELECT host, job_id, count(*) FILTER (timeout OR error IS NULL) AS request_count, count(*) FILTER (timeout) AS timeout_count,
+              count(*) FILTER (accepted) AS success_count FROM fetch_log GROUP BY host, job_id""",
 )
 def _(spark, sf):
     # The static view of the log, over streamed rows.
     health = feeds.fetch_health_feed(V.fetch_rows(V.event_stream(spark, sf)))
-    return feeds.newest_per_key(runner.drained(health, shared_path(spark, "health"), "update"), ["host"])
+    return feeds.newest_per_key(runner.drained(health, shared_path(spark, "health"), "update"), ["host", "job_id"])
 
 
 # --- the whole job -------------------------------------------------------------------------------

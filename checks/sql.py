@@ -109,8 +109,8 @@ SELECT page_id, raw_url, url, host, site_id, depth,
 FROM page_base"""
 CTES["facts0"] = r"""
 SELECT page_id, raw_url, url, host, site_id, depth, title,
-       left(list_filter(ps, lambda p: length(p) >= 50)[1], 300) AS description, h1 AS headings,
-       left(lower(trim(regexp_replace(array_to_string(list_concat([h1], ps), ' '), '\s+', ' ', 'g'))), 50000) AS main_text,
+       list_filter(ps, lambda p: length(p) >= 50)[1] AS description, h1 AS headings,
+       lower(trim(regexp_replace(array_to_string(list_concat([h1], ps), ' '), '\s+', ' ', 'g'))) AS main_text,
        list_filter(hrefs, lambda h, i: list_position(hrefs, h) = i) AS links, NULL::VARCHAR AS canonical_url
 FROM cut"""
 CTES["facts1"] = """
@@ -243,7 +243,7 @@ CTES["capped"] = """
 SELECT * FROM capped0 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY section_pos, entry_pos) <= 75"""
 CTES["robots"] = f"""
 SELECT id AS site_id, domain AS host, CASE n % 3
-  WHEN 0 THEN 'User-agent: *' || {NL} || 'Disallow: /th' || {NL} || 'Allow: /the$' || {NL} || 'Allow: /tha*n' || {NL} || 'Sitemap: https://' || domain || '/sitemap.xml' || {NL}
+  WHEN 0 THEN 'User-agent: *' || {NL} || 'Disallow: /x\\E(*[^' || {NL} || 'Disallow: /th' || {NL} || 'Allow: /the$' || {NL} || 'Allow: /tha*n' || {NL} || 'Sitemap: https://' || domain || '/sitemap.xml' || {NL}
   WHEN 1 THEN '# all' || {NL} || 'User-agent: Bot' || {NL} || 'Disallow: /' || {NL} || {NL} || 'User-Agent: other' || {NL} || 'user-agent: *' || {NL} ||
        'Disallow: /*n$ # short' || {NL} || 'Disallow: /de' || {NL} || 'Allow: /de' || {NL} || 'SITEMAP:   https://' || domain || '/a.xml  ' || chr(13) || {NL} ||
        'sitemap:' || {NL} || 'Sitemap: https://' || domain || '/b.xml'
@@ -324,6 +324,8 @@ SELECT event_id AS id, user_id AS site_id, 'https://s.example/docs/' || event_id
 CTES["live_pages"] = f"SELECT *, {relevance('url')} AS relevance_score FROM live_pages0"
 CTES["newest_live"] = """
 SELECT * FROM live_jobs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, id DESC) = 1"""
+CTES["passed_jobs"] = """
+SELECT * FROM live_jobs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, id DESC) <= 3"""
 CTES["sites"] = f"""
 SELECT c_custkey AS id, 'https://' || replace(lower(c_name), '#', '-') || '.example.com' AS url, replace(lower(c_name), '#', '-') || '.example.com' AS domain,
   c_name AS title, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS description,
@@ -340,8 +342,8 @@ SELECT s_suppkey AS id, s_suppkey AS site_id, ({strings(CRONS)})[s_nationkey % 4
   CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '1998-01-01' + to_days((s_suppkey * 13 % 1500)::INT) END AS last_run_at,
   CASE WHEN s_suppkey % 3 <> 0 THEN TIMESTAMP '{NOW}' + to_hours(s_suppkey) END AS next_run_at FROM supplier"""
 CTES["schedule_requests"] = f"""
-SELECT s_suppkey + CASE WHEN s_acctbal > 5000 THEN 0 ELSE 1000000 END AS site_id, ({strings(CRONS)})[(s_nationkey + 1) % 4 + 1] AS cron_expression,
-  s_suppkey % 4 <> 0 AS is_active FROM supplier"""
+SELECT s_suppkey + CASE WHEN s_acctbal > 5000 THEN 0 ELSE 1000000 END AS site_id, ({strings(CRONS)})[(s_nationkey + 1 + again) % 4 + 1] AS cron_expression,
+  s_suppkey % 4 <> 0 AS is_active, s_suppkey * 2 + again AS request_id FROM supplier, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR s_suppkey % 3 = 0"""
 
 
 def fires(ts: str, cron: str) -> str:
@@ -373,26 +375,26 @@ SELECT *, event_type = 'error' OR (user_id % 5 = 0 AND event_type <> 'view') AS
 CTES["fetch1"] = """
 SELECT *, CASE WHEN NOT timeout AND event_type = 'purchase' AND event_id % 6 = 0 THEN 'ConnectError: ' || props END AS error FROM fetch0"""
 CTES["fetch_log"] = """
-SELECT event_id, 'h' || user_id AS host, ts, timeout, error, event_type = 'view' AND NOT timeout AS accepted, user_id % 2 = 0 AS has_state,
+SELECT event_id, 'h' || user_id AS host, user_id * 100000 + date_diff('day', DATE '1970-01-01', ts::DATE) // 15 AS job_id, ts, timeout, error, event_type = 'view' AND NOT timeout AS accepted, user_id % 2 = 0 AS has_state,
   CASE WHEN timeout OR error IS NOT NULL THEN NULL WHEN event_type = 'signup' THEN 403 WHEN event_type = 'click' THEN ([304, 404, 200, 500])[event_id % 4 + 1] ELSE 200 END AS status,
   CASE WHEN event_type = 'view' THEN 'text/html; charset=utf-8' WHEN event_id % 3 = 1 THEN 'application/pdf ; q=1' WHEN event_id % 3 = 2 THEN 'text/html' END AS content_type,
   CASE WHEN event_id % 7 = 0 THEN '<title>Just A MOMENT...</title>' ELSE props END AS body FROM fetch1"""
 CTES["outcomes"] = """
 SELECT *, CASE WHEN timeout THEN 'timeout' WHEN error IS NOT NULL THEN 'error' WHEN status = 304 THEN CASE WHEN has_state THEN 'not_modified' ELSE 'no_state' END
     WHEN status = 403 THEN 'blocked' WHEN status <> 200 THEN 'bad_status' WHEN coalesce(content_type, '') NOT LIKE '%text/html%' THEN 'not_html'
-    WHEN regexp_matches(left(body, 5000), '(?i)just a moment\\.\\.\\.') THEN 'challenge' ELSE 'ok' END AS outcome FROM fetch_log""".replace("\\\\", "\\")
+    WHEN regexp_matches(body, '(?i)just a moment\\.\\.\\.') THEN 'challenge' ELSE 'ok' END AS outcome FROM fetch_log""".replace("\\\\", "\\")
 CTES["reasons"] = """
-SELECT *, CASE outcome WHEN 'timeout' THEN 'Timeout' WHEN 'error' THEN left(error, 100) WHEN 'no_state' THEN 'HTTP 304 without cached page state'
+SELECT *, CASE outcome WHEN 'timeout' THEN 'Timeout' WHEN 'error' THEN error WHEN 'no_state' THEN 'HTTP 304 without cached page state'
     WHEN 'blocked' THEN 'HTTP 403 (access denied)' WHEN 'bad_status' THEN 'HTTP ' || status
     WHEN 'not_html' THEN 'Non-HTML (' || trim(string_split(coalesce(content_type, ''), ';')[1]) || ')' WHEN 'challenge' THEN 'Bot protection (challenge page)' END AS reason FROM outcomes"""
 CTES["tally0"] = """
 SELECT *, sum(CASE WHEN timeout THEN 0 ELSE 1 END) OVER w AS run, count(*) OVER w AS requests, sum(timeout::INT) OVER w::BIGINT AS timeouts,
   max(CASE WHEN accepted THEN ts END) OVER w AS last_success, min(ts) OVER w AS started
-FROM fetch_log WHERE timeout OR error IS NULL WINDOW w AS (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+FROM fetch_log WHERE timeout OR error IS NULL WINDOW w AS (PARTITION BY host, job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 CTES["tally"] = """
-SELECT *, CASE WHEN timeout THEN count(*) FILTER (timeout) OVER (PARTITION BY host, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM tally0"""
+SELECT *, CASE WHEN timeout THEN count(*) FILTER (timeout) OVER (PARTITION BY host, job_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM tally0"""
 CTES["openings"] = """
-SELECT event_id, host, ts, CASE WHEN streak >= 8 THEN 'streak' ELSE 'rate+stall' END AS trigger, requests, timeouts, streak FROM tally
+SELECT event_id, host, job_id, ts, CASE WHEN streak >= 8 THEN 'streak' ELSE 'rate+stall' END AS trigger, requests, timeouts, streak FROM tally
 WHERE timeout AND requests >= 12 AND (streak >= 8 OR (timeouts::DOUBLE / requests >= 0.7::DOUBLE
    AND epoch_us(ts) - epoch_us(coalesce(last_success, started)) >= 30000000))"""
 CTES["tasks"] = """
@@ -451,7 +453,7 @@ def rendered(pages: str, sites: str) -> str:
     """Markdown index per site from scored pages."""
     label = "coalesce(nullif(title, ''), url)"
     return f"""
-SELECT site_id, 0 AS part, content, sha256(content) AS content_hash FROM (
+SELECT site_id, content, sha256(content) AS content_hash FROM (
   SELECT s.id AS site_id, {head_of("coalesce(nullif(any_value(s.title), ''), any_value(s.domain))", "any_value(s.description)")}
      || coalesce(string_agg(x.t, '' ORDER BY x.pos), '') AS content
   FROM {sites} s LEFT JOIN (

@@ -71,7 +71,7 @@ def page_base(spark: SparkSession, sf: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of every page, one per canonical URL. The text is cut before anything is shuffled."""
-    raw = scan_pages(spark, f"{sf}/pages.parquet", deal_out=True)
+    raw = scan_pages(spark, f"{sf}/pages.parquet")
     return dedup_url(extract_pages(with_site(raw)), [F.asc("page_id")])
 
 
@@ -219,7 +219,7 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
 def robots(spark: SparkSession, sf: str) -> DataFrame:
     size = F.length("domain")
     first = F.concat(
-        F.lit("User-agent: *\nDisallow: /th\nAllow: /the$\nAllow: /tha*n\nSitemap: https://"), "domain", F.lit("/sitemap.xml\n")
+        F.lit("User-agent: *\nDisallow: /x\\E(*[^\nDisallow: /th\nAllow: /the$\nAllow: /tha*n\nSitemap: https://"), "domain", F.lit("/sitemap.xml\n")
     )
     second = F.concat(
         F.lit("# all\nUser-agent: Bot\nDisallow: /\n\nUser-Agent: other\nuser-agent: *\nDisallow: /*n$ # short\nDisallow: /de\nAllow: /de\nSITEMAP:   https://"),
@@ -389,11 +389,13 @@ def schedules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schedule_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """New settings, half of them for sites that have no schedule yet."""
+    """New settings, half of them for sites that have no schedule yet; some sites ask twice."""
     key = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(
+    twice = table(spark, sf, "supplier").withColumn("again", F.explode(F.sequence(F.lit(0), F.when(key % 3 == 0, 1).otherwise(0))))
+    return twice.select(
+        (key * 2 + F.col("again")).alias("request_id"),
         (key + F.when(F.col("s_acctbal") > 5000, 0).otherwise(1_000_000)).alias("site_id"),
-        pick(CRONS, (F.col("s_nationkey") + 1) % 4).alias("cron_expression"),
+        pick(CRONS, (F.col("s_nationkey") + 1 + F.col("again")) % 4).alias("cron_expression"),
         (key % 4 != 0).alias("is_active"),
     )
 
@@ -415,6 +417,8 @@ def fetch_rows(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         F.concat(F.lit("h"), user.cast("string")).alias("host"),
+        # A host is crawled anew every 15 days.
+        (user * 100_000 + F.floor(F.unix_date(F.to_date("ts")) / 15)).alias("job_id"),
         F.concat(F.lit("https://h"), user.cast("string"), F.lit("/"), event.cast("string")).alias("url"),
         "ts",
         timeout.alias("timeout"),

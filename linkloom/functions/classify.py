@@ -87,7 +87,6 @@ CHALLENGE_MARKS = [
     r"Please verify you are a human",
     r"blocked.*bot",
 ]
-CHALLENGE_WINDOW = 5_000
 
 
 def page_category(url: str, depth: str) -> Column:
@@ -116,5 +115,7 @@ def is_junk_title(title: str) -> Column:
     return F.expr(let("t", trimmed, f"(t = '' OR {tests})"))
 
 
-def is_challenge(html: str) -> Column:
-    return F.expr(let("h", f"substring({html}, 1, {CHALLENGE_WINDOW})", _any("h", CHALLENGE_MARKS, "(?iud)")))
+def is_challenge(html: str, window: int | None = None) -> Column:
+    """Does a mark of a challenge page stand in the page, or in its first ``window`` characters?"""
+    looked_at = html if window is None else f"substring({html}, 1, {window})"
+    return F.expr(let("h", looked_at, _any("h", CHALLENGE_MARKS, "(?iud)")))

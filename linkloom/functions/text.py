@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The length of the text that is compared, and the tagline
-# separators in order of priority.
-TEXT_LIMIT = 50_000
+# Fixed value: the tagline separators in order of priority.
 TAGLINE_SEPARATORS = [" - ", " | ", " — ", " · ", " : "]
 
 # White space as Unicode defines it, plus the four information separators that
@@ -24,10 +22,15 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?U)^{BLANK}+|{BLANK}+$", "")
 
 
-def normalize_text(value: Column) -> Column:
-    """One blank between words, lower case, cut to the compared length."""
+def cut(value: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters; all of them without a limit."""
+    return value if limit is None else F.left(value, F.lit(limit))
+
+
+def normalize_text(value: Column, limit: int | None = None) -> Column:
+    """One blank between words, lower case; cut only if a ``limit`` is given."""
     single = F.regexp_replace(value, rf"(?U){BLANK}+", " ")
-    return F.substring(F.lower(F.trim(single)), 1, TEXT_LIMIT)
+    return cut(F.lower(F.trim(single)), limit)
 
 
 def text_key(value: Column) -> Column:
@@ -36,8 +39,9 @@ def text_key(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    """Capitalise every run of letters, also after an apostrophe or a digit."""
-    runs = F.regexp_extract_all(value, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    """Capitalise every run of letters that have case, also after any other character."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    runs = F.regexp_extract_all(value, F.lit(rf"([{cased}]+|[^{cased}]+)"), F.lit(1))
     capital = F.transform(
         runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.right(r, F.length(r) - 1)))
     )

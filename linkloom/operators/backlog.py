@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import cut
+
 # Fixed values of the task life cycle.
 CLAIMABLE = ["queued", "failed"]
 RETRY_BASE_SECONDS = 15
 RETRY_SPREAD = 0.2
-ERROR_CUT = 2048
-JOB_ERROR_CUT = 200
 LEASE_ERROR = "Lease expired before worker heartbeat"
 NO_MESSAGE = "Unknown worker failure"
 
@@ -29,11 +29,17 @@ def retry_delay(attempt: Column, jitter: Column) -> Column:
     return F.floor(doubled * (1 + jitter)).cast("bigint")
 
 
-def retry_plan(failures: DataFrame, now: Column, jitter: Column | None = None) -> DataFrame:
+def retry_plan(
+    failures: DataFrame,
+    now: Column,
+    jitter: Column | None = None,
+    error_chars: int | None = None,
+    job_error_chars: int | None = None,
+) -> DataFrame:
     """What a failed attempt does to its task and to the job behind it.
 
     ``failures``: running tasks with the ``error`` of the attempt. Without a
-    given ``jitter`` it is random.
+    given ``jitter`` it is random. Error texts are whole unless limits are given.
     """
     jitter = F.rand() * RETRY_SPREAD if jitter is None else jitter
     dead = F.col("attempt_count") >= F.col("max_attempts")
@@ -45,14 +51,14 @@ def retry_plan(failures: DataFrame, now: Column, jitter: Column | None = None) -
         F.lit("/"),
         F.col("max_attempts").cast("string"),
         F.lit("): "),
-        F.left(F.col("error"), F.lit(JOB_ERROR_CUT)),
+        cut(F.col("error"), job_error_chars),
     )
     return failures.select(
         "id",
         "crawl_job_id",
         F.when(dead, "dead_letter").otherwise("failed").alias("status"),
         delay.alias("retry_in_seconds"),
-        F.left(error, F.lit(ERROR_CUT)).alias("last_error"),
+        cut(error, error_chars).alias("last_error"),
         F.when(~dead, "pending").alias("job_status"),
         F.when(~dead, attempt).alias("job_error"),
     ).withColumn("available_at", F.timestamp_add("SECOND", F.col("retry_in_seconds"), now))

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.classify import page_category, page_relevance
+from linkloom.functions.text import cut as cut_text
 from linkloom.functions.text import empty_to_null, normalize_text, sha256, strip
 from linkloom.functions.urls import resolve_all
 from linkloom.sources.html import html_pieces
 
-# Fixed value: longest description taken from a paragraph.
-PARAGRAPH_CUT = 300
 HASHES = ["metadata_hash", "headings_hash", "text_hash", "content_hash"]
 
 
@@ -37,9 +36,19 @@ def fingerprint(df: DataFrame) -> DataFrame:
     ).withColumn("content_hash", sha256(F.concat("metadata_hash", "headings_hash", "text_hash")))
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(
+    pages: DataFrame,
+    url: str = "url",
+    html: str = "html",
+    paragraph_chars: int | None = None,
+    max_headings: int | None = None,
+    text_chars: int | None = None,
+) -> DataFrame:
     """Replace the ``html`` column by the facts read from it.
 
+    Everything is kept unless a limit is given: characters of a description
+    taken from a paragraph, headings, and characters of the text.
+
     Row-local: no shuffle. Links keep other hosts; they are filtered when a
     crawl looks at them.
     """
@@ -47,20 +56,21 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     described = F.coalesce(
         _stripped(F.col("_cut.og_description")),
         _stripped(F.col("_cut.meta_description")),
-        F.substring("_cut.paragraph", 1, PARAGRAPH_CUT),
+        cut_text(F.col("_cut.paragraph"), paragraph_chars),
     )
     # The canonical link is resolved along with the others, as the last one.
     hrefs = "concat(_cut.hrefs, array(nullif(_cut.canonical_href, '')))"
     cut = cut.withColumn("_urls", resolve_all(url, hrefs))
     links = F.slice("_urls", 1, F.size("_urls") - 1)
+    headings = F.col("_cut.headings") if max_headings is None else F.slice("_cut.headings", 1, max_headings)
     facts = cut.withColumns(
         {
             "title": F.coalesce(
                 _stripped(F.col("_cut.og_title")), _stripped(F.col("_cut.title")), F.col("_cut.h1")
             ),
             "description": described,
-            "headings": F.col("_cut.headings"),
-            "main_text": normalize_text(F.col("_cut.body_text")),
+            "headings": headings,
+            "main_text": normalize_text(F.col("_cut.body_text"), text_chars),
             "links": F.array_distinct(F.filter(links, lambda u: u.isNotNull())),
             "canonical_url": F.element_at("_urls", -1),
         }

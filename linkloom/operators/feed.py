@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators.history import FINISHED, latest_per_site, pages_since_job
+from linkloom.operators.history import FINISHED, pages_since_job
 from linkloom.plans.ordering import SLICE, time_slice
 
 PROGRESS = [
@@ -42,16 +42,16 @@ def page_events(pages: DataFrame) -> DataFrame:
 
 
 def event_replay(jobs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Feed of each site's newest job if it is finished.
+    """Feed of the finished ones among the jobs passed in.
 
     In order of (job_id, stage, page_id): its pages, one progress event, the end.
     """
-    newest = latest_per_site(jobs).filter(F.col("status").isin(FINISHED))
-    crawled = page_events(pages_since_job(pages, newest))
-    progress = newest.select(
+    finished = jobs.filter(F.col("status").isin(FINISHED))
+    crawled = page_events(pages_since_job(pages, finished))
+    progress = finished.select(
         F.col("id").alias("job_id"), F.lit(1).alias("stage"), F.lit("progress").alias("type"), *PROGRESS, "max_pages"
     )
-    end = newest.select(
+    end = finished.select(
         F.col("id").alias("job_id"),
         F.lit(2).alias("stage"),
         F.col("status").alias("type"),

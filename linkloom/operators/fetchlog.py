@@ -1,4 +1,7 @@
-"""Fetch attempts: outcome, health per host, timeout streaks, breaker openings."""
+"""Fetch attempts: outcome, health, timeout streaks, breaker openings.
+
+Counters belong to one crawl, a (host, job_id): the next crawl of a host starts anew.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.classify import is_challenge
-from linkloom.functions.text import strip
+from linkloom.functions.text import cut, strip
 from linkloom.plans.ordering import first_per, running, time_slice
 
 # When a run of timeouts stops a crawl.
@@ -14,16 +17,15 @@ STREAK = 8
 MIN_SAMPLES = 12
 RATE = 0.7
 STALL_SECONDS = 30
-ERROR_CUT = 100
-DETAIL_CUT = 400
 ABORT_REASON = "timeout_circuit_open"
+CRAWL = ["host", "job_id"]
 
 # A crawl starts at most 400 fetches a second, so an hour of one host stays
 # below 1.5 million rows however long its log is.
 SLICE_SECONDS = 3600
 
 
-def classify_fetch(log: DataFrame) -> DataFrame:
+def classify_fetch(log: DataFrame, error_chars: int | None = None) -> DataFrame:
     """Add ``outcome`` and ``reason`` (NULL when the page was taken).
 
     ``log`` has ``timeout, status, content_type, body, has_state, error``.
@@ -37,7 +39,7 @@ def classify_fetch(log: DataFrame) -> DataFrame:
 
     judged = (
         F.when(F.col("timeout"), result("timeout", "Timeout"))
-        .when(F.col("error").isNotNull(), result("error", F.left("error", F.lit(ERROR_CUT))))
+        .when(F.col("error").isNotNull(), result("error", cut(F.col("error"), error_chars)))
         .when((F.col("status") == 304) & F.col("has_state"), result("not_modified", None))
         .when(F.col("status") == 304, result("no_state", "HTTP 304 without cached page state"))
         .when(F.col("status") == 403, result("blocked", "HTTP 403 (access denied)"))
@@ -53,8 +55,9 @@ def classify_fetch(log: DataFrame) -> DataFrame:
 
 
 def skip_reasons(outcomes: DataFrame) -> DataFrame:
+    """Skipped attempts of each crawl by reason."""
     skipped = outcomes.filter(F.col("reason").isNotNull())
-    return skipped.groupBy("host", "reason").agg(F.count("*").alias("skipped"))
+    return skipped.groupBy(*CRAWL, "reason").agg(F.count("*").alias("skipped"))
 
 
 def counted(log: DataFrame) -> DataFrame:
@@ -70,8 +73,8 @@ def _tally(log: DataFrame, *extra: str) -> DataFrame:
     """Running requests, timeouts, timeouts at the last answer, successes, last success and first attempt."""
     # No other columns: both uses of the sliced rows then share one shuffle.
     return running(
-        counted(log).select("host", "ts", "event_id", "timeout", "accepted", *extra),
-        keys=["host"],
+        counted(log).select(*CRAWL, "ts", "event_id", "timeout", "accepted", *extra),
+        keys=CRAWL,
         order=[F.asc("ts"), F.asc("event_id")],
         slice_by=time_slice(F.col("ts"), SLICE_SECONDS),
         sums={
@@ -87,7 +90,7 @@ def _tally(log: DataFrame, *extra: str) -> DataFrame:
 
 def timeout_streak(log: DataFrame) -> DataFrame:
     """Consecutive timeouts up to and including each counted attempt."""
-    return _tally(log).select("event_id", "host", "ts", "timeout", F.col("streak").cast("bigint").alias("streak"))
+    return _tally(log).select("event_id", *CRAWL, "ts", "timeout", F.col("streak").cast("bigint").alias("streak"))
 
 
 def _openings(log: DataFrame, *extra: str) -> DataFrame:
@@ -105,7 +108,7 @@ def circuit_openings(log: DataFrame) -> DataFrame:
     """Attempts at which the breaker would open; only a timeout can open it."""
     return _openings(log).select(
         "event_id",
-        "host",
+        *CRAWL,
         "ts",
         "trigger",
         F.col("requests").cast("bigint").alias("requests"),
@@ -115,26 +118,26 @@ def circuit_openings(log: DataFrame) -> DataFrame:
 
 
 def circuit_events(log: DataFrame) -> DataFrame:
-    """Openings, the first one of each host marked as the one that aborts the crawl."""
+    """Openings, the first one of each crawl marked as the one that aborts the crawl."""
     opened = circuit_openings(log)
-    first = opened.groupBy("host").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("_first"))
-    return opened.join(first, "host").withColumn("aborts", F.col("event_id") == F.col("_first")).drop("_first")
+    first = opened.groupBy(*CRAWL).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("_first"))
+    return opened.join(first, CRAWL).withColumn("aborts", F.col("event_id") == F.col("_first")).drop("_first")
 
 
-def abort_summaries(log: DataFrame) -> DataFrame:
-    """Why and in what state each aborted crawl stopped, at its host's first opening.
+def abort_summaries(log: DataFrame, detail_chars: int | None = None) -> DataFrame:
+    """Why and in what state each aborted crawl stopped, at its first opening.
 
     ``log`` needs ``url`` besides the other columns.
     """
-    first = first_per(_openings(log, "url"), ["host"], [F.asc("ts"), F.asc("event_id")])
+    first = first_per(_openings(log, "url"), CRAWL, [F.asc("ts"), F.asc("event_id")])
     detail = F.format_string(
         "trigger=%s url=%s timeouts=%d/%d streak=%d stalled_for=%.1fs",
         "trigger", "url", "timeouts", "requests", "streak", "stalled",
     )
     return first.select(
-        "host",
+        *CRAWL,
         F.lit(ABORT_REASON).alias("abort_reason"),
-        F.left(detail, F.lit(DETAIL_CUT)).alias("abort_detail"),
+        cut(detail, detail_chars).alias("abort_detail"),
         F.col("requests").alias("request_count"),
         F.col("timeouts").alias("timeout_count"),
         timeout_rate(F.col("timeouts"), F.col("requests")).alias("timeout_rate"),
@@ -144,10 +147,22 @@ def abort_summaries(log: DataFrame) -> DataFrame:
     )
 
 
+def fallback_crawls(outcomes: DataFrame, log: DataFrame, listed: DataFrame) -> DataFrame:
+    """Crawls that fall back to their sitemap's URLs: nothing taken, something blocked,
+    not aborted, and some URL listed for the host (``listed`` has ``host``)."""
+    tally = outcomes.groupBy(*CRAWL).agg(
+        F.count_if(F.col("outcome").isin("ok", "not_modified")).alias("_taken"),
+        F.count_if(F.col("outcome").isin("blocked", "challenge")).alias("blocked_count"),
+    )
+    stuck = tally.filter("_taken = 0 AND blocked_count > 0").drop("_taken")
+    aborted = circuit_openings(log).select(*CRAWL).distinct()
+    return stuck.join(aborted, CRAWL, "left_anti").join(listed.select("host").distinct(), "host", "left_semi")
+
+
 def fetch_counts(log: DataFrame) -> DataFrame:
-    """Requests, timeouts and successes per host; needs no order, so it also runs on a stream."""
+    """Requests, timeouts and successes per crawl; needs no order, so it also runs on a stream."""
     answered = F.col("timeout") | F.col("error").isNull()
-    return log.groupBy("host").agg(
+    return log.groupBy(*CRAWL).agg(
         F.count_if(answered).alias("request_count"),
         F.count_if(F.col("timeout")).alias("timeout_count"),
         F.count_if(F.col("accepted")).alias("success_count"),
@@ -155,13 +170,13 @@ def fetch_counts(log: DataFrame) -> DataFrame:
 
 
 def fetch_health(log: DataFrame) -> DataFrame:
-    """Counters per host; a host whose breaker opened once is aborted at that point."""
-    opened = circuit_openings(log).select("host").distinct().withColumn("_open", F.lit(1))
+    """Counters per crawl; one whose breaker opened is aborted at that point."""
+    opened = circuit_openings(log).select(*CRAWL).distinct().withColumn("_open", F.lit(1))
     return (
         fetch_counts(log)
-        .join(opened, "host", "left")
+        .join(opened, CRAWL, "left")
         .select(
-            "host",
+            *CRAWL,
             "request_count",
             "timeout_count",
             timeout_rate(F.col("timeout_count"), F.col("request_count")).alias("timeout_rate"),

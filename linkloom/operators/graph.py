@@ -52,21 +52,38 @@ def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Dat
     """
     # A crawlable target is on the site's own host, so each site brings its
     # domain and its rules along and the edges are joined once.
-    own = sites.select(F.col("id").alias("site_id"), F.col("domain").alias("_domain"))
-    rules = robots_rules(robots).select(F.col("host").alias("_domain"), F.col("rules").alias("_rules"))
+    own = sites.select(F.col("id").alias("site_id"), F.lower("domain").alias("_domain"))
+    rules = robots_rules(robots).select(F.lower("host").alias("_domain"), F.col("rules").alias("_rules"))
     target = edges.withColumn("dst", normalize_url("dst")).join(own.join(rules, "_domain", "left"), "site_id", "left")
     inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False))
     usable = inside & crawlable_path("dst") & allowed("dst", F.col("_rules"))
     return target.withColumn("crawlable", usable).drop("_domain", "_rules")
 
 
+def redirected_sites(sites: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sites as a crawl takes them: host and root are those that the root URL ended at.
+
+    ``roots`` (site_id, final_url); a site without a web address there stays as it is.
+    """
+    host = url_host("final_url")
+    found = roots.select(F.col("site_id").alias("id"), normalize_url("final_url").alias("final_url"))
+    found = found.filter(F.col("final_url").rlike("^https?://[^/]")).select("id", "final_url", host.alias("_host"))
+    moved = F.coalesce(F.col("_host") != F.lower("domain"), F.lit(False))
+    return sites.join(found, "id", "left").withColumns(
+        {
+            "url": F.when(moved, F.col("final_url")).otherwise(F.col("url")),
+            "domain": F.when(moved, F.col("_host")).otherwise(F.col("domain")),
+        }
+    ).select(*sites.columns)
+
+
 def crawlable_links(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> DataFrame:
     """Edges whose target may be crawled."""
     return mark_crawlable(edges, sites, robots).filter("crawlable").drop("crawlable")
 
 
-def listed_urls(listed: DataFrame, sites: DataFrame, robots: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """Sitemap URLs (site_id, place, url) that may be crawled, the first ``max_pages`` of each site.
+def listed_urls(listed: DataFrame, sites: DataFrame, robots: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Sitemap URLs (site_id, place, url) that may be crawled; of each site the first ``max_pages``, if given.
 
     Duplicates count towards the limit; they fall together when the walk starts.
     """
@@ -195,9 +212,10 @@ def title_from_url(url: str) -> Column:
     return F.when(path != "", name(path)).otherwise(url_host(url))
 
 
-def sitemap_fallback(listed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Stand-in pages for a blocked site: listed URLs (site_id, url, pos) that were never fetched."""
-    kept = top_per(listed, ["site_id"], [F.asc("pos"), F.asc("url")], max_pages)
+def sitemap_fallback(listed: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Stand-in pages for a blocked site: listed URLs (site_id, url, pos) that were never
+    fetched; of each site the first ``max_pages``, if given."""
+    kept = listed if max_pages is None else top_per(listed, ["site_id"], [F.asc("pos"), F.asc("url")], max_pages)
     pages = kept.select("site_id", "url", F.lit(1).alias("depth"), title_from_url("url").alias("title"))
     empty = {h: F.lit("") for h in ("content_hash", "metadata_hash", "headings_hash", "text_hash")}
     return score_pages(pages.withColumns(empty).withColumn("http_status", F.lit(0)))

@@ -130,13 +130,8 @@ def active_pages(pages: DataFrame) -> DataFrame:
 
 
 def pages_since_job(pages: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Active pages checked since their site's newest job began.
-
-    One job per site enters the join, so a page comes out at most once.
-    """
-    job = latest_per_site(jobs.select("site_id", "id", "created_at")).select(
-        "site_id", F.col("id").alias("job_id"), F.col("created_at").alias("_since")
-    )
+    """Active pages checked since a job of their site began, for each of the jobs passed in."""
+    job = jobs.select("site_id", F.col("id").alias("job_id"), F.col("created_at").alias("_since"))
     checked = pages.filter("is_active").join(job, "site_id")
     return checked.filter(F.col("last_checked_at") >= F.col("_since")).drop("_since")
 

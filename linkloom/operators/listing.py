@@ -6,38 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import text_key
-from linkloom.plans.ordering import WHOLE_GROUP_ROWS, ranked, top_per
+from linkloom.plans.ordering import ranked, top_per
 
-# Longest description in a listing line, and the selection limits.
-DESCRIPTION_CUT = 150
+# The selection limits.
 MAIN_PICKS = 20
 OPTIONAL_PICKS = 5
 OPTIONAL_BELOW = 0.3
 
 
-def assign_page_ids(
-    pages: DataFrame, whole_group_rows: int = WHOLE_GROUP_ROWS, measured: DataFrame | None = None
-) -> DataFrame:
-    """Dense ids 1..n per site by depth, then URL.
+def assign_page_ids(pages: DataFrame) -> DataFrame:
+    """Dense ids 1..n per site by depth, then URL."""
+    return ranked(pages, ["site_id"], [F.asc("depth"), F.asc("url")], "list_id")
 
-    ``measured``: the pages before cleaning, if they are at hand.
-    """
-    order = [F.asc("depth"), F.asc("url")]
-    return ranked(pages, ["site_id"], order, "list_id", whole_group_rows, measured)
 
+def listing_lines(numbered: DataFrame, sites: DataFrame, description_chars: int | None = None) -> DataFrame:
+    """``[id] title — description``; a description that says nothing new is left out.
 
-def listing_lines(numbered: DataFrame, sites: DataFrame) -> DataFrame:
-    """``[id] title — description``; a description that says nothing new is left out."""
+    Longer descriptions than ``description_chars``, if given, end in dots.
+    """
     about = sites.select(F.col("id").alias("site_id"), text_key(F.col("description")).alias("_about"))
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)"))
     description = F.coalesce("description", F.lit(""))
     key = text_key(description)
     told = (F.coalesce(F.col("_about"), F.lit("")) != "") & (key == F.col("_about"))
     shown = (description != "") & ~told & (key != text_key(title))
-    cut = F.when(
-        F.length(description) > DESCRIPTION_CUT,
-        F.concat(F.left(description, F.lit(DESCRIPTION_CUT)), F.lit("...")),
-    ).otherwise(description)
+    cut = description
+    if description_chars is not None:
+        dotted = F.concat(F.left(description, F.lit(description_chars)), F.lit("..."))
+        cut = F.when(F.length(description) > description_chars, dotted).otherwise(description)
     head = F.concat(F.lit("["), F.col("list_id").cast("string"), F.lit("] "), title)
     line = F.when(shown, F.concat(head, F.lit(" — "), cut)).otherwise(head)
     return numbered.join(about, "site_id", "left").select("site_id", "list_id", "url", line.alias("line"))

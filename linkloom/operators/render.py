@@ -1,9 +1,8 @@
 """Render one Markdown index per site.
 
 The text of an index is the plain concatenation of pieces (site head, section
-heads, links) in a total order. Long indexes are therefore rendered in parts of
-a fixed number of pieces; the parts of a site in order are its index, and most
-sites have exactly one.
+heads, links) in a total order. Each index is one row with one hash, so its text
+is put together in one place; the pieces are glued section by section first.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import empty_to_null, md_link, sha256
 from linkloom.operators.dedup import dedup_url, input_order
 from linkloom.operators.listing import OPTIONAL_BELOW
-from linkloom.plans.ordering import WHOLE_GROUP_ROWS, ranked
 
 # Section names in the order they are written.
 SECTION_ORDER = [
@@ -31,7 +29,6 @@ SECTION_ORDER = [
     "Other",
 ]
 OPTIONAL = "Optional"
-PART_PIECES = 20_000
 
 
 def site_head(title: Column, description: Column) -> Column:
@@ -60,32 +57,19 @@ def category_counts(pages: DataFrame) -> DataFrame:
     return sectioned(pages).groupBy("site_id", "section").agg(F.count("*").alias("pages"))
 
 
-def glue(pieces: DataFrame, part_pieces: int, whole_group_rows: int, measured: DataFrame) -> DataFrame:
-    """Pieces (site_id, section_pos, kind, relevance_score, depth, url, piece) -> index parts."""
-    order = [
-        F.asc("section_pos"),
-        F.asc("kind"),
-        F.desc_nulls_first("relevance_score"),
-        F.asc("depth"),
-        F.asc("url"),
-    ]
-    # A site has its pages and at most one head per section and one of its own.
-    room = whole_group_rows - len(SECTION_ORDER) - 2
-    placed = ranked(pieces, ["site_id"], order, "_place", room, measured)
-    part = F.floor((F.col("_place") - 1) / part_pieces).cast("int")
-    rows = placed.select("site_id", part.alias("part"), F.struct("_place", "piece").alias("_p"))
-    texts = F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["piece"])
-    joined = rows.groupBy("site_id", "part").agg(F.array_join(texts, "").alias("content"))
-    return joined.withColumn("content_hash", sha256(F.col("content")))
-
-
-def render_index(
-    sites: DataFrame,
-    pages: DataFrame,
-    part_pieces: int = PART_PIECES,
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
-) -> DataFrame:
-    """Active ``pages`` of ``sites`` -> (site_id, part, content, content_hash).
+def glue(pieces: DataFrame) -> DataFrame:
+    """Pieces (site_id, section_pos, kind, relevance_score, depth, url, piece) -> indexes."""
+    best_first = F.struct((-F.col("relevance_score")).alias("score"), "depth", "url", "piece")
+    rows = pieces.select("site_id", "section_pos", F.struct("kind", best_first.alias("p")).alias("_p"))
+    texts = F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["p"]["piece"])
+    sections = rows.groupBy("site_id", "section_pos").agg(F.array_join(texts, "").alias("_text"))
+    placed = F.sort_array(F.collect_list(F.struct("section_pos", "_text")))
+    whole = F.array_join(F.transform(placed, lambda x: x["_text"]), "")
+    return sections.groupBy("site_id").agg(whole.alias("content")).withColumn("content_hash", sha256(F.col("content")))
+
+
+def render_index(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """Active ``pages`` of ``sites`` -> (site_id, content, content_hash).
 
     A site without pages still gets its head.
     """
@@ -116,10 +100,9 @@ def render_index(
         F.col("id").alias("site_id"), site_head(name, F.col("description")).alias("piece")
     ).withColumns({"section_pos": F.lit(0), "kind": F.lit(0), **blank})
     pieces = heads.select(columns).unionByName(links).unionByName(sections)
-    # Pages of unknown sites have no head to stand under. The few finished parts
+    # Pages of unknown sites have no head to stand under. The few finished indexes
     # are filtered, not the many pieces.
-    parts = glue(pieces, part_pieces, whole_group_rows, pages)
-    return parts.join(heads.select("site_id"), "site_id", "left_semi")
+    return glue(pieces).join(heads.select("site_id"), "site_id", "left_semi")
 
 
 def index_description(files: DataFrame, sites: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from linkloom.functions.text import sha256
 from linkloom.functions.urls import site_key, url_host
 from linkloom.operators.history import latest_per_site
 from linkloom.operators.schedule import next_fire
+from linkloom.plans.ordering import first_per
 
 # Bounds and defaults of a crawl request.
 DEPTH_BOUNDS = (1, 5)
@@ -40,8 +41,13 @@ def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def registered_url(url: Column) -> Column:
-    """A site is known by its URL without any trailing slash."""
-    return F.regexp_replace(url, "/+$", "")
+    """A site is known by its URL with scheme and host in lower case, without blanks
+    around it, the scheme's own port, and any trailing slash."""
+    bare = F.trim(url)
+    head = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    head = F.regexp_replace(head, r"^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+    rest = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    return F.concat(head, F.regexp_replace(rest, "/+$", ""))
 
 
 def register_sites(requests: DataFrame, sites: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -122,8 +128,11 @@ def cascade_delete(
 
 
 def schedule_upsert(schedules: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """One schedule per site after the requests (site_id, cron_expression, is_active)."""
-    asked = requests.select(
+    """One schedule per site after the requests (request_id, site_id, cron_expression, is_active).
+
+    Of several requests for a site the last one counts. New rows get a digest as id.
+    """
+    asked = first_per(requests, ["site_id"], [F.desc("request_id")]).select(
         "site_id", F.col("cron_expression").alias("_cron"), F.col("is_active").alias("_active")
     )
     joined = schedules.join(asked, "site_id", "full_outer").withColumns(
@@ -134,8 +143,14 @@ def schedule_upsert(schedules: DataFrame, requests: DataFrame, now: Column) -> D
         }
     )
     upcoming = F.when(F.col("is_active"), next_fire("cron_expression", "_now"))
-    return joined.withColumn("_now", now).withColumn(
-        "next_run_at", F.when(F.col("_asked"), upcoming).otherwise(F.col("next_run_at"))
+    fresh = F.col("id").isNull()
+    return joined.withColumn("_now", now).withColumns(
+        {
+            "next_run_at": F.when(F.col("_asked"), upcoming).otherwise(F.col("next_run_at")),
+            "created_at": F.when(fresh, F.col("_now")).otherwise(F.col("created_at")),
+            "updated_at": F.when(F.col("_asked"), F.col("_now")).otherwise(F.col("updated_at")),
+            "id": F.coalesce("id", site_key("concat('schedule|', site_id)")),
+        }
     ).select(*schedules.columns)
 
 

@@ -30,8 +30,8 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 
 def _matcher(rule_path: Column) -> Column:
     """Rule path -> regular expression; only used for rules with ``*`` or ``$``."""
-    literal = F.concat(F.lit(r"\Q"), F.regexp_replace(rule_path, r"\$$", ""), F.lit(r"\E"))
-    anywhere = F.regexp_replace(literal, r"\*+", r"\\E.*\\Q")
+    literal = F.regexp_replace(F.regexp_replace(rule_path, r"\$$", ""), r"([^\p{L}\p{N}/*_ -])", r"\\$1")
+    anywhere = F.regexp_replace(literal, r"\*+", ".*")
     return F.concat(F.lit("(?s)^"), anywhere, F.when(rule_path.endswith("$"), F.lit("$")).otherwise(F.lit("")))
 
 
@@ -87,6 +87,6 @@ def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataF
     The rules of a host arrive as one array, so a URL meets its rules inside its
     own row and no (URL, rule) pairs are built.
     """
-    rules = robots_rules(robots).select(F.col("host").alias("_host"), F.col("rules").alias("_rules"))
+    rules = robots_rules(robots).select(F.lower("host").alias("_host"), F.col("rules").alias("_rules"))
     joined = urls.withColumn("_host", F.lower(url_host(url))).join(rules, "_host", "left")
     return joined.filter(allowed(url, F.col("_rules"))).drop("_host", "_rules")

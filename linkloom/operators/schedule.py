@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import let
 
-# Days searched for the next fire time: every day of a month comes up within
-# four years.
-HORIZON_DAYS = 1462
+# In 41 years every date that exists falls on every weekday it can: also 29 February,
+# across a century without one.
+MONTHS = 41 * 12
 
 # Bounds of the five fields.
 BOUNDS = [("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7)]
@@ -60,11 +60,18 @@ def _at(day: str, minute: str) -> str:
 
 
 def next_fire(cron: str, now: str) -> Column:
-    """First fire time at or after ``now``, row by row, without a join. Arguments are SQL text."""
+    """First fire time at or after ``now``, row by row, without a join. Arguments are SQL text.
+
+    Month after month is looked at until one has a day that fires; of that month the
+    first two days, since today's times may have passed.
+    """
     moment = f"cast({now} AS timestamp_ntz)"
-    days = f"slice({_days('c', f'to_date({moment})', str(HORIZON_DAYS))}, 1, 2)"
-    times = let("o", _minutes("c"), f"flatten(transform({days}, w -> transform(o, k -> {_at('w', 'k')})))")
-    return F.expr(with_cron(cron, "c", f"array_min(filter({times}, t -> t >= {moment}))"))
+    first = f"greatest(b, to_date({moment}))"
+    inside = f"slice({_days('c', first, f'greatest(datediff(last_day(b), {first}) + 1, 1)')}, 1, 2)"
+    times = f"filter(flatten(transform({inside}, w -> transform(o, k -> {_at('w', 'k')}))), t -> t >= {moment})"
+    month = let("b", f"cast(add_months(trunc(to_date({moment}), 'MM'), i) AS date)", f"if(array_contains(c.month, month(b)), array_min({times}), NULL)")
+    search = f"aggregate(sequence(0, {MONTHS}), cast(NULL AS timestamp_ntz), (found, i) -> if(found IS NOT NULL, found, {month}))"
+    return F.expr(with_cron(cron, "c", let("o", _minutes("c"), search)))
 
 
 def next_run(schedules: DataFrame, now: Column) -> DataFrame:

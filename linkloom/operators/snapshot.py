@@ -24,9 +24,6 @@ KEY = ["site_id", "url"]
 COMPARED = ["content_hash", "metadata_hash", "headings_hash", "text_hash", "canonical_url"]
 CONTENT = ["title", "description", *COMPARED, "links", "http_status"]
 
-# Fixed value: how many removed URLs a summary names.
-REMOVED_SHOWN = 50
-
 
 def _reusable() -> Column:
     hashes = [F.coalesce(h, F.lit("")) != "" for h in ("metadata_hash", "headings_hash", "text_hash")]
@@ -43,18 +40,23 @@ def _line_up(stored: DataFrame, crawled: DataFrame, content: list[str]) -> DataF
 
     Only ``content`` and what decides is carried along: page text stays behind.
     Redirects may bring the same URL twice: the shallowest, then the oldest copy
-    stands. A "not modified" answer for a page without reusable state is no page.
+    stands. A "not modified" answer for a page without reusable state is no page,
+    so of each URL the first copy of either kind is kept until the state is at hand.
     """
     narrow = crawled.select(*KEY, "page_id", *dict.fromkeys(["depth", "not_modified", *content]))
-    once = first_per(narrow, KEY, [F.asc("depth"), F.asc("page_id")])
-    new = once.select(*KEY, F.struct(*[c for c in once.columns if c not in KEY]).alias("c"))
+    once = first_per(narrow, [*KEY, "not_modified"], [F.asc("depth"), F.asc("page_id")])
+    copy = F.struct(*[c for c in once.columns if c not in KEY])
+    place = F.struct("depth", "page_id")
+    new = once.groupBy(*KEY).agg(
+        F.min_by(copy, place).alias("_any"),
+        F.min_by(F.when(~F.col("not_modified"), copy), F.when(~F.col("not_modified"), place)).alias("_fetched"),
+    )
     state = [F.col(c) for c in stored.columns if c not in KEY]
     old = stored.select(*KEY, F.struct(*state, _reusable().alias("reusable")).alias("s"))
     both = old.join(new, KEY, "full_outer")
-    seen = F.col("c").isNotNull() & (
-        ~F.col("c.not_modified") | F.coalesce(F.col("s.reusable"), F.lit(False))
-    )
-    return both.withColumn("c", F.when(seen, F.col("c"))).filter("s IS NOT NULL OR c IS NOT NULL")
+    usable = F.coalesce(F.col("s.reusable"), F.lit(False))
+    lined = both.withColumn("c", F.when(usable, F.col("_any")).otherwise(F.col("_fetched"))).drop("_any", "_fetched")
+    return lined.filter("s IS NOT NULL OR c IS NOT NULL")
 
 
 def _change() -> Column:
@@ -91,9 +93,9 @@ def snapshot_diff(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFram
     return compared.select(*KEY, "change", F.coalesce("c.not_modified", F.lit(False)).alias("not_modified"))
 
 
-def removed_pages(stored: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Active stored pages that this crawl did not see."""
-    return stored.filter("is_active").select(*KEY).join(crawled.select(*KEY), KEY, "left_anti")
+def removed_pages(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame | None = None) -> DataFrame:
+    """Active stored pages that this crawl did not see; an aborted crawl removes none."""
+    return snapshot_diff(stored, crawled, aborted_sites).filter("change = 'removed'").select(*KEY)
 
 
 def change_counts(diff: DataFrame) -> DataFrame:
@@ -135,13 +137,17 @@ def job_counters(counts: DataFrame, skipped: DataFrame, rebuild: DataFrame) -> D
     )
 
 
-def change_summary(diff: DataFrame, health: DataFrame | None = None) -> DataFrame:
-    """Counters, active pages and the first removed URLs of each site, as one JSON text.
+def change_summary(diff: DataFrame, health: DataFrame | None = None, removed_shown: int | None = None) -> DataFrame:
+    """Counters, active pages and the removed URLs of each site, as one JSON text.
 
+    All removed URLs are named, or the first ``removed_shown``; ``removed_pages``
+    gives them as rows, for sites that lose very many.
     ``health`` (site_id, request_count, timeout_count, timeout_rate,
     circuit_open_count) adds the fetch counters.
     """
-    gone = top_per(diff.filter("change = 'removed'"), ["site_id"], [F.asc("url")], REMOVED_SHOWN)
+    gone = diff.filter("change = 'removed'")
+    if removed_shown is not None:
+        gone = top_per(gone, ["site_id"], [F.asc("url")], removed_shown)
     named = gone.groupBy("site_id").agg(F.sort_array(F.collect_list("url")).alias("removed_urls"))
     counts = change_counts(diff).join(named, "site_id", "left")
     fields = [F.col(c).cast("int").alias(c) for c in ("added", "updated", "removed", "unchanged")]

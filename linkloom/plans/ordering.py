@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from linkloom.session import cut_lineage
 
-# Largest group that is ranked by one task.
-WHOLE_GROUP_ROWS = 1_000_000
 SLICE = "_slice"
 
 
@@ -30,30 +28,13 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per(df, keys, order, 1)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group. One number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def ranked(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    rank: str,
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
-    measured: DataFrame | None = None,
-) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str) -> DataFrame:
     """Number the rows of every group 1..n in ``order``, a total order.
 
-    Groups that fit one task share a plain window. If any group is bigger, rows
-    are split by range on (keys, order): a slice is a run of neighbours, so the
-    rank is the place in the slice plus the size of the group's earlier slices.
-
-    ``measured`` may name a cheaper frame whose groups are at least as big.
+    Rows are split by range on (keys, order): a slice is a run of neighbours, so the
+    rank is the place in the slice plus the size of the group's earlier slices. A
+    group of any size is spread over as many slices as it fills.
     """
-    if largest_group(df if measured is None else measured, keys) <= whole_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
     # Written down, because range bounds are sampled anew on every run.
     sliced = cut_lineage(
         df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()), "ranked"

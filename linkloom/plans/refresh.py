@@ -25,15 +25,20 @@ class Refresh:
 
 
 def index_sites(sites: DataFrame, pages: DataFrame, plans: DataFrame | None = None) -> DataFrame:
-    """(site_id, part, content, content_hash): from a usable plan, else from the scores."""
+    """(site_id, content, content_hash): from a usable plan, else from the scores.
+
+    Only sites with a usable plan have their pages cleaned and numbered, only the
+    others are rendered from scores.
+    """
     if plans is None:
         return render_index(sites, pages)
     usable, _ = split_plans(plans)
     planned = usable.select(F.col("site_id").alias("id"))
-    numbered = assign_page_ids(clean_pages(pages), measured=pages)
-    chosen = assemble_plan(sites, plans, numbered).withColumn("part", F.lit(0))
+    by_site = planned.withColumnRenamed("id", "site_id")
+    numbered = assign_page_ids(clean_pages(pages.join(by_site, "site_id", "left_semi")))
+    chosen = assemble_plan(sites, plans, numbered)
     plain_sites = sites.join(planned, "id", "left_anti")
-    return chosen.unionByName(render_index(plain_sites, pages))
+    return chosen.unionByName(render_index(plain_sites, pages.join(by_site, "site_id", "left_anti")))
 
 
 def refresh(

@@ -43,7 +43,6 @@ PIECES_ARROW = pa.struct([(f, pa.list_(pa.string()) if f in LISTS else pa.string
 REMOVED = {"script", "style", "noscript", "template", "svg"}
 CHUNKS = {"h1", "h2", "h3", "p", "li", "pre", "code", "td"}
 HEADINGS = {"h1", "h2", "h3"}
-MAX_HEADINGS = 20
 MIN_PARAGRAPH = 50
 
 # Tags whose text never belongs to a surrounding element.
@@ -235,7 +234,7 @@ class _Pieces:
             "og_description": self.meta.get("og:description"),
             "meta_description": self.meta.get("description"),
             "paragraph": next((p for p in paragraphs if len(p) >= MIN_PARAGRAPH), None),
-            "headings": headings[:MAX_HEADINGS],
+            "headings": headings,
             "body_text": " ".join(chunks),
             "hrefs": self.hrefs,
             "canonical_href": self.canonical,

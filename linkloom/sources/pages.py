@@ -7,18 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.schemas import RAW_PAGES
 
 
-def scan_pages(spark: SparkSession, path: str, deal_out: bool = False) -> DataFrame:
-    """Table of fetched pages.
-
-    With ``deal_out`` a table that lies in fewer pieces than there are cores is
-    spread over all of them, for work that is heavy per row. A big table is
-    always read as it lies, without a shuffle.
-    """
-    pages = spark.read.schema(RAW_PAGES).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if deal_out and pages.rdd.getNumPartitions() < cores:
-        return pages.repartition(cores)
-    return pages
+def scan_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Table of fetched pages, read as it lies."""
+    return spark.read.schema(RAW_PAGES).parquet(path)
 
 
 def read_page_stream(spark: SparkSession, path: str, max_files: int = 1000, names: str = "*.parquet") -> DataFrame:

@@ -9,12 +9,11 @@ from linkloom.operators.history import latest_per_site
 
 
 def export_index(files: DataFrame, out: str) -> None:
-    """Newest index of each site as text below ``out/site_id=<id>``."""
-    newest = latest_per_site(files.select("site_id", "id", "created_at", "content"))
-    newest.select("site_id", F.col("content").alias("value")).write.mode("overwrite").partitionBy("site_id").text(out)
-
+    """Newest index of each site as text below ``out/site_id=<id>``.
 
-def export_parts(parts: DataFrame, out: str) -> None:
-    """Freshly rendered parts below ``out/site_id=<id>/part=<n>``; in order they are the index."""
-    texts = parts.select("site_id", "part", F.col("content").alias("value"))
-    texts.write.mode("overwrite").partitionBy("site_id", "part").text(out)
+    The writer ends every document with a line end: one that the index has already is
+    left out before, so the file is the index byte for byte.
+    """
+    newest = latest_per_site(files.select("site_id", "id", "created_at", "content"))
+    text = F.regexp_replace("content", r"\n\z", "")
+    newest.select("site_id", text.alias("value")).write.mode("overwrite").partitionBy("site_id").text(out)

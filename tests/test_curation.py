@@ -44,7 +44,10 @@ def test_listing_lines(spark):
         (1, "d", "T4", "y" * 150, 1, "Blog", 0.1),
     ]
     sites = spark.createDataFrame([(1, " about US ")], "id bigint, description string")
-    lines = {r.url: r.line for r in listing.listing_lines(listing.assign_page_ids(pages(spark, rows)), sites).collect()}
+    numbered = listing.assign_page_ids(pages(spark, rows))
+    whole = {r.url: r.line for r in listing.listing_lines(numbered, sites).collect()}
+    assert whole["c"] == f"[3] (no title) — {long}"
+    lines = {r.url: r.line for r in listing.listing_lines(numbered, sites, 150).collect()}
     assert lines == {"a": "[1] T", "b": "[2] T2", "c": f"[3] (no title) — {long[:150]}...", "d": f"[4] T4 — {'y' * 150}"}
 
 

@@ -3,6 +3,8 @@
 import random
 
 
+from pyspark.sql import functions as F
+
 from linkloom.functions.urls import normalize_url
 from linkloom.operators import graph
 from linkloom.operators.robots import robots_filter, robots_sitemaps
@@ -128,3 +130,18 @@ def test_title_and_fallback(spark):
     first = rows["https://h/docs/getting-started_now/"]
     assert (first.title, first.http_status, first.content_hash) == ("Getting Started Now", 0, "")
     assert rows["https://h/"].title == "h"
+
+
+def test_capital_hosts_and_hostile_robots(spark):
+    site = spark.createDataFrame([(1, "Shop.Example")], "id bigint, domain string")
+    body = "User-agent: *\nDisallow: /x\\E(*\nDisallow: /a[b*\nDisallow: /q.\\+*$"
+    robots = spark.createDataFrame([("Shop.Example", body)], "host string, body string")
+    edges = spark.createDataFrame([(1, "s", 0, "https://SHOP.example/ok"), (1, "s", 1, "https://shop.example/a[bc"), (1, "s", 2, "https://shop.example/x\\E(1")], "site_id bigint, src string, pos int, dst string")
+    assert [r.dst for r in graph.crawlable_links(edges, site, robots).collect()] == ["https://shop.example/ok"]
+
+
+def test_registered_urls(spark):
+    from linkloom.operators.rewrites import registered_url
+
+    df = spark.createDataFrame([("HTTPS://Shop.Example/X//",), (" http://h:80/ ",), ("https://h:443",), ("https://h:8443/",)], "u string")
+    assert [r[0] for r in df.select(registered_url(F.col("u"))).collect()] == ["https://shop.example/X", "http://h", "https://h", "https://h:8443"]

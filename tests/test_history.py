@@ -70,11 +70,17 @@ def test_idempotency_key(spark):
 
 def test_upsert(spark):
     have = spark.createDataFrame(
-        [(1, "0 0 * * *", True, datetime(2024, 1, 1)), (2, "0 1 * * *", True, datetime(2024, 1, 2))],
-        "site_id int, cron_expression string, is_active boolean, next_run_at timestamp_ntz",
+        [(11, 1, "0 0 * * *", True, datetime(2024, 1, 1), datetime(2024, 1, 1)), (12, 2, "0 1 * * *", True, datetime(2024, 1, 2), datetime(2024, 1, 1))],
+        "id bigint, site_id int, cron_expression string, is_active boolean, next_run_at timestamp_ntz, created_at timestamp_ntz",
+    ).withColumn("updated_at", F.col("created_at"))
+    asked = spark.createDataFrame(
+        [(1, 2, "0 2 * * *", False), (2, 3, "0 5 * * *", True), (3, 3, "0 3 * * *", True)],
+        "request_id int, site_id int, cron_expression string, is_active boolean",
     )
-    asked = spark.createDataFrame([(2, "0 2 * * *", False), (3, "0 3 * * *", True)], "site_id int, cron_expression string, is_active boolean")
-    got = {r.site_id: tuple(r)[1:] for r in rewrites.schedule_upsert(have, asked, at("2024-05-05 12:00:00")).collect()}
+    rows = rewrites.schedule_upsert(have, asked, at("2024-05-05 12:00:00")).collect()
+    assert len(rows) == 3 and [r.id for r in sorted(rows, key=lambda r: r.site_id)][:2] == [11, 12]
+    assert all(r.id is not None and r.created_at is not None and r.updated_at is not None for r in rows)
+    got = {r.site_id: (r.cron_expression, r.is_active, r.next_run_at) for r in rows}
     assert got[1] == ("0 0 * * *", True, datetime(2024, 1, 1))
     assert got[2] == ("0 2 * * *", False, None)
     assert got[3] == ("0 3 * * *", True, datetime(2024, 5, 6, 3))
@@ -86,8 +92,8 @@ def test_retry(spark):
     now = at("2024-01-01 00:00:00")
     got = {r.id: r for r in backlog.retry_plan(df, now, F.lit(0.0)).collect()}
     assert [got[i].retry_in_seconds for i in (1, 2, 3, 4)] == [15, 15, 120, None]
-    assert got[2].last_error == "Unknown worker failure" and len(got[3].last_error) == 2048
-    assert got[3].job_error == "Retrying (attempt 4/5): " + "x" * 200
+    assert got[2].last_error == "Unknown worker failure" and len(got[3].last_error) == 3000
+    assert got[3].job_error == "Retrying (attempt 4/5): " + "x" * 3000
     assert (got[4].status, got[4].job_status) == ("dead_letter", None)
     spread = [r.retry_in_seconds for r in backlog.retry_plan(df, now).collect() if r.id == 3]
     assert 120 <= spread[0] < 144
@@ -207,4 +213,13 @@ def test_export(spark, folder):
     rows = [(1, 1, datetime(2024, 1, 1), "old"), (2, 1, datetime(2024, 1, 2), "# a\n\n> b\n"), (3, 2, datetime(2024, 1, 1), "x")]
     sinks.export_index(spark.createDataFrame(rows, "id int, site_id int, created_at timestamp, content string"), folder + "/out")
     read = spark.read.text(folder + "/out", wholetext=True).collect()
-    assert {r.site_id: r.value for r in read} == {1: "# a\n\n> b\n\n", 2: "x\n"}
+    assert {r.site_id: r.value for r in read} == {1: "# a\n\n> b\n", 2: "x\n"}
+
+
+def test_next_run_has_no_horizon(spark):
+    rows = [(1, "0 0 29 2 1"), (2, "0 0 29 2 *"), (3, "0 0 30 2 *"), (4, "0 0 31 12 *")]
+    df = spark.createDataFrame(rows, "site_id int, cron_expression string").withColumn("is_active", F.lit(True))
+    got = {r.site_id: r.next_run_at for r in schedule.next_run(df, at("2024-03-01 00:00:00")).collect()}
+    assert got == {1: datetime(2044, 2, 29), 2: datetime(2028, 2, 29), 3: None, 4: datetime(2024, 12, 31)}
+    late = {r.site_id: r.next_run_at for r in schedule.next_run(df, at("2096-03-01 00:00:00")).collect()}
+    assert late[2] == datetime(2104, 2, 29)

@@ -51,9 +51,9 @@ def test_open_paragraphs_end_at_the_next_block():
     assert cut["body_text"] == "one two three four five"
 
 
-def test_first_twenty_headings():
+def test_all_headings():
     cut = cut_page("".join(f"<h{i % 3 + 1}>h{i}</h{i % 3 + 1}>" for i in range(25)) + "<h1> </h1>")
-    assert cut["headings"] == [f"h{i}" for i in range(20)]
+    assert cut["headings"] == [f"h{i}" for i in range(25)]
 
 
 def test_entities_and_bare_ampersands():
@@ -93,9 +93,11 @@ def test_facts(spark):
     assert row.content_hash == sha(sha("D") + sha("H") + sha("h some text"))
 
 
-def test_text_is_cut(spark):
+def test_text_is_whole_unless_limits_are_given(spark):
     pages = spark.createDataFrame([("https://h/x", "<p>" + "ab " * 30000 + "</p>")], "url string, html string")
-    assert extract_pages(pages).select(F.length("main_text")).first()[0] == 50000
+    assert extract_pages(pages).select(F.length("main_text")).first()[0] == 89_999
+    few = extract_pages(pages, text_chars=50, paragraph_chars=10).select("main_text", "description").first()
+    assert (len(few.main_text), len(few.description)) == (50, 10)
 
 
 def test_only_html_travels_to_python(spark, sf):

@@ -21,15 +21,10 @@ def skewed(spark):
 def test_ranked_in_slices(skewed):
     order = [F.desc("v"), F.asc("id")]
     plain = skewed.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
-    sliced = ranked(skewed, ["k"], order, "r", whole_group_rows=10)
+    sliced = ranked(skewed, ["k"], order, "r")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sliced.select(plain.columns).collect()))
 
 
-def test_ranked_takes_the_short_way_when_groups_fit(skewed):
-    plan = ranked(skewed, ["k"], [F.asc("id")], "r")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
-
-
 def brute_fetch(rows):
     """Streak and breaker openings of one host, attempt by attempt."""
     requests = timeouts = streak = 0
@@ -61,6 +56,7 @@ def test_fetch_log_against_brute_force(spark, monkeypatch):
     rows = [(h, e, t, to, ok) for h, es in log.items() for e, t, to, ok in es]
     df = spark.createDataFrame(rows, "host string, event_id int, t int, timeout boolean, accepted boolean")
     df = df.withColumn("ts", F.timestamp_seconds("t")).withColumn("error", F.lit(None).cast("string"))
+    df = df.withColumn("job_id", F.lit(1))
     want = {e: (s, o) for h in log for e, s, o in brute_fetch(log[h])}
     streaks = {r.event_id: r.streak for r in fetchlog.timeout_streak(df).collect()}
     assert streaks == {e: s for e, (s, _) in want.items()}
@@ -86,20 +82,23 @@ def pages_of(spark, n):
     return df.withColumn("relevance_score", F.lit(0.9) - F.col("depth") * 0.25)
 
 
-def test_long_index_is_cut_into_parts(spark):
+def test_index_is_one_row(spark):
     sites = spark.createDataFrame(
         [(1, "S", "h", "about"), (2, None, "e.example", None)], "id bigint, title string, domain string, description string"
     )
     pages = pages_of(spark, 300)
-    whole = {r.site_id: r for r in render.render_index(sites, pages).collect()}
-    parts = render.render_index(sites, pages, part_pieces=7, whole_group_rows=10).orderBy("site_id", "part").collect()
-    assert whole[2].content == "# e.example\n"
-    assert len([p for p in parts if p.site_id == 1]) == (300 + 1 + 3 + 6) // 7
-    assert "".join(p.content for p in parts if p.site_id == 1) == whole[1].content
+    rows = render.render_index(sites, pages).collect()
+    whole = {r.site_id: r.content for r in rows}
+    assert len(rows) == 2 and whole[2] == "# e.example\n"
+    links = [line for line in whole[1].splitlines() if line.startswith("- ")]
+    assert len(links) == 300
+    faq = [line for line in whole[1].split("## FAQ")[1].split("##")[0].splitlines() if line]
+    ranks = [int(line[3:].split("]")[0][1:]) % 4 for line in faq]
+    assert ranks == sorted(ranks)
 
 
 def test_page_ids_in_slices(spark):
     pages = pages_of(spark, 300)
-    short = {r.url: r.list_id for r in listing.assign_page_ids(pages).collect()}
-    sliced = {r.url: r.list_id for r in listing.assign_page_ids(pages, whole_group_rows=10).collect()}
-    assert short == sliced and sorted(short.values()) == list(range(1, 301))
+    ids = {r.url: r.list_id for r in listing.assign_page_ids(pages).collect()}
+    order = sorted((r.depth, r.url) for r in pages.collect())
+    assert ids == {url: i for i, (_, url) in enumerate(order, 1)}

@@ -108,14 +108,16 @@ def test_merging_again_changes_nothing(frames):
     assert changes == {"unchanged"}
 
 
-def test_summary_names_fifty(spark):
+def test_summary_names_removed_urls(spark):
     rows = [(1, f"https://h/{i:03d}", "removed", False) for i in range(80)] + [(1, "https://h/k", "unchanged", False)]
     diff = spark.createDataFrame(rows, "site_id bigint, url string, change string, not_modified boolean")
     health = spark.createDataFrame([(1, 10, 1, 0.1, 0)], "site_id bigint, request_count int, timeout_count int, timeout_rate double, circuit_open_count int")
     import json
 
     summary = json.loads(snapshot.change_summary(diff, health).first().change_summary)
-    assert summary["removed"] == 80 and summary["removed_urls"] == [f"https://h/{i:03d}" for i in range(50)]
+    assert summary["removed"] == 80 and summary["removed_urls"] == [f"https://h/{i:03d}" for i in range(80)]
+    few = json.loads(snapshot.change_summary(diff, health, removed_shown=50).first().change_summary)
+    assert few["removed"] == 80 and few["removed_urls"] == summary["removed_urls"][:50]
     assert (summary["active_pages"], summary["timeout_rate"]) == (1, 0.1)
 
 
@@ -169,3 +171,17 @@ def test_refresh_renders_only_what_changed(spark, frames):
     built = {r.site_id: r.content for r in done.rebuilt.collect()}
     assert set(built) == {1}
     assert built[1].startswith("# old\n\n## ") and "https://h/new" in built[1] and "https://h/gone" not in built[1]
+
+
+def test_good_copy_below_an_unusable_one(spark):
+    stored = spark.createDataFrame([], "site_id bigint, url string, content_hash string, metadata_hash string, headings_hash string, text_hash string, canonical_url string, links array<string>, is_active boolean")
+    stored = stored.union(spark.createDataFrame([(1, "u", "a", None, None, None, None, [], True)], stored.schema))
+    rows = [(1, "u", 7, 0, True, None), (1, "u", 8, 1, False, "b")]
+    crawled = spark.createDataFrame(rows, "site_id bigint, url string, page_id int, depth int, not_modified boolean, content_hash string")
+    crawled = crawled.withColumns({c: F.lit(None).cast("string") for c in ("metadata_hash", "headings_hash", "text_hash", "canonical_url")})
+    assert [r.change for r in snapshot.snapshot_diff(stored, crawled).collect()] == ["updated"]
+    only = crawled.filter("not_modified")
+    assert [r.change for r in snapshot.snapshot_diff(stored, only).collect()] == ["removed"]
+    assert snapshot.removed_pages(stored, only).count() == 1
+    aborted = spark.createDataFrame([(1,)], "site_id bigint")
+    assert snapshot.removed_pages(stored, only, aborted).count() == 0

@@ -47,7 +47,7 @@ def test_repeated_batch_writes_once(spark, files, tmp_path):
 
 def test_fetch_health(spark, sf, files, tmp_path):
     stream = feeds.fetch_health_feed(V.fetch_rows(files))
-    got = feeds.newest_per_key(runner.drained(stream, f"{tmp_path}/out", "update"), ["host"])
+    got = feeds.newest_per_key(runner.drained(stream, f"{tmp_path}/out", "update"), ["host", "job_id"])
     assert rows_of(got) == rows_of(fetchlog.fetch_counts(V.fetch_log(spark, sf)))
 
 
