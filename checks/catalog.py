@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from linkloom.operators import robots as robots_txt
 from linkloom.plans.refresh import refresh
 from linkloom.session import cut_lineage, shared_path
 from linkloom.sources import sinks, sitemaps
-from linkloom.sources.state import StateStore
+from linkloom.sources import state as tables
 from linkloom.streaming import feeds, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,10 +143,11 @@ def _(spark, sf):
 
 @query("read_state", "SELECT id, url, domain, title || '!' AS title, created_at FROM sites")
 def _(spark, sf):
-    store = StateStore(spark, shared_path(spark, "state"), buckets=8)
-    store.write("sites", V.sites(spark, sf))
-    store.write("sites", store.read("sites").withColumn("title", F.concat("title", F.lit("!"))))
-    return store.read("sites").select("id", "url", "domain", "title", "created_at")
+    root = shared_path(spark, "state")
+    tables.write_state(V.sites(spark, sf), "sites", f"{root}/sites/v=1", check=True)
+    first = tables.read_state(spark, "sites", f"{root}/sites/v=1")
+    tables.write_state(first.withColumn("title", F.concat("title", F.lit("!"))), "sites", f"{root}/sites/v=2")
+    return tables.read_state(spark, "sites", f"{root}/sites/v=2").select("id", "url", "domain", "title", "created_at")
 
 
 @query(
@@ -154,13 +156,45 @@ def _(spark, sf):
               created_at AS first_seen_at FROM stored""",
 )
 def _(spark, sf):
-    store = StateStore(spark, shared_path(spark, "state"), buckets=8)
-    store.write("pages", V.stored(spark, sf))
-    return store.read("pages").select(
+    path = f"{shared_path(spark, 'state')}/pages/v=1"
+    tables.write_state(V.stored(spark, sf), "pages", path, check=True)
+    return tables.read_state(spark, "pages", path).select(
         "id", "site_id", "url", "content_hash", words("links"), "is_active", "category", "relevance_score", "depth", "first_seen_at"
     )
 
 
+S.CTES["all_sites"] = "SELECT id, url FROM sites UNION ALL SELECT id, url FROM sites WHERE id % 100 = 0"
+
+
+@query(
+    "repeated_keys",
+    """SELECT * FROM (
+       SELECT 'sites' AS tbl, 'id' AS key, id::VARCHAR AS value, count(*) AS copies FROM all_sites GROUP BY id
+       UNION ALL SELECT 'sites', 'url', url, count(*) FROM all_sites GROUP BY url
+       UNION ALL SELECT 'pages', 'id', id::VARCHAR, count(*) FROM stored GROUP BY id
+       UNION ALL SELECT 'pages', 'site_id, url', site_id || ', ' || url, count(*) FROM stored GROUP BY site_id, url
+       UNION ALL SELECT 'crawl_jobs', 'id', id::VARCHAR, count(*) FROM jobs GROUP BY id
+       UNION ALL SELECT 'crawl_tasks', 'id', id::VARCHAR, count(*) FROM tasks GROUP BY id
+       UNION ALL SELECT 'crawl_tasks', 'idempotency_key', k, count(*) FROM (SELECT 'crawl-job-' || (id % 7000) AS k FROM tasks) GROUP BY k
+       UNION ALL SELECT 'generated_files', 'id', id::VARCHAR, count(*) FROM files GROUP BY id
+       UNION ALL SELECT 'monitoring_schedules', 'id', id::VARCHAR, count(*) FROM schedules GROUP BY id
+       UNION ALL SELECT 'monitoring_schedules', 'site_id', site_id::VARCHAR, count(*) FROM schedules GROUP BY site_id) WHERE copies > 1""",
+)
+def _(spark, sf):
+    key = F.concat(F.lit("crawl-job-"), (F.col("id") % 7000).cast("string"))
+    sites = V.sites(spark, sf)
+    return tables.repeated_keys(
+        {
+            "sites": sites.select("id", "url").unionByName(sites.filter("id % 100 = 0").select("id", "url")),
+            "pages": V.stored(spark, sf),
+            "crawl_jobs": V.jobs(spark, sf),
+            "crawl_tasks": V.tasks(spark, sf).withColumn("idempotency_key", key),
+            "generated_files": V.files(spark, sf),
+            "monitoring_schedules": V.schedules(spark, sf),
+        }
+    )
+
+
 @query("export_index", "SELECT site_id, content || chr(10) AS content FROM newest_file")
 def _(spark, sf):
     out = shared_path(spark, "export")
@@ -573,11 +607,30 @@ def _(spark, sf):
 
 @query(
     "register_jobs",
-    f"""SELECT {S.site_id("'job|' || a.request_id")} AS id, coalesce(s.id, {S.site_id("a.url")}) AS site_id, 'pending' AS status, a.max_pages,
-               TIMESTAMP '{V.NOW}' AS created_at FROM accepted a LEFT JOIN sites s ON s.url = a.url""",
+    f"""SELECT {S.site_id("'job|' || a.request_id")} AS id, coalesce(s.id, {S.site_id("a.url")}) AS site_id, 'pending' AS status, {", ".join(f"0 AS {c}" for c in rewrites.COUNTERS)}, a.max_pages, false AS index_regenerated,
+               NULL::VARCHAR AS error_message, TIMESTAMP '{V.NOW}' AS created_at, TIMESTAMP '{V.NOW}' AS updated_at FROM accepted a LEFT JOIN sites s ON s.url = a.url""",
 )
 def _(spark, sf):
-    return _registered(spark, sf)[1]
+    return _registered(spark, sf)[1].drop("change_summary")
+
+
+@query(
+    "enqueue_tasks",
+    f"""SELECT {S.site_id("'task|' || j.id")} AS id, j.site_id, j.id AS crawl_job_id, 'queued' AS status, 100 AS priority, 0 AS attempt_count, 5 AS max_attempts,
+          TIMESTAMP '{V.NOW}' AS available_at, 'crawl-job-' || j.id AS idempotency_key, j.max_depth, j.max_pages
+        FROM (SELECT {S.site_id("'job|' || a.request_id")} AS id, coalesce(s.id, {S.site_id("a.url")}) AS site_id, a.max_depth, a.max_pages, a.request_id
+              FROM accepted a LEFT JOIN sites s ON s.url = a.url) j WHERE j.request_id % 4 <> 0""",
+)
+def _(spark, sf):
+    ok, _rejected = rewrites.validate_requests(V.requests(spark, sf))
+    jobs = _registered(spark, sf)[1]
+    # A quarter of the tasks is there already.
+    first = rewrites.enqueue_tasks(ok.filter("request_id % 4 = 0"), jobs, jobs.select(F.lit("").alias("idempotency_key")), V.ts(V.NOW))
+    new = rewrites.enqueue_tasks(ok, jobs, first, V.ts(V.NOW))
+    return new.select(
+        "id", "site_id", "crawl_job_id", "status", "priority", "attempt_count", "max_attempts", "available_at", "idempotency_key",
+        "payload.max_depth", "payload.max_pages",
+    )
 
 
 def _stored_catalog(spark, sf):
@@ -828,7 +881,7 @@ def _(spark, sf):
 
 @query("progress_changes", "SELECT * FROM progress_changed")
 def _(spark, sf):
-    return feed.progress_changes(V.progress_rows(V.table(spark, sf, "events")))
+    return feed.progress_changes(V.progress_table(spark, sf))
 
 
 @query(
@@ -1059,27 +1112,37 @@ def _(spark, sf):
 @query("stream_page_feed", "SELECT DISTINCT user_id % 20 AS job_id, props AS url FROM events")
 def _(spark, sf):
     arrivals = V.event_stream(spark, sf).select((F.col("user_id") % 20).alias("job_id"), F.col("props").alias("url"), "ts")
-    once = feeds.page_feed(arrivals, "60 days")
+    once = feeds.page_feed(arrivals)
     return runner.drained(once, shared_path(spark, "page-feed")).select("job_id", "url")
 
 
+def _progress(spark, sf):
+    return runner.drained(feeds.progress_feed(V.progress_stream(spark, sf)), shared_path(spark, "progress")).drop("batch")
+
+
 @query("stream_progress", "SELECT * FROM progress_changed")
 def _(spark, sf):
-    rows = V.progress_rows(V.event_stream(spark, sf))
-    out = shared_path(spark, "progress")
-    feeds.progress_feed(rows, out).awaitTermination()
-    return runner.collected(spark, out, rows.schema).drop("batch")
+    return _progress(spark, sf)
+
+
+@query(
+    "stream_feed_events",
+    f"""SELECT job_id, ts, event_id, 'progress' AS type, CASE WHEN status = 'generating' THEN status END AS phase, NULL::VARCHAR AS error, {PROGRESS_COLUMNS} FROM progress_changed
+        UNION ALL SELECT job_id, ts, event_id, status, NULL, CASE WHEN status = 'failed' THEN error_message END, {PROGRESS_COLUMNS} FROM progress_changed
+        WHERE status IN ('completed', 'failed')""",
+)
+def _(spark, sf):
+    return feeds.feed_events(_progress(spark, sf))
 
 
 @query(
     "stream_heartbeat",
-    """SELECT job_id, ts AS silent_from, ts + INTERVAL 15 SECOND AS heartbeat_at FROM feed_lead
-       WHERE (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 15000000)
-         AND epoch_us(ts) + 15000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM feed)""",
+    """SELECT job_id, ts AS silent_from, nxt AS silent_to, (epoch_us(nxt) - epoch_us(ts)) // 15000000 AS heartbeats FROM feed_lead
+       WHERE epoch_us(nxt) - epoch_us(ts) >= 15000000""",
 )
 def _(spark, sf):
     beats = feeds.heartbeats(V.feed_rows(V.event_stream(spark, sf)))
-    return runner.drained(beats, shared_path(spark, "heartbeats")).select("job_id", "silent_from", "heartbeat_at")
+    return runner.drained(beats, shared_path(spark, "heartbeats")).drop("batch")
 
 
 @query(
@@ -1088,13 +1151,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     crawl = V.crawl_of(extract.extract_pages(V.with_site(V.page_stream(spark, sf))))
-    out = shared_path(spark, "changes")
-    # Once as a table: every micro-batch looks at it.
-    state = StateStore(spark, shared_path(spark, "state"), buckets=8)
-    state.write("pages", V.stored(spark, sf))
-    feeds.change_feed(crawl, state.read("pages"), out, V.ts(V.LATER)).awaitTermination()
-    schema = T.StructType.fromDDL("site_id bigint, added bigint, updated bigint, removed bigint, unchanged bigint, changed bigint")
-    return runner.collected(spark, out, schema).drop("batch")
+    counts = feeds.change_feed(crawl, cut_lineage(V.stored(spark, sf), "stored"))
+    return feeds.newest_per_key(runner.drained(counts, shared_path(spark, "changes"), "update"), ["site_id"])
 
 
 @query(
@@ -1141,3 +1199,97 @@ def refresh_index(spark, sf):
     have = known.filter(F.length("domain") > 20).select(F.col("id").alias("site_id"))
     done = refresh(known, *_snapshots(spark, sf), have, V.ts(V.LATER))
     return done.rebuilt
+
+
+S.CTES["job_of"] = "SELECT id AS site_id, id + 5 AS job_id FROM page_sites"
+
+
+def _jobs_of(spark, sf):
+    own = V.page_sites(spark, sf)
+    return own.select((F.col("id") + 5).alias("id"), F.col("id").alias("site_id"), F.lit(200).alias("max_pages"), V.ts(V.NOW).alias("created_at"))
+
+
+def _files_of(spark, sf):
+    """Rows of the indexes that some sites have."""
+    known = V.page_sites(spark, sf).filter(F.length("domain") > 20)
+    return known.select(F.length("domain").cast("bigint").alias("id"), F.col("id").alias("site_id"))
+
+
+def _refreshed(spark, sf):
+    return refresh(V.page_sites(spark, sf), *_snapshots(spark, sf), _files_of(spark, sf), V.ts(V.LATER), jobs=_jobs_of(spark, sf))
+
+
+S.CTES["due_or_empty"] = """
+SELECT * FROM refreshed_seen WHERE id NOT IN (SELECT site_id FROM stored_files) OR id IN (SELECT site_id FROM counts WHERE changed > 0 OR removed > 0)"""
+S.CTES["rebuilt"] = S.rendered("merged_active", "due_or_empty")
+
+
+@query(
+    "refresh_files",
+    f"""SELECT (SELECT coalesce(max(n), 0) FROM page_sites0 WHERE n > 20) + row_number() OVER (ORDER BY r.site_id) AS id, r.site_id, j.job_id AS crawl_job_id,
+          r.content, r.content_hash, false AS is_edited, TIMESTAMP '{V.LATER}' AS created_at, TIMESTAMP '{V.LATER}' AS updated_at
+        FROM rebuilt r JOIN job_of j ON j.site_id = r.site_id""",
+)
+def _(spark, sf):
+    return _refreshed(spark, sf).files
+
+
+@query(
+    "refresh_jobs",
+    f"""SELECT j.job_id AS id, j.site_id, 'completed' AS status, coalesce(added + updated + unchanged, 0)::INT AS pages_crawled, coalesce(added, 0)::INT AS pages_added,
+          coalesce(updated, 0)::INT AS pages_updated, coalesce(removed, 0)::INT AS pages_removed, coalesce(unchanged, 0)::INT AS pages_unchanged, 200 AS max_pages,
+          j.site_id IN (SELECT id FROM due_or_empty) AS index_regenerated, (added + updated + unchanged)::INT AS active_pages, NULL::VARCHAR AS error_message,
+          TIMESTAMP '{V.NOW}' AS created_at, TIMESTAMP '{V.LATER}' AS updated_at
+        FROM job_of j LEFT JOIN counts c ON c.site_id = j.site_id""",
+)
+def _(spark, sf):
+    return _refreshed(spark, sf).jobs.select(
+        "id", "site_id", "status", "pages_crawled", "pages_added", "pages_updated", "pages_removed", "pages_unchanged", "max_pages",
+        "index_regenerated", "change_summary.active_pages", "error_message", "created_at", "updated_at",
+    )
+
+
+@query(
+    "refresh_twice",
+    """SELECT site_id, 0::BIGINT AS changed, 0::BIGINT AS removed, count(*) AS unchanged, 0::BIGINT AS rebuilt FROM merged_active GROUP BY site_id""",
+)
+def _(spark, sf):
+    """A second refresh with the same crawl finds nothing changed and renders nothing."""
+    sites, (stored, crawled), files = V.page_sites(spark, sf), _snapshots(spark, sf), _files_of(spark, sf)
+    jobs = _jobs_of(spark, sf)
+    first = refresh(sites, stored, crawled, files, V.ts(V.LATER), jobs=jobs)
+    have = files.unionByName(first.files.select("id", "site_id"))
+    root = shared_path(spark, "state")
+    tables.write_state(first.pages, "pages", f"{root}/pages/v=1", check=True)
+    again = refresh(first.sites, tables.read_state(spark, "pages", f"{root}/pages/v=1"), crawled, have, V.ts(V.LATER), jobs=jobs)
+    rebuilt = again.files.groupBy("site_id").agg(F.count("*").alias("rebuilt"))
+    seen = again.counts.filter("unchanged > 0 OR changed > 0 OR removed > 0")
+    return seen.join(rebuilt, "site_id", "left").select("site_id", "changed", "removed", "unchanged", F.coalesce("rebuilt", F.lit(0)).alias("rebuilt"))
+
+
+# The cleaning and planning of the catalog, over the pages of a refresh.
+for _name, _source in [("by_url", "catalog"), ("no_junk", "by_url"), ("clean", "no_junk"), ("numbered", "clean"), ("resolved", "numbered"), ("capped0", "resolved"), ("capped", "capped0")]:
+    _now = {"catalog": "merged_active"}.get(_source, f"new_{_source}")
+    S.CTES[f"new_{_name}"] = re.sub(rf"\b{_source}\b", _now, S.CTES[_name])
+S.CTES["due_going"] = "SELECT * FROM due_sites WHERE n % 7 <> 2"
+S.CTES["unplanned"] = "SELECT * FROM due_going WHERE id NOT IN (SELECT site_id FROM good_plans)"
+
+
+def assembled(sites: str, capped: str) -> str:
+    return f"""
+        SELECT site_id, content, sha256(content) AS content_hash FROM (
+        SELECT g.site_id, {S.head_of("g.title", "g.about")} || coalesce(b.t, '') AS content FROM (
+          SELECT p.site_id, trim(regexp_replace(regexp_replace(coalesce(s.title, s.domain), ' - .*$', ''), ' · .*$', '')) AS title,
+                 coalesce(nullif(p.j->>'site_description', ''), s.description) AS about FROM good_plans p JOIN {sites} s ON s.id = p.site_id) g
+        LEFT JOIN (SELECT site_id, string_agg(t, '' ORDER BY section_pos) AS t FROM (
+          SELECT site_id, section_pos, chr(10) || '## ' || section || chr(10) || chr(10) || string_agg({S.md_link("title", "url", "description")} || chr(10), '' ORDER BY entry_pos) AS t
+          FROM {capped} GROUP BY site_id, section_pos, section) GROUP BY site_id) b ON b.site_id = g.site_id)"""
+
+
+@query("refresh_planned", f"SELECT * FROM ({assembled('due_going', 'new_capped')}) UNION ALL SELECT * FROM ({S.rendered('merged_active', 'unplanned')})")
+def _(spark, sf):
+    """Some sites have a plan, some crawls were aborted."""
+    known = V.page_sites(spark, sf)
+    stopped = known.filter(F.length("domain") % 7 == 2).select(F.col("id").alias("site_id"))
+    done = refresh(known, *_snapshots(spark, sf), _files_of(spark, sf), V.ts(V.LATER), V.plans(spark, sf), stopped)
+    return done.rebuilt

@@ -1,15 +1,88 @@
-"""The derived inputs of ``checks.views`` in SQL, written without looking at the library."""
+"""The derived inputs of ``checks.views`` in SQL. Nothing is taken from the library."""
 
 from __future__ import annotations
 
 import re
 
 from checks.views import BEGIN, CRONS, LATER, NOW, PREFIXES, TITLES
-from linkloom.functions.classify import BASE_SCORES, CATEGORY_PATTERNS, JUNK_TITLES
-from linkloom.operators.render import SECTION_ORDER
 
 NL = "chr(10)"
 
+# Fixed values, written out here once more so that the SQL side stands on its own:
+# path patterns in order, base scores, junk titles and sections in order.
+CATEGORY_PATTERNS = [
+    (r"/docs?(/|$)", "Documentation"),
+    (r"/documentation(/|$)", "Documentation"),
+    (r"/api(-ref|reference|docs)?(/|$)", "API Reference"),
+    (r"/guide", "Guides"),
+    (r"/tutorial", "Guides"),
+    (r"/getting[_-]?started", "Getting Started"),
+    (r"/quick[_-]?start", "Getting Started"),
+    (r"/install", "Getting Started"),
+    (r"/setup", "Getting Started"),
+    (r"/blog(/|$)", "Blog"),
+    (r"/news(/|$)", "Blog"),
+    (r"/example", "Examples"),
+    (r"/demo", "Examples"),
+    (r"/sample", "Examples"),
+    (r"/faq", "FAQ"),
+    (r"/changelog", "Changelog"),
+    (r"/release", "Changelog"),
+    (r"/about", "About"),
+    (r"/team", "About"),
+    (r"/contact", "About"),
+    (r"/pricing", "About"),
+]
+BASE_SCORES = {
+    "Getting Started": 0.9,
+    "Documentation": 0.85,
+    "API Reference": 0.8,
+    "Guides": 0.75,
+    "Examples": 0.7,
+    "Core Pages": 0.6,
+    "FAQ": 0.5,
+    "Changelog": 0.4,
+    "About": 0.4,
+    "Blog": 0.35,
+    "Other": 0.25,
+}
+JUNK_TITLES = [
+    r"^page\s*not\s*found$",
+    r"^404\b",
+    r"^not\s*found$",
+    r"^error\b",
+    r"^access\s*denied$",
+    r"^reset\s*password",
+    r"^log\s*in$",
+    r"^sign\s*(in|up)$",
+    r"^Talk:",
+    r"^.+\s+talk:",
+    r"^Template:",
+    r"^Category:",
+    r"^Module:",
+    r"^Draft:",
+    r"^Special:",
+    r"^User:",
+    r"^File:",
+    r"^MediaWiki:",
+    r"[/:]Archive\s*\d+",
+    r"^\d{4}$",
+    r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}$",
+]
+SECTION_ORDER = [
+    "Getting Started",
+    "Documentation",
+    "API Reference",
+    "Guides",
+    "Examples",
+    "Core Pages",
+    "FAQ",
+    "Changelog",
+    "About",
+    "Blog",
+    "Other",
+]
+
 
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -165,7 +238,8 @@ def merged(column: str) -> str:
 
 
 CTES["merged0"] = f"""
-SELECT coalesce(p.id, {site_id("c.site_id::VARCHAR || '|' || c.url")}) AS id, coalesce(p.site_id, c.site_id) AS site_id,
+SELECT CASE WHEN p.id IS NOT NULL THEN p.id ELSE (SELECT max(id) FROM stored) + row_number() OVER (
+         PARTITION BY p.id IS NULL ORDER BY coalesce(p.site_id, c.site_id), coalesce(p.url, c.url)) END AS id, coalesce(p.site_id, c.site_id) AS site_id,
        coalesce(p.url, c.url) AS url, {", ".join(merged(c) for c in ["canonical_url", "title", "description", "content_hash", "metadata_hash", "headings_hash", "text_hash", "links"])},
        coalesce(nullif(c.etag, ''), p.etag) AS etag,
        CASE WHEN c.url IS NULL THEN p.http_status ELSE c.http_status END AS http_status, c.url IS NOT NULL AS is_active,
@@ -416,7 +490,10 @@ SELECT request_id, url, coalesce(max_depth, 3)::INT AS max_depth, coalesce(max_p
 CTES["progress"] = """
 SELECT user_id AS job_id, event_id, ts, (floor(value) % 3)::INT AS pages_found, (floor(value) % 2)::INT AS pages_crawled,
   0 AS pages_changed, 0 AS pages_added, 0 AS pages_updated, 0 AS pages_removed, 0 AS pages_unchanged,
-  CASE WHEN event_type <> 'click' THEN 0 END AS pages_skipped, CASE WHEN event_type = 'signup' THEN 'generating' ELSE 'running' END AS status FROM events"""
+  CASE WHEN event_type <> 'click' THEN 0 END AS pages_skipped, CASE WHEN event_type = 'signup' THEN 'generating' ELSE 'running' END AS status,
+  NULL::VARCHAR AS error_message FROM events
+UNION ALL SELECT user_id, user_id + 1000000000, max(ts) + INTERVAL 1 SECOND, 9, 9, 9, 9, 9, 9, 9, 9, CASE WHEN user_id % 2 = 1 THEN 'failed' ELSE 'completed' END,
+  CASE WHEN user_id % 2 = 1 THEN 'lost ' || user_id END FROM events GROUP BY user_id"""
 CTES["progress_lag"] = """
 SELECT *, lag({f: pages_found, c: pages_crawled, s: pages_skipped, t: status}) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before,
   row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM progress"""

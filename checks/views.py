@@ -15,6 +15,7 @@ from linkloom.functions.urls import normalize_url, site_key, url_host
 from linkloom.operators.dedup import dedup_url
 from linkloom.operators.extract import extract_pages, score_pages
 from linkloom.schemas import table_schema
+from linkloom.session import shared_path
 from linkloom.sources.pages import read_page_stream, scan_pages
 
 # Category paths plus one that only looks like one, and none.
@@ -503,20 +504,62 @@ def progress_rows(df: DataFrame) -> DataFrame:
         zero.alias("pages_unchanged"),
         F.when(F.col("event_type") == "click", F.lit(None).cast("int")).otherwise(zero).alias("pages_skipped"),
         F.when(F.col("event_type") == "signup", "generating").otherwise("running").alias("status"),
+        F.lit(None).cast("string").alias("error_message"),
     )
 
 
+def progress_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress polls with the end of each job."""
+    events = table(spark, sf, "events")
+    polls = progress_rows(events)
+    last = events.groupBy("user_id").agg(F.max("ts").alias("_last"))
+    failed = F.col("user_id") % 2 == 1
+    ends = {c: F.lit(9) for c in polls.columns if c.startswith("pages_")} | {
+        "job_id": F.col("user_id"),
+        "event_id": F.col("user_id") + 1_000_000_000,
+        "ts": F.timestamp_add("SECOND", F.lit(1), F.col("_last")),
+        "status": F.when(failed, "failed").otherwise("completed"),
+        "error_message": F.when(failed, F.concat(F.lit("lost "), F.col("user_id").cast("string"))),
+    }
+    return polls.unionByName(last.select(*[ends[c].cast(polls.schema[c].dataType).alias(c) for c in polls.columns]))
+
+
 def feed_rows(df: DataFrame) -> DataFrame:
     """Feed events of a few busy jobs, from event rows."""
     return df.select((F.col("user_id") % 5).alias("job_id"), "ts")
 
 
+def pieces(rows: DataFrame, name: str, order: str, n: int) -> str:
+    """A table in ``n`` files that a stream takes one by one, in the order of a column.
+
+    Written one after the other: a file stream goes by the age of the files.
+    """
+    out = shared_path(rows.sparkSession, f"{name}-pieces")
+    shares = [F.percentile_approx(F.col(order), k / n) for k in range(1, n)]
+    bounds = rows.agg(*shares).first()
+    for k in range(n):
+        part = rows
+        if k > 0:
+            part = part.filter(F.col(order) > F.lit(bounds[k - 1]))
+        if k < n - 1:
+            part = part.filter(F.col(order) <= F.lit(bounds[k]))
+        part.coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def progress_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = progress_table(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = pieces(rows, "progress", "ts", 4)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log read as a stream."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The event log read as a stream of four batches."""
+    folder = pieces(table(spark, sf, "events"), "events", "ts", 4)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def page_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return read_page_stream(spark, sf, names="pages.parquet")
+    return read_page_stream(spark, pieces(raw_pages(spark, sf), "pages", "page_id", 3), max_files=1)

@@ -9,6 +9,7 @@ from linkloom.functions.text import empty_to_null, md_link, sha256, strip, strip
 from linkloom.operators.render import OPTIONAL, section_head, site_head
 from linkloom.plans.ordering import first_per, top_per
 from linkloom.schemas import PLAN
+from linkloom.session import cut_lineage
 
 # Fixed value: most links in an index built from a plan.
 MAX_LINKS = 75
@@ -46,18 +47,24 @@ def split_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, parsed.filter(~F.col("usable")).select("site_id")
 
 
+def usable_plans(plans: DataFrame) -> DataFrame:
+    """The usable plans, written once: whatever reads them does not parse again.
+
+    Plans that have been parsed come back as they are.
+    """
+    return plans if "sections" in plans.columns else cut_lineage(split_plans(plans)[0], "plans")
+
+
 def adopt_descriptions(sites: DataFrame, plans: DataFrame) -> DataFrame:
     """Sites with the description their usable plan gives, if it gives one."""
-    usable, _ = split_plans(plans)
-    told = usable.select(F.col("site_id").alias("id"), empty_to_null(F.col("site_description")).alias("_told"))
+    told = usable_plans(plans).select(F.col("site_id").alias("id"), empty_to_null(F.col("site_description")).alias("_told"))
     joined = sites.join(told, "id", "left")
     return joined.withColumn("description", F.coalesce("_told", "description")).select(*sites.columns)
 
 
 def parse_plans(plans: DataFrame) -> DataFrame:
     """One row per plan entry, with its place."""
-    usable, _ = split_plans(plans)
-    sections = usable.select(
+    sections = (plans if "sections" in plans.columns else split_plans(plans)[0]).select(
         "site_id", "site_description", F.posexplode("sections").alias("section_pos", "_section")
     )
     entries = sections.select(
@@ -107,8 +114,8 @@ def plan_cap(resolved: DataFrame, limit: int = MAX_LINKS) -> DataFrame:
 
 def assemble_plan(sites: DataFrame, plans: DataFrame, numbered: DataFrame, limit: int = MAX_LINKS) -> DataFrame:
     """Index of every site with a usable plan; at most ``limit`` links per site are gathered."""
-    usable, _ = split_plans(plans)
-    entries = plan_cap(resolve_plan(parse_plans(plans), numbered), limit)
+    usable = usable_plans(plans)
+    entries = plan_cap(resolve_plan(parse_plans(usable), numbered), limit)
     link = F.concat(md_link(F.col("title"), F.col("url"), F.col("description")), F.lit("\n"))
     placed = entries.select("site_id", F.struct("section_pos", "entry_pos", "section", link.alias("link")).alias("_e"))
     gathered = placed.groupBy("site_id").agg(F.sort_array(F.collect_list("_e")).alias("_entries"))

@@ -166,9 +166,9 @@ def link_degree(marked: DataFrame) -> DataFrame:
 
 def low_yield(facts: DataFrame, crawlable: DataFrame) -> DataFrame:
     """Shallow pages with next to no crawlable links: candidates for a rendered fetch."""
-    counts = crawlable.select("site_id", F.col("src").alias("url"), "dst").distinct()
-    counts = counts.groupBy("site_id", "url").agg(F.count("*").alias("_n"))
     shallow = facts.filter(F.col("depth") <= PROBE_MAX_DEPTH).select("site_id", "url", "depth")
+    near = crawlable.select("site_id", F.col("src").alias("url"), "dst").join(shallow, ["site_id", "url"], "left_semi")
+    counts = near.distinct().groupBy("site_id", "url").agg(F.count("*").alias("_n"))
     n = F.coalesce("_n", F.lit(0))
     return (
         shallow.join(counts, ["site_id", "url"], "left")

@@ -10,12 +10,20 @@ from linkloom.functions.urls import site_key, url_host
 from linkloom.operators.history import latest_per_site
 from linkloom.operators.schedule import next_fire
 from linkloom.plans.ordering import first_per
+from linkloom.schemas import table_schema
 
 # Bounds and defaults of a crawl request.
 DEPTH_BOUNDS = (1, 5)
 PAGE_BOUNDS = (50, 500)
 DEFAULT_DEPTH = 3
 DEFAULT_PAGES = 200
+TASK_PRIORITY = 100
+TASK_ATTEMPTS = 5
+
+COUNTERS = [
+    "pages_found", "pages_crawled", "pages_changed", "pages_added", "pages_updated", "pages_removed",
+    "pages_unchanged", "pages_skipped",
+]
 
 
 def judge_requests(requests: DataFrame) -> DataFrame:
@@ -51,7 +59,7 @@ def registered_url(url: Column) -> Column:
 
 
 def register_sites(requests: DataFrame, sites: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """New sites and one pending job per request.
+    """New sites and one pending job per request, as full rows.
 
     ``requests`` (request_id, url, max_pages). Ids are digests, so a repeated
     run registers the same rows and nobody hands out numbers.
@@ -69,21 +77,62 @@ def register_sites(requests: DataFrame, sites: DataFrame, now: Column) -> tuple[
         now.alias("updated_at"),
     )
     known = sites.select("url", F.col("id").alias("_known"))
-    jobs = asked.join(known, "url", "left").select(
-        site_key("concat('job|', request_id)").alias("id"),
-        F.coalesce("_known", site_key("url")).alias("site_id"),
-        F.lit("pending").alias("status"),
-        F.col("max_pages").cast("int").alias("max_pages"),
-        now.alias("created_at"),
-    )
+    set_ = {
+        "id": site_key("concat('job|', request_id)"),
+        "site_id": F.coalesce("_known", site_key("url")),
+        "status": F.lit("pending"),
+        "max_pages": F.col("max_pages"),
+        "index_regenerated": F.lit(False),
+        "created_at": now,
+        "updated_at": now,
+    }
+    zero = {c: F.lit(0) for c in COUNTERS}
+    jobs = asked.join(known, "url", "left").select(*_row("crawl_jobs", {**zero, **set_}))
     return new_sites, jobs
 
 
+def _row(table: str, columns: dict[str, Column]) -> list[Column]:
+    """All columns of a state table; those not given are NULL."""
+    return [
+        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table_schema(table).fields
+    ]
+
+
+def enqueue_tasks(requests: DataFrame, jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """New rows of the task table: one queued task per job, unless its key is there already.
+
+    ``requests`` (request_id, max_depth, max_pages) the jobs were registered for.
+    """
+    asked = requests.select(site_key("concat('job|', request_id)").alias("_job"), "max_depth", "max_pages")
+    payload = F.struct(F.col("max_depth").cast("int").alias("max_depth"), F.col("_pages").cast("int").alias("max_pages"))
+    known = jobs.select(F.col("id").alias("_job"), "site_id")
+    new = asked.withColumnRenamed("max_pages", "_pages").join(known, "_job").select(
+        *_row(
+            "crawl_tasks",
+            {
+                "id": site_key("concat('task|', _job)"),
+                "site_id": F.col("site_id"),
+                "crawl_job_id": F.col("_job"),
+                "status": F.lit("queued"),
+                "priority": F.lit(TASK_PRIORITY),
+                "attempt_count": F.lit(0),
+                "max_attempts": F.lit(TASK_ATTEMPTS),
+                "available_at": now,
+                "idempotency_key": F.concat(F.lit("crawl-job-"), F.col("_job").cast("string")),
+                "payload": payload,
+                "created_at": now,
+                "updated_at": now,
+            },
+        )
+    )
+    return new.join(tasks.select("idempotency_key"), "idempotency_key", "left_anti").select(*new.columns)
+
+
 def edit_overlay(files: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (site_id, content) replace the text of each site's newest index."""
-    newest = latest_per_site(files.select("site_id", "id", "created_at")).select("id")
+    newest = latest_per_site(files.select("site_id", "id", "created_at")).select("site_id", "id")
     edited = edits.select("site_id", F.col("content").alias("_edit"))
-    targets = newest.join(files.select("id", "site_id"), "id").join(edited, "site_id").select("id", "_edit")
+    targets = newest.join(edited, "site_id").select("id", "_edit")
     joined = files.join(targets, "id", "left")
     touched = F.col("_edit").isNotNull()
     return joined.withColumns(

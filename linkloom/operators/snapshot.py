@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import empty_to_null
-from linkloom.functions.urls import site_key
 from linkloom.operators.extract import score_pages
-from linkloom.plans.ordering import first_per, top_per
+from linkloom.plans.ordering import first_per, next_ids, top_per
 from linkloom.schemas import table_schema
+from linkloom.session import cut_lineage
 
 KEY = ["site_id", "url"]
 COMPARED = ["content_hash", "metadata_hash", "headings_hash", "text_hash", "canonical_url"]
@@ -93,6 +93,18 @@ def snapshot_diff(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFram
     return compared.select(*KEY, "change", F.coalesce("c.not_modified", F.lit(False)).alias("not_modified"))
 
 
+def arrival_changes(stored: DataFrame, crawled: DataFrame) -> DataFrame:
+    """(site_id, url, change) of crawled rows as they come, also of a stream.
+
+    Nothing is known yet about pages that have not come, so nothing is removed.
+    """
+    old = stored.select(*KEY, F.struct(*COMPARED, "is_active", _reusable().alias("reusable")).alias("s"))
+    new = crawled.select(*KEY, F.struct("not_modified", *COMPARED).alias("c"))
+    both = new.join(old, KEY, "left")
+    seen = both.filter(~F.col("c.not_modified") | F.coalesce(F.col("s.reusable"), F.lit(False)))
+    return seen.select(*KEY, _change().alias("change"))
+
+
 def removed_pages(stored: DataFrame, crawled: DataFrame, aborted_sites: DataFrame | None = None) -> DataFrame:
     """Active stored pages that this crawl did not see; an aborted crawl removes none."""
     return snapshot_diff(stored, crawled, aborted_sites).filter("change = 'removed'").select(*KEY)
@@ -169,7 +181,10 @@ def needs_rebuild(counts: DataFrame, files: DataFrame) -> DataFrame:
 def snapshot_merge(
     stored: DataFrame, crawled: DataFrame, now: Column, aborted_sites: DataFrame | None = None
 ) -> DataFrame:
-    """The next pages table, plus a last column ``change`` (NULL where nothing was looked at)."""
+    """The next pages table, plus a last column ``change`` (NULL where nothing was looked at).
+
+    Written once. New pages get the ids after the greatest one, by (site_id, url).
+    """
     compared = _compared(stored, crawled, aborted_sites, [*CONTENT, "etag", "last_modified"])
     seen = F.col("c").isNotNull()
     fresh = seen & ~F.col("c.not_modified")
@@ -185,7 +200,7 @@ def snapshot_merge(
 
     scored = score_pages(compared.withColumn("depth", F.col("c.depth")))
     columns = {name: content(name) for name in CONTENT} | {
-        "id": F.coalesce("s.id", site_key("concat(site_id, '|', url)")),
+        "id": F.col("s.id"),
         "etag": header("etag"),
         "last_modified": header("last_modified"),
         "is_active": seen | (F.col("s.is_active") & ~gone),
@@ -199,13 +214,16 @@ def snapshot_merge(
         "updated_at": F.when(checked, now).otherwise(F.col("s.updated_at")),
     }
     fields = table_schema("pages").fields
-    return scored.select(
+    merged = scored.select(
         *[
             (F.col(f.name) if f.name in KEY else columns[f.name].cast(f.dataType)).alias(f.name)
             for f in fields
         ],
         "change",
     )
+    merged = cut_lineage(merged, "merged")
+    new = next_ids(merged.filter("id IS NULL"), [F.asc("site_id"), F.asc("url")], stored)
+    return merged.filter("id IS NOT NULL").unionByName(new)
 
 
 def site_refresh(sites: DataFrame, crawled: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str) -> Da
     )
 
 
+def next_ids(df: DataFrame, order: list[Column], taken: DataFrame, name: str = "id") -> DataFrame:
+    """Give the rows of ``df`` the ids after the greatest ``id`` of ``taken``, in ``order``.
+
+    The numbers are dense, so they never collide, and the same rows get the same ones.
+    """
+    start = taken.agg(F.max("id")).first()[0] or 0
+    return ranked(df, [], order, "_number").withColumn(name, (F.col("_number") + start).cast("bigint")).drop("_number")
+
+
 def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
 

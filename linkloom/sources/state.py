@@ -1,75 +1,53 @@
-"""The six state tables as parquet, a new version per write.
+"""The six state tables as plain parquet folders.
 
-A version becomes visible when its line is in the table's ``versions`` folder,
-which is appended after all data files are in place; a lost job leaves nothing
-a reader would pick up.
+The caller names the folder of a version, for instance ``<root>/pages/v=7``; a folder
+is written once and never changed, so readers of a version keep it. Rows lie in the
+order of their site, split by range: a question about one site is pushed to the scan
+and touches the few files whose value range holds it, and a hot site has many files.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import IntegerType, StructType
-
-from linkloom.schemas import table_schema
+from linkloom.schemas import UNIQUE_KEYS, duplicate_keys, table_schema
 
-BUCKETS = 64
-VERSIONS = "version bigint, path string"
 
+def site_column(name: str) -> str:
+    return "id" if name == "sites" else "site_id"
 
-class StateStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
 
-    def _newest(self, name: str) -> tuple[int, str] | None:
-        try:
-            versions = self.spark.read.schema(VERSIONS).parquet(f"{self.root}/{name}/versions")
-        except AnalysisException:
-            return None
-        row = versions.agg(F.max(F.struct("version", "path"))).first()[0]
-        return (row["version"], row["path"]) if row else None
+def write_state(df: DataFrame, name: str, path: str, check: bool = False) -> None:
+    """Write a version of a table; with ``check`` only if its keys are unique."""
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(name).fields])
+    if check:
+        wrong = repeated_keys({name: typed}).limit(5).collect()
+        if wrong:
+            raise ValueError(f"keys of {name} repeat: {wrong}")
+    order = dict.fromkeys([site_column(name), "id"])
+    typed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
 
-    @staticmethod
-    def _stored_schema(name: str) -> StructType:
-        return table_schema(name).add("site_bucket", IntegerType())
 
-    def _key(self, name: str) -> str:
-        return "id" if name == "sites" else "site_id"
+def read_state(spark: SparkSession, name: str, path: str) -> DataFrame:
+    return spark.read.schema(table_schema(name)).parquet(path)
 
-    def read(self, name: str) -> DataFrame:
-        newest = self._newest(name)
-        if newest is None:
-            return self.spark.createDataFrame([], table_schema(name))
-        stored = self.spark.read.schema(self._stored_schema(name)).parquet(newest[1])
-        return stored.drop("site_bucket")
 
-    def read_site(self, name: str, site_id: int) -> DataFrame:
-        """One site: a single bucket folder is listed, the key is pushed to the scan."""
-        newest = self._newest(name)
-        if newest is None:
-            return self.spark.createDataFrame([], table_schema(name))
-        stored = self.spark.read.schema(self._stored_schema(name)).parquet(newest[1])
-        bucket = self.spark.range(1).select(self._bucket(F.lit(site_id).cast("bigint"))).first()[0]
-        picked = stored.filter((F.col("site_bucket") == bucket) & (F.col(self._key(name)) == site_id))
-        return picked.drop("site_bucket")
+def read_site(spark: SparkSession, name: str, path: str, site_id: int) -> DataFrame:
+    """Rows of one site; the equality reaches the parquet scan."""
+    return read_state(spark, name, path).filter(F.col(site_column(name)) == site_id)
 
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def write(self, name: str, df: DataFrame) -> None:
-        fields = table_schema(name).fields
-        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-        bucketed = typed.withColumn("site_bucket", self._bucket(F.col(self._key(name))))
-        newest = self._newest(name)
-        version = newest[0] + 1 if newest else 0
-        path = f"{self.root}/{name}/data/{version}-{uuid.uuid4().hex}"
-        # Rebalancing keeps files of one bucket together and splits a hot bucket.
-        bucketed.hint("rebalance", "site_bucket").write.partitionBy("site_bucket").parquet(path)
-        line = self.spark.createDataFrame([(version, path)], VERSIONS)
-        line.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/versions")
+def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, key, value, copies) of every key value that more than one row of a table holds."""
+    found = None
+    for name, df in tables.items():
+        for key in UNIQUE_KEYS[name]:
+            rows = duplicate_keys(df, key).select(
+                F.lit(name).alias("tbl"),
+                F.lit(", ".join(key)).alias("key"),
+                F.concat_ws(", ", *[F.col(c).cast("string") for c in key]).alias("value"),
+                "copies",
+            )
+            found = rows if found is None else found.unionByName(rows)
+    return found

@@ -1,43 +1,91 @@
-"""The live feeds of crawl jobs as Structured Streaming queries."""
+"""The live feeds of crawl jobs as Structured Streaming queries.
+
+What a feed remembers is kept in the engine's state store, by job or by site.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from linkloom.operators.feed import HEARTBEAT_SECONDS, STATE
 from linkloom.operators.fetchlog import fetch_counts
-from linkloom.operators.feed import HEARTBEAT_SECONDS, STATE, progress_changes
 from linkloom.operators.history import FINISHED
 from linkloom.operators.schedule import idempotency_key
-from linkloom.operators.snapshot import change_counts, snapshot_merge
-from linkloom.streaming.runner import batch_path, start
+from linkloom.operators.snapshot import arrival_changes, change_counts
 
-DELAY = "10 minutes"
+# The per-job functions travel with the tasks, nothing needs installing there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def page_feed(pages: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Each page of a job once. State is kept for ``delay`` of event time, not forever."""
-    return pages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id", "url"])
+def _first_per(stream: DataFrame, keys: list[str], delay: str | None) -> DataFrame:
+    if delay is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def enqueue_dedup(triggers: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One accepted trigger (site_id, ts) per site and minute."""
+def page_feed(pages: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each page of a job once, however late it comes.
+
+    With a ``delay`` of event time a page is remembered that long only, and later
+    rows are lost.
+    """
+    return _first_per(pages, ["job_id", "url"], delay)
+
+
+def enqueue_dedup(triggers: DataFrame, delay: str | None = None) -> DataFrame:
+    """One accepted trigger (site_id, ts) per site and minute; ``delay`` as in ``page_feed``."""
     keyed = triggers.withColumn("idempotency_key", idempotency_key(F.col("site_id"), F.col("ts")))
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
+    return _first_per(keyed, ["idempotency_key"], delay)
+
 
+def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
 
-def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, delay: str = DELAY) -> DataFrame:
-    """(job_id, silent_from, heartbeat_at): a session of a feed ends when a heartbeat is due.
 
-    Sessions are merged before the shuffle, so a busy feed sends few rows.
+def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = False) -> DataFrame:
+    """(job_id, silent_from, silent_to, heartbeats): beats of a feed, one for each ``gap``
+    seconds without an event (job_id, ts).
+
+    A silence is reported with its beats when the next event ends it. ``live`` feeds
+    also beat while it lasts, by a timer of the clock; such a row has no ``silent_to``,
+    and its beat is not reported again at the end.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    session = F.session_window("ts", f"{gap} seconds")
-    sessions = events.withWatermark("ts", delay).groupBy("job_id", session.alias("_s")).agg(
-        F.max("ts").alias("silent_from"), F.count("*").alias("events")
+    step = gap * 1_000_000
+
+    def beat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, sent = state.get if state.exists else (None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], last, None, 1))
+            sent += 1
+        else:
+            for ts in (t.value // 1000 for t in _in_order(frames, ["ts"])["ts"]):
+                if last is not None and ts - last >= step:
+                    due = (ts - last) // step - sent
+                    out += [(key[0], last, ts, due)] if due > 0 else []
+                if last is None or ts > last:
+                    last, sent = ts, 0
+        state.update((last, sent))
+        if live:
+            state.setTimeoutDuration(gap * 1000)
+        yield pd.DataFrame(out, columns=["job_id", "_from", "_to", "heartbeats"]).astype({"_from": "Int64", "_to": "Int64"})
+
+    kind = events.schema["job_id"].dataType.simpleString()
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
+    beats = events.select("job_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("job_id").applyInPandasWithState(
+        beat, f"job_id {kind}, _from bigint, _to bigint, heartbeats bigint", "last bigint, sent bigint", "append", timeout
+    )
+    return beats.select(
+        "job_id", F.timestamp_micros("_from").alias("silent_from"), F.timestamp_micros("_to").alias("silent_to"), "heartbeats"
     )
-    return sessions.select("job_id", "silent_from", F.col("_s.end").alias("heartbeat_at"), "events")
 
 
 def fetch_health_feed(log: DataFrame) -> DataFrame:
@@ -52,59 +100,52 @@ def newest_per_key(results: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*keys, "_v.*")
 
 
-def progress_feed(rows: DataFrame, out: str, drain: bool = True) -> StreamingQuery:
-    """Progress rows that differ from the job's row before, across micro-batches.
-
-    Each batch runs the batch operator on its rows plus the last known row of
-    every unfinished job, so a busy job is sliced like in batch. That last row
-    is the whole state; it is written per batch and read by the next one.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        spark = batch.sparkSession
-        known = batch.withColumn("_known", F.lit(False))
-        if batch_id > 0:
-            state = spark.read.schema(batch.schema).parquet(batch_path(f"{out}-state", batch_id - 1))
-            known = known.unionByName(state.withColumn("_known", F.lit(True)))
-        changed = progress_changes(known).filter(~F.col("_known")).drop("_known")
-        changed.write.mode("overwrite").parquet(batch_path(out, batch_id))
-        last = known.drop("_known").groupBy("job_id").agg(
-            F.max_by(F.struct(*batch.columns), F.struct("ts", "event_id")).alias("_l")
-        )
-        unfinished = last.select("_l.*").filter(~F.col("status").isin(FINISHED))
-        unfinished.write.mode("overwrite").parquet(batch_path(f"{out}-state", batch_id))
-        batch.unpersist()
-
-    return start(rows, out, each=each, drain=drain)
+def progress_feed(rows: DataFrame) -> DataFrame:
+    """Progress rows (job_id, ts, event_id, ...) that differ from the job's row before,
+    across micro-batches. A job is forgotten with its end."""
+    fields = rows.schema
+    known = StructType([fields[c] for c in STATE])
+
+    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = _in_order(frames, ["ts", "event_id"])
+        values = found[STATE].astype(object).where(found[STATE].notna(), None)
+        last = tuple(state.get) if state.exists else None
+        keep = []
+        for own in values.itertuples(index=False, name=None):
+            own = tuple(int(v) if isinstance(v, float) else v for v in own)
+            keep.append(own != last)
+            last = own
+        if last[-1] in FINISHED:
+            state.remove()
+        else:
+            state.update(last)
+        yield found[keep]
+
+    return rows.groupBy("job_id").applyInPandasWithState(
+        changed, fields, known, "append", GroupStateTimeout.NoTimeout
+    ).select(*fields.names)
 
 
 def feed_events(changed: DataFrame) -> DataFrame:
-    """Changed progress rows as feed events: progress, and the end where there is one."""
+    """Changed progress rows as feed events: progress, and the end where there is one.
+
+    ``phase`` names a phase that shows; a failed job ends with its ``error``.
+    """
     phase = F.when(F.col("status") == "generating", F.col("status"))
     kinds = F.when(F.col("status").isin(FINISHED), F.array(F.lit("progress"), F.col("status"))).otherwise(
         F.array(F.lit("progress"))
     )
+    error = F.col("error_message") if "error_message" in changed.columns else F.lit(None).cast("string")
     counters = [c for c in STATE if c != "status"]
-    return changed.select("job_id", "ts", "event_id", F.explode(kinds).alias("type"), phase.alias("phase"), *counters)
+    events = changed.select("job_id", "ts", "event_id", F.explode(kinds).alias("type"), phase.alias("phase"), error.alias("error"), *counters)
+    return events.withColumn("error", F.when(F.col("type") == "failed", F.col("error")))
 
 
-def change_feed(crawled: DataFrame, stored: DataFrame, out: str, now: Column, drain: bool = True) -> StreamingQuery:
-    """Running counters per site while the pages of a crawl arrive.
+def change_feed(crawled: DataFrame, stored: DataFrame) -> DataFrame:
+    """Running counters per site while the pages of a crawl arrive; run it in update mode.
 
-    Every batch is compared with the pages table as the batch before left it and
-    merged into the next version. Removal waits for the end of the crawl.
+    Each page is compared with its stored row as it comes, and counted once. The
+    pages table is only read; removals wait for the end of the crawl.
     """
-    spark = stored.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        state = stored
-        if batch_id > 0:
-            state = spark.read.schema(stored.schema).parquet(batch_path(f"{out}-state", batch_id - 1))
-        merged = snapshot_merge(state, batch, now, state.select("site_id"))
-        saved = batch_path(f"{out}-state", batch_id)
-        merged.write.mode("overwrite").parquet(saved)
-        looked_at = spark.read.schema(merged.schema).parquet(saved).filter("change IS NOT NULL")
-        change_counts(looked_at).write.mode("overwrite").parquet(batch_path(out, batch_id))
-
-    return start(crawled, out, each=each, drain=drain)
+    looked_at = arrival_changes(stored, crawled)
+    return change_counts(looked_at.dropDuplicates(["site_id", "url"]))

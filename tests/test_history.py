@@ -9,7 +9,7 @@ from linkloom.functions.text import sha256
 from linkloom.operators import backlog, history, rewrites, schedule
 from linkloom.schemas import duplicate_keys
 from linkloom.sources import sinks
-from linkloom.sources.state import StateStore
+from linkloom.sources import state
 
 
 def at(text):
@@ -195,18 +195,19 @@ def folder(tmp_path):
 def test_state_versions(spark, sf, folder):
     from checks import views
 
-    store = StateStore(spark, folder, buckets=4)
-    assert store.read("sites").count() == 0
     first = views.sites(spark, sf)
-    store.write("sites", first)
-    old = store.read("sites")
-    store.write("sites", first.withColumn("title", F.lit("new")))
-    assert store.read("sites").select("title").distinct().collect()[0].title == "new"
+    state.write_state(first, "sites", f"{folder}/v=1", check=True)
+    old = state.read_state(spark, "sites", f"{folder}/v=1")
+    state.write_state(old.withColumn("title", F.lit("new")), "sites", f"{folder}/v=2")
+    assert state.read_state(spark, "sites", f"{folder}/v=2").select("title").distinct().collect()[0].title == "new"
     assert old.filter("title = 'new'").count() == 0  # readers of a version keep it
-    one = store.read_site("sites", 5)
+    one = state.read_site(spark, "sites", f"{folder}/v=1", 5)
     assert [r.id for r in one.collect()] == [5]
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(site_bucket" in plan and "EqualTo(id,5)" in plan
+    assert "EqualTo(id,5)" in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="already exists"):
+        state.write_state(first, "sites", f"{folder}/v=1")
+    with pytest.raises(ValueError, match="keys of sites repeat"):
+        state.write_state(first.union(first), "sites", f"{folder}/v=3", check=True)
 
 
 def test_export(spark, folder):
