@@ -54,10 +54,12 @@ def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Dat
     # domain and its rules along and the edges are joined once.
     own = sites.select(F.col("id").alias("site_id"), F.lower("domain").alias("_domain"))
     rules = robots_rules(robots).select(F.lower("host").alias("_domain"), F.col("rules").alias("_rules"))
-    target = edges.withColumn("dst", normalize_url("dst")).join(own.join(rules, "_domain", "left"), "site_id", "left")
+    target = edges.withColumn("dst", normalize_url("dst"))
+    # A menu's targets come with every page of a site: each is judged once.
+    once = target.select("site_id", "dst").distinct().join(own.join(rules, "_domain", "left"), "site_id", "left")
     inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False))
     usable = inside & crawlable_path("dst") & allowed("dst", F.col("_rules"))
-    return target.withColumn("crawlable", usable).drop("_domain", "_rules")
+    return target.join(once.select("site_id", "dst", usable.alias("crawlable")), ["site_id", "dst"])
 
 
 def redirected_sites(sites: DataFrame, roots: DataFrame) -> DataFrame:

@@ -45,6 +45,10 @@ CHUNKS = {"h1", "h2", "h3", "p", "li", "pre", "code", "td"}
 HEADINGS = {"h1", "h2", "h3"}
 MIN_PARAGRAPH = 50
 
+# A text belongs to so many of the chunks around it, the nearest ones. Pages do not nest
+# deeper; without a bound a page of nested lists would repeat its text at every level.
+NEST = 32
+
 # Tags whose text never belongs to a surrounding element.
 MUTE = {"script", "style", "template"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -92,7 +96,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class _Pieces:
-    """One pass over a page. An element's text is a slice of the strings seen so far."""
+    """One pass over a page. An element's text is a slice of the strings seen so far;
+    chunks and headings, which may nest, gather theirs while they are open."""
 
     def __init__(self) -> None:
         self.seen: list[str] = []  # every string but those of MUTE tags
@@ -101,6 +106,8 @@ class _Pieces:
         self.count: Counter[str] = Counter()  # open elements by tag
         self.removed = self.mute = self.in_head = 0  # and by kind
         self.elements: list[dict] = []
+        self.chunks: list[dict] = []  # open chunks outside REMOVED tags
+        self.headings: list[dict] = []  # open headings
         self.meta: dict[str, str] = {}
         self.roots: dict[str, dict] = {}
         self.hrefs: list[str] = []
@@ -127,9 +134,13 @@ class _Pieces:
         text = _decode(raw).strip()
         if text and not self.mute:
             self.seen.append(text)
+            for heading in self.headings[-NEST:]:
+                heading["said"].append(text)
             if not self.removed:
                 self._imply_body("#text")
                 self.kept.append(text)
+                for chunk in self.chunks[-NEST:]:
+                    chunk["texts"].append(text)
 
     def _imply_body(self, tag: str) -> None:
         if "body" not in self.roots and tag not in HEAD_ONLY and not self.in_head:
@@ -149,6 +160,9 @@ class _Pieces:
             tag, element = self.open.pop()
             self._note(tag, -1)
             element.update(seen_end=len(self.seen), kept_end=len(self.kept), to=len(self.elements))
+            for nested in (self.chunks, self.headings):
+                if nested and nested[-1] is element:
+                    nested.pop()
 
     def _close_before(self, tag: str) -> None:
         if tag in ENDS_PARAGRAPH and self.count["p"]:
@@ -190,6 +204,12 @@ class _Pieces:
         element = {**self._mark(tag), "removed": removed}
         if tag in CHUNKS or tag == "title":
             self.elements.append(element)
+        if tag in CHUNKS and not removed:
+            element["texts"] = []
+            self.chunks.append(element)
+        if tag in HEADINGS:
+            element["said"] = []
+            self.headings.append(element)
         if not removed:
             if tag in ("main", "article"):
                 self.roots.setdefault(tag, element)
@@ -219,13 +239,9 @@ class _Pieces:
         root = next((self.roots[k] for k in ("main", "article", "role", "body") if k in self.roots), None)
         root = root or {"kept": 0, "from": 0}
         inside = self.elements[root["from"] : root.get("to")]
-        chunks = [
-            " ".join(self.kept[e["kept"] : e["kept_end"]])
-            for e in inside
-            if e["tag"] in CHUNKS and not e["removed"]
-        ]
+        chunks = [" ".join(e["texts"]) for e in inside if "texts" in e]
         chunks = [c for c in chunks if c] or self.kept[root["kept"] : root.get("kept_end")]
-        headings = [t for t in (early(e) for e in self.elements if e["tag"] in HEADINGS) if t]
+        headings = [t for t in ("".join(e["said"]) for e in self.elements if "said" in e) if t]
         paragraphs = (early(e) for e in self.elements if e["tag"] == "p")
         return {
             "og_title": self.meta.get("og:title"),

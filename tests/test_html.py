@@ -116,3 +116,12 @@ def test_broken_markup_stays_cheap():
     """Each of these would take hours if tags were looked up by scanning back and forth."""
     for html in ("<span>" * 200_000 + "</b>" * 200_000, "<div>" * 50_000 + "<li>x" * 50_000, "<script " * 100_000):
         cut_page(html)
+
+
+def test_deep_nesting_stays_linear():
+    n = 10_000
+    cut = cut_page("<ul>" + "".join(f"<li>t{i}<ul>" for i in range(n)) + "</ul></li>" * n)
+    assert len(cut["body_text"]) < 40 * sum(len(f"t{i} ") for i in range(n))
+    assert cut["body_text"].split()[:3] == ["t0", "t1", "t2"]
+    heads = cut_page("<div>".join(f"<h1>a{i}<div>" for i in range(n)))
+    assert sum(map(len, heads["headings"])) < 40 * 7 * n
