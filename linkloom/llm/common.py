@@ -104,7 +104,8 @@ def running(
         )
     else:
         inner = []
-    out = out.join(offsets, piece)
+    # One row per piece: as many as the exchange has partitions.
+    out = out.join(F.broadcast(offsets), piece)
     return out.select(
         *df.columns,
         (F.col(start) + F.col(mark) - F.col(first)).alias(pos),

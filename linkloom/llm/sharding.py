@@ -88,7 +88,8 @@ def assign(keyed: DataFrame, bounds: list[str], key: str, shard: str, slot: str)
     pos, first = fresh(keyed, "pos", "first")
     laid = running(keyed.withColumn(shard, number.cast("int")), [F.col(key).asc()], pos=pos, name="shards")
     firsts = laid.groupBy(shard).agg(F.min(pos).alias(first))
-    return laid.join(firsts, shard).select(*keyed.columns, shard, (F.col(pos) - F.col(first)).alias(slot))
+    # One row per shard.
+    return laid.join(F.broadcast(firsts), shard).select(*keyed.columns, shard, (F.col(pos) - F.col(first)).alias(slot))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
