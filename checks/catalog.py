@@ -1275,11 +1275,17 @@ S.CTES["due_going"] = "SELECT * FROM due_sites WHERE n % 7 <> 2"
 S.CTES["unplanned"] = "SELECT * FROM due_going WHERE id NOT IN (SELECT site_id FROM good_plans)"
 
 
+def untagged(title: str) -> str:
+    """A title up to the first tagline separator there is, by rank."""
+    cases = " ".join(f"WHEN contains({title}, '{x}') THEN string_split({title}, '{x}')[1]" for x in (" - ", " | ", " — ", " · ", " : "))
+    return f"trim(CASE {cases} ELSE {title} END)"
+
+
 def assembled(sites: str, capped: str) -> str:
     return f"""
         SELECT site_id, content, sha256(content) AS content_hash FROM (
         SELECT g.site_id, {S.head_of("g.title", "g.about")} || coalesce(b.t, '') AS content FROM (
-          SELECT p.site_id, trim(regexp_replace(regexp_replace(coalesce(s.title, s.domain), ' - .*$', ''), ' · .*$', '')) AS title,
+          SELECT p.site_id, {untagged('coalesce(s.title, s.domain)')} AS title,
                  coalesce(nullif(p.j->>'site_description', ''), s.description) AS about FROM good_plans p JOIN {sites} s ON s.id = p.site_id) g
         LEFT JOIN (SELECT site_id, string_agg(t, '' ORDER BY section_pos) AS t FROM (
           SELECT site_id, section_pos, chr(10) || '## ' || section || chr(10) || chr(10) || string_agg({S.md_link("title", "url", "description")} || chr(10), '' ORDER BY entry_pos) AS t
