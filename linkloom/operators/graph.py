@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,11 +117,16 @@ def bfs(
     Seeds (site_id, url, depth) enter at their own depth. One round per level,
     at most ``max_depth`` of them; a level is written to the shared folder and
     read back, so the plan does not grow and a lost executor costs one level.
+    The edges are dealt out by source once and keep that layout for all levels:
+    only the frontier moves.
     With ``max_pages`` a site stops admitting URLs, in (depth, url) order; what
     is not admitted is not followed.
     """
     key = ["site_id", "url"]
     links = edges.select("site_id", F.col("src").alias("url"), F.col("dst").alias("_next"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.repartition(parts, *key).persist(StorageLevel.DISK_ONLY)
+    links.count()  # only a finished plan tells the joins how its rows lie
     visited: DataFrame | None = None
     frontier: DataFrame | None = None
     for depth in range(max_depth + 1):
@@ -135,6 +141,7 @@ def bfs(
             fresh = _admit(fresh, visited, max_pages)
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)), "frontier")
         visited = frontier if visited is None else visited.unionByName(frontier)
+    links.unpersist()
     return visited
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import normalize_url
 from linkloom.operators import graph
+from linkloom.session import cut_lineage
 from linkloom.operators.robots import robots_filter, robots_sitemaps
 from linkloom.sources.sitemaps import default_roots, expand_sitemaps
 
@@ -145,3 +146,30 @@ def test_registered_urls(spark):
 
     df = spark.createDataFrame([("HTTPS://Shop.Example/X//",), (" http://h:80/ ",), ("https://h:443",), ("https://h:8443/",)], "u string")
     assert [r[0] for r in df.select(registered_url(F.col("u"))).collect()] == ["https://shop.example/X", "http://h", "https://h", "https://h:8443"]
+
+
+def test_edges_stay_where_they_are(spark):
+    from linkloom.operators import graph as g
+
+    seen = []
+
+    def spy(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df, name)
+
+    edges = spark.range(5000).selectExpr("id % 1 + 1 AS site_id", "cast(id AS string) AS src", "cast(id * 2 AS string) AS dst")
+    seeds = spark.createDataFrame([(1, "1", 0)], "site_id bigint, url string, depth int")
+    old, before = g.cut_lineage, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    g.cut_lineage = spy
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.url: r.depth for r in g.bfs(edges, seeds).collect()}
+    finally:
+        g.cut_lineage = old
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {"1": 0, "2": 1, "4": 2, "8": 3}
+    # In the join of a level, the edges come straight from where they lie.
+    lines = seen[1].splitlines()
+    scan = next(i for i, line in enumerate(lines) if "InMemoryTableScan" in line)
+    above = lines[scan - 3 : scan]
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
