@@ -52,13 +52,21 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come first."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each text as numbers of its words, and the hash of each number's word."""
-    seen: dict[bytes, int] = {}
-    number = seen.setdefault
+    seen = Numbers()
+    number = seen.__getitem__
     out = []
     for raw in texts:
-        parts = [np.array([number(w, len(seen)) for w in piece], np.int32) for piece in word_pieces(raw)]
+        parts = [np.fromiter(map(number, piece), np.int32, len(piece)) for piece in word_pieces(raw)]
         out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
     return out, hashes
@@ -154,64 +162,58 @@ class Automaton:
         self.levels.append((keys[order], counts[order].astype(np.float64)))
 
     def build(self) -> None:
-        """Weights of all arcs, and where they lead."""
+        """States as lists [arcs, weight of the failure arc, where it leads, weight of
+        failing to the root]; arcs go from a word to (weight, next state).
+
+        A run without arcs of its own is no state: failing from it would cost nothing, so
+        what leads to it leads on to the run without its first word.
+        """
         n = len(self.x)
-        below = np.append((self.counts - self.discount) / max(self.total, 1), 0.0)
+        weights = [np.append((self.counts - self.discount) / max(self.total, 1), 0.0)]
+        last = [np.append(np.arange(n), n)]  # last word of each run
         context = np.append(self.counts, float(self.starts))
-        #: Of each state: weight of its failure arc, and where that leads. State 0 is the root.
-        self.fail_weight, self.fail_to = [0.0], [0]
-        last = np.append(np.arange(n), n)  # last word of each run
-        first = 1  # state of a level's first run
-        tails = np.zeros(n + 1, np.int64)  # state of a run without its first word
-        self.root_weight = np.log10(np.maximum(below, 1e-300))[:n].tolist()
-        self.arc: dict[int, int] = {}
-        self.arc_weight: list[float] = []
-        self.arc_to: list[int] = []
-        for level in range(ORDER - 1):
-            keys, counts = self.levels[level]
+        left_over = []
+        for keys, counts in self.levels:
             left, right = keys >> 32, keys & 0xFFFFFFFF
             gain = (counts - DISCOUNT) / context[left]
-            left_over = 1 - np.bincount(left, gain, len(context))
-            left_over = np.clip(left_over, 1e-12, 1.0)
-            self.fail_weight += np.log10(left_over).tolist()
-            self.fail_to += tails.tolist()
-            weight = gain + left_over[left] * below[right]
-            after = first + len(context)
-            leads = after + np.arange(len(keys)) if level < ORDER - 2 else first + right
-            words = last[right]
-            base = len(self.arc_weight)
-            self.arc.update(zip(((first + left) * (n + 1) + words).tolist(), range(base, base + len(keys))))
-            self.arc_weight += np.log10(weight).tolist()
-            self.arc_to += leads.tolist()
-            tails = first + right
-            below, context, last, first = weight, counts, words, after
-        #: Weight of failing from a state to the root.
-        drop = [0.0] * len(self.fail_to)
-        for state in range(1, len(drop)):
-            drop[state] = self.fail_weight[state] + drop[self.fail_to[state]]
-        self.drop = drop
+            left_over.append(np.clip(1 - np.bincount(left, gain, len(context)), 1e-12, 1.0))
+            weights.append(gain + left_over[-1][left] * weights[-1][right])
+            last.append(last[-1][right])
+            context = counts
+        root: list = [{}, 0.0, None, 0.0]
+        states = []  # of the runs of each length
+        shorter = [root] * (n + 1)  # of each run, the state without its first word
+        for (keys, _), over in zip(self.levels, left_over):
+            own = list(shorter)
+            contexts = np.unique(keys >> 32)
+            for run, log in zip(contexts.tolist(), np.log10(over[contexts]).tolist()):
+                own[run] = [{}, log, shorter[run], log + shorter[run][3]]
+            states.append(own)
+            shorter = [own[run] for run in (keys & 0xFFFFFFFF).tolist()]
+        states.append(shorter)
+        logs = np.log10(np.maximum(weights[0][:n], 1e-300)).tolist()
+        root[0] = {word: (log, states[0][word]) for word, log in enumerate(logs)}
+        for m, (keys, _) in enumerate(self.levels, 1):
+            arcs = zip((keys >> 32).tolist(), last[m].tolist(), np.log10(weights[m]).tolist(), states[m])
+            for run, word, log, state in arcs:
+                states[m - 1][run][0][word] = (log, state)
+        self.root, self.begin = root, states[0][n]
 
     def score(self, text: list[int]) -> float:
         """Log10 of the text's probability, but for the unigrams of words below 0."""
-        arc, arc_weight, arc_to = self.arc, self.arc_weight, self.arc_to
-        fail_weight, fail_to, root, wide = self.fail_weight, self.fail_to, self.root_weight, self.start + 1
-        state, total = 1 + self.start, 0.0
+        state, total = self.begin, 0.0
         for word in text:
             if word < 0:
-                total += self.drop[state]
-                state = 0
+                total += state[3]
+                state = self.root
                 continue
-            while state:
-                a = arc.get(state * wide + word)
-                if a is not None:
-                    total += arc_weight[a]
-                    state = arc_to[a]
-                    break
-                total += fail_weight[state]
-                state = fail_to[state]
-            else:
-                total += root[word]
-                state = 1 + word
+            arc = state[0].get(word)
+            while arc is None:
+                total += state[1]
+                state = state[2]
+                arc = state[0].get(word)
+            total += arc[0]
+            state = arc[1]
         return total
 
 
@@ -266,7 +268,6 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
         runs = docs.mapInArrow(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("c"))
         kept = runs.where(F.col("c") >= least).toArrow()
         model.add(kept.column("x").to_numpy(), kept.column("c").to_numpy())
-    model.build()
     return model, counts
 
 
@@ -283,6 +284,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     unknown = model.discount * v / n if n else 0.0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.build()
         # The end is a word like any other; here it may be too rare to have a number.
         end = model.words(np.array([END], np.uint64))[0]
         for batch in batches:
