@@ -15,8 +15,9 @@ SETTINGS = {
     # A hot site keeps its join split even when the aggregate above would have
     # reused the join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Pages are big rows: keep Arrow batches small.
+    # Pages are big rows: keep Arrow batches small, in rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

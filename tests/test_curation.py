@@ -117,3 +117,12 @@ def test_top_pages(spark):
     best = listing.top_pages(pages(spark, rows)).orderBy(F.desc("relevance_score")).collect()
     assert [r.url for r in best if not r.optional] == [f"u{i:02d}" for i in range(20)]
     assert [r.rank for r in best if r.optional] == [1, 2, 3, 4, 5]
+
+
+def test_plans_are_parsed_once(spark, sf):
+    from checks import views as V
+
+    numbered = listing.assign_page_ids(V.catalog(spark, sf))
+    made = curation.assemble_plan(V.page_sites(spark, sf), V.plans(spark, sf), numbered)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan  # the parsed plans are read from where they were written
