@@ -199,21 +199,22 @@ class Automaton:
                 states[m - 1][run][0][word] = (log, state)
         self.root, self.begin = root, states[0][n]
 
-    def score(self, text: list[int]) -> float:
+    def score(self, text: np.ndarray) -> float:
         """Log10 of the text's probability, but for the unigrams of words below 0."""
         state, total = self.begin, 0.0
-        for word in text:
-            if word < 0:
-                total += state[3]
-                state = self.root
-                continue
-            arc = state[0].get(word)
-            while arc is None:
-                total += state[1]
-                state = state[2]
+        for a in range(0, len(text), STEP):
+            for word in text[a : a + STEP].tolist():
+                if word < 0:
+                    total += state[3]
+                    state = self.root
+                    continue
                 arc = state[0].get(word)
-            total += arc[0]
-            state = arc[1]
+                while arc is None:
+                    total += state[1]
+                    state = state[2]
+                    arc = state[0].get(word)
+                total += arc[0]
+                state = arc[1]
         return total
 
 
@@ -303,7 +304,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
                     tokens.append(len(text) + 1)
                     known.append(int((ids >= 0).sum()) + int(end >= 0))
                     bases.append(float(logs[text].sum()) + end_log)
-                    scores.append(model.score([*ids.tolist(), int(end)]))
+                    scores.append(model.score(np.append(ids, end)))
                     rare.append(low[0].view(np.int64))
                     often.append(low[1])
                 rows = pa.array(group)

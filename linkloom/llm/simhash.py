@@ -42,9 +42,9 @@ CELLS = 1 << 20
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def shingle_hashes(raw: bytes, width: int = WIDTH) -> list[int]:
+def shingle_hashes(raw: bytes, width: int = WIDTH) -> np.ndarray:
     """XXH64 of every run of ``width`` words; of the whole sequence if it is shorter."""
-    out: list[int] = []
+    parts = [np.zeros(0, np.uint64)]
     carry: list[bytes] = []
     total = 0
     digest = xxhash.xxh64_intdigest
@@ -55,11 +55,11 @@ def shingle_hashes(raw: bytes, width: int = WIDTH) -> list[int]:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
         ends = ends.tolist()
-        out += [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
+        parts.append(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64))
         carry = words[-(width - 1) :] if width > 1 else []
     if 0 < total < width:
-        out = [digest(b" ".join(carry), SEED)]
-    return out
+        parts = [np.array([digest(b" ".join(carry), SEED)], np.uint64)]
+    return np.concatenate(parts)
 
 
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         hashes, counts, begin = [], [], 0
         for i, raw in enumerate(texts):
             own = shingle_hashes(raw.as_py() or b"")
-            hashes.append(np.array(own, np.uint64))
+            hashes.append(own)
             counts.append(len(own))
             if sum(counts) > 1 << 18 or i == len(texts) - 1:
                 fps[begin : i + 1] = fingerprints(np.concatenate(hashes), np.array(counts))

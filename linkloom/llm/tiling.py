@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import fresh, table
+from linkloom.llm.common import PIECE, fresh, table
 from linkloom.session import cut_lineage
 
 RUN = 5
@@ -48,13 +48,25 @@ class Words(dict):
         return value
 
 
+def word_hashes(text: str, words: Words) -> np.ndarray:
+    """Hash of each word, of a long text some ``PIECE`` characters at a time."""
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        found = WORD.findall(text[at:end].lower())
+        parts.append(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
+        at = end
+    return np.concatenate(parts)
+
+
 def seeds(text: str | None, words: Words, run: int = RUN) -> np.ndarray:
     """Hash of the ``run`` words from each place on."""
-    found = WORD.findall((text or "").lower())
-    n = len(found) - run + 1
+    own = word_hashes(text or "", words)
+    n = len(own) - run + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
     out = np.zeros(n, np.uint64)
     for k in range(run):
         out = out * np.uint64(BASE) + own[k : k + n]
