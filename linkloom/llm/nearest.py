@@ -33,11 +33,11 @@ from linkloom.session import cut_lineage, shared_path
 K = 20
 EVERY = 20
 PLANES = 6
-SIGMAS = 3.0
+SIGMAS = 2.5
 SEED = 11
-#: Query vectors sent to the tasks at a time, and the cells of one estimate.
+#: Query vectors sent to the tasks at a time; queries and rows of one estimate.
 BLOCK = 16384
-CELLS = 1 << 20
+QUERIES, ROWS = 32, 4096
 
 
 def rotation(width: int) -> np.ndarray:
@@ -86,39 +86,53 @@ class Queries:
 
     def estimate(self, some: slice, codes: Codes, rows: slice) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of queries and rows, and the bounds of their errors."""
-        dot = np.zeros((len(self.size[some]), len(codes.length[rows])), np.float32)
+        n, m = len(self.size[some]), len(codes.length[rows])
+        # Sum of the query's values under set bits: fits 16 bits up to 1,000 components.
+        dot = np.zeros((n, m), np.uint16 if self.width <= 1000 else np.uint32)
+        common, counts, shifted = np.empty((n, m), np.uint64), np.empty((n, m), np.uint8), np.empty_like(dot)
         for j, plane in enumerate(self.planes):
             for w in range(codes.bits.shape[1]):
-                dot += np.float32(1 << j) * np.bitwise_count(plane[some, w][:, None] & codes.bits[rows, w][None, :])
-        # Sum of the query's components under set bits, less those under clear bits.
-        step, low = self.step[some][:, None], self.low[some][:, None]
-        total = low * self.width + step * self.total[some][:, None]
-        signed = 2 * (low * codes.ones[rows][None, :] + step * dot) - total
-        scale = (codes.length[rows] / codes.cosine[rows])[None, :] / np.sqrt(self.width)
-        rough = SIGMAS * step * np.sqrt(self.width / 12) * scale
-        return self.centre[some][:, None] + signed * scale, self.size[some][:, None] * codes.error[rows][None, :] + rough
+                np.bitwise_and(plane[some, w][:, None], codes.bits[rows, w][None, :], out=common)
+                np.bitwise_count(common, out=counts)
+                dot += np.multiply(counts, 1 << j, out=shifted, dtype=dot.dtype)
+        f = np.float32
+        step, low = self.step[some][:, None].astype(f), self.low[some][:, None].astype(f)
+        total = low * f(self.width) + step * self.total[some][:, None].astype(f)
+        scale = (codes.length[rows] / codes.cosine[rows] / np.sqrt(self.width)).astype(f)[None, :]
+        # What lies under set bits, less what lies under clear ones.
+        guess = dot.astype(f)
+        guess *= 2 * step
+        guess += (2 * low) * codes.ones[rows].astype(f)[None, :]
+        guess -= total
+        guess *= scale
+        guess += self.centre[some][:, None].astype(f)
+        error = self.size[some][:, None].astype(f) * codes.error[rows].astype(f)[None, :]
+        error += (f(SIGMAS * np.sqrt(self.width / 12)) * step) * scale
+        return guess, error
 
 
 def best(queries: Queries, vectors: np.ndarray, codes: Codes, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each query its ``k`` best places among ``vectors``, with exact products."""
     n = len(vectors)
-    step = max(1, min(len(queries.size), CELLS // max(1, min(n, 8192))))
-    for a in range(0, len(queries.size), step):
-        some = slice(a, a + step)
+    for a in range(0, len(queries.size), QUERIES):
+        some = slice(a, a + QUERIES)
         own = len(queries.size[some])
         found = [(np.zeros(0, np.int64), np.zeros(0))] * own
         bar = np.full(own, -np.inf)
-        for b in range(0, n, 8192):
-            rows = slice(b, b + 8192)
-            guess, error = queries.estimate(some, codes, rows)
-            low = guess - error
-            if low.shape[1] >= k:
-                bar = np.maximum(bar, -np.partition(-low, k - 1, axis=1)[:, k - 1])
+        for b in range(0, n, ROWS):
+            guess, error = queries.estimate(some, codes, slice(b, b + ROWS))
+            if b == 0 and guess.shape[1] > 4 * k:
+                # Exact products of the most promising rows give the bar to clear.
+                first = np.argpartition(-guess, 4 * k, axis=1)[:, : 4 * k]
+                exact = np.einsum("qrd,qd->qr", vectors[first], queries.vectors[some])
+                bar = np.partition(exact, 3 * k, axis=1)[:, 3 * k]
+            guess += error
             for i in range(own):
-                at = np.flatnonzero(guess[i] + error[i] >= bar[i]) + b
+                at = np.flatnonzero(guess[i] >= bar[i])
                 if not len(at):
                     continue
-                exact = (vectors[at] * queries.vectors[a + i]).sum(axis=1)
+                at += b
+                exact = np.einsum("rd,d->r", vectors[at], queries.vectors[a + i])
                 at, exact = np.concatenate((found[i][0], at)), np.concatenate((found[i][1], exact))
                 if len(at) > k:
                     keep = np.lexsort((at, -exact))[:k]
