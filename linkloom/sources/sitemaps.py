@@ -18,11 +18,44 @@ LOC = r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"
 CHILD = r"(?s)<sitemap(?:\s[^>]*)?>(.*?)</sitemap\s*>"
 
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp);"
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _character(code: Column) -> Column:
+    """The character with a code point, from its UTF-8 bytes; none beyond the last one."""
+
+    def byte(lead: int, shift: int, mask: int = 0x3F) -> Column:
+        return F.hex(F.lit(lead) + F.shiftright(code, shift).bitwiseAND(F.lit(mask)))
+
+    tail = [byte(0x80, shift) for shift in (12, 6, 0)]
+    encoded = (
+        F.when(code < 0x80, F.lpad(F.hex(code), 2, "0"))
+        .when(code < 0x800, F.concat(byte(0xC0, 6, 0x1F), tail[2]))
+        .when(code < 0x10000, F.concat(byte(0xE0, 12, 0x0F), *tail[1:]))
+        .when(code < 0x110000, F.concat(byte(0xF0, 18, 0x07), *tail))
+        .otherwise("")
+    )
+    return F.decode(F.unhex(encoded), "UTF-8")
+
+
+def _decoded(text: Column) -> Column:
+    """Each reference of a text replaced once by what it stands for."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({REFERENCE}|(?:(?!{REFERENCE}).)+)"), F.lit(1))
+
+    def read(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        out = F.when(part.rlike("^&#[0-9xX][0-9a-fA-F]*;$"), _character(code))
+        for entity, char in NAMED.items():
+            out = out.when(part == entity, F.lit(char))
+        return out.otherwise(part)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, read), "")).otherwise(text)
+
+
 def _loc_text(raw: Column) -> Column:
-    plain = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return strip(plain)
+    return strip(_decoded(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
 
 
 def locations(xml: Column) -> Column:

@@ -173,3 +173,14 @@ def test_edges_stay_where_they_are(spark):
     scan = next(i for i, line in enumerate(lines) if "InMemoryTableScan" in line)
     above = lines[scan - 3 : scan]
     assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+
+
+def test_references_in_sitemaps(spark):
+    from linkloom.sources.sitemaps import locations
+
+    cases = [
+        ("a&#38;b", "a&b"), ("a&#x26;amp;b", "a&amp;b"), ("&amp;#38;", "&#38;"), ("&#233;&#x4e2D;&#128512;", "é中😀"),
+        ("&lt;&gt;&quot;&apos;&amp;", "<>\"'&"), ("a&b &nosuch; &#; &#xg;", "a&b &nosuch; &#; &#xg;"), ("&#9999999;x", "x"), ("&#65;", "A"),
+    ]
+    df = spark.createDataFrame([(f"<loc>{raw}</loc>",) for raw, _ in cases], "x string")
+    assert [r[0] for r in df.select(locations(F.col("x"))[0]).collect()] == [want for _, want in cases]
