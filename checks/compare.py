@@ -9,12 +9,13 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
 import duckdb
 
-from linkloom.session import build_session
+from linkloom.session import build_session, clean_up
 
 
 def cell(value):
@@ -78,6 +79,7 @@ def main() -> int:
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="linkloom-checks-"),
         }
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -88,6 +90,7 @@ def main() -> int:
             n, found = differences(spark, con, sf, name)
         except Exception:
             n, found = 0, [traceback.format_exc()[-1500:]]
+        clean_up(spark)
         bad += bool(found)
         kind = "DIFF" if found else "ok" if name in ORACLES else "rows"
         print(f"{kind:5} {name} {n} rows {time.time() - begin:.1f}s", *found, sep="\n      " if found else "", flush=True)

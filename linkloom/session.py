@@ -51,9 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+# Folders handed out in this process and not yet removed.
+_handed_out: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; ``clean_up`` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the intermediate tables of this process, once results are written.
+
+    Frames that were read from them are of no use afterwards.
+    """
+    java = spark.sparkContext._jvm
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _handed_out if p not in keep]:
+        place = java.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+        _handed_out.remove(path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from linkloom.session import build_session  # noqa: E402
+from linkloom.session import build_session, clean_up  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clean_up(session)
     session.stop()
 
 

@@ -224,3 +224,19 @@ def test_next_run_has_no_horizon(spark):
     assert got == {1: datetime(2044, 2, 29), 2: datetime(2028, 2, 29), 3: None, 4: datetime(2024, 12, 31)}
     late = {r.site_id: r.next_run_at for r in schedule.next_run(df, at("2096-03-01 00:00:00")).collect()}
     assert late[2] == datetime(2104, 2, 29)
+
+
+def test_intermediate_tables_are_removed(spark, folder):
+    import os
+
+    from linkloom import session
+
+    old, session._handed_out[:] = list(session._handed_out), []
+    try:
+        held = session.cut_lineage(spark.range(3), "held")
+        path = session._handed_out[0]
+        assert held.count() == 3 and os.path.isdir(path)
+        session.clean_up(spark)
+        assert not os.path.isdir(path) and not session._handed_out
+    finally:
+        session._handed_out[:] = old
