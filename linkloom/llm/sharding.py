@@ -82,7 +82,11 @@ def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
 
 
 def assign(keyed: DataFrame, bounds: list[str], key: str, shard: str, slot: str) -> DataFrame:
-    """Deal ``keyed`` out by range once; add the shard and the place in it."""
+    """Deal ``keyed`` out by range once; add the shard and the place in it.
+
+    Whole rows may be passed: they move in that one exchange only, and what is joined
+    to them afterwards, one row per piece and one per shard, is sent to where they lie.
+    """
     passed = [F.when(F.col(key) >= b, 1).otherwise(0) for b in bounds]
     number = sum(passed[1:], passed[0]) if passed else F.lit(0)
     pos, first = fresh(keyed, "pos", "first")
