@@ -67,7 +67,7 @@ def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = Fal
             out.append((key[0], last, None, 1))
             sent += 1
         else:
-            for ts in (t.value // 1000 for t in _in_order(frames, ["ts"])["ts"]):
+            for ts in _in_order(frames, ["_ts"])["_ts"].tolist():
                 if last is not None and ts - last >= step:
                     due = (ts - last) // step - sent
                     out += [(key[0], last, ts, due)] if due > 0 else []
@@ -80,7 +80,9 @@ def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = Fal
 
     kind = events.schema["job_id"].dataType.simpleString()
     timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
-    beats = events.select("job_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("job_id").applyInPandasWithState(
+    # Microseconds, so that no time zone comes into it.
+    times = events.select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts"))
+    beats = times.groupBy("job_id").applyInPandasWithState(
         beat, f"job_id {kind}, _from bigint, _to bigint, heartbeats bigint", "last bigint, sent bigint", "append", timeout
     )
     return beats.select(
