@@ -15,7 +15,7 @@ from linkloom.functions.urls import normalize_url, site_key, url_host
 from linkloom.operators.dedup import dedup_url
 from linkloom.operators.extract import extract_pages, score_pages
 from linkloom.schemas import table_schema
-from linkloom.session import shared_path
+from linkloom.session import cut_lineage, shared_path
 from linkloom.sources.pages import read_page_stream, scan_pages
 
 # Category paths plus one that only looks like one, and none.
@@ -535,6 +535,7 @@ def pieces(rows: DataFrame, name: str, order: str, n: int) -> str:
     Written one after the other: a file stream goes by the age of the files.
     """
     out = shared_path(rows.sparkSession, f"{name}-pieces")
+    rows = cut_lineage(rows, name)
     shares = [F.percentile_approx(F.col(order), k / n) for k in range(1, n)]
     bounds = rows.agg(*shares).first()
     for k in range(n):

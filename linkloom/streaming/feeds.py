@@ -5,9 +5,11 @@ What a feed remembers is kept in the engine's state store, by job or by site.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -46,8 +48,13 @@ def enqueue_dedup(triggers: DataFrame, delay: str | None = None) -> DataFrame:
     return _first_per(keyed, ["idempotency_key"], delay)
 
 
-def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
+def _joined(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    all_ = list(frames)
+    return all_[0] if len(all_) == 1 else pd.concat(all_, ignore_index=True)
+
+
+def _plain(value):
+    return value if not isinstance(value, float) else None if math.isnan(value) else int(value)
 
 
 def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = False) -> DataFrame:
@@ -67,7 +74,7 @@ def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = Fal
             out.append((key[0], last, None, 1))
             sent += 1
         else:
-            for ts in _in_order(frames, ["_ts"])["_ts"].tolist():
+            for ts in sorted(_joined(frames)["_ts"].tolist()):
                 if last is not None and ts - last >= step:
                     due = (ts - last) // step - sent
                     out += [(key[0], last, ts, due)] if due > 0 else []
@@ -109,19 +116,20 @@ def progress_feed(rows: DataFrame) -> DataFrame:
     known = StructType([fields[c] for c in STATE])
 
     def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found = _in_order(frames, ["ts", "event_id"])
-        values = found[STATE].astype(object).where(found[STATE].notna(), None)
+        found = _joined(frames)
+        # Plain lists: most jobs have a few rows a batch. Numbers with gaps come as floats.
+        values = list(zip(*([_plain(v) for v in found[c].tolist()] for c in STATE)))
         last = tuple(state.get) if state.exists else None
         keep = []
-        for own in values.itertuples(index=False, name=None):
-            own = tuple(int(v) if isinstance(v, float) else v for v in own)
-            keep.append(own != last)
-            last = own
+        for i in np.lexsort((found["event_id"].to_numpy(), found["ts"].to_numpy())).tolist():
+            if values[i] != last:
+                keep.append(i)
+                last = values[i]
         if last[-1] in FINISHED:
             state.remove()
         else:
             state.update(last)
-        yield found[keep]
+        yield found.iloc[keep]
 
     return rows.groupBy("job_id").applyInPandasWithState(
         changed, fields, known, "append", GroupStateTimeout.NoTimeout
