@@ -275,11 +275,17 @@ def sitemap_docs(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("<sitemap><loc>https://maps.example/"), (page + step).cast("string"), F.lit(".xml</loc><lastmod>x</lastmod></sitemap>")
         )
 
+    def written(u: Column) -> Column:
+        """An address as XML has it; some characters as numbers."""
+        plain = F.replace(u, F.lit("&"), F.lit("&amp;"))
+        numbers = F.replace(F.replace(plain, F.lit("en"), F.lit("&#101;&#x6E;")), F.lit("/de"), F.lit("&#47;de"))
+        return F.when(page % 3 == 0, numbers).otherwise(plain)
+
     kind = page % 8
     listed = F.array_join(
         F.transform(
             F.col("links"),
-            lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("/ </loc><image:loc>https://i.example/x</image:loc></url>")),
+            lambda u: F.concat(F.lit("<url><loc> "), written(u), F.lit("/ </loc><image:loc>https://i.example/x</image:loc></url>")),
         ),
         "",
     )
