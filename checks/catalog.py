@@ -1041,6 +1041,15 @@ def _(spark, sf):
     return upserted.select("id", "site_id", "cron_expression", "is_active", "next_run_at")
 
 
+@query(
+    "schedule_delete",
+    "SELECT id, site_id, cron_expression FROM schedules WHERE site_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000)",
+)
+def _(spark, sf):
+    gone = V.table(spark, sf, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").alias("site_id"))
+    return rewrites.delete_schedules(V.schedules(spark, sf), gone).select("id", "site_id", "cron_expression")
+
+
 @query(
     "expired_leases",
     f"""SELECT id, CASE WHEN lost THEN 'failed' ELSE status END AS status, CASE WHEN lost THEN TIMESTAMP '{V.NOW}' ELSE available_at END AS available_at,
