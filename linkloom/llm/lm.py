@@ -1,22 +1,21 @@
 """Language-model scores from a weighted backoff automaton.
 
 Words and runs of up to ``ORDER`` words are counted over all training rows. Word
-counts are never pruned. A longer run becomes an arc if it makes up at least one in
-``1 / ARC_SHARE`` training tokens and occurs twice: so there are at most that many
-arcs, at any size of the corpus, and the automaton may be sent to every task. With
-absolute discounting,
+counts are never pruned, and a longer run is an arc if it is seen ``LEAST`` times, at
+any size of the corpus. With absolute discounting,
 
     p(w) = (c(w) - d) / N, and d V / N for the unknown word,
     p(w | h) = (c(h w) - D) / c(h) + b(h) p(w | h'),   if h w is an arc, else b(h) p(w | h'),
 
-where h' is h without its first word and b(h) is what the arcs of h leave of 1. A state
-is a run that is a context; it has its arcs, and a failure arc of weight log b(h) to h'.
-A text is read once from left to right: the state is carried from word to word, failing
-as long as there is no arc. Words below ``WORD_SHARE`` of all tokens have no arcs: they
-fail to the root, and their counts are joined in by hash, so the vocabulary has no bound
-and no frequent word is ever a join key.
+where h' is h without its first word and b(h) is what the arcs of h leave of 1. A walk
+through the automaton takes an arc of weight log p(w | h) or fails to h' by log b(h).
+Every arc has its shorter arcs, too, so the walk is a sum over the runs of a text: each
+arc adds its weight over that of failing, and its own failure weight for the next word.
+Weights are tables by hash. Those of words that make up ``WORD_SHARE`` of all tokens and
+of runs that make up ``ARC_SHARE`` are sent to every task, at most one in the inverse, so
+no frequent word or run is a join key; all others are joined in by hash.
 
-Words are known by 64-bit hashes. Defined cases: a null text is empty and has the end
+Words and runs are known by 64-bit hashes. Defined cases: a null text is empty and has the end
 as its only token; null ids count as the empty id in the split; repeated rows are
 counted and scored one by one; without training rows all words are unknown, N is 0, and
 scores are null where they are the log of nothing.
@@ -39,12 +38,17 @@ from linkloom.session import cut_lineage
 ORDER = 3
 WORD_SHARE = 2.0**-20
 ARC_SHARE = 2.0**-18
+#: Times a run must be seen to be kept, at any size of the corpus.
+LEAST = 2
 DISCOUNT = 0.5
 #: Bytes of text turned into numbers at a time, and counts a task holds before it hands them on.
 STEP = 1 << 22
 HELD = 1 << 21
+#: Bits of a run's hash that name its bucket, at least.
+BITS = 9
 
 #: Neither holds a character of a word.
+START = xxhash.xxh64_intdigest(b" ")
 END = xxhash.xxh64_intdigest(b"\n")
 
 
@@ -127,149 +131,240 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tally.flush()
 
 
-class Automaton:
-    """States, arcs and failure arcs; words are numbers from 0, the start is the last.
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a run from those of its first and its last words, all but one."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    ``levels[n - 2]`` has the kept runs of ``n`` words: a run is the pair of its first
-    ``n - 1`` and its last ``n - 1`` words, each by its number one level below.
-    """
-
-    def __init__(self, x: np.ndarray, counts: np.ndarray, total: int, kinds: int, starts: int, discount: float):
-        order = np.argsort(x)
-        self.x, self.counts = x[order], counts[order].astype(np.float64)
-        self.total, self.kinds, self.starts, self.discount = total, kinds, starts, discount
-        self.start = len(self.x)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word, -1 if it has none."""
-        if not len(self.x):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.x, hashes), len(self.x) - 1)
-        return np.where(self.x[at] == hashes, at, -1)
-
-    def grown(self, own: np.ndarray, level: int) -> np.ndarray:
-        """Numbers of the runs that end at each place, from those one level below."""
-        keys = pairs(own)
-        kept = self.levels[level][0]
-        if not len(kept):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-        return np.where(kept[at] == keys, at, -1)
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.levels.append((keys[order], counts[order].astype(np.float64)))
-
-    def build(self) -> None:
-        """States as lists [arcs, weight of the failure arc, where it leads, weight of
-        failing to the root]; arcs go from a word to (weight, next state).
-
-        A run without arcs of its own is no state: failing from it would cost nothing, so
-        what leads to it leads on to the run without its first word.
-        """
-        n = len(self.x)
-        weights = [np.append((self.counts - self.discount) / max(self.total, 1), 0.0)]
-        last = [np.append(np.arange(n), n)]  # last word of each run
-        context = np.append(self.counts, float(self.starts))
-        left_over = []
-        for keys, counts in self.levels:
-            left, right = keys >> 32, keys & 0xFFFFFFFF
-            gain = (counts - DISCOUNT) / context[left]
-            left_over.append(np.clip(1 - np.bincount(left, gain, len(context)), 1e-12, 1.0))
-            weights.append(gain + left_over[-1][left] * weights[-1][right])
-            last.append(last[-1][right])
-            context = counts
-        root: list = [{}, 0.0, None, 0.0]
-        states = []  # of the runs of each length
-        shorter = [root] * (n + 1)  # of each run, the state without its first word
-        for (keys, _), over in zip(self.levels, left_over):
-            own = list(shorter)
-            contexts = np.unique(keys >> 32)
-            for run, log in zip(contexts.tolist(), np.log10(over[contexts]).tolist()):
-                own[run] = [{}, log, shorter[run], log + shorter[run][3]]
-            states.append(own)
-            shorter = [own[run] for run in (keys & 0xFFFFFFFF).tolist()]
-        states.append(shorter)
-        logs = np.log10(np.maximum(weights[0][:n], 1e-300)).tolist()
-        root[0] = {word: (log, states[0][word]) for word, log in enumerate(logs)}
-        for m, (keys, _) in enumerate(self.levels, 1):
-            arcs = zip((keys >> 32).tolist(), last[m].tolist(), np.log10(weights[m]).tolist(), states[m])
-            for run, word, log, state in arcs:
-                states[m - 1][run][0][word] = (log, state)
-        self.root, self.begin = root, states[0][n]
-
-    def score(self, text: np.ndarray) -> float:
-        """Log10 of the text's probability, but for the unigrams of words below 0."""
-        state, total = self.begin, 0.0
-        for a in range(0, len(text), STEP):
-            for word in text[a : a + STEP].tolist():
-                if word < 0:
-                    total += state[3]
-                    state = self.root
-                    continue
-                arc = state[0].get(word)
-                while arc is None:
-                    total += state[1]
-                    state = state[2]
-                    arc = state[0].get(word)
-                total += arc[0]
-                state = arc[1]
-        return total
-
-
-def pairs(own: np.ndarray) -> np.ndarray:
-    """Keys of neighbouring runs; -1 where one of them has no number."""
-    keys = np.full(len(own), -1, np.int64)
-    good = (own[1:] >= 0) & (own[:-1] >= 0)
-    keys[1:][good] = (own[:-1][good] << 32) | own[1:][good]
-    return keys
-
-
-def lined_up(codes: list[np.ndarray], own: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Texts in a row as word numbers, each between a start and an end."""
+def runs_of(codes: list[np.ndarray], hashes: np.ndarray, order: int) -> Iterator[tuple]:
+    """For each length from 2: it, first and last words of all runs, the runs, and the
+    place of each one's text. A text stands between a start and an end."""
+    ends = np.array([START, END], np.uint64)
     parts = []
     for text in codes:
-        parts += [[start], own[text] if len(text) else [], [end]]
-    return np.concatenate(parts).astype(np.int64)
+        parts += [ends[:1], hashes[text] if len(text) else ends[:0], ends[1:]]
+    x = np.concatenate(parts)
+    place = np.repeat(np.arange(len(codes)), [len(text) + 2 for text in codes])
+    for n in range(2, order + 1):
+        left, right = x[:-1], x[1:]
+        x = mixed(left, right)
+        ok = place[: len(x)] == place[n - 1 :]
+        yield n, left[ok], right[ok], x[ok], place[: len(x)][ok]
+
+
+def cut(x: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted hashes by their first ``bits`` bits, and where each lies."""
+    own = (x >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    for a, b in zip(at.tolist(), np.append(at[1:], len(own)).tolist()):
+        yield int(own[a]), slice(a, b)
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that hold bytes as batches of about ``STEP`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
+        if size > STEP:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """(raw) of the training rows -> the automaton, and the counts (x, c) of all words."""
-    counts = cut_lineage(
-        docs.mapInArrow(count_words, "x long, n long").groupBy("x").agg(F.sum("n").alias("c")), "word-counts"
-    )
-    of = lambda c: F.coalesce(F.sum(F.when(F.col("c") == c, 1)), F.lit(0))
-    r = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), of(1).alias("one"), of(2).alias("two")).first()
-    discount = r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5
-    often = counts.where(F.col("c") >= max(1, math.ceil(r.n * WORD_SHARE))).toArrow()
-    x = often.column("x").to_numpy().view(np.uint64)
-    c = often.column("c").to_numpy()
-    starts = int(c[x == np.uint64(END)].sum()) or (counts.where(F.col("x") == signed(END)).agg(F.sum("c")).first()[0] or 0)
-    model = Automaton(x, c, r.n, r.v, starts, discount)
-    least = max(2, math.ceil(r.n * ARC_SHARE))
-    frequent = np.append(model.counts >= least, True)
-    for level in range(order - 1):
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tally = Tally()
-            end = model.words(np.array([END], np.uint64))[0]
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Runs (hash, first words, last words, count), each once and sorted by hash."""
+    x, left, right, counts = (np.concatenate(c) for c in zip(*parts))
+    x, first, inverse = np.unique(x, return_index=True, return_inverse=True)
+    return x, left[first], right[first], np.bincount(inverse, counts, len(x)).astype(np.int64)
+
+
+def counted_runs(docs: DataFrame, order: int, bits: int) -> DataFrame:
+    """(raw) -> n, x, l, r, c: all runs of 2 to ``order`` words seen ``LEAST`` times.
+
+    Tasks hand on what they counted as bytes by bucket, so that no run is a row before
+    it is known to be kept.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("l", pa.binary()), ("r", pa.binary()), ("c", pa.binary())])
+
+    def handed(n: int, parts: list[tuple]) -> Iterator[tuple]:
+        x, left, right, counts = added(parts)
+        for bucket, at in cut(x, bits):
+            yield bucket, n, left[at].tobytes(), right[at].tobytes(), counts[at].astype(np.uint32).tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            held: dict[int, list[tuple]] = {n: [] for n in range(2, order + 1)}
             for batch in batches:
                 raws = batch.column(0).to_pylist()
                 for group in groups(raws):
-                    codes, hashes = numbered([raws[i] or b"" for i in group])
-                    own = lined_up(codes, model.words(hashes), model.start, end)
-                    own[(own >= 0) & ~frequent[own]] = -1
-                    for below in range(level):
-                        own = model.grown(own, below)
-                    keys = pairs(own)
-                    yield from tally.add(keys[keys >= 0])
-            yield from tally.flush()
+                    for n, left, right, x, _ in runs_of(*numbered([raws[i] or b"" for i in group]), order):
+                        held[n].append(added([(x, left, right, np.ones(len(x)))]))
+                        if sum(len(p[0]) for p in held[n]) > HELD:
+                            yield from handed(n, held[n])
+                            held[n] = []
+            for n, parts in held.items():
+                if parts:
+                    yield from handed(n, parts)
+
+        yield from batched(rows(), schema)
+
+    def fold(table: pa.Table) -> pa.Table:
+        out = []
+        lengths = table.column("n").to_numpy()
+        for n in range(2, order + 1):
+            own = table.filter(pa.array(lengths == n))
+            left, right = (np.frombuffer(b"".join(own.column(c).to_pylist()), np.uint64) for c in ("l", "r"))
+            counts = np.frombuffer(b"".join(own.column("c").to_pylist()), np.uint32)
+            x, left, right, counts = added([(mixed(left, right), left, right, counts)])
+            kept = counts >= LEAST
+            out.append((np.full(kept.sum(), n, np.int32), *(v[kept].view(np.int64) for v in (x, left, right, counts))))
+        return pa.table([np.concatenate(c) for c in zip(*out)], ["n", "x", "l", "r", "c"])
+
+    handed_on = docs.mapInArrow(count, "bucket long, n int, l binary, r binary, c binary")
+    return handed_on.groupBy("bucket").applyInArrow(fold, "n int, x long, l long, r long, c long")
+
+
+def weighted(words: DataFrame, runs: DataFrame, order: int) -> list[DataFrame]:
+    """(x, c, p) of words and the runs -> (x, c, v) for each length from 1.
+
+    ``v`` is what a run adds to the score wherever it stands in a text: the log of its
+    own weight over that of failing to the run without its first word, and the log of
+    its failure weight for the word that follows. So v of all runs of a text that are
+    kept adds up to the walk through the automaton.
+    """
+    below = words.withColumn("own", F.coalesce(F.log10("p"), F.lit(0.0)))
+    out = []
+    for n in range(2, order + 2):
+        arcs = runs.where(F.col("n") == n).drop("n")
+        taken = arcs.groupBy("l").agg(F.sum(F.col("c") - DISCOUNT).alias("taken"))
+        left_over = F.greatest(F.least(1 - F.col("taken") / F.col("c"), F.lit(1.0)), F.lit(1e-12))
+        below = below.join(taken.withColumnRenamed("l", "x"), "x", "left").withColumn("over", F.coalesce(left_over, F.lit(1.0)))
+        below = below.select("x", "c", "p", "over", (F.col("own") + F.log10("over")).alias("v"))
+        below = cut_lineage(below, f"lm-weights-{n - 1}")
+        out.append(below.select("x", "c", "v"))
+        if n <= order:
+            context = below.select(F.col("x").alias("l"), F.col("c").alias("l_c"), F.col("over").alias("l_over"))
+            shorter = below.select(F.col("x").alias("r"), F.col("p").alias("r_p"))
+            arcs = arcs.join(context, "l").join(shorter, "r")
+            p = (F.col("c") - DISCOUNT) / F.col("l_c") + F.col("l_over") * F.col("r_p")
+            arcs = arcs.withColumn("p", p)
+            own = F.log10("p") - F.log10("l_over") - F.log10("r_p")
+            below = arcs.select("x", "c", "p", own.alias("own"))
+    return out
+
+
+class Often:
+    """Values of frequent words or runs, by hash."""
+
+    def __init__(self, rows: pa.Table):
+        x = rows.column("x").to_numpy().view(np.uint64)
+        order = np.argsort(x)
+        self.x = x[order]
+        self.counts = rows.column("c").to_numpy()[order].astype(np.float64)
+        self.v = rows.column("v").to_numpy()[order]
 
-        runs = docs.mapInArrow(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("c"))
-        kept = runs.where(F.col("c") >= least).toArrow()
-        model.add(kept.column("x").to_numpy(), kept.column("c").to_numpy())
-    return model, counts
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 if it has none."""
+        if not len(self.x):
+            return np.full(len(x), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.x, x), len(self.x) - 1)
+        return np.where(self.x[at] == x, at, -1)
+
+
+class Model:
+    """Weights of all words and runs as tables; of frequent ones also as arrays."""
+
+    def __init__(self, docs: DataFrame, order: int = ORDER):
+        counts = cut_lineage(
+            docs.mapInArrow(count_words, "x long, n long").groupBy("x").agg(F.sum("n").alias("c")), "word-counts"
+        )
+        of = lambda c: F.coalesce(F.sum(F.when(F.col("c") == c, 1)), F.lit(0))
+        r = counts.agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), of(1).alias("one"), of(2).alias("two"),
+            F.coalesce(F.sum(F.when(F.col("x") == signed(END), F.col("c"))), F.lit(0)).alias("starts"),
+        ).first()
+        self.total, self.kinds, self.order = r.n, r.v, order
+        self.discount = r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5
+        self.bits = max(BITS, math.ceil(math.log2(max(1, r.n * order / HELD))))
+        runs = cut_lineage(counted_runs(docs, order, self.bits), "lm-runs")
+        start = docs.sparkSession.range(1 if r.starts else 0, numPartitions=1).select(
+            F.lit(signed(START)).alias("x"), F.lit(r.starts).cast("long").alias("c"), F.lit(None).cast("double").alias("p")
+        )
+        words = counts.withColumn("p", (F.col("c") - self.discount) / max(r.n, 1)).unionByName(start)
+        tables = weighted(words, runs, order)
+        begin = tables[0].where(F.col("x") == signed(START)).first()
+        self.begin = begin.v if begin else 0.0
+        self.words = tables[0].where(F.col("x") != signed(START))
+        self.often = Often(self.words.where(F.col("c") >= max(1, math.ceil(r.n * WORD_SHARE))).toArrow())
+        least = max(LEAST, math.ceil(r.n * ARC_SHARE))
+        runs = tables[1]
+        for more in tables[2:]:
+            runs = runs.unionByName(more)
+        self.often_runs = Often(runs.where(F.col("c") >= least).toArrow())
+        self.rare_runs = runs.where(F.col("c") < least).select("x", "v")
+
+
+def run_scores(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, raw) -> row, more: what the runs that are not frequent add to each text.
+
+    Hashes of runs go to the buckets of the weights as bytes, with the place of their
+    text in its group; sums come back to the group.
+    """
+    bits, order, often = model.bits, model.order, model.often_runs
+    schema = pa.schema([("bucket", pa.int64()), ("head", pa.int64()), ("x", pa.binary()), ("at", pa.binary())])
+    sums = pa.schema([("head", pa.int64()), ("row", pa.binary()), ("more", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                raws = batch.column(1).to_pylist()
+                for group in groups(raws):
+                    whole = np.array(group)
+                    # Files are read together, so numbers of one task's rows may be far apart.
+                    for high in np.unique(ids[whole] >> 33):
+                        own = whole[ids[whole] >> 33 == high]
+                        head = int(ids[own].min())
+                        for _, _, _, x, place in runs_of(*numbered([raws[i] for i in own]), order):
+                            rest = often.find(x) < 0
+                            x, place = x[rest], place[rest]
+                            turn = np.argsort(x)
+                            x, place = x[turn], (ids[own] - head)[place[turn]]
+                            for bucket, at in cut(x, bits):
+                                yield bucket, head, x[at].tobytes(), place[at].astype(np.uint32).tobytes()
+
+        yield from batched(rows(), schema)
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        x = known.column("x").to_numpy().view(np.uint64)
+        turn = np.argsort(x)
+        x, v = x[turn], known.column("v").to_numpy()[turn]
+        out = []
+        if len(x):
+            for head, own, place in zip(*(asked.column(c).to_pylist() for c in ("head", "x", "at"))):
+                own, place = np.frombuffer(own, np.uint64), np.frombuffer(place, np.uint32)
+                at = np.minimum(np.searchsorted(x, own), len(x) - 1)
+                good = x[at] == own
+                rows, inverse = np.unique(place[good], return_inverse=True)
+                if len(rows):
+                    out.append((head, rows.tobytes(), np.bincount(inverse, v[at[good]]).tobytes()))
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(sums.types)], schema=sums)
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("row").to_pylist()), np.uint32)
+        rows, inverse = np.unique(rows, return_inverse=True)
+        more = np.bincount(inverse, np.frombuffer(b"".join(table.column("more").to_pylist()), np.float64))
+        return pa.table([pa.array(rows.astype(np.int64) + table.column("head")[0].as_py()), pa.array(more)], ["row", "more"])
+
+    asked = texts.select("row", "raw").mapInArrow(ask, "bucket long, head long, x binary, at binary")
+    known = model.rare_runs.withColumn("bucket", F.shiftrightunsigned("x", 64 - bits))
+    answered = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "head long, row binary, more binary")
+    return answered.groupBy("head").applyInArrow(fold, "row long, more double")
 
 
 def raw_text() -> Column:
@@ -279,46 +374,53 @@ def raw_text() -> Column:
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score; learns from the rows that are not held out."""
-    model, counts = train(docs.where(~held_out).select(raw_text()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    model = Model(docs.where(~held_out).select(raw_text()))
+    # Rows keep their number while they are read twice.
+    texts = cut_lineage(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), raw_text()), "lm-texts"
+    )
     n, v = model.total, model.kinds
     base = n + 0.1 * (v + 1)
     unknown = model.discount * v / n if n else 0.0
+    often, often_runs, begin, order = model.often, model.often_runs, model.begin, model.order
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.build()
         # The end is a word like any other; here it may be too rare to have a number.
-        end = model.words(np.array([END], np.uint64))[0]
+        end = often.find(np.array([END], np.uint64))[0]
+        logs = np.append(np.log10(often.counts + 0.1), 0.0)
+        values = np.append(often.v, 0.0)
+        of_runs = np.append(often_runs.v, 0.0)
         for batch in batches:
             raws = batch.column(3).to_pylist()
             for group in groups(raws):
                 codes, hashes = numbered([raws[i] for i in group])
-                own = model.words(hashes)
-                logs = np.where(own >= 0, np.log10((model.counts[own] if len(model.counts) else own * 0.0) + 0.1), 0.0)
-                end_log = math.log10(model.counts[end] + 0.1) if end >= 0 else 0.0
-                tokens, known, bases, scores, rare, often = [], [], [], [], [], []
-                for text in codes:
-                    ids = own[text]
-                    low = np.unique(hashes[text[ids < 0]], return_counts=True)
+                own = often.find(hashes)
+                scores = np.full(len(group), begin)
+                for _, _, _, x, place in runs_of(codes, hashes, order):
+                    scores += np.bincount(place, of_runs[often_runs.find(x)], len(group))
+                tokens, known, bases, rare, times = [], [], [], [], []
+                for i, text in enumerate(codes):
+                    ids = np.append(own[text], end)
+                    low = np.unique(hashes[text[ids[:-1] < 0]], return_counts=True)
                     if end < 0:
                         low = np.append(low[0], np.uint64(END)), np.append(low[1], 1)
-                    tokens.append(len(text) + 1)
-                    known.append(int((ids >= 0).sum()) + int(end >= 0))
-                    bases.append(float(logs[text].sum()) + end_log)
-                    scores.append(model.score(np.append(ids, end)))
+                    tokens.append(len(ids))
+                    known.append(int((ids >= 0).sum()))
+                    bases.append(float(logs[ids].sum()))
+                    scores[i] += values[ids].sum()
                     rare.append(low[0].view(np.int64))
-                    often.append(low[1])
+                    times.append(low[1])
                 rows = pa.array(group)
                 yield pa.record_batch(
                     [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(tokens, pa.int64()),
                      pa.array(known, pa.int64()), pa.array(bases), pa.array(scores),
-                     pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
+                     pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "rare", "often"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), raw_text())
     read_rows = cut_lineage(
-        rows.mapInArrow(
+        texts.mapInArrow(
             read,
             f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double,"
             " rare array<long>, often array<long>",
@@ -326,15 +428,15 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         "lm-rows",
     )
     each = read_rows.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w"))
-    each = each.select("row", F.col("w.rare").alias("x"), F.col("w.often").alias("k")).join(counts, "x", "left")
+    each = each.select("row", F.col("w.rare").alias("x"), F.col("w.often").alias("k")).join(model.words, "x", "left")
     rest = each.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("known_more"),
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base_more"),
-        F.sum(F.col("k") * F.log10(F.coalesce((F.col("c") - model.discount) / n, F.lit(unknown)))).alias("lm_more"),
+        F.sum(F.col("k") * F.coalesce(F.col("v"), F.log10(F.lit(unknown)))).alias("lm_more"),
     )
-    out = read_rows.drop("rare", "often").join(rest, "row", "left")
+    out = read_rows.drop("rare", "often").join(rest, "row", "left").join(run_scores(texts, model), "row", "left")
     nought = F.lit(0)
-    score = F.col("lm") + F.coalesce("lm_more", nought)
+    score = F.col("lm") + F.coalesce("lm_more", nought) + F.coalesce("more", nought)
     return out.select(
         "doc_id",
         "held_out",

@@ -211,6 +211,29 @@ def test_lm_automaton_is_the_model(spark):
         assert sum(p(history, w) for w in [*one, "zz"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("share", [1.0, 2.0**-6])
+def test_lm_keeps_rare_runs_of_big_corpora(spark, monkeypatch, share):
+    # As when the corpus is so big that few words or runs make up their share of it.
+    monkeypatch.setattr(lm, "ARC_SHARE", share)
+    monkeypatch.setattr(lm, "WORD_SHARE", share)
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    more = [["a", "b", "zz", "a"], ["zz"], [], [rng.choice("abcdefghij") for _ in range(400)]]
+    every = [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(more))]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in every], "doc_id long, text string").repartition(3)
+    # Tasks read several files.
+    packed = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in packed.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r.doc_id: r for r in lm.scored(frame, F.col("doc_id") >= 1000).collect()}
+    finally:
+        for key in packed:
+            spark.conf.unset(key)
+    _, score, _ = plain_lm(texts)
+    assert {i: r.score for i, r in got.items()} == {i: pytest.approx(score(t), abs=1e-6) for i, t in every}
+
+
 def test_lm_of_nothing(docs, none):
     assert lm.scored(none, F.lit(False)).collect() == []
     all_out = lm.scored(docs, F.lit(True)).collect()
