@@ -6,20 +6,34 @@ and c in common (repeats counted), Dice is 2c / (a + b); it can reach ``LEAST``
 a / b lies between LEAST / (2 - LEAST) and its inverse, so other templates are pruned
 by size before any bigram is looked at. Of each unit the best template is kept.
 
+A notice inside a longer line, or wrapped in other text, is a span: a run of words that
+begins and ends in a template's bigrams, across line ends, of a length that can reach
+``LEAST``. Of spans and matching units that overlap, the one with most common bigrams
+times Dice is kept; units are always reported. The unit of a span is the line it begins
+in, so a line can be reported several times.
+
 Defined cases: a null or empty text has no unit that matches; ties go to the first
 template by name; repeated rows are reported one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import Counter
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import table
+from linkloom.session import cut_lineage
 
 LEAST = 0.8
 #: Templates are broadcast up to this many bytes of text; beyond, joined by shuffle.
 BROADCAST_BYTES = 1 << 20
+#: Texts are looked through for up to this many bigrams that a match needs.
+NEEDED = 256
 
 # Public licence notices.
 TEMPLATES = {
@@ -75,8 +89,78 @@ def units(docs: DataFrame, text: str) -> DataFrame:
     return out.select(*kept, unit.alias("unit"), words(F.col("line")).alias("words"))
 
 
+def needed(templates: dict[str, str], least: float) -> list[str]:
+    """Bigrams of which any text that matches a template has one.
+
+    A match at ``least`` has at least b * least / (2 - least) of a template's b bigrams,
+    so it cannot be without all of some that make up more than the rest.
+    """
+    out: set[str] = set()
+    for text in templates.values():
+        own = normal_words(text)
+        count = Counter(f"{x} {y}" for x, y in zip(own, own[1:]))
+        b = sum(count.values())
+        spare = b - math.ceil(b * least / (2 - least) - 1e-9)
+        for bigram in sorted(count, key=lambda x: (x not in out, -len(x), x)):
+            if spare < 0:
+                break
+            out.add(bigram)
+            spare -= count[bigram]
+    return sorted(out)
+
+
+def laid_lines(own: DataFrame) -> DataFrame:
+    """Lines that have words, of ``units``, with ``off``, the words of their text before
+    them, and ``next``, the first word after them."""
+    lines = own.where((F.col("unit") >= 0) & (F.element_at("words", 1) != ""))
+    order = Window.partitionBy("mark").orderBy("unit")
+    off = F.coalesce(F.sum(F.size("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("off", off).withColumn("next", F.lead(F.element_at("words", 1)).over(order))
+
+
+def spans(lines: DataFrame, known: DataFrame, longest: int, least: float) -> DataFrame:
+    """Of each template and place in a text where one of its bigrams stands, the best
+    run of words from there that reaches ``least``, across line ends: mark, doc_id,
+    unit (line it begins in), licence, dice, common, first and last word."""
+    low, high = least / (2 - least), (2 - least) / least
+    run = F.when(F.col("next").isNull(), F.col("words")).otherwise(F.concat("words", F.array("next")))
+    each = lines.withColumn("run", run).select("mark", "doc_id", "unit", "off", F.posexplode(bigrams("run")).alias("i", "bigram"))
+    hits = each.withColumn("s", F.col("off") + F.col("i")).join(known, "bigram")
+    # No run that matches is longer than that, so the list has a bound.
+    ahead = Window.partitionBy("mark", "licence").orderBy("s").rangeBetween(0, math.ceil(longest * high))
+    hits = hits.withColumn("n", F.count(F.lit(1)).over(ahead)).withColumn("to_come", F.when(F.col("n") >= F.col("b") * low - 1e-9, F.collect_list(F.struct("s", "bigram", "in_b")).over(ahead)))
+    hits = hits.where(F.col("to_come").isNotNull())
+    seen = lambda k, e: F.size(F.filter(F.slice("to_come", 1, k + 1), lambda x: x["bigram"] == e["bigram"]))
+    counts = F.transform("to_come", lambda e, k: F.struct(e["s"].alias("s"), (seen(k, e) <= e["in_b"]).cast("int").alias("one")))
+    hits = hits.withColumn("to_come", counts)
+    common = lambda k: F.aggregate(F.slice("to_come", 1, k + 1), F.lit(0), lambda c, x: c + x["one"])
+    ends = F.transform("to_come", lambda e, k: F.struct((e["s"] - F.col("s") + 1).alias("a"), common(k).alias("common")))
+    scored = F.transform(
+        "ends", lambda e: F.struct((2 * e["common"] / (e["a"] + F.col("b"))).alias("dice"), (-e["a"]).alias("minus"), e["common"].alias("common"))
+    )
+    best = hits.withColumn("ends", ends).withColumn("best", F.array_max(scored)).where(F.col("best.dice") >= least)
+    last = (F.col("s") - F.col("best.minus")).alias("e")
+    return best.select("mark", "doc_id", "unit", "licence", F.col("best.dice").alias("dice"), F.col("best.common").alias("common"), "s", last)
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """Spans that are left when, of those that overlap, the one with most common bigrams
+    times Dice goes first; units are among ``found`` and win ties, but are not returned."""
+    order = Window.partitionBy("mark").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("s") > F.max("e").over(order), F.lit(True)).cast("int")
+    upto = Window.partitionBy("mark").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    marked = found.withColumn("begins", begins).withColumn("island", F.sum("begins").over(upto))
+    one = F.struct((-F.round(F.col("common") * F.col("dice"), 9)).alias("minus"), "is_span", "licence", "s", "e", "unit", "dice")
+    lists = marked.groupBy("mark", "doc_id", "island").agg(F.sort_array(F.collect_list(one)).alias("list"), F.max("is_span").alias("some"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["s"] <= x["e"]) & (x["s"] <= k["e"]))
+    kept = F.aggregate("list", F.slice("list", 1, 0), lambda got, x: F.when(free(got, x), F.concat(got, F.array(x))).otherwise(got))
+    each = lists.where("some = 1").select("doc_id", F.explode(kept).alias("x")).where("x.is_span = 1")
+    return each.select("doc_id", F.col("x.unit").alias("unit"), F.col("x.licence").alias("licence"), F.col("x.dice").alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(doc_id, text) -> doc_id, unit, licence, dice of each unit that a template matches."""
+    """(doc_id, text) -> doc_id, unit, licence, dice of each unit that a template matches,
+    and of each span that one matches and no better match overlaps."""
     spark = docs.sparkSession
     rows = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(v).alias("t")) for k, v in templates.items()))
     known = spark.range(1, numPartitions=1).select(F.inline(rows)).select("licence", words(normal(F.col("t"))).alias("words"))
@@ -86,19 +170,36 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         known = F.broadcast(known)
     low, high = least / (2 - least), (2 - least) / least
     sizes = [len(normal_words(t)) - 1 for t in templates.values()]
-    own = units(docs.select("doc_id", "text").withColumn("mark", F.monotonically_increasing_id()), "text")
-    own = own.withColumn("a", F.size("words") - 1)
+    texts = docs.select("doc_id", "text")
+    some = needed(templates, least)
+    if len(some) <= NEEDED:
+        flat = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+        has = lambda t: reduce(or_, (F.contains(t, F.lit(f" {x} ")) for x in some))
+        # In a list, so that the text is normalised once.
+        texts = texts.where(F.exists(F.array(flat), has))
+    texts = cut_lineage(texts.withColumn("mark", F.monotonically_increasing_id()), "licence-texts")
+    every = units(texts, "text")
+    own = every.withColumn("a", F.size("words") - 1)
     own = own.where((F.col("a") >= min(sizes) * low) & (F.col("a") <= max(sizes) * high))
     own = own.select("mark", "doc_id", "unit", "a", F.explode(bigrams("words")).alias("bigram"))
     fits = (F.col("a") >= F.col("b") * low) & (F.col("a") <= F.col("b") * high)
     common = own.join(known, "bigram").where(fits)
     common = common.groupBy("mark", "doc_id", "unit", "a", "b", "licence", "bigram", "in_b").agg(F.count(F.lit(1)).alias("in_a"))
-    dice = 2 * F.sum(F.least("in_a", "in_b")) / (F.col("a") + F.col("b"))
-    each = common.groupBy("mark", "doc_id", "unit", "a", "b", "licence").agg(dice.alias("dice")).where(F.col("dice") >= least)
-    best = F.min(F.struct((-F.col("dice")).alias("minus"), "licence")).alias("best")
-    return each.groupBy("mark", "doc_id", "unit").agg(best).select(
-        "doc_id", "unit", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("dice")
+    shared = F.sum(F.least("in_a", "in_b"))
+    dice = 2 * shared / (F.col("a") + F.col("b"))
+    each = common.groupBy("mark", "doc_id", "unit", "a", "b", "licence").agg(dice.alias("dice"), shared.alias("common"))
+    best = F.min(F.struct((-F.col("dice")).alias("minus"), "licence", "common")).alias("best")
+    each = each.where(F.col("dice") >= least).groupBy("mark", "doc_id", "unit").agg(best)
+    matched = cut_lineage(
+        each.select("mark", "doc_id", "unit", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("dice"), F.col("best.common").alias("common")),
+        "licence-units",
     )
+    lines = laid_lines(every)
+    place = lines.select("mark", "unit", F.col("off").alias("s"), (F.col("off") + F.size("words") - 1).alias("e"))
+    whole = matched.where("unit = -1").withColumn("s", F.lit(0).cast("long")).withColumn("e", F.lit(1 << 62).cast("long"))
+    taken = matched.join(place, ["mark", "unit"]).unionByName(whole).withColumn("is_span", F.lit(0))
+    found = spans(lines, known, max(sizes), least).withColumn("is_span", F.lit(1))
+    return matched.select("doc_id", "unit", "licence", "dice").unionByName(apart(found.unionByName(taken)))
 
 
 def normal_words(text: str) -> list[str]:

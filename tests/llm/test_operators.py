@@ -525,6 +525,25 @@ def test_licences(spark, docs, none):
     assert licences.scan(docs).count() == 0 and licences.scan(none).collect() == []
 
 
+def test_licences_inside_other_text(spark):
+    notice = licences.TEMPLATES["Apache-2.0 notice"].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 6]) for i in range(0, len(notice), 6))
+    other = "\n".join("some other line of plain words %d" % i for i in range(40))
+    rows = [
+        (1, "Copyright 2024 Acme. All rights reserved."),
+        (2, f"{other}\n/* This work is licensed\n\n * under the GNU General\n * Public License version 2. */\n{other}"),
+        (3, f"{other}\n{wrapped}\n{other}"),
+        (4, "Acme 2024, all rights reserved. Released under the MIT License. And so on, for many more words than the notice has."),
+        (5, "all rights\nreserved seats"), (6, "anna\nAll rights reserved.\nAll rights reserved.\nrights"),
+        (7, "all rights are reserved under the law of the land"),
+    ]
+    got = sorted((r.doc_id, r.unit, r.licence, round(r.dice, 3)) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [
+        (1, 0, "Reserved", 1.0), (2, 40, "GPL-2.0", 1.0), (3, 40, "Apache-2.0", 0.833), (3, 40, "Apache-2.0 notice", 1.0), (4, 0, "MIT", 1.0), (4, 0, "Reserved", 1.0),
+        (5, 0, "Reserved", 1.0), (6, 1, "Reserved", 1.0), (6, 2, "Reserved", 1.0),
+    ]
+
+
 # SimHash
 
 
