@@ -10,8 +10,8 @@ worked out once for all languages; other windows are followed down the escapes.
 The shortest code names the language.
 
 The trees are learned from a bounded sample of the labelled rows: of each language,
-rows whose hash falls into the share that keeps ``TRAIN_BYTES`` bytes. Texts are
-scored whole, in lower case.
+pieces of texts whose hash falls into the share that keeps ``TRAIN_BYTES`` bytes, and
+the piece of least hash in any case. Texts are scored whole, in lower case.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go
 to the first language by name; without labelled rows every text is ``und``; rows with
@@ -32,6 +32,8 @@ from linkloom.llm.common import remainder, table
 ORDER = 4
 #: Bytes of text a language is learned from.
 TRAIN_BYTES = 1 << 20
+#: Bytes of a text that are drawn together.
+PIECE = 1 << 14
 #: Bytes scored in one step.
 STEP = 1 << 19
 UNKNOWN = "und"
@@ -178,13 +180,18 @@ class Trees:
 
 
 def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, raw, skip): the first ``skip`` bytes are context only."""
     for batch in batches:
         langs = batch.column(0).to_pylist()
         texts = [t or b"" for t in batch.column(1).to_pylist()]
+        skips = batch.column(2).to_pylist()
         for lang in sorted(set(langs)):
-            own = [t for t, at in zip(texts, langs) if at == lang and t]
+            own = [(t, skip) for t, at, skip in zip(texts, langs, skips) if at == lang and t]
             if own:
-                keys, counts = np.unique(windows(*joined(own)), return_counts=True)
+                raw, starts = joined([t for t, _ in own])
+                inner = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+                kept = inner >= np.repeat([skip for _, skip in own], [len(t) for t, _ in own])
+                keys, counts = np.unique(windows(raw, starts)[kept], return_counts=True)
                 yield pa.record_batch(
                     [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)],
                     ["lang", "key", "n"],
@@ -195,26 +202,48 @@ def folded() -> Column:
     return F.encode(F.lower(F.col("text")), "UTF-8")
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], Trees | None]:
-    """Languages and trees from (doc_id, text, lang); rows without either are left out."""
-    known = docs.where("lang is not null and text is not null").select(
-        "lang", F.xxhash64("doc_id", "text").alias("draw"), "text"
+def drawn(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame | None:
+    """The pieces to learn from (doc_id, text, lang), as (lang, raw, skip)."""
+    places = 1 << 30
+    known = docs.where("lang is not null and text is not null and text != ''").select(
+        "lang", F.xxhash64("doc_id", "text").alias("draw"), folded().alias("raw")
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    sizes = {lang: n for lang, n in sizes.items() if n}
+    numbers = lambda raw: F.sequence(F.lit(0), F.floor((F.octet_length(raw) - 1) / PIECE).cast("int"))
+    place = lambda i: F.pmod(F.xxhash64("draw", i), F.lit(places))
+    least = F.array_min(F.flatten(F.transform(F.array("raw"), lambda raw: F.transform(numbers(raw), place))))
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("raw")).alias("n"), F.min(least).alias("least")).collect()
     if not sizes:
+        return None
+    limit = F.lit(0)
+    for r in sizes:
+        # The piece of least hash is always drawn.
+        below = max(int(min(1.0, train_bytes / r.n) * places), r.least + 1)
+        limit = F.when(F.col("lang") == r.lang, F.lit(below)).otherwise(limit)
+
+    def cut(raw: Column) -> Column:
+        kept = F.filter(numbers(raw), lambda i: place(i) < F.col("limit"))
+        skip = lambda i: F.when(i > 0, F.lit(ORDER)).otherwise(0)
+        piece = lambda i: F.substring(raw, i * PIECE + 1 - skip(i), skip(i) + PIECE)
+        return F.transform(kept, lambda i: F.struct(piece(i).alias("raw"), skip(i).alias("skip")))
+
+    # In a list, so that a text is folded once.
+    pieces = F.flatten(F.transform(F.array("raw"), cut))
+    return known.withColumn("limit", limit).select("lang", F.explode(pieces).alias("p")).select("lang", "p.raw", "p.skip")
+
+
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], Trees | None]:
+    """Languages and trees from (doc_id, text, lang); rows without either are left out."""
+    pieces = drawn(docs, train_bytes)
+    if pieces is None:
         return [], None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_bytes / n))).otherwise(share)
-    drawn = known.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
     counts = (
-        drawn.select("lang", folded().alias("raw"))
-        .mapInArrow(count_windows, "lang string, key long, n long")
+        pieces.mapInArrow(count_windows, "lang string, key long, n long")
         .groupBy("lang", "key")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
+    if not len(counts):
+        return [], None
     langs = sorted(set(counts.column("lang").to_pylist()))
     names = np.array(counts.column("lang").to_pylist())
     keys = counts.column("key").to_numpy().view(np.uint64)

@@ -142,6 +142,28 @@ def test_language_id_of_nothing(docs, none):
     assert {300, 301, 302, 303}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+@pytest.mark.parametrize("share", [0.02, 0.0])
+def test_language_of_few_long_texts_is_learned(spark, share):
+    rng = random.Random(9)
+    long = [(i, prose(rng, 40_000, VOCABULARY["ii"]), "ii") for i in range(3)]
+    short = [(10 + i, prose(rng, 50, VOCABULARY["aa"]), "aa") for i in range(200)]
+    frame = spark.createDataFrame(long + short, "doc_id long, text string, lang string")
+    size = sum(len(t.encode()) for _, t, _ in long)
+    langs, trees = langid.train(frame, int(share * size))
+    assert langs == ["aa", "ii"]
+    assert [trees.lengths([prose(rng, 30, VOCABULARY[x]).lower().encode()]).argmin() for x in langs] == [0, 1]
+
+
+def test_drawn_pieces_are_bounded(spark):
+    rng = random.Random(9)
+    long = [(i, prose(rng, 400_000, VOCABULARY["ii"]), "ii") for i in range(2)]
+    frame = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    size = sum(len(r.raw) - r.skip for r in langid.drawn(frame, 1 << 19).collect())
+    assert 1 << 18 < size < 1 << 20
+    every = sum(len(r.raw) - r.skip for r in langid.drawn(frame, 1 << 30).collect())
+    assert every == sum(len(t.encode()) for _, t, _ in long)
+
+
 # Language-model scores
 
 
