@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import langid, licences, lm, mixing, nearest, repeats, rules, sharding, simhash, tiling
+from linkloom.llm import langid, licences, lm, mixing, nearest, partcodes, repair, repeats, rules, sharding, simhash, tiling, topk
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_histogram_shards": sharding.op8,
     "op9_licence_scan": licences.op9,
     "op10_simhash_groups": simhash.op10,
+    "op11_part_codes": partcodes.op11,
+    "op12_greatest_products": topk.op12,
+    "op13_conversation_repair": repair.op13,
 }
 
 ORACLES = {
     "op9_licence_scan": licences.ORACLE,
+    "op11_part_codes": partcodes.ORACLE,
+    "op12_greatest_products": topk.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
     "op4_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source,
