@@ -43,8 +43,10 @@ BLOCK = 16384
 QUERIES, ROWS = 128, 4096
 #: Shares of the turned components after which bounds are taken.
 STAGES = (0.25, 0.5, 0.75)
-#: Bounds give way by this share of the product of the lengths.
-ROUNDING = 1e-9
+#: Pairs are multiplied out once no more than this share is left.
+FEW = 0.01
+#: Sums are taken in 32 bits; bounds give way by this share of the product of the lengths.
+ROUNDING = 1e-5
 
 
 def products(entries: DataFrame, width: int) -> np.ndarray:
@@ -76,27 +78,41 @@ class Turned:
 
     def __init__(self, vectors: np.ndarray, turn: np.ndarray):
         self.vectors = vectors
-        self.turned = vectors @ turn
+        turned = vectors @ turn
         width = turn.shape[0]
-        self.stops = sorted({max(1, round(width * s)) for s in STAGES} - {width}) if width else []
+        #: The last stage is the whole product.
+        self.stops = sorted({max(1, round(width * s)) for s in STAGES} | {width}) if width else []
         self.length = np.sqrt((vectors**2).sum(axis=1).astype(np.float64))
-        self.left = [np.linalg.norm(self.turned[:, s:], axis=1) for s in self.stops]
-
-
-def survivors(queries: Turned, some: slice, rows: Turned, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) whose score may reach the bar, by rising partial sums."""
-    bars = bars - ROUNDING * queries.length[some] * rows.length.max(initial=0) - 1e-6
-    if not queries.stops:
-        return np.nonzero(queries.length[some][:, None] * rows.length >= bars[:, None])
-    begin = queries.stops[0]
-    sums = queries.turned[some, :begin] @ rows.turned[:, :begin].T
-    q, r = np.nonzero(sums + queries.left[0][some][:, None] * rows.left[0] >= bars[:, None])
-    partial = sums[q, r]
-    for stop, left_q, left_r in zip(queries.stops[1:], queries.left[1:], rows.left[1:]):
-        partial += np.einsum("nd,nd->n", queries.turned[some, begin:stop][q], rows.turned[r, begin:stop])
-        good = partial + left_q[some][q] * left_r[r] >= bars[q]
-        q, r, partial, begin = q[good], r[good], partial[good], stop
-    return q, r
+        self.left = [np.linalg.norm(turned[:, s:], axis=1).astype(np.float32) for s in self.stops]
+        self.turned = turned.astype(np.float32)
+
+    def part(self, some: slice) -> Turned:
+        out = Turned.__new__(Turned)
+        out.vectors, out.turned, out.length = self.vectors[some], self.turned[some], self.length[some]
+        out.stops, out.left = self.stops, [left[some] for left in self.left]
+        return out
+
+
+def survivors(queries: Turned, rows: Turned, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) whose score may reach the query's bar, by rising partial sums.
+
+    Rows that no query of the group can use go after each stage; once few pairs are left, those are returned.
+    """
+    bars = (bars - ROUNDING * queries.length * rows.length.max(initial=0) - 1e-3).astype(np.float32)
+    sums = np.zeros((len(bars), len(rows.length)), np.float32)
+    at, begin = np.arange(len(rows.length)), 0
+    ok = np.broadcast_to(bars[:, None] <= 0, sums.shape)
+    for stop, left_q, left_r in zip(queries.stops, queries.left, rows.left):
+        sums += queries.turned[:, begin:stop] @ rows.turned[at, begin:stop].T
+        ok = sums >= bars[:, None] - left_q[:, None] * left_r[at]
+        if np.count_nonzero(ok) < FEW * ok.size:
+            break
+        useful = ok.any(axis=0)
+        if np.count_nonzero(useful) < len(at) / 2:
+            at, sums, ok = at[useful], sums[:, useful], ok[:, useful]
+        begin = stop
+    q, r = np.nonzero(ok)
+    return q, at[r]
 
 
 class Best:
@@ -123,10 +139,11 @@ class Best:
             # Rows too short for every query of the group are not looked at.
             least = (self.bars[some] / np.maximum(queries.length[some], 1e-9)).min()
             end = int(np.searchsorted(-rows.length, ROUNDING * rows.length.max(initial=0) + 1e-6 - least, side="right"))
+            group = queries.part(some)
             for b in range(0, end, ROWS):
-                part = rows_of(rows, slice(b, min(b + ROWS, end)))
-                q, r = survivors(queries, some, part, self.bars[some])
-                scores = np.einsum("nd,nd->n", queries.vectors[some][q], part.vectors[r])
+                part = rows.part(slice(b, min(b + ROWS, end)))
+                q, r = survivors(group, part, self.bars[some])
+                scores = np.einsum("nd,nd->n", group.vectors[q], part.vectors[r])
                 good = scores >= self.bars[some][q]
                 q, r, scores = q[good], r[good], scores[good]
                 at = np.flatnonzero(np.diff(q, prepend=-1))
@@ -135,13 +152,6 @@ class Best:
                     self.add(a + int(q[first]), entries[own], ids[own], scores[first:last])
 
 
-def rows_of(rows: Turned, some: slice) -> Turned:
-    out = Turned.__new__(Turned)
-    out.vectors, out.turned, out.length, out.stops = rows.vectors[some], rows.turned[some], rows.length[some], rows.stops
-    out.left = [left[some] for left in rows.left]
-    return out
-
-
 def laid_out(rows: DataFrame, k: int) -> DataFrame:
     """(vec_id, v) -> entry, least, ids, v, size, x, y: each vector once, by descending length."""
     least = Window.partitionBy("v").orderBy("vec_id")

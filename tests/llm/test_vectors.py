@@ -170,14 +170,14 @@ def test_short_vectors_are_passed_over():
     queries, rows = topk.Turned(vectors[::200], turn), topk.Turned(vectors, turn)
     best = topk.Best(np.full(20, np.iinfo(np.int64).min), 5)
     ids = np.arange(4000)
-    best.read(queries, topk.rows_of(rows, slice(0, 1000)), ids[:1000], ids[:1000])
+    best.read(queries, rows.part(slice(0, 1000)), ids[:1000], ids[:1000])
     bars = best.bars
     multiplied = sum(
-        len(topk.survivors(queries, slice(0, 20), topk.rows_of(rows, slice(b, b + 500)), bars)[0]) for b in range(1000, 4000, 500)
+        len(topk.survivors(queries, rows.part(slice(b, b + 500)), bars)[0]) for b in range(1000, 4000, 500)
     )
     assert multiplied < 0.05 * 20 * 3000
     for b in range(1000, 4000, 500):
-        best.read(queries, topk.rows_of(rows, slice(b, b + 500)), ids[b : b + 500], ids[b : b + 500])
+        best.read(queries, rows.part(slice(b, b + 500)), ids[b : b + 500], ids[b : b + 500])
     exact = queries.vectors @ vectors.T
     for q, (_, found, scores) in enumerate(best.found):
         assert found.tolist() == np.lexsort((ids, -exact[q]))[:5].tolist() and (scores == exact[q][found]).all()
