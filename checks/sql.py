@@ -316,7 +316,10 @@ SELECT * FROM resolved QUALIFY row_number() OVER (PARTITION BY site_id, url ORDE
 CTES["capped"] = """
 SELECT * FROM capped0 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY section_pos, entry_pos) <= 75"""
 CTES["robots"] = f"""
-SELECT id AS site_id, domain AS host, CASE n % 3
+SELECT id AS site_id, domain AS host, CASE CASE n WHEN 25 THEN 9 ELSE n % 3 END
+  WHEN 9 THEN (SELECT string_agg('User-agent: bot' || i, {NL} ORDER BY i) FROM range(1, 100001) t(i)) || {NL} || 'User-agent: *' || {NL} ||
+       (SELECT string_agg(CASE i % 3 WHEN 0 THEN 'Allow: /' ELSE 'Disallow: /' END || lower(to_hex(i)), {NL} ORDER BY i) FROM range(1, 10001) t(i)) || {NL} ||
+       'Allow: /d*e*$' || {NL} || 'Disallow: /*a*b*' || {NL} || 'Sitemap: https://' || domain || '/c.xml'
   WHEN 0 THEN 'User-agent: *' || {NL} || 'Disallow: /x\\E(*[^' || {NL} || 'Disallow: /th' || {NL} || 'Allow: /the$' || {NL} || 'Allow: /tha*n' || {NL} || 'Sitemap: https://' || domain || '/sitemap.xml' || {NL}
   WHEN 1 THEN '# all' || {NL} || 'User-agent: Bot' || {NL} || 'Disallow: /' || {NL} || {NL} || 'User-Agent: other' || {NL} || 'user-agent: *' || {NL} ||
        'Disallow: /*n$ # short' || {NL} || 'Disallow: /de' || {NL} || 'Allow: /de' || {NL} || 'SITEMAP:   https://' || domain || '/a.xml  ' || chr(13) || {NL} ||
@@ -332,7 +335,7 @@ CTES["robot_runs"] = """
 SELECT *, sum(CASE WHEN k = 'user-agent' AND coalesce(before, '') <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS g
 FROM (SELECT *, lag(k) OVER (PARTITION BY host ORDER BY pos) AS before FROM robot_fields WHERE k IN ('user-agent', 'allow', 'disallow'))"""
 CTES["rules"] = r"""
-SELECT host, k = 'allow' AS allow, length(v) AS n,
+SELECT host, k = 'allow' AS allow, length(v) AS n, v, v NOT LIKE '%*%' AND v NOT LIKE '%$' AS plain,
        '^' || replace(regexp_escape(regexp_replace(v, '\$$', '')), '\*', '.*') || CASE WHEN v LIKE '%$' THEN '$' ELSE '' END AS re
 FROM robot_runs r WHERE k <> 'user-agent' AND v <> ''
   AND EXISTS (SELECT 1 FROM robot_runs a WHERE a.host = r.host AND a.g = r.g AND a.k = 'user-agent' AND a.v = '*')"""
@@ -354,7 +357,8 @@ def blocked(urls: str) -> str:
     return f"""
 SELECT url FROM (SELECT u.url, arg_max(r.allow, r.n * 2 + r.allow::INT) AS ok
   FROM (SELECT DISTINCT dst AS url FROM {urls}) u JOIN rules r ON r.host = {host_of("u.url")}
-   AND regexp_matches(regexp_extract(u.url, '^[a-z]+://[^/]*(/.*)$', 1), r.re) GROUP BY u.url) WHERE NOT ok"""
+   AND CASE WHEN r.plain THEN starts_with(regexp_extract(u.url, '^[a-z]+://[^/]*(/.*)$', 1), r.v)
+            ELSE regexp_matches(regexp_extract(u.url, '^[a-z]+://[^/]*(/.*)$', 1), r.re) END GROUP BY u.url) WHERE NOT ok"""
 
 
 CTES["blocked_inside"] = blocked("inside")

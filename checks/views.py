@@ -229,10 +229,22 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
         "domain",
         F.lit("/b.xml"),
     )
+    # A file that names every agent there is and lists its pages one by one.
+    number = lambda i: F.lower(F.hex(i.cast("long")))
+    agents = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("User-agent: bot"), i.cast("string")))
+    listed = F.transform(
+        F.sequence(F.lit(1), F.lit(10_000)),
+        lambda i: F.concat(F.when(i % 3 == 0, "Allow: /").otherwise("Disallow: /"), number(i)),
+    )
+    long = F.concat(
+        F.array_join(agents, "\n"), F.lit("\nUser-agent: *\n"), F.array_join(listed, "\n"),
+        F.lit("\nAllow: /d*e*$\nDisallow: /*a*b*\nSitemap: https://"), "domain", F.lit("/c.xml"),
+    )
     return page_sites(spark, sf).select(
         F.col("id").alias("site_id"),
         F.col("domain").alias("host"),
-        F.when(size % 3 == 0, first).when(size % 3 == 1, second).otherwise("").alias("body"),
+        F.when(size == 25, long)
+        .when(size % 3 == 0, first).when(size % 3 == 1, second).otherwise("").alias("body"),
     )
 
 
@@ -535,8 +547,12 @@ def feed_rows(df: DataFrame) -> DataFrame:
     return df.select((F.col("user_id") % 5).alias("job_id"), "ts")
 
 
+#: Files of a piece, which a micro-batch takes together.
+FILES = 4
+
+
 def pieces(rows: DataFrame, name: str, order: str, n: int) -> str:
-    """A table in ``n`` files that a stream takes one by one, in the order of a column.
+    """A table in ``n`` pieces of ``FILES`` files that a stream takes one by one, in the order of a column.
 
     Written one after the other: a file stream goes by the age of the files.
     """
@@ -550,23 +566,31 @@ def pieces(rows: DataFrame, name: str, order: str, n: int) -> str:
             part = part.filter(F.col(order) > F.lit(bounds[k - 1]))
         if k < n - 1:
             part = part.filter(F.col(order) <= F.lit(bounds[k]))
-        part.coalesce(1).write.mode("append").parquet(out)
+        part.repartition(FILES).write.mode("append").parquet(out)
     return out
 
 
 def progress_stream(spark: SparkSession, sf: str) -> DataFrame:
     rows = progress_table(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     folder = pieces(rows, "progress", "ts", 4)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+def ticking_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed events (job_id, ts) in four batches; every fiftieth is a tick of the clock."""
+    events = table(spark, sf, "events")
+    job = F.when(F.col("event_id") % 50 != 0, F.col("user_id") % 5)
+    rows = events.select(job.alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(pieces(rows, "ticks", "ts", 4))
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The event log read as a stream of four batches."""
     folder = pieces(table(spark, sf, "events"), "events", "ts", 4)
     schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def page_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return read_page_stream(spark, pieces(raw_pages(spark, sf), "pages", "page_id", 3), max_files=1)
+    return read_page_stream(spark, pieces(raw_pages(spark, sf), "pages", "page_id", 3), max_files=FILES)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from linkloom.functions.urls import lower_path, normalize_url, url_host, url_pat
 from linkloom.operators.extract import score_pages
 from linkloom.operators.robots import allowed, robots_rules
 from linkloom.plans.ordering import top_per
-from linkloom.session import cut_lineage
+from linkloom.session import cut_into_buckets
 
 # Endings and path parts that are not crawled, and the limits of a crawl.
 SKIPPED_ENDINGS = [
@@ -56,11 +57,11 @@ def mark_crawlable(edges: DataFrame, sites: DataFrame, robots: DataFrame) -> Dat
     own = sites.select(F.col("id").alias("site_id"), F.lower("domain").alias("_domain"))
     rules = robots_rules(robots).select(F.lower("host").alias("_domain"), F.col("rules").alias("_rules"))
     target = edges.withColumn("dst", normalize_url("dst"))
-    # A menu's targets come with every page of a site: each is judged once.
-    once = target.select("site_id", "dst").distinct().join(own.join(rules, "_domain", "left"), "site_id", "left")
-    inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False))
-    usable = inside & crawlable_path("dst") & allowed("dst", F.col("_rules"))
-    return target.join(once.select("site_id", "dst", usable.alias("crawlable")), ["site_id", "dst"])
+    # Judged where it stands: no link of a menu, however often it is there, becomes a key.
+    joined = target.join(own.join(rules, "_domain", "left"), "site_id", "left")
+    inside = F.coalesce(url_host("dst") == F.col("_domain"), F.lit(False)) & crawlable_path("dst")
+    usable = F.when(inside, allowed("dst", F.col("_rules"))).otherwise(F.lit(False))
+    return joined.withColumn("crawlable", usable).drop("_domain", "_rules")
 
 
 def redirected_sites(sites: DataFrame, roots: DataFrame) -> DataFrame:
@@ -114,42 +115,37 @@ def bfs(
 ) -> DataFrame:
     """Depth of every URL that can be reached within ``max_depth`` steps, all sites at once.
 
-    Seeds (site_id, url, depth) enter at their own depth. One round per level,
-    at most ``max_depth`` of them; a level is written to the shared folder and
-    read back, so the plan does not grow and a lost executor costs one level.
-    The edges are dealt out by source once and keep that layout for all levels:
-    only the frontier moves.
+    Seeds (site_id, url, depth) enter at their own depth. One round per level, at most
+    ``max_depth`` of them. Edges lie in buckets by source and levels in buckets by URL, all in
+    the shared folder: a round moves the URLs it reached, once, and nothing else; the plan
+    does not grow, and a lost executor costs the round it was in.
     With ``max_pages`` a site stops admitting URLs, in (depth, url) order; what
     is not admitted is not followed.
     """
     key = ["site_id", "url"]
     links = edges.select("site_id", F.col("src").alias("url"), F.col("dst").alias("_next"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = links.repartition(parts, *key).persist(StorageLevel.DISK_ONLY)
-    links.count()  # only a finished plan tells the joins how its rows lie
-    visited: DataFrame | None = None
-    frontier: DataFrame | None = None
+    links = cut_into_buckets(links, "edges", key)
+    levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
         candidates = seeds.filter(F.col("depth") == depth).select(*key)
-        if frontier is not None:
-            reached = links.join(frontier, key).select("site_id", F.col("_next").alias("url"))
+        if levels:
+            reached = links.join(levels[-1], key).select("site_id", F.col("_next").alias("url"))
             candidates = candidates.unionByName(reached)
         fresh = candidates.distinct()
-        if visited is not None:
-            fresh = fresh.join(visited, key, "left_anti")
+        # One after the other: a union of the levels would not lie in buckets.
+        for level in levels:
+            fresh = fresh.join(level, key, "left_anti")
         if max_pages is not None:
-            fresh = _admit(fresh, visited, max_pages)
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)), "frontier")
-        visited = frontier if visited is None else visited.unionByName(frontier)
-    links.unpersist()
-    return visited
+            fresh = _admit(fresh, levels, max_pages)
+        levels.append(cut_into_buckets(fresh, "frontier", key))
+    return reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels)])
 
 
-def _admit(fresh: DataFrame, visited: DataFrame | None, max_pages: int) -> DataFrame:
+def _admit(fresh: DataFrame, levels: list[DataFrame], max_pages: int) -> DataFrame:
     places = top_per(fresh, ["site_id"], [F.asc("url")], max_pages, "_place")
-    if visited is None:
+    if not levels:
         return places.drop("_place")
-    used = visited.groupBy("site_id").agg(F.count("*").alias("_used"))
+    used = reduce(DataFrame.unionByName, levels).groupBy("site_id").agg(F.count("*").alias("_used"))
     room = F.col("_place") + F.coalesce("_used", F.lit(0)) <= max_pages
     return places.join(used, "site_id", "left").filter(room).drop("_place", "_used")
 

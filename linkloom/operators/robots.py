@@ -6,6 +6,8 @@ tie, ``*`` matches anything and ``$`` the end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,40 +30,120 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return trimmed.select("host", "pos", url.alias("url")).filter("url <> ''")
 
 
-def _matcher(rule_path: Column) -> Column:
-    """Rule path -> regular expression; only used for rules with ``*`` or ``$``."""
-    literal = F.regexp_replace(F.regexp_replace(rule_path, r"\$$", ""), r"([^\p{L}\p{N}/*_ -])", r"\\$1")
-    anywhere = F.regexp_replace(literal, r"\*+", ".*")
-    return F.concat(F.lit("(?s)^"), anywhere, F.when(rule_path.endswith("$"), F.lit("$")).otherwise(F.lit("")))
+#: Plain rules of a host beyond which they are sorted and searched instead of tried one by one.
+INDEXED = 64
+#: Parts groups of lines; no rule can hold it.
+GROUP = "\u0001"
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """(host, rules) with the rules that apply to every agent."""
-    no_comments = F.regexp_replace("body", r"#[^\r\n]*", "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rule_lines(body: Column) -> Column:
+    """The allow and disallow lines that count for every agent.
+
+    Each step is one pass over the lines; no expression repeats a group, so neither the number
+    of lines nor that of agents matters.
+    """
+    no_comments = F.translate(F.regexp_replace(body, r"#[^\r\n]*", ""), GROUP, "")
     known = F.regexp_extract_all(
         no_comments, F.lit(r"(?im)^[ \t]*((?:user-agent|allow|disallow)[ \t]*:[^\r\n]*)"), F.lit(1)
     )
-    # A run of user-agent lines opens a group; groups are cut at its start.
-    text = F.concat(F.array_join(known, "\n"), F.lit("\n"))
-    groups = F.split(F.regexp_replace(text, r"(?i)((?:(?<=^|\n)user-agent[^\n]*\n)+)", "\u0001$1"), "\u0001")
+
+    def agent(line: Column) -> Column:
+        return line.rlike("(?i)^user-agent")
+
+    def marked(lines: Column) -> Column:
+        # A group begins with an agent that no agent stands before. The last pair has no line.
+        return F.zip_with(
+            lines,
+            F.concat(F.array(F.lit("")), lines),
+            lambda line, before: F.when(agent(line) & ~agent(before), F.concat(F.lit(GROUP), line)).otherwise(line),
+        )
+
+    groups = F.split(F.array_join(_let(known, marked), "\n"), GROUP)
     for_all = F.filter(groups, lambda g: g.rlike(r"(?im)^user-agent[ \t]*:[ \t]*\*[ \t]*$"))
-    lines = F.flatten(
+    return F.flatten(
         F.transform(
             for_all,
             lambda g: F.regexp_extract_all(g, F.lit(r"(?im)^((?:allow|disallow)[ \t]*:[ \t]*[^ \t\n]+)"), F.lit(1)),
         )
     )
 
-    def rule(line: Column) -> Column:
-        path = F.regexp_extract(line, r":[ \t]*([^ \t]+)$", 1)
-        return F.struct(
-            line.rlike("(?i)^allow").alias("allow"),
-            path.alias("path"),
-            path.rlike(r"\*|\$$").alias("wild"),
-            _matcher(path).alias("regex"),
+
+def _rule(line: Column) -> Column:
+    """A line as allow, path, the parts between its stars, and whether ``$`` ends it."""
+    path = F.regexp_extract(line, r":[ \t]*([^ \t]+)$", 1)
+    parts = F.split(F.regexp_replace(path, r"\$$", ""), r"\*")
+    return F.struct(
+        line.rlike("(?i)^allow").alias("allow"), path.alias("path"), parts.alias("parts"), path.endswith("$").alias("ended")
+    )
+
+
+def _plain(rule: Column) -> Column:
+    return (F.size(rule["parts"]) == 1) & ~rule["ended"]
+
+
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """(host, rules) with the rules that apply to every agent.
+
+    ``rules`` has the ones to be tried one by one (``listed``); a host with more than ``INDEXED`` rules
+    that are mere prefixes has those in order (``sorted``), with their distinct ``lengths``.
+    """
+
+    def laid(every: Column) -> Column:
+        def parted(plain: Column) -> Column:
+            many = F.size(plain) > INDEXED
+            pairs = F.transform(plain, lambda r: F.struct(r["path"].alias("path"), r["allow"].alias("allow")))
+            return F.struct(
+                F.when(many, F.filter(every, lambda r: ~_plain(r))).otherwise(every).alias("listed"),
+                F.when(many, F.sort_array(pairs)).alias("sorted"),
+                F.when(many, F.array_distinct(F.transform(plain, lambda r: F.length(r["path"])))).alias("lengths"),
+            )
+
+        return _let(F.filter(every, _plain), parted)
+
+    return robots.select("host", _let(F.transform(_rule_lines(F.col("body")), _rule), laid).alias("rules"))
+
+
+def _last_up_to(rules: Column, path: Column) -> Column:
+    """Of sorted rules the last one whose path is not after ``path``, by halving."""
+    size = F.size(rules)
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        after = F.get(rules, middle)["path"] > path
+        low = F.when(after, span["low"]).otherwise(middle + 1)
+        return F.when(span["low"] >= span["high"], span).otherwise(
+            F.struct(low.alias("low"), F.when(after, middle).otherwise(span["high"]).alias("high"))
         )
 
-    return robots.select("host", F.transform(lines, rule).alias("rules"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int"))
+    span = F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve)
+    return F.get(rules, span["low"] - 1)
+
+
+def _matches(path: Column, rule: Column) -> Column:
+    """Does the path begin with the parts, in order, with anything in between?
+
+    Each part is taken where it stands first, which loses no match; the last one of a rule that
+    is ended must end the path. Time grows with the path and the rule, whatever they hold.
+    """
+    first, last = rule["parts"][0], F.element_at(rule["parts"], -1)
+    many = F.size(rule["parts"]) > 1
+    inner = F.when(
+        rule["ended"], F.slice(rule["parts"], 2, F.greatest(F.size(rule["parts"]) - 2, F.lit(0)))
+    ).otherwise(F.slice(rule["parts"], 2, F.size(rule["parts"])))
+
+    def after(at: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, path, at + 1)
+        return F.when((at < 0) | (part == ""), at).when(found == 0, F.lit(-1)).otherwise(found - 1 + F.length(part))
+
+    at = F.aggregate(inner, F.length(first), after)
+    ended = F.when(many, path.endswith(last) & (F.length(path) - F.length(last) >= at)).otherwise(path == first)
+    return F.when(~path.startswith(first), F.lit(False)).otherwise((at >= 0) & (~rule["ended"] | ended))
 
 
 def allowed(url: str, rules: Column) -> Column:
@@ -70,21 +152,27 @@ def allowed(url: str, rules: Column) -> Column:
     path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
 
     def applies(rule: Column) -> Column:
-        return F.when(rule["wild"], F.call_function("rlike", path, rule["regex"])).otherwise(
-            path.startswith(rule["path"])
-        )
+        return F.when(_plain(rule), path.startswith(rule["path"])).otherwise(_matches(path, rule))
 
-    hits = F.transform(
-        F.filter(rules, applies),
-        lambda rule: F.struct(F.length(rule["path"]).alias("length"), rule["allow"].alias("allow")),
-    )
-    return F.coalesce(F.array_max(hits)["allow"], F.lit(True))
+    def hit(length: Column, allow: Column) -> Column:
+        return F.struct(length.alias("length"), allow.alias("allow"))
+
+    listed = F.transform(F.filter(rules["listed"], applies), lambda r: hit(F.length(r["path"]), r["allow"]))
+
+    def searched(length: Column) -> Column:
+        # Of equal paths the last one is an Allow, if there is one.
+        prefix = F.left(path, length)
+        return _let(_last_up_to(rules["sorted"], prefix), lambda e: F.when(e["path"] == prefix, hit(length, e["allow"])))
+
+    fitting = F.filter(rules["lengths"], lambda n: n <= F.length(path))
+    looked_up = F.when(rules["sorted"].isNotNull(), F.array_max(F.transform(fitting, searched)))
+    return F.coalesce(F.greatest(F.array_max(listed), looked_up)["allow"], F.lit(True))
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL any agent may fetch; hosts without rules allow everything.
 
-    The rules of a host arrive as one array, so a URL meets its rules inside its
+    The rules of a host arrive as one value, so a URL meets its rules inside its
     own row and no (URL, rule) pairs are built.
     """
     rules = robots_rules(robots).select(F.lower("host").alias("_host"), F.col("rules").alias("_rules"))

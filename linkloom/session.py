@@ -51,8 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-# Folders handed out in this process and not yet removed.
+# Folders handed out in this process and not yet removed, and the tables that lie in some.
 _handed_out: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -71,6 +72,8 @@ def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     settings = spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for p in _handed_out if p not in keep]:
         place = java.org.apache.hadoop.fs.Path(path)
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         place.getFileSystem(settings).delete(place, True)
         _handed_out.remove(path)
 
@@ -84,3 +87,15 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_into_buckets(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``cut_lineage`` with rows dealt out by ``keys``: joins and groupings on them move
+    only what they are joined with. There are as many buckets as a shuffle has partitions."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    _tables[path] = f"cut_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path)
+    writer.saveAsTable(_tables[path])
+    return spark.table(_tables[path])

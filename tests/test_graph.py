@@ -1,14 +1,15 @@
 """Walks, filters, robots and sitemaps against literal cases and brute force."""
 
 import random
-
+import re
 
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import normalize_url
 from linkloom.operators import graph
-from linkloom.session import cut_lineage
+from linkloom.operators import robots as robots_txt
 from linkloom.operators.robots import robots_filter, robots_sitemaps
+from linkloom.session import cut_into_buckets, cut_lineage
 from linkloom.sources.sitemaps import default_roots, expand_sitemaps
 
 
@@ -78,6 +79,75 @@ def test_robots(spark):
     assert got == {f"https://h{p}" for p, ok in cases.items() if ok} | {"https://free/q/x"}
 
 
+def plain_robots(body, path):
+    """One line and one rule at a time."""
+    agents, listed, groups = [], [], []
+    for line in re.split(r"\r\n|[\r\n]", body):
+        key, _, value = line.partition("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if key == "user-agent":
+            if listed is not None:
+                agents, listed = [], None
+                groups.append((agents, []))
+            agents.append(value)
+        elif key in ("allow", "disallow") and groups:
+            listed = groups[-1][1]
+            if value:
+                listed.append((key == "allow", value.split()[0]))
+    best = (-1, True)
+    for names, found in groups:
+        for allow, rule in found if "*" in names else []:
+            pattern = "".join(".*" if c == "*" else re.escape(c) for c in rule.removesuffix("$"))
+            if re.match(pattern + (r"\Z" if rule.endswith("$") else ""), path, re.S):
+                best = max(best, (len(rule), allow))
+    return best[1]
+
+
+def test_robots_against_one_rule_at_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = "ab/*$."
+
+    def rule():
+        return "/" + "".join(rng.choice(letters[:3] if rng.random() < 0.6 else letters) for _ in range(rng.randint(0, 5)))
+
+    def robots():
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            lines += [f"User-Agent: {rng.choice(['*', 'x', ' * '])}" for _ in range(rng.randint(1, 3))]
+            lines += [f"{rng.choice(['Allow', 'disallow'])}:{rule()}  # {rule()}" for _ in range(rng.randint(0, 30))]
+        return "\n".join(lines)
+
+    bodies = {f"h{i}": robots() for i in range(25)}
+    paths = {"/" + "".join(rng.choice("ab/.$*") for _ in range(rng.randint(0, 7))) for _ in range(120)}
+    urls = spark.createDataFrame([(f"http://{h}{p}",) for h in bodies for p in paths], "url string")
+    frame = spark.createDataFrame(list(bodies.items()), "host string, body string")
+    want = {f"http://{h}{p}" for h, body in bodies.items() for p in paths if plain_robots(body, p)}
+    assert 0 < len(want) < len(bodies) * len(paths)
+    for indexed in (64, 3):
+        monkeypatch.setattr(robots_txt, "INDEXED", indexed)
+        assert {r.url for r in robots_filter(urls, frame).collect()} == want
+
+
+def test_robots_of_any_size(spark):
+    """Many agents, many rules, many stars: none may stop the job or take long."""
+    agents = "".join(f"User-agent: bot{i}\n" for i in range(100_000))
+    rules = "".join(f"{'Allow' if i % 3 == 0 else 'Disallow'}: /p/{i}\n" for i in range(10_000))
+    stars = "Disallow: /" + "*a" * 5000 + "$\n" + "Disallow: /z" + "*a" * 12 + "*b\n" + "Disallow: /y" + "*" * 5000 + "q\n"
+    robots = spark.createDataFrame([("h", agents + "User-agent: *\n" + rules + stars), ("g", agents + "Disallow: /")], "host string, body string")
+    paths = [f"/p/{i}" for i in range(0, 20_000, 7)] + ["/z" + "a" * 2000, "/z" + "a" * 2000 + "b", "/yyq", "/" + "a" * 5000, "/a" * 4999]
+    urls = spark.createDataFrame([(f"http://h{p}",) for p in paths] + [("http://g/x",)], "url string")
+    got = {r.url.removeprefix("http://h") for r in robots_filter(urls, robots).collect()}
+
+    def ok(p):
+        if not p.startswith("/p/"):
+            return p in ("/z" + "a" * 2000, "/a" * 4999)
+        # Of the numbers that p begins with, the longest one listed decides.
+        n = next(int(p[3:end]) for end in range(len(p), 3, -1) if int(p[3:end]) < 10_000)
+        return n % 3 == 0
+
+    assert got == {p for p in paths if ok(p)} | {"http://g/x"}
+
+
 def test_robots_sitemaps(spark):
     robots = spark.createDataFrame([("h", "x\r SiteMap: https://h/1.xml \nsitemap:\n\x0bSITEMAP:https://h/2.xml\nNo sitemap: y")], "host string, body string")
     assert [(r.pos, r.url) for r in robots_sitemaps(robots).orderBy("pos").collect()] == [(1, "https://h/1.xml"), (4, "https://h/2.xml")]
@@ -153,26 +223,27 @@ def test_edges_stay_where_they_are(spark):
 
     seen = []
 
-    def spy(df, name):
+    def spy(df, name, keys):
         seen.append(df._jdf.queryExecution().executedPlan().toString())
-        return cut_lineage(df, name)
+        return cut_into_buckets(df, name, keys)
 
     edges = spark.range(5000).selectExpr("id % 1 + 1 AS site_id", "cast(id AS string) AS src", "cast(id * 2 AS string) AS dst")
     seeds = spark.createDataFrame([(1, "1", 0)], "site_id bigint, url string, depth int")
-    old, before = g.cut_lineage, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    g.cut_lineage = spy
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    g.cut_into_buckets = spy
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         found = {r.url: r.depth for r in g.bfs(edges, seeds).collect()}
     finally:
-        g.cut_lineage = old
+        g.cut_into_buckets = cut_into_buckets
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == {"1": 0, "2": 1, "4": 2, "8": 3}
-    # In the join of a level, the edges come straight from where they lie.
-    lines = seen[1].splitlines()
-    scan = next(i for i, line in enumerate(lines) if "InMemoryTableScan" in line)
-    above = lines[scan - 3 : scan]
-    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    # The first plans are those of the edges and the seeds. After that edges and levels are read where they
+    # lie; what moves is the seeds and the reached URLs, together.
+    assert len(seen) == 5
+    for depth, plan in enumerate(seen[2:], 1):
+        assert plan.count("Bucketed: true") == 2 + depth
+        assert plan.count("Exchange") == 1
 
 
 def test_references_in_sitemaps(spark):
