@@ -52,7 +52,7 @@ def extract_pages(
     Row-local: no shuffle. Links keep other hosts; they are filtered when a
     crawl looks at them.
     """
-    cut = pages.withColumn("_cut", html_pieces(F.col(html))).drop(html)
+    cut = pages.withColumn("_cut", html_pieces(F.col(html), text_chars, max_headings)).drop(html)
     described = F.coalesce(
         _stripped(F.col("_cut.og_description")),
         _stripped(F.col("_cut.meta_description")),
@@ -62,14 +62,13 @@ def extract_pages(
     hrefs = "concat(_cut.hrefs, array(nullif(_cut.canonical_href, '')))"
     cut = cut.withColumn("_urls", resolve_all(url, hrefs))
     links = F.slice("_urls", 1, F.size("_urls") - 1)
-    headings = F.col("_cut.headings") if max_headings is None else F.slice("_cut.headings", 1, max_headings)
     facts = cut.withColumns(
         {
             "title": F.coalesce(
                 _stripped(F.col("_cut.og_title")), _stripped(F.col("_cut.title")), F.col("_cut.h1")
             ),
             "description": described,
-            "headings": headings,
+            "headings": F.col("_cut.headings"),
             "main_text": normalize_text(F.col("_cut.body_text"), text_chars),
             "links": F.array_distinct(F.filter(links, lambda u: u.isNotNull())),
             "canonical_url": F.element_at("_urls", -1),

@@ -13,6 +13,8 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from io import StringIO
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -45,10 +47,6 @@ CHUNKS = {"h1", "h2", "h3", "p", "li", "pre", "code", "td"}
 HEADINGS = {"h1", "h2", "h3"}
 MIN_PARAGRAPH = 50
 
-# A text belongs to so many of the chunks around it, the nearest ones. Pages do not nest
-# deeper; without a bound a page of nested lists would repeat its text at every level.
-NEST = 32
-
 # Tags whose text never belongs to a surrounding element.
 MUTE = {"script", "style", "template"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -96,8 +94,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class _Pieces:
-    """One pass over a page. An element's text is a slice of the strings seen so far;
-    chunks and headings, which may nest, gather theirs while they are open."""
+    """One pass over a page. Strings are held once, and an element's text is the interval of
+    those between its begin and its end, so nested elements share them."""
 
     def __init__(self) -> None:
         self.seen: list[str] = []  # every string but those of MUTE tags
@@ -106,8 +104,6 @@ class _Pieces:
         self.count: Counter[str] = Counter()  # open elements by tag
         self.removed = self.mute = self.in_head = 0  # and by kind
         self.elements: list[dict] = []
-        self.chunks: list[dict] = []  # open chunks outside REMOVED tags
-        self.headings: list[dict] = []  # open headings
         self.meta: dict[str, str] = {}
         self.roots: dict[str, dict] = {}
         self.hrefs: list[str] = []
@@ -134,13 +130,9 @@ class _Pieces:
         text = _decode(raw).strip()
         if text and not self.mute:
             self.seen.append(text)
-            for heading in self.headings[-NEST:]:
-                heading["said"].append(text)
             if not self.removed:
                 self._imply_body("#text")
                 self.kept.append(text)
-                for chunk in self.chunks[-NEST:]:
-                    chunk["texts"].append(text)
 
     def _imply_body(self, tag: str) -> None:
         if "body" not in self.roots and tag not in HEAD_ONLY and not self.in_head:
@@ -160,9 +152,6 @@ class _Pieces:
             tag, element = self.open.pop()
             self._note(tag, -1)
             element.update(seen_end=len(self.seen), kept_end=len(self.kept), to=len(self.elements))
-            for nested in (self.chunks, self.headings):
-                if nested and nested[-1] is element:
-                    nested.pop()
 
     def _close_before(self, tag: str) -> None:
         if tag in ENDS_PARAGRAPH and self.count["p"]:
@@ -204,12 +193,6 @@ class _Pieces:
         element = {**self._mark(tag), "removed": removed}
         if tag in CHUNKS or tag == "title":
             self.elements.append(element)
-        if tag in CHUNKS and not removed:
-            element["texts"] = []
-            self.chunks.append(element)
-        if tag in HEADINGS:
-            element["said"] = []
-            self.headings.append(element)
         if not removed:
             if tag in ("main", "article"):
                 self.roots.setdefault(tag, element)
@@ -229,50 +212,68 @@ class _Pieces:
             if tag in INLINE and self.open[depth][0] not in INLINE_OR_P:
                 return
 
-    def result(self) -> dict:
-        def early(element: dict) -> str:
-            return "".join(self.seen[element["seen"] : element["seen_end"]])
-
-        def first(tag: str) -> str | None:
-            return next((early(e) for e in self.elements if e["tag"] == tag), None)
+    def _body_text(self, text_chars: int | None) -> str:
+        """Texts of the chunks below the root, one after the other; nested ones come at each level.
 
+        With a limit, chunks are taken until ``text_chars`` characters are there whatever
+        becomes of white space and letter case.
+        """
         root = next((self.roots[k] for k in ("main", "article", "role", "body") if k in self.roots), None)
         root = root or {"kept": 0, "from": 0}
         inside = self.elements[root["from"] : root.get("to")]
-        chunks = [" ".join(e["texts"]) for e in inside if "texts" in e]
-        chunks = [c for c in chunks if c] or self.kept[root["kept"] : root.get("kept_end")]
-        headings = [t for t in ("".join(e["said"]) for e in self.elements if "said" in e) if t]
-        paragraphs = (early(e) for e in self.elements if e["tag"] == "p")
+        spans = [(e["kept"], e["kept_end"]) for e in inside if e["tag"] in CHUNKS and not e["removed"] and e["kept_end"] > e["kept"]]
+        kept = self.kept
+        if not spans:
+            return " ".join(kept[root["kept"] : root.get("kept_end")])
+        text = " ".join(kept)
+        begin = list(accumulate((len(k) + 1 for k in kept), initial=0))
+        if text_chars is not None:
+            size = list(accumulate((len(" ".join(k.split()).lower()) + 1 for k in kept), initial=0))
+            have = accumulate(size[end] - size[at] for at, end in spans)
+            spans = spans[: next((i for i, n in enumerate(have, 1) if n > text_chars), len(spans))]
+        out = StringIO()
+        for i, (at, end) in enumerate(spans):
+            out.write(" " if i else "")
+            out.write(text[begin[at] : begin[end] - 1])
+        return out.getvalue()
+
+    def result(self, text_chars: int | None = None, max_headings: int | None = None) -> dict:
+        text = "".join(self.seen)
+        begin = list(accumulate(map(len, self.seen), initial=0))
+
+        def said(tags: set[str]) -> Iterator[str]:
+            return (text[begin[e["seen"]] : begin[e["seen_end"]]] for e in self.elements if e["tag"] in tags)
+
         return {
             "og_title": self.meta.get("og:title"),
-            "title": first("title"),
-            "h1": first("h1"),
+            "title": next(said({"title"}), None),
+            "h1": next(said({"h1"}), None),
             "og_description": self.meta.get("og:description"),
             "meta_description": self.meta.get("description"),
-            "paragraph": next((p for p in paragraphs if len(p) >= MIN_PARAGRAPH), None),
-            "headings": headings,
-            "body_text": " ".join(chunks),
+            "paragraph": next((p for p in said({"p"}) if len(p) >= MIN_PARAGRAPH), None),
+            "headings": list(islice((h for h in said(HEADINGS) if h), max_headings)),
+            "body_text": self._body_text(text_chars),
             "hrefs": self.hrefs,
             "canonical_href": self.canonical,
         }
 
 
-def cut_page(html: str | None) -> dict:
+def cut_page(html: str | None, text_chars: int | None = None, max_headings: int | None = None) -> dict:
     page = _Pieces()
     page.read(html or "")
-    return page.result()
-
+    return page.result(text_chars, max_headings)
 
-def _cut_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([cut_page(html.as_py()) for html in batch], type=PIECES_ARROW)
 
+def html_pieces(html: Column, text_chars: int | None = None, max_headings: int | None = None) -> Column:
+    """Struct of the raw pieces of a page; only ``html`` travels to Python.
 
-def html_pieces(html: Column) -> Column:
-    """Struct of the raw pieces of a page; only ``html`` travels to Python."""
+    A page of nested lists repeats its text at every level. Under limits no more of that is
+    put together than they need.
+    """
     # Declared here: an Arrow UDF needs the running session's configuration.
     @F.arrow_udf(PIECES_DDL)
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _cut_batches(batches)
+        for batch in batches:
+            yield pa.array([cut_page(page.as_py(), text_chars, max_headings) for page in batch], type=PIECES_ARROW)
 
     return pieces(html)

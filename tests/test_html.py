@@ -1,5 +1,8 @@
 """Literal pages for the extraction rules."""
 
+import hashlib
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,8 +87,6 @@ def test_facts(spark):
     assert row.canonical_url == "https://h.example/C"
     assert row.main_text == "h some text"
     assert row.links == ["https://h.example/a", "https://h.example/d/p", "https://o.example/z"]
-    import hashlib
-
     def sha(s):
         return hashlib.sha256(s.encode()).hexdigest()
 
@@ -118,10 +119,52 @@ def test_broken_markup_stays_cheap():
         cut_page(html)
 
 
-def test_deep_nesting_stays_linear():
+def test_deep_nesting_gives_each_level_its_text():
+    assert cut_page("<body>" + "<ul><li>" * 40 + "<p>word")["body_text"] == " ".join(["word"] * 41)
+    assert cut_page("<ul><li>a<ul><li>b</ul>c<li>d</ul>")["body_text"] == "a b c b d"
+    n = 10_000
+    assert cut_page("<ul><li>" * n + "<p>word")["body_text"] == " ".join(["word"] * (n + 1))
+    assert cut_page("<h1><div>" * 50 + "x")["headings"] == ["x"] * 50
+
+
+def test_limits_bound_what_is_put_together():
+    """Without them this page has 300 MB of text."""
     n = 10_000
-    cut = cut_page("<ul>" + "".join(f"<li>t{i}<ul>" for i in range(n)) + "</ul></li>" * n)
-    assert len(cut["body_text"]) < 40 * sum(len(f"t{i} ") for i in range(n))
-    assert cut["body_text"].split()[:3] == ["t0", "t1", "t2"]
-    heads = cut_page("<div>".join(f"<h1>a{i}<div>" for i in range(n)))
-    assert sum(map(len, heads["headings"])) < 40 * 7 * n
+    nested = "<ul>" + "".join(f"<li>t{i}<ul>" for i in range(n)) + "</ul></li>" * n
+    tracemalloc.start()
+    cut = cut_page(nested, text_chars=50_000, max_headings=20)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+    want = " ".join(f"t{i}" for i in range(n))
+    assert cut["body_text"].startswith(want[:50_000]) and len(cut["body_text"]) < 2 * len(want)
+    heads = cut_page("<div>".join(f"<h1>a{i}<div>" for i in range(n)), max_headings=20)
+    assert len(heads["headings"]) == 20 and sum(map(len, heads["headings"])) < 21 * 7 * n
+
+
+@pytest.mark.parametrize("limit", [0, 1, 7, 20, 21, 22, 60, 1000])
+def test_limited_text_is_the_start_of_the_whole(spark, limit):
+    page = "<ul><li>One \n\t TWO<ul><li>\u0130x &nbsp; y<p>three   3</ul>four<li>ΑΣ</ul>"
+    pages = spark.createDataFrame([("https://h/x", page)], "url string, html string")
+    whole = extract_pages(pages).first().main_text
+    assert whole == "one two i\u0307x y three 3 four i\u0307x y three 3 three 3 ας"
+    assert extract_pages(pages, text_chars=limit).first().main_text == whole[:limit]
+
+
+def test_facts_of_a_hand_written_page(spark):
+    """Every field of one page, worked out by hand."""
+    page = """<!doctype html><html><head><title> The  Title </title>
+        <meta name="description" content="  What it is. "><link rel="canonical" href="/Guide/?v=2#top"></head>
+        <body><nav><a href="/login">Log in</a></nav><main><h1>Guide <em>One</em></h1>
+        <p>First   paragraph, which has <b>more</b> than fifty characters in it.</p>
+        <ul><li>alpha<ul><li><code>beta()</code></li></ul></li></ul><script>var x = "<p>no</p>";</script>
+        <table><tr><td>cell &amp; more<td>next</table><a href="../b/">B</a><a href="https://O.example">O</a></main>
+        <footer><h2>End</h2><p>gone</p></footer></body></html>"""
+    row = extract_pages(spark.createDataFrame([("http://h.example/a/x.html?q=1", page)], "url string, html string")).first()
+    assert (row.title, row.description, row.canonical_url) == ("The  Title", "What it is.", "http://h.example/Guide")
+    assert row.headings == ["GuideOne", "End"]
+    assert row.main_text == (
+        "guide one first paragraph, which has more than fifty characters in it. alpha beta() beta() beta() cell & more next"
+    )
+    assert row.links == ["http://h.example/login", "http://h.example/b", "https://o.example/"]
+    assert row.headings_hash == hashlib.sha256(b"GuideOne||End").hexdigest()
+    assert row.metadata_hash == hashlib.sha256(b"The  TitleWhat it is.").hexdigest()
