@@ -80,28 +80,28 @@ def progress_changes(rows: DataFrame, slice_seconds: int = SLICE_SECONDS) -> Dat
     return changed.select(*rows.columns)
 
 
-def heartbeat_gaps(events: DataFrame, gap: int = HEARTBEAT_SECONDS) -> DataFrame:
-    """Silent spans of at least ``gap`` seconds between two events (job_id, ts) of a feed.
+def bucket_edges(events: DataFrame, gap: int) -> DataFrame:
+    """(job_id, _bucket, _first, silent_from): first and last event of each ``gap``-long bucket.
 
-    Events are first reduced to the edges of each ``gap``-long bucket, where no
-    such span can hide; only the edges are put in order.
+    No silence of ``gap`` seconds can hide between them.
     """
     ts = F.col("ts").cast("timestamp")
-    edges = (
-        events.select("job_id", "ts", F.floor(F.unix_micros(ts) / (gap * 1_000_000)).alias("_bucket"))
-        .groupBy("job_id", "_bucket")
-        .agg(F.min("ts").alias("_first"), F.max("ts").alias("silent_from"))
-    )
+    bucketed = events.select("job_id", "ts", F.floor(F.unix_micros(ts) / (gap * 1_000_000)).alias("_bucket"))
+    return bucketed.groupBy("job_id", "_bucket").agg(F.min("ts").alias("_first"), F.max("ts").alias("silent_from"))
+
+
+def silences(edges: DataFrame, gap: int) -> DataFrame:
+    """Edges after which nothing comes for ``gap`` seconds, with ``silent_to`` and ``heartbeats``."""
     following = F.lead("_first").over(Window.partitionBy("job_id").orderBy("_bucket"))
     spans = edges.withColumn("silent_to", following)
     micros = F.unix_micros(F.col("silent_to").cast("timestamp")) - F.unix_micros(F.col("silent_from").cast("timestamp"))
-    return (
-        spans.withColumn("_micros", micros)
-        .filter(F.col("_micros") >= gap * 1_000_000)
-        .select(
-            "job_id",
-            "silent_from",
-            "silent_to",
-            F.floor(F.col("_micros") / (gap * 1_000_000)).alias("heartbeats"),
-        )
-    )
+    return spans.withColumn("heartbeats", F.floor(micros / (gap * 1_000_000))).filter("heartbeats >= 1")
+
+
+def heartbeat_gaps(events: DataFrame, gap: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Silent spans of at least ``gap`` seconds between two events (job_id, ts) of a feed.
+
+    Events are first reduced to the edges of each ``gap``-long bucket, where no
+    such span can hide; only the edges are put in order.
+    """
+    return silences(bucket_edges(events, gap), gap).select("job_id", "silent_from", "silent_to", "heartbeats")

@@ -1,100 +1,98 @@
 """The live feeds of crawl jobs as Structured Streaming queries.
 
-What a feed remembers is kept in the engine's state store, by job or by site.
+Feeds that only drop repeats keep their keys in the engine's state store. Feeds that compare a
+row with the one before are batch operators run on every micro-batch together with what is known of
+the jobs (``runner.folded``): a job's rows are spread over tasks as in batch, whatever their
+number, and what is known is one row a job that has not ended.
 """
 
 from __future__ import annotations
 
-import math
-import sys
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
-from linkloom.operators.feed import HEARTBEAT_SECONDS, STATE
+from linkloom.operators.feed import HEARTBEAT_SECONDS, STATE, bucket_edges, progress_changes, silences
 from linkloom.operators.fetchlog import fetch_counts
 from linkloom.operators.history import FINISHED
 from linkloom.operators.schedule import idempotency_key
-from linkloom.operators.snapshot import arrival_changes, change_counts
+from linkloom.operators.snapshot import KEY, arrival_changes
 
-# The per-job functions travel with the tasks, nothing needs installing there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: How long a key is remembered after it came first, by the clock of the stream.
+REMEMBERED = "7 days"
+#: Sites of a micro-batch named one by one in the read of the stored pages; more are read as a range.
+NAMED_SITES = 1000
 
 
-def _first_per(stream: DataFrame, keys: list[str], delay: str | None) -> DataFrame:
-    if delay is None:
+Step = Callable[[DataFrame, "DataFrame | None"], "DataFrame | tuple[DataFrame, DataFrame]"]
+
+
+def _first_per(stream: DataFrame, keys: list[str], remembered: str | None) -> DataFrame:
+    """First row of each key. Event time is the time of arrival, so no row is ever too late:
+    what ends after ``remembered`` is the memory of a key, and with it its state."""
+    if remembered is None:
         return stream.dropDuplicates(keys)
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    arriving = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remembered)
+    return arriving.dropDuplicatesWithinWatermark(keys).drop("_arrived")
 
 
-def page_feed(pages: DataFrame, delay: str | None = None) -> DataFrame:
+def page_feed(pages: DataFrame, remembered: str | None = REMEMBERED) -> DataFrame:
     """Each page of a job once, however late it comes.
 
-    With a ``delay`` of event time a page is remembered that long only, and later
-    rows are lost.
+    A page is forgotten ``remembered`` after it came first, longer than a job takes;
+    None never forgets. A page that comes again after that is shown again; none is lost.
     """
-    return _first_per(pages, ["job_id", "url"], delay)
+    return _first_per(pages, ["job_id", "url"], remembered)
 
 
-def enqueue_dedup(triggers: DataFrame, delay: str | None = None) -> DataFrame:
-    """One accepted trigger (site_id, ts) per site and minute; ``delay`` as in ``page_feed``."""
+def enqueue_dedup(triggers: DataFrame, remembered: str | None = REMEMBERED) -> DataFrame:
+    """One accepted trigger (site_id, ts) per site and minute; ``remembered`` as in ``page_feed``."""
     keyed = triggers.withColumn("idempotency_key", idempotency_key(F.col("site_id"), F.col("ts")))
-    return _first_per(keyed, ["idempotency_key"], delay)
-
-
-def _joined(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    all_ = list(frames)
-    return all_[0] if len(all_) == 1 else pd.concat(all_, ignore_index=True)
+    return _first_per(keyed, ["idempotency_key"], remembered)
 
 
-def _plain(value):
-    return value if not isinstance(value, float) else None if math.isnan(value) else int(value)
+def heartbeat_step(gap: int = HEARTBEAT_SECONDS, ended: Column | None = None) -> Step:
+    """Step of ``runner.folded`` over events (job_id, ts) ->
+    (job_id, silent_from, silent_to, heartbeats): a beat for each ``gap`` seconds without one.
 
-
-def heartbeats(events: DataFrame, gap: int = HEARTBEAT_SECONDS, live: bool = False) -> DataFrame:
-    """(job_id, silent_from, silent_to, heartbeats): beats of a feed, one for each ``gap``
-    seconds without an event (job_id, ts).
-
-    A silence is reported with its beats when the next event ends it. ``live`` feeds
-    also beat while it lasts, by a timer of the clock; such a row has no ``silent_to``,
-    and its beat is not reported again at the end.
+    Rows without a job are ticks of the clock. The feed beats while a silence lasts, at
+    the last tick of a micro-batch: such a row has no ``silent_to``, and its beats are not reported again
+    when an event ends the silence. Without ticks a silence is reported at its end. ``ended`` says
+    of an event that it is its job's last; the job is forgotten with it. Events older than what is known
+    of their job change nothing. Only the edges of ``gap``-long buckets are put in order.
     """
-    step = gap * 1_000_000
-
-    def beat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, sent = state.get if state.exists else (None, 0)
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], last, None, 1))
-            sent += 1
-        else:
-            for ts in sorted(_joined(frames)["_ts"].tolist()):
-                if last is not None and ts - last >= step:
-                    due = (ts - last) // step - sent
-                    out += [(key[0], last, ts, due)] if due > 0 else []
-                if last is None or ts > last:
-                    last, sent = ts, 0
-        state.update((last, sent))
-        if live:
-            state.setTimeoutDuration(gap * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "_from", "_to", "heartbeats"]).astype({"_from": "Int64", "_to": "Int64"})
-
-    kind = events.schema["job_id"].dataType.simpleString()
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
-    # Microseconds, so that no time zone comes into it.
-    times = events.select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts"))
-    beats = times.groupBy("job_id").applyInPandasWithState(
-        beat, f"job_id {kind}, _from bigint, _to bigint, heartbeats bigint", "last bigint, sent bigint", "append", timeout
-    )
-    return beats.select(
-        "job_id", F.timestamp_micros("_from").alias("silent_from"), F.timestamp_micros("_to").alias("silent_to"), "heartbeats"
-    )
+    micros_of_gap = gap * 1_000_000
+
+    def micros(value: str | Column) -> Column:
+        return F.unix_micros((F.col(value) if isinstance(value, str) else value).cast("timestamp"))
+
+    def step(batch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        now = batch.filter("job_id IS NULL").agg(F.max("ts")).first()[0]
+        events = batch.filter("job_id IS NOT NULL")
+        edges = bucket_edges(events, gap).withColumn("sent", F.lit(0).cast("long"))
+        if known is not None:
+            # What is known of a job is an edge like any other: its last event, and the beats sent since.
+            last = F.col("last")
+            edges = edges.join(known.select("job_id", "last"), "job_id", "left").filter(last.isNull() | (F.col("silent_from") >= last))
+            bucket = F.floor(micros("last") / micros_of_gap).alias("_bucket")
+            before = known.select("job_id", bucket, last.alias("_first"), last.alias("silent_from"), "sent")
+            edges = edges.drop("last").unionByName(before).groupBy("job_id", "_bucket").agg(
+                F.min("_first").alias("_first"),
+                F.max_by("sent", F.struct("silent_from", "sent")).alias("sent"),
+                F.max("silent_from").alias("silent_from"),
+            )
+        over = silences(edges, gap).withColumn("heartbeats", F.col("heartbeats") - F.col("sent"))
+        last = edges.groupBy("job_id").agg(F.max("silent_from").alias("last"), F.max_by("sent", "silent_from").alias("sent"))
+        if ended is not None:
+            last = last.join(events.filter(ended).select("job_id").distinct(), "job_id", "left_anti")
+        waited = F.floor((micros(F.lit(now)) - micros("last")) / micros_of_gap)
+        last = last.withColumn("_due", F.greatest(F.coalesce(waited, F.lit(0)) - F.col("sent"), F.lit(0)))
+        open_ = last.select("job_id", F.col("last").alias("silent_from"), F.lit(None).cast("timestamp").alias("silent_to"), F.col("_due").alias("heartbeats"))
+        results = over.select(*open_.columns).unionByName(open_).filter("heartbeats > 0")
+        return results, last.select("job_id", "last", (F.col("sent") + F.col("_due")).alias("sent"))
+
+    return step
 
 
 def fetch_health_feed(log: DataFrame) -> DataFrame:
@@ -109,31 +107,22 @@ def newest_per_key(results: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*keys, "_v.*")
 
 
-def progress_feed(rows: DataFrame) -> DataFrame:
-    """Progress rows (job_id, ts, event_id, ...) that differ from the job's row before,
-    across micro-batches. A job is forgotten with its end."""
-    fields = rows.schema
-    known = StructType([fields[c] for c in STATE])
-
-    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found = _joined(frames)
-        # Plain lists: most jobs have a few rows a batch. Numbers with gaps come as floats.
-        values = list(zip(*([_plain(v) for v in found[c].tolist()] for c in STATE)))
-        last = tuple(state.get) if state.exists else None
-        keep = []
-        for i in np.lexsort((found["event_id"].to_numpy(), found["ts"].to_numpy())).tolist():
-            if values[i] != last:
-                keep.append(i)
-                last = values[i]
-        if last[-1] in FINISHED:
-            state.remove()
-        else:
-            state.update(last)
-        yield found.iloc[keep]
-
-    return rows.groupBy("job_id").applyInPandasWithState(
-        changed, fields, known, "append", GroupStateTimeout.NoTimeout
-    ).select(*fields.names)
+def progress_step(batch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Step of ``runner.folded``: progress rows (job_id, ts, event_id, ...) that differ from the
+    job's row before, across micro-batches. A job is forgotten with its end."""
+    rows = batch.withColumn("_known", F.lit(False))
+    if known is not None:
+        # What is known of a job stands before all that came.
+        first = known.withColumns({"ts": F.lit("0001-01-01").cast(batch.schema["ts"].dataType), "_known": F.lit(True)})
+        rows = rows.unionByName(first.join(batch.select("job_id").distinct(), "job_id", "left_semi"), allowMissingColumns=True)
+    results = progress_changes(rows).filter("NOT _known").drop("_known")
+    state = F.struct("ts", "event_id", *STATE)
+    last = batch.groupBy("job_id").agg(F.max_by(state, F.struct("ts", "event_id")).alias("_s"))
+    after = last.select("job_id", "_s.event_id", *[f"_s.{c}" for c in STATE])
+    if known is not None:
+        after = after.unionByName(known.join(last, "job_id", "left_anti"))
+    running = ~F.coalesce(F.col("status").isin(FINISHED), F.lit(False))
+    return results, after.filter(running)
 
 
 def feed_events(changed: DataFrame) -> DataFrame:
@@ -151,11 +140,32 @@ def feed_events(changed: DataFrame) -> DataFrame:
     return events.withColumn("error", F.when(F.col("type") == "failed", F.col("error")))
 
 
-def change_feed(crawled: DataFrame, stored: DataFrame) -> DataFrame:
-    """Running counters per site while the pages of a crawl arrive; run it in update mode.
+def of_sites(rows: DataFrame, batch: DataFrame) -> DataFrame:
+    """The part of ``rows`` that belongs to the sites of ``batch``, by a filter the scan can use.
 
-    Each page is compared with its stored row as it comes, and counted once. The
-    pages table is only read; removals wait for the end of the crawl.
+    Stored rows lie in the order of their site, so files and row groups of other sites are not read.
     """
-    looked_at = arrival_changes(stored, crawled)
-    return change_counts(looked_at.dropDuplicates(["site_id", "url"]))
+    sites = batch.select("site_id").distinct()
+    named = [r.site_id for r in sites.limit(NAMED_SITES + 1).collect()]
+    if len(named) <= NAMED_SITES:
+        return rows.filter(F.col("site_id").isin(named))
+    low, high = batch.agg(F.min("site_id"), F.max("site_id")).first()
+    return rows.filter(F.col("site_id").between(low, high))
+
+
+def change_step(stored: DataFrame) -> Step:
+    """Step of ``runner.logged`` over the pages of a crawl as they arrive -> (site_id, url, change).
+
+    Each page is compared with its stored row as it comes, and counted once:
+    ``snapshot.change_counts`` of the results are the counters so far. Of the stored pages, as of those
+    counted before, only the sites of the micro-batch are read; removals wait for the end of the crawl.
+    """
+
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        # A copy that was fetched says more than one that was not modified.
+        found = arrival_changes(of_sites(stored, batch), batch).groupBy(*KEY).agg(F.max("change").alias("change"))
+        if before is not None:
+            found = found.join(of_sites(before, batch), KEY, "left_anti")
+        return found.repartitionByRange("site_id").sortWithinPartitions("site_id")
+
+    return step
