@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,11 +91,40 @@ CHALLENGE_MARKS = [
 ]
 
 
+def _spellings(pattern: str) -> list[str]:
+    """All texts a path pattern stands for, without the slashes around them."""
+    found = [""]
+    for literal, some, one in re.findall(r"([\w-]+?)(?=\w\?|[\[(]|$)|[\[(]([^\])]+)[\])]\?|(\w)\?", pattern):
+        if literal:
+            ways = [literal]
+        else:
+            ways = ["", *(some.split("|") if "|" in some else some or one)]
+        found = [f + w for f in found for w in ways]
+    return found
+
+
+# A pattern begins with a slash; some want the path or its part to end after it.
+_ENDED = "(/|$)"
+_RULES = [
+    (spelling, pattern.endswith(_ENDED), name)
+    for pattern, name in CATEGORY_PATTERNS
+    for spelling in _spellings(pattern.removeprefix("/").removesuffix(_ENDED))
+]
+
+
 def page_category(url: str, depth: str) -> Column:
-    """Category by the first matching path pattern, else by depth. Arguments are SQL text."""
-    by_path = " ".join(f"WHEN p rlike r'{pattern}' THEN '{name}'" for pattern, name in CATEGORY_PATTERNS)
+    """Category by the first matching path pattern, else by depth. Arguments are SQL text.
+
+    One pass over the path: what stands after each slash is tried in the order of the
+    patterns, and of all that is found the earliest pattern decides.
+    """
+    tried = "|".join(spelling + ("(?=/|$)" if ended else "") for spelling, ended, _ in _RULES)
+    known = ", ".join(f"'{spelling}'" for spelling, _, _ in _RULES)
+    names = ", ".join(f"'{name}'" for _, _, name in _RULES)
+    places = f"transform(regexp_extract_all(p, r'/(?=({tried}))', 1), w -> cast(array_position(array({known}), w) AS int))"
     by_depth = f"if({depth} <= 1, 'Core Pages', 'Other')"
-    return lower_path(url, "p", f"CASE {by_path} ELSE {by_depth} END")
+    found = let("w", places, f"if(size(w) = 0, {by_depth}, element_at(array({names}), array_min(w)))")
+    return lower_path(url, "p", found)
 
 
 def page_relevance(url: str, depth: str, category: str, in_sitemap: str = "false") -> Column:
@@ -104,8 +135,10 @@ def page_relevance(url: str, depth: str, category: str, in_sitemap: str = "false
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(base - long_path, 2)))
 
 
-def _any(text: str, patterns: list[str], flags: str) -> str:
-    return "(" + " OR ".join(f"{text} rlike r'{flags}{p}'" for p in patterns) + ")"
+def _any(text: str, patterns: list[str], flags: str, first: str = "") -> str:
+    """Does one of the patterns match? One pass; ``first`` holds the letters they may begin with."""
+    ahead = f"(?=[{first}])" if first else ""
+    return f"({text} rlike r'{flags}{ahead}(?:{'|'.join(patterns)})')"
 
 
 def is_junk_title(title: str) -> Column:
@@ -118,4 +151,4 @@ def is_junk_title(title: str) -> Column:
 def is_challenge(html: str, window: int | None = None) -> Column:
     """Does a mark of a challenge page stand in the page, or in its first ``window`` characters?"""
     looked_at = html if window is None else f"substring({html}, 1, {window})"
-    return F.expr(let("h", looked_at, _any("h", CHALLENGE_MARKS, "(?iud)")))
+    return F.expr(let("h", looked_at, _any("h", CHALLENGE_MARKS, "(?iud)", "".join(sorted({re.sub(r"^\(\?s:", "", m)[0] for m in CHALLENGE_MARKS})))))

@@ -59,19 +59,45 @@ def _at(day: str, minute: str) -> str:
     return f"make_timestamp_ntz(year({day}), month({day}), day({day}), cast({minute} DIV 60 AS int), {minute} % 60, 0)"
 
 
+def _masks(c: str, body: str) -> str:
+    """``body`` with ``k``: days and months of a schedule as set bits, and its weekdays over six weeks."""
+
+    def bits(values: str) -> str:
+        return f"aggregate({values}, 0L, (a, v) -> a | shiftleft(1L, v))"
+
+    week = let("w", f"transform({c}.weekday, v -> v % 7)", bits("w"))
+    weeks = let("w", week, "aggregate(sequence(0, 5), 0L, (a, i) -> a | shiftleft(w, 7 * i))")
+    return let("k", f"named_struct('days', {bits(c + '.day')}, 'months', {bits(c + '.month')}, 'weeks', {weeks})", body)
+
+
+def _first_date(start: str, months: int) -> str:
+    """First date from ``start`` on at which the schedule ``k`` fires, or NULL within so many months.
+
+    The days of a month that fire are bits of one number: those of the schedule, those of its
+    weekdays from the month's first one on, and those the month has. The lowest set bit is the date.
+    """
+    days = "k.days & shiftleft(shiftright(k.weeks, dayofweek(b) - 1), 1) & (shiftleft(1L, day(last_day(b)) + 1) - 2)"
+    left = f"({days} & if(i = 0, -shiftleft(1L, day({start})), -1L))"
+    date = let("m", left, "if(m = 0, NULL, date_add(b, bit_count((m & -m) - 1) - 1))")
+    month = let("b", f"cast(add_months(trunc({start}, 'MM'), i) AS date)", f"if(k.months & shiftleft(1L, month(b)) = 0, NULL, {date})")
+    return f"aggregate(sequence(0, {months}), cast(NULL AS date), (found, i) -> if(found IS NOT NULL, found, {month}))"
+
+
 def next_fire(cron: str, now: str) -> Column:
     """First fire time at or after ``now``, row by row, without a join. Arguments are SQL text.
 
-    Month after month is looked at until one has a day that fires; of that month the
-    first two days, since today's times may have passed.
+    A year is looked at month by month; only schedules that skip years, as those of
+    29 February, are followed further.
     """
     moment = f"cast({now} AS timestamp_ntz)"
-    first = f"greatest(b, to_date({moment}))"
-    inside = f"slice({_days('c', first, f'greatest(datediff(last_day(b), {first}) + 1, 1)')}, 1, 2)"
-    times = f"filter(flatten(transform({inside}, w -> transform(o, k -> {_at('w', 'k')}))), t -> t >= {moment})"
-    month = let("b", f"cast(add_months(trunc(to_date({moment}), 'MM'), i) AS date)", f"if(array_contains(c.month, month(b)), array_min({times}), NULL)")
-    search = f"aggregate(sequence(0, {MONTHS}), cast(NULL AS timestamp_ntz), (found, i) -> if(found IS NOT NULL, found, {month}))"
-    return F.expr(with_cron(cron, "c", let("o", _minutes("c"), search)))
+    today = f"to_date({moment})"
+    later = f"filter(o, v -> {_at(today, 'v')} >= {moment})"
+    # Today counts only if one of its times is still to come.
+    start = f"if(size({later}) > 0, {today}, date_add({today}, 1))"
+    date = f"coalesce({_first_date('s', 12)}, {_first_date('s', MONTHS)})"
+    minute = f"if(d = {today}, array_min({later}), array_min(o))"
+    found = let("d", date, let("v", minute, f"if(d IS NULL OR v IS NULL, NULL, {_at('d', 'v')})"))
+    return F.expr(with_cron(cron, "c", let("o", _minutes("c"), let("s", start, _masks("c", found)))))
 
 
 def next_run(schedules: DataFrame, now: Column) -> DataFrame:

@@ -4,6 +4,8 @@ The caller names the folder of a version, for instance ``<root>/pages/v=7``; a f
 is written once and never changed, so readers of a version keep it. Rows lie in the
 order of their site, split by range: a question about one site is pushed to the scan
 and touches the few files whose value range holds it, and a hot site has many files.
+Keys that the order does not help, of jobs, files and schedules, have Bloom filters: a
+question about one of them opens only the row groups that may hold it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from linkloom.schemas import UNIQUE_KEYS, duplicate_keys, table_schema
 
 
+#: Columns a row is looked up by, besides its site.
+LOOKUP = {"id", "crawl_job_id", "idempotency_key", "url"}
+
+
 def site_column(name: str) -> str:
     return "id" if name == "sites" else "site_id"
 
@@ -26,7 +32,12 @@ def write_state(df: DataFrame, name: str, path: str, check: bool = False) -> Non
         if wrong:
             raise ValueError(f"keys of {name} repeat: {wrong}")
     order = dict.fromkeys([site_column(name), "id"])
-    typed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    writer = typed.repartitionByRange(*order).sortWithinPartitions(*order).write
+    # A filter is as large as its row group needs.
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for key in sorted(LOOKUP & set(typed.columns)):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(path)
 
 
 def read_state(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -226,6 +226,53 @@ def test_next_run_has_no_horizon(spark):
     assert late[2] == datetime(2104, 2, 29)
 
 
+def test_next_run_of_many_schedules(spark):
+    """Every day of some months as the present, against the plain reading."""
+    crons = ["0 12 31 * *", "30 23 29-31 1-3 *", "0 0 * 2 0", "59 23 28 2 *", "0 6 1 1 1", "5 5 5,15 */5 2-4", "0 0 31 2 *", "x * * * *"]
+    moments = [datetime(2023, 12, 29) + timedelta(hours=31 * i, seconds=i % 2) for i in range(50)]
+    rows = [(100 * i + j, c, m) for i, c in enumerate(crons) for j, m in enumerate(moments)]
+    df = spark.createDataFrame(rows, "site_id int, c string, n timestamp_ntz")
+    got = {r.site_id: r.t for r in df.select("site_id", schedule.next_fire("c", "n").alias("t")).collect()}
+    for n, cron, moment in rows:
+        t = moment if moment.second == 0 else moment.replace(second=0) + timedelta(minutes=1)
+        if cron in crons[-2:]:
+            assert got[n] is None
+            continue
+        h, m = (int(x) for x in cron.split()[1::-1])
+        day = t.replace(hour=h, minute=m)
+        day = day if day >= t else day + timedelta(days=1)
+        while not matches(cron, day):
+            day += timedelta(days=1)
+        assert got[n] == day, (cron, moment)
+
+
+def scanned_rows(df):
+    """Rows that the scan of a plan gave, once it has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_open_only_row_groups_that_may_hold_the_key(spark, folder):
+    jobs = spark.range(20_000).select(
+        (F.col("id") * 7919 % 1_000_003).alias("id"), (F.col("id") % 5).alias("site_id"), (F.col("id") * 104_729 % 1_000_003).alias("crawl_job_id"),
+        F.lit("text").alias("content"), F.lit("h").alias("content_hash"), F.lit(False).alias("is_edited"), at("2024-01-01").alias("created_at"), at("2024-01-01").alias("updated_at"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        state.write_state(jobs, "generated_files", f"{folder}/files")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = state.read_state(spark, "generated_files", f"{folder}/files")
+    some = jobs.limit(1).first()
+    assert history.lookup(files, crawl_job_id=some.crawl_job_id).count() == 1
+    absent = next(k for k in range(500_000, 600_000) if files.filter(F.col("crawl_job_id") == k).count() == 0)
+    # The value lies between least and greatest of every row group; only the filters exclude it.
+    assert scanned_rows(history.lookup(files, crawl_job_id=absent)) == 0
+    assert 0 < scanned_rows(history.lookup(files, crawl_job_id=some.crawl_job_id)) < 20_000
+
+
 def test_intermediate_tables_are_removed(spark, folder):
     import os
 
