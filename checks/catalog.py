@@ -18,7 +18,7 @@ from linkloom.operators import (
 from linkloom.operators import robots as robots_txt
 from linkloom.plans.refresh import refresh
 from linkloom.session import cut_lineage, shared_path
-from linkloom.sources import sinks, sitemaps
+from linkloom.sources import pagestore, sinks, sitemaps
 from linkloom.sources import state as tables
 from linkloom.streaming import feeds, runner
 
@@ -980,6 +980,28 @@ def _(spark, sf):
     return merged.drop("last_modified", "created_at", "updated_at", "change")
 
 
+def _laid_out(spark, sf):
+    """The stored pages in parts and buckets, the crawl, and the sites of both."""
+    old, new = _snapshots(spark, sf)
+    path = shared_path(spark, "pages-table")
+    sites = old.select("site_id").union(new.select("site_id"))
+    return path, pagestore.write_pages(old, path, parts=4, buckets=8), new, sites
+
+
+@query("pages_table_diff", "SELECT site_id, url, change, not_modified FROM diff")
+def _(spark, sf):
+    _, stored, new, sites = _laid_out(spark, sf)
+    return pagestore.diff_pages(stored, new, sites, parts=4)
+
+
+@query("pages_table_merge", f"SELECT {MERGED_COLUMNS} FROM merged")
+def _(spark, sf):
+    path, _, new, sites = _laid_out(spark, sf)
+    pagestore.merge_pages(spark, path, new, V.ts(V.LATER), sites, parts=4, buckets=8)
+    merged = pagestore.open_pages(spark, path, buckets=8).withColumn("links", words("links"))
+    return merged.drop("last_modified", "created_at", "updated_at", "part")
+
+
 @query("site_refresh", "SELECT id, url, domain, title, description FROM refreshed")
 def _(spark, sf):
     return snapshot.site_refresh(V.page_sites(spark, sf), V.crawl_of(V.facts(spark, sf))).select("id", "url", "domain", "title", "description")
@@ -1125,8 +1147,13 @@ def _(spark, sf):
     return runner.drained(once, shared_path(spark, "page-feed")).select("job_id", "url")
 
 
+def _folded(spark, stream, name, step):
+    out = shared_path(spark, name)
+    return runner.finished(spark, runner.folded(stream, out, step), out).drop("batch")
+
+
 def _progress(spark, sf):
-    return runner.drained(feeds.progress_feed(V.progress_stream(spark, sf)), shared_path(spark, "progress")).drop("batch")
+    return _folded(spark, V.progress_stream(spark, sf), "progress", feeds.progress_step)
 
 
 @query("stream_progress", "SELECT * FROM progress_changed")
@@ -1150,8 +1177,21 @@ def _(spark, sf):
        WHERE epoch_us(nxt) - epoch_us(ts) >= 15000000""",
 )
 def _(spark, sf):
-    beats = feeds.heartbeats(V.feed_rows(V.event_stream(spark, sf)))
-    return runner.drained(beats, shared_path(spark, "heartbeats")).drop("batch")
+    return _folded(spark, V.feed_rows(V.event_stream(spark, sf)), "heartbeats", feeds.heartbeat_step())
+
+
+@query(
+    "stream_heartbeat_live",
+    """WITH f AS (SELECT user_id % 5 AS job_id, ts FROM events WHERE event_id % 50 <> 0),
+            l AS (SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS nxt FROM f),
+            b AS (SELECT job_id, ts, (epoch_us(coalesce(nxt, (SELECT max(ts) FROM events WHERE event_id % 50 = 0))) - epoch_us(ts)) // 15000000 AS n FROM l)
+       SELECT job_id, ts AS silent_from, n AS heartbeats FROM b WHERE n > 0""",
+)
+def _(spark, sf):
+    # Beats come at the ticks and at the end of a silence; here they are added up.
+    beats = _folded(spark, V.ticking_stream(spark, sf), "live-heartbeats", feeds.heartbeat_step())
+    whole = beats.groupBy("job_id", "silent_from").agg(F.sum("heartbeats").alias("heartbeats"))
+    return whole.withColumn("silent_from", F.col("silent_from").cast("timestamp_ntz"))
 
 
 @query(
@@ -1160,8 +1200,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     crawl = V.crawl_of(extract.extract_pages(V.with_site(V.page_stream(spark, sf))))
-    counts = feeds.change_feed(crawl, cut_lineage(V.stored(spark, sf), "stored"))
-    return feeds.newest_per_key(runner.drained(counts, shared_path(spark, "changes"), "update"), ["site_id"])
+    out = shared_path(spark, "changes")
+    stored = V.stored(spark, sf).repartitionByRange("site_id").sortWithinPartitions("site_id")
+    return snapshot.change_counts(runner.finished(spark, runner.logged(crawl, out, feeds.change_step(cut_lineage(stored, "stored"))), out))
 
 
 @query(

@@ -179,11 +179,16 @@ def needs_rebuild(counts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def snapshot_merge(
-    stored: DataFrame, crawled: DataFrame, now: Column, aborted_sites: DataFrame | None = None
+    stored: DataFrame,
+    crawled: DataFrame,
+    now: Column,
+    aborted_sites: DataFrame | None = None,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
     """The next pages table, plus a last column ``change`` (NULL where nothing was looked at).
 
-    Written once. New pages get the ids after the greatest one, by (site_id, url).
+    Written once. New pages get the ids after the greatest one of ``taken``, by default
+    ``stored``, by (site_id, url).
     """
     compared = _compared(stored, crawled, aborted_sites, [*CONTENT, "etag", "last_modified"])
     seen = F.col("c").isNotNull()
@@ -222,7 +227,7 @@ def snapshot_merge(
         "change",
     )
     merged = cut_lineage(merged, "merged")
-    new = next_ids(merged.filter("id IS NULL"), [F.asc("site_id"), F.asc("url")], stored)
+    new = next_ids(merged.filter("id IS NULL"), [F.asc("site_id"), F.asc("url")], stored if taken is None else taken)
     return merged.filter("id IS NOT NULL").unionByName(new)
 
 
