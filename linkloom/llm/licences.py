@@ -32,6 +32,8 @@ from linkloom.session import cut_lineage
 LEAST = 0.8
 #: Templates are broadcast up to this many bytes of text; beyond, joined by shuffle.
 BROADCAST_BYTES = 1 << 20
+#: Bigrams of a short template.
+SHORT = 8
 #: Texts are looked through for up to this many bigrams that a match needs.
 NEEDED = 256
 
@@ -118,49 +120,97 @@ def laid_lines(own: DataFrame) -> DataFrame:
     return lines.withColumn("off", off).withColumn("next", F.lead(F.element_at("words", 1)).over(order))
 
 
-def spans(lines: DataFrame, known: DataFrame, longest: int, least: float) -> DataFrame:
+def spans(lines: DataFrame, known: DataFrame, reach: int, most: int, least: float) -> DataFrame:
     """Of each template and place in a text where one of its bigrams stands, the best
     run of words from there that reaches ``least``, across line ends: mark, doc_id,
-    unit (line it begins in), licence, dice, common, first and last word."""
+    unit (line it begins in), licence, dice, common, first and last word.
+
+    No run is longer than ``reach`` bigrams, so work grows with the text, whatever it repeats.
+    ``most`` is how often a template may have a bigram.
+    """
     low, high = least / (2 - least), (2 - least) / least
     run = F.when(F.col("next").isNull(), F.col("words")).otherwise(F.concat("words", F.array("next")))
     each = lines.withColumn("run", run).select("mark", "doc_id", "unit", "off", F.posexplode(bigrams("run")).alias("i", "bigram"))
     hits = each.withColumn("s", F.col("off") + F.col("i")).join(known, "bigram")
-    # No run that matches is longer than that, so the list has a bound.
-    ahead = Window.partitionBy("mark", "licence").orderBy("s").rangeBetween(0, math.ceil(longest * high))
-    hits = hits.withColumn("n", F.count(F.lit(1)).over(ahead)).withColumn("to_come", F.when(F.col("n") >= F.col("b") * low - 1e-9, F.collect_list(F.struct("s", "bigram", "in_b")).over(ahead)))
-    hits = hits.where(F.col("to_come").isNotNull())
-    seen = lambda k, e: F.size(F.filter(F.slice("to_come", 1, k + 1), lambda x: x["bigram"] == e["bigram"]))
-    counts = F.transform("to_come", lambda e, k: F.struct(e["s"].alias("s"), (seen(k, e) <= e["in_b"]).cast("int").alias("one")))
-    hits = hits.withColumn("to_come", counts)
-    common = lambda k: F.aggregate(F.slice("to_come", 1, k + 1), F.lit(0), lambda c, x: c + x["one"])
-    ends = F.transform("to_come", lambda e, k: F.struct((e["s"] - F.col("s") + 1).alias("a"), common(k).alias("common")))
-    scored = F.transform(
-        "ends", lambda e: F.struct((2 * e["common"] / (e["a"] + F.col("b"))).alias("dice"), (-e["a"]).alias("minus"), e["common"].alias("common"))
-    )
-    best = hits.withColumn("ends", ends).withColumn("best", F.array_max(scored)).where(F.col("best.dice") >= least)
+    # A bigram counts in a run from s if it was there fewer times since s than the template has it.
+    same = Window.partitionBy("mark", "licence", "bigram").orderBy("s")
+    back = F.coalesce(*(F.when(F.col("in_b") == k, F.lag("s", k).over(same)) for k in range(1, most + 1)), F.lit(-1))
+    hits = hits.withColumn("back", back)
+    ahead = Window.partitionBy("mark", "licence").orderBy("s").rangeBetween(0, reach)
+    hits = hits.withColumn("n", F.count(F.lit(1)).over(ahead))
+    to_come = F.when(F.col("n") >= F.col("b") * low - 1e-9, F.collect_list(F.struct("s", "back")).over(ahead))
+    hits = hits.withColumn("to_come", to_come).where(F.col("to_come").isNotNull())
+    own = F.filter("to_come", lambda x: x["s"] - F.col("s") + 1 <= F.col("b") * high + 1e-9)
+
+    def grow(best: Column, x: Column) -> Column:
+        common = best["common"] + (x["back"] < F.col("s")).cast("int")
+        a = x["s"] - F.col("s") + 1
+        one = F.struct((2 * common / (a + F.col("b"))).alias("dice"), (-a).alias("minus"), common.alias("own"))
+        return F.struct(common.alias("common"), F.greatest(best["best"], one).alias("best"))
+
+    none = F.struct(F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("minus"), F.lit(0).alias("own"))
+    found = F.aggregate(own, F.struct(F.lit(0).alias("common"), none.alias("best")), grow, lambda x: x["best"])
+    best = hits.withColumn("best", found).where(F.col("best.dice") >= least - 1e-9)
     last = (F.col("s") - F.col("best.minus")).alias("e")
-    return best.select("mark", "doc_id", "unit", "licence", F.col("best.dice").alias("dice"), F.col("best.common").alias("common"), "s", last)
+    return best.select("mark", "doc_id", "unit", "licence", F.col("best.dice").alias("dice"), F.col("best.own").alias("common"), "s", last)
+
+
+#: Rounds in which spans that are better than all they overlap are taken before what is left is gathered.
+ROUNDS = 2
 
 
 def apart(found: DataFrame) -> DataFrame:
     """Spans that are left when, of those that overlap, the one with most common bigrams
-    times Dice goes first; units are among ``found`` and win ties, but are not returned."""
+    times Dice goes first; units are among ``found`` and win ties, but are not returned.
+
+    A span that is the best one at each of its words is better than all it overlaps: it is taken, and
+    what it overlaps goes. Words are groups of their own, so a text of any length is spread out. After
+    ``ROUNDS`` of that, what overlaps still, chains of rising spans, is taken one by one.
+    """
+    rank = F.struct((-F.round(F.col("common") * F.col("dice"), 9)).alias("minus"), "is_span", "licence", "s", "e", "unit")
+    rest = found.select("mark", "doc_id", "dice", rank.alias("rank"))
+    at = F.explode(F.sequence("rank.s", "rank.e")).alias("at")
+    taken = None
+    for n in range(ROUNDS):
+        best = F.min("rank").over(Window.partitionBy("mark", "at"))
+        words_ = rest.select("*", at).withColumn("best", best)
+        judged = words_.groupBy("mark", "doc_id", "dice", "rank").agg(F.bool_and(F.col("best") == F.col("rank")).alias("peak"))
+        judged = cut_lineage(judged, f"licence-peaks-{n}")
+        peaks = judged.where("peak").drop("peak")
+        covered = F.max("peak").over(Window.partitionBy("mark", "at"))
+        left = judged.select("*", at).withColumn("hit", covered).groupBy("mark", "doc_id", "dice", "rank").agg(F.max("hit").alias("hit"))
+        rest = cut_lineage(left.where("NOT hit").drop("hit"), f"licence-rest-{n}")
+        taken = peaks if taken is None else taken.unionByName(peaks)
+    rest = rest.withColumn("s", F.col("rank.s")).withColumn("e", F.col("rank.e"))
     order = Window.partitionBy("mark").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     begins = F.coalesce(F.col("s") > F.max("e").over(order), F.lit(True)).cast("int")
-    upto = Window.partitionBy("mark").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    marked = found.withColumn("begins", begins).withColumn("island", F.sum("begins").over(upto))
-    one = F.struct((-F.round(F.col("common") * F.col("dice"), 9)).alias("minus"), "is_span", "licence", "s", "e", "unit", "dice")
-    lists = marked.groupBy("mark", "doc_id", "island").agg(F.sort_array(F.collect_list(one)).alias("list"), F.max("is_span").alias("some"))
-    free = lambda kept, x: ~F.exists(kept, lambda k: (k["s"] <= x["e"]) & (x["s"] <= k["e"]))
-    kept = F.aggregate("list", F.slice("list", 1, 0), lambda got, x: F.when(free(got, x), F.concat(got, F.array(x))).otherwise(got))
-    each = lists.where("some = 1").select("doc_id", F.explode(kept).alias("x")).where("x.is_span = 1")
-    return each.select("doc_id", F.col("x.unit").alias("unit"), F.col("x.licence").alias("licence"), F.col("x.dice").alias("dice"))
+    run = Window.partitionBy("mark").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    islands = rest.withColumn("begins", begins).withColumn("island", F.sum("begins").over(run))
+    lists = islands.groupBy("mark", "doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("rank", "dice"))).alias("list"))
+    meets = lambda k, x: (k["rank"]["s"] <= x["rank"]["e"]) & (x["rank"]["s"] <= k["rank"]["e"])
+    kept = F.aggregate(
+        "list", F.slice("list", 1, 0), lambda got, x: F.when(F.exists(got, lambda k: meets(k, x)), got).otherwise(F.concat(got, F.array(x)))
+    )
+    each = lists.select("doc_id", F.explode(kept).alias("x")).where("x.rank.is_span = 1")
+    last = each.select("doc_id", "x.rank.unit", "x.rank.licence", "x.dice")
+    if taken is None:
+        return last
+    return taken.where("rank.is_span = 1").select("doc_id", "rank.unit", "rank.licence", "dice").unionByName(last)
+
 
+def template_rows(templates: DataFrame) -> dict[str, str]:
+    """Templates of a table (licence, text), each as one text; a licence may have several rows of a name of their own."""
+    return {r.licence: r.text for r in templates.where("licence IS NOT NULL AND text IS NOT NULL").select("licence", "text").collect()}
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, text) -> doc_id, unit, licence, dice of each unit that a template matches,
-    and of each span that one matches and no better match overlaps."""
+    and of each span that one matches and no better match overlaps.
+
+    ``templates`` by name, or a table (licence, text) of whole licence texts.
+    """
+    if isinstance(templates, DataFrame):
+        templates = template_rows(templates)
     spark = docs.sparkSession
     rows = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(v).alias("t")) for k, v in templates.items()))
     known = spark.range(1, numPartitions=1).select(F.inline(rows)).select("licence", words(normal(F.col("t"))).alias("words"))
@@ -180,25 +230,35 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     texts = cut_lineage(texts.withColumn("mark", F.monotonically_increasing_id()), "licence-texts")
     every = units(texts, "text")
     own = every.withColumn("a", F.size("words") - 1)
-    own = own.where((F.col("a") >= min(sizes) * low) & (F.col("a") <= max(sizes) * high))
+    # Bounds are fractions; a unit that is just at one is not lost to rounding.
+    own = own.where((F.col("a") >= min(sizes) * low - 1e-9) & (F.col("a") <= max(sizes) * high + 1e-9))
     own = own.select("mark", "doc_id", "unit", "a", F.explode(bigrams("words")).alias("bigram"))
-    fits = (F.col("a") >= F.col("b") * low) & (F.col("a") <= F.col("b") * high)
+    fits = (F.col("a") >= F.col("b") * low - 1e-9) & (F.col("a") <= F.col("b") * high + 1e-9)
     common = own.join(known, "bigram").where(fits)
     common = common.groupBy("mark", "doc_id", "unit", "a", "b", "licence", "bigram", "in_b").agg(F.count(F.lit(1)).alias("in_a"))
     shared = F.sum(F.least("in_a", "in_b"))
     dice = 2 * shared / (F.col("a") + F.col("b"))
     each = common.groupBy("mark", "doc_id", "unit", "a", "b", "licence").agg(dice.alias("dice"), shared.alias("common"))
     best = F.min(F.struct((-F.col("dice")).alias("minus"), "licence", "common")).alias("best")
-    each = each.where(F.col("dice") >= least).groupBy("mark", "doc_id", "unit").agg(best)
+    each = each.where(F.col("dice") >= least - 1e-9).groupBy("mark", "doc_id", "unit").agg(best)
     matched = cut_lineage(
         each.select("mark", "doc_id", "unit", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("dice"), F.col("best.common").alias("common")),
         "licence-units",
     )
     lines = laid_lines(every)
     place = lines.select("mark", "unit", F.col("off").alias("s"), (F.col("off") + F.size("words") - 1).alias("e"))
-    whole = matched.where("unit = -1").withColumn("s", F.lit(0).cast("long")).withColumn("e", F.lit(1 << 62).cast("long"))
+    # A text that matches as a whole is no longer than a template may be.
+    longest = math.floor(max(sizes) * high + 1e-9)
+    whole = matched.where("unit = -1").withColumn("s", F.lit(0).cast("long")).withColumn("e", F.lit(longest).cast("long"))
     taken = matched.join(place, ["mark", "unit"]).unionByName(whole).withColumn("is_span", F.lit(0))
-    found = spans(lines, known, max(sizes), least).withColumn("is_span", F.lit(1))
+    most = max(Counter(zip(w, w[1:])).most_common(1)[0][1] for w in map(normal_words, templates.values()) if len(w) > 1)
+    # Short templates look but a few words ahead.
+    short = [n for n in sizes if n <= SHORT]
+    parts = [(max(short), F.col("b") <= SHORT)] if short else []
+    parts += [(max(sizes), F.col("b") > SHORT)] if len(short) < len(sizes) else []
+    found = reduce(
+        DataFrame.unionByName, [spans(lines, known.where(own), math.floor(n * high + 1e-9), most, least) for n, own in parts]
+    ).withColumn("is_span", F.lit(1))
     return matched.select("doc_id", "unit", "licence", "dice").unionByName(apart(found.unionByName(taken)))
 
 
