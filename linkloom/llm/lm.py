@@ -1,24 +1,31 @@
 """Language-model scores from a weighted backoff automaton.
 
-Words and runs of up to ``ORDER`` words are counted over all training rows. Word
-counts are never pruned, and a longer run is an arc if it is seen ``LEAST`` times, at
-any size of the corpus. With absolute discounting,
+Words and runs of up to three words are counted over all training rows. Word counts are
+never pruned, and a longer run is an arc if it is seen ``LEAST`` times, at any size of the
+corpus. With absolute discounting,
 
     p(w) = (c(w) - d) / N, and d V / N for the unknown word,
     p(w | h) = (c(h w) - D) / c(h) + b(h) p(w | h'),   if h w is an arc, else b(h) p(w | h'),
 
-where h' is h without its first word and b(h) is what the arcs of h leave of 1. A walk
-through the automaton takes an arc of weight log p(w | h) or fails to h' by log b(h).
-Every arc has its shorter arcs, too, so the walk is a sum over the runs of a text: each
-arc adds its weight over that of failing, and its own failure weight for the next word.
-Weights are tables by hash. Those of words that make up ``WORD_SHARE`` of all tokens and
-of runs that make up ``ARC_SHARE`` are sent to every task, at most one in the inverse, so
-no frequent word or run is a join key; all others are joined in by hash.
-
-Words and runs are known by 64-bit hashes. Defined cases: a null text is empty and has the end
-as its only token; null ids count as the empty id in the split; repeated rows are
-counted and scored one by one; without training rows all words are unknown, N is 0, and
-scores are null where they are the log of nothing.
+where h' is h without its first word and b(h) is what the arcs of h leave of 1. The automaton
+has a state for the empty run and for each run that arcs go out from. An arc of w leads, with
+log p(w | h), to the longest state that ends the run read; a state without the arc fails to h' with
+log b(h). A text is read from left to right: its state is carried from word to word.
+
+No task could hold the automaton of a big corpus, and a text needs only what its words
+touch. Texts lie in groups of about ``STEP`` bytes with their words as numbers. A group asks for the
+counts of its words and of its runs of two, each distinct one once, and brings its own
+training counts along; what it asks goes to buckets by hash of the run without its last word. A bucket
+adds up, drops what is seen less than ``LEAST`` times, and answers each group in the order
+it asked: counts, and of each context the number and the sum of its arcs. Runs of three are asked for
+only if both their halves are arcs, which loses none. From the answers a group builds its part of the
+automaton and reads all its texts abreast, one word a step; texts of more than ``LANE`` words are read in
+pieces that begin in the state which the two words before them lead to.
+
+Runs are known by hashes of their words: 48 bits and the bucket's for a context, 40 bits for
+the word after it. Defined cases: a null text is empty and has the end as its only token; null ids
+count as the empty id in the split; repeated rows are counted and scored one by one; without training
+rows all words are unknown, N is 0, and scores are null where they are the log of nothing.
 """
 
 from __future__ import annotations
@@ -29,33 +36,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import remainder, table, word_pieces
-from linkloom.session import cut_lineage
+from linkloom.session import cut_into_buckets
 
 ORDER = 3
-WORD_SHARE = 2.0**-20
-ARC_SHARE = 2.0**-18
 #: Times a run must be seen to be kept, at any size of the corpus.
 LEAST = 2
 DISCOUNT = 0.5
-#: Bytes of text turned into numbers at a time, and counts a task holds before it hands them on.
+#: Bytes of text in a group, runs that a bucket should have, bits of its hash that name a bucket, at least.
 STEP = 1 << 22
 HELD = 1 << 21
-#: Bits of a run's hash that name its bucket, at least.
-BITS = 9
+BITS = 7
+#: Times a context is seen for each part it is cut into, so that a frequent word fills no bucket.
+SPLIT = 1 << 20
+#: Words of a text read in one piece.
+LANE = 1024
+#: Bytes in which the hash of a context and of the word after it are sent.
+LEFT, RIGHT = 6, 5
 
 #: Neither holds a character of a word.
 START = xxhash.xxh64_intdigest(b" ")
 END = xxhash.xxh64_intdigest(b"\n")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 class Numbers(dict):
     """Numbers words in the order in which they come first."""
 
@@ -76,376 +83,420 @@ def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, hashes
 
 
-def groups(raws: list[bytes | None]) -> Iterator[list[int]]:
-    """Places of texts, about ``STEP`` bytes at a time."""
-    group, size = [], 0
-    for i, raw in enumerate(raws):
-        group.append(i)
-        size += len(raw or b"")
-        if size > STEP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-class Tally:
-    """Counts of 64-bit keys, handed on when there are many."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-        if self.size > 2 * HELD:
-            self.merge()
-            if self.size > HELD:
-                yield from self.flush()
-
-    def merge(self) -> None:
-        keys, inverse = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-        self.parts, self.size = [(keys, counts)], len(keys)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self.merge()
-            keys, counts = self.parts[0]
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.record_batch([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["x", "n"])
-        self.parts, self.size = [], 0
-
-
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-    for batch in batches:
-        raws = batch.column(0).to_pylist()
-        for group in groups(raws):
-            codes, hashes = numbered([raws[i] or b"" for i in group])
-            counts = np.bincount(np.concatenate(codes), minlength=len(hashes))
-            yield from tally.add(np.append(hashes, np.uint64(END)), np.append(counts, len(group)))
-    yield from tally.flush()
-
-
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hash of a run from those of its first and its last words, all but one."""
+    """Hash of a run of two words from theirs."""
     x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-def runs_of(codes: list[np.ndarray], hashes: np.ndarray, order: int) -> Iterator[tuple]:
-    """For each length from 2: it, first and last words of all runs, the runs, and the
-    place of each one's text. A text stands between a start and an end."""
-    ends = np.array([START, END], np.uint64)
-    parts = []
-    for text in codes:
-        parts += [ends[:1], hashes[text] if len(text) else ends[:0], ends[1:]]
-    x = np.concatenate(parts)
-    place = np.repeat(np.arange(len(codes)), [len(text) + 2 for text in codes])
-    for n in range(2, order + 1):
-        left, right = x[:-1], x[1:]
-        x = mixed(left, right)
-        ok = place[: len(x)] == place[n - 1 :]
-        yield n, left[ok], right[ok], x[ok], place[: len(x)][ok]
-
-
-def cut(x: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Buckets of sorted hashes by their first ``bits`` bits, and where each lies."""
-    own = (x >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.diff(own, prepend=-1))
-    for a, b in zip(at.tolist(), np.append(at[1:], len(own)).tolist()):
-        yield int(own[a]), slice(a, b)
-
-
-def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows that hold bytes as batches of about ``STEP`` bytes."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
-        if size > STEP:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-
-
-def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Runs (hash, first words, last words, count), each once and sorted by hash."""
-    x, left, right, counts = (np.concatenate(c) for c in zip(*parts))
-    x, first, inverse = np.unique(x, return_index=True, return_inverse=True)
-    return x, left[first], right[first], np.bincount(inverse, counts, len(x)).astype(np.int64)
-
-
-def counted_runs(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """(raw) -> n, x, l, r, c: all runs of 2 to ``order`` words seen ``LEAST`` times.
-
-    Tasks hand on what they counted as bytes by bucket, so that no run is a row before
-    it is known to be kept.
-    """
-    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("l", pa.binary()), ("r", pa.binary()), ("c", pa.binary())])
-
-    def handed(n: int, parts: list[tuple]) -> Iterator[tuple]:
-        x, left, right, counts = added(parts)
-        for bucket, at in cut(x, bits):
-            yield bucket, n, left[at].tobytes(), right[at].tobytes(), counts[at].astype(np.uint32).tobytes()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            held: dict[int, list[tuple]] = {n: [] for n in range(2, order + 1)}
-            for batch in batches:
-                raws = batch.column(0).to_pylist()
-                for group in groups(raws):
-                    for n, left, right, x, _ in runs_of(*numbered([raws[i] or b"" for i in group]), order):
-                        held[n].append(added([(x, left, right, np.ones(len(x)))]))
-                        if sum(len(p[0]) for p in held[n]) > HELD:
-                            yield from handed(n, held[n])
-                            held[n] = []
-            for n, parts in held.items():
-                if parts:
-                    yield from handed(n, parts)
-
-        yield from batched(rows(), schema)
-
-    def fold(table: pa.Table) -> pa.Table:
-        out = []
-        lengths = table.column("n").to_numpy()
-        for n in range(2, order + 1):
-            own = table.filter(pa.array(lengths == n))
-            left, right = (np.frombuffer(b"".join(own.column(c).to_pylist()), np.uint64) for c in ("l", "r"))
-            counts = np.frombuffer(b"".join(own.column("c").to_pylist()), np.uint32)
-            x, left, right, counts = added([(mixed(left, right), left, right, counts)])
-            kept = counts >= LEAST
-            out.append((np.full(kept.sum(), n, np.int32), *(v[kept].view(np.int64) for v in (x, left, right, counts))))
-        return pa.table([np.concatenate(c) for c in zip(*out)], ["n", "x", "l", "r", "c"])
-
-    handed_on = docs.mapInArrow(count, "bucket long, n int, l binary, r binary, c binary")
-    return handed_on.groupBy("bucket").applyInArrow(fold, "n int, x long, l long, r long, c long")
-
-
-def weighted(words: DataFrame, runs: DataFrame, order: int) -> list[DataFrame]:
-    """(x, c, p) of words and the runs -> (x, c, v) for each length from 1.
-
-    ``v`` is what a run adds to the score wherever it stands in a text: the log of its
-    own weight over that of failing to the run without its first word, and the log of
-    its failure weight for the word that follows. So v of all runs of a text that are
-    kept adds up to the walk through the automaton.
-    """
-    below = words.withColumn("own", F.coalesce(F.log10("p"), F.lit(0.0)))
-    out = []
-    for n in range(2, order + 2):
-        arcs = runs.where(F.col("n") == n).drop("n")
-        taken = arcs.groupBy("l").agg(F.sum(F.col("c") - DISCOUNT).alias("taken"))
-        left_over = F.greatest(F.least(1 - F.col("taken") / F.col("c"), F.lit(1.0)), F.lit(1e-12))
-        below = below.join(taken.withColumnRenamed("l", "x"), "x", "left").withColumn("over", F.coalesce(left_over, F.lit(1.0)))
-        below = below.select("x", "c", "p", "over", (F.col("own") + F.log10("over")).alias("v"))
-        below = cut_lineage(below, f"lm-weights-{n - 1}")
-        out.append(below.select("x", "c", "v"))
-        if n <= order:
-            context = below.select(F.col("x").alias("l"), F.col("c").alias("l_c"), F.col("over").alias("l_over"))
-            shorter = below.select(F.col("x").alias("r"), F.col("p").alias("r_p"))
-            arcs = arcs.join(context, "l").join(shorter, "r")
-            p = (F.col("c") - DISCOUNT) / F.col("l_c") + F.col("l_over") * F.col("r_p")
-            arcs = arcs.withColumn("p", p)
-            own = F.log10("p") - F.log10("l_over") - F.log10("r_p")
-            below = arcs.select("x", "c", "p", own.alias("own"))
-    return out
+# Numbers and hashes as bytes
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Counts as a byte each; those that do not fit follow."""
+    big = values >= 255
+    return np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype(np.uint64).tobytes()
+
+
+def unpacked(raw: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """``n`` counts from ``packed``, which begin at ``at``, and where they end."""
+    small = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    big = np.flatnonzero(small == 255)
+    at += n
+    if len(big):
+        small[big] = np.frombuffer(raw[at : at + 8 * len(big)], np.uint64).astype(np.int64)
+        at += 8 * len(big)
+    return small, at
+
+
+def cut_hashes(x: np.ndarray, size: int) -> bytes:
+    """The first ``size`` bytes of each hash."""
+    return np.ascontiguousarray((x >> np.uint64(64 - 8 * size)).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def read_hashes(raw: bytes, n: int, size: int, at: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)
+    return out.view(np.uint64).ravel(), at + n * size
+
+
+def part_hash(context: np.ndarray, part: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Hash of a part of a context; a context in one part is itself."""
+    return np.where(parts > 1, mixed(context, part.astype(np.uint64)), context)
+
+
+def spread(counts: np.ndarray) -> np.ndarray:
+    """Parts of contexts that are seen so often: none brings more than ``SPLIT`` runs or so to a bucket."""
+    return np.maximum(-(-counts // SPLIT), 1)
+
+
+def all_parts(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of a context and hash, for all parts of all contexts."""
+    parts = spread(counts)
+    which = np.repeat(np.arange(len(contexts)), parts)
+    part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return which, part_hash(contexts[which], part, parts[which])
+
 
+class Asked:
+    """Distinct runs of a group in the order in which they are asked for: by context, then by word.
 
-class Often:
-    """Values of frequent words or runs, by hash."""
-
-    def __init__(self, rows: pa.Table):
-        x = rows.column("x").to_numpy().view(np.uint64)
-        order = np.argsort(x)
-        self.x = x[order]
-        self.counts = rows.column("c").to_numpy()[order].astype(np.float64)
-        self.v = rows.column("v").to_numpy()[order]
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each hash, -1 if it has none."""
-        if not len(self.x):
-            return np.full(len(x), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.x, x), len(self.x) - 1)
-        return np.where(self.x[at] == x, at, -1)
-
-
-class Model:
-    """Weights of all words and runs as tables; of frequent ones also as arrays."""
-
-    def __init__(self, docs: DataFrame, order: int = ORDER):
-        counts = cut_lineage(
-            docs.mapInArrow(count_words, "x long, n long").groupBy("x").agg(F.sum("n").alias("c")), "word-counts"
-        )
-        of = lambda c: F.coalesce(F.sum(F.when(F.col("c") == c, 1)), F.lit(0))
-        r = counts.agg(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), of(1).alias("one"), of(2).alias("two"),
-            F.coalesce(F.sum(F.when(F.col("x") == signed(END), F.col("c"))), F.lit(0)).alias("starts"),
-        ).first()
-        self.total, self.kinds, self.order = r.n, r.v, order
-        self.discount = r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5
-        self.bits = max(BITS, math.ceil(math.log2(max(1, r.n * order / HELD))))
-        runs = cut_lineage(counted_runs(docs, order, self.bits), "lm-runs")
-        start = docs.sparkSession.range(1 if r.starts else 0, numPartitions=1).select(
-            F.lit(signed(START)).alias("x"), F.lit(r.starts).cast("long").alias("c"), F.lit(None).cast("double").alias("p")
-        )
-        words = counts.withColumn("p", (F.col("c") - self.discount) / max(r.n, 1)).unionByName(start)
-        tables = weighted(words, runs, order)
-        begin = tables[0].where(F.col("x") == signed(START)).first()
-        self.begin = begin.v if begin else 0.0
-        self.words = tables[0].where(F.col("x") != signed(START))
-        self.often = Often(self.words.where(F.col("c") >= max(1, math.ceil(r.n * WORD_SHARE))).toArrow())
-        least = max(LEAST, math.ceil(r.n * ARC_SHARE))
-        runs = tables[1]
-        for more in tables[2:]:
-            runs = runs.unionByName(more)
-        self.often_runs = Often(runs.where(F.col("c") >= least).toArrow())
-        self.rare_runs = runs.where(F.col("c") < least).select("x", "v")
-
-
-def run_scores(texts: DataFrame, model: Model) -> DataFrame:
-    """(row, raw) -> row, more: what the runs that are not frequent add to each text.
-
-    Hashes of runs go to the buckets of the weights as bytes, with the place of their
-    text in its group; sums come back to the group.
+    ``context`` and ``word`` are hashes, ``own`` the training counts in the group, ``seen`` the
+    counts of the contexts in the whole corpus. ``known`` are contexts (hash, count) whose arcs are asked
+    for, all parts of them, whether the group has words there or not. Words alone are contexts with
+    themselves as the only word.
+    """
+
+    def __init__(
+        self,
+        context: np.ndarray,
+        word: np.ndarray,
+        own: np.ndarray,
+        bits: int,
+        seen: np.ndarray | None = None,
+        known: tuple[np.ndarray, np.ndarray] | None = None,
+    ):
+        self.heads = context
+        if seen is not None:
+            parts = spread(seen)
+            context = part_hash(context, (word % parts.astype(np.uint64)), parts)
+            self.heads = np.concatenate((context, all_parts(*known)[1]))
+        self.order = np.lexsort((word, context))
+        self.word, self.own = word[self.order], own[self.order]
+        self.heads = np.unique(self.heads)
+        self.wide = np.bincount(np.searchsorted(self.heads, context), minlength=len(self.heads))
+        self.bits = bits
+        bucket = (self.heads >> np.uint64(64 - bits)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        #: Buckets, and the slices of contexts and of runs that go there.
+        self.buckets = bucket[begin]
+        self.head_cuts = np.append(begin, len(bucket))
+        self.run_cuts = np.append(0, np.cumsum(self.wide))[self.head_cuts]
+
+    def messages(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """Bucket, its contexts and runs, and those as bytes."""
+        for i, bucket in enumerate(self.buckets.tolist()):
+            heads = slice(self.head_cuts[i], self.head_cuts[i + 1])
+            runs = slice(self.run_cuts[i], self.run_cuts[i + 1])
+            body = cut_hashes(self.heads[heads] << np.uint64(self.bits), LEFT) + packed(self.wide[heads])
+            body += cut_hashes(self.word[runs], RIGHT) + packed(self.own[runs])
+            yield bucket, heads.stop - heads.start, runs.stop - runs.start, body
+
+    def answered(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run, as it was given, its count; of each of its contexts (hash) the arcs and their sum."""
+        counts = np.zeros(len(self.word), np.int64)
+        arcs, sums = np.zeros(len(self.heads), np.int64), np.zeros(len(self.heads), np.int64)
+        for i, bucket in enumerate(self.buckets.tolist()):
+            raw = answers[bucket]
+            heads, runs = slice(self.head_cuts[i], self.head_cuts[i + 1]), slice(self.run_cuts[i], self.run_cuts[i + 1])
+            counts[runs], at = unpacked(raw, runs.stop - runs.start, 0)
+            arcs[heads], at = unpacked(raw, heads.stop - heads.start, at)
+            sums[heads], at = unpacked(raw, heads.stop - heads.start, at)
+        out = np.zeros_like(counts)
+        out[self.order] = counts
+        return out, self.heads, arcs, sums
+
+
+def added_up(group: pa.Table) -> pa.Table:
+    """What all groups ask of a bucket -> what each is answered, and totals over the bucket's words."""
+    level = group.column("level")[0].as_py()
+    bucket = group.column("bucket")[0].as_py()
+    g, n_heads, n_runs, bodies = (group.column(c).to_pylist() for c in ("g", "heads", "runs", "body"))
+    heads, wide, words, own = [], [], [], []
+    for n, m, raw in zip(n_heads, n_runs, bodies):
+        h, at = read_hashes(raw, n, LEFT, 0)
+        w, at = unpacked(raw, n, at)
+        x, at = read_hashes(raw, m, RIGHT, at)
+        c, at = unpacked(raw, m, at)
+        heads.append(h), wide.append(w), words.append(x), own.append(c)
+    heads, wide, words, own = (np.concatenate(c) for c in (heads, wide, words, own))
+    kinds, head = np.unique(heads, return_inverse=True)
+    key = (np.repeat(head, wide).astype(np.uint64) << np.uint64(8 * RIGHT)) | words
+    keys, run = np.unique(key, return_inverse=True)
+    total = np.bincount(run, own, len(keys)).astype(np.int64)
+    # Words are never pruned.
+    kept = np.where(total >= (LEAST if level > 1 else 1), total, 0)
+    context = (keys >> np.uint64(8 * RIGHT)).astype(np.int64)
+    arcs = np.bincount(context[kept > 0], minlength=len(kinds))
+    sums = np.bincount(context, kept, len(kinds)).astype(np.int64)
+    rows, a, b = [], 0, 0
+    for n, m in zip(n_heads, n_runs):
+        mine = head[a : a + n]
+        rows.append(packed(kept[run[b : b + m]]) + packed(arcs[mine]) + packed(sums[mine]))
+        a, b = a + n, b + m
+    stats = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()] if level == 1 else [0] * 4
+    columns = [pa.array([*g, None], pa.int64()), pa.array([level] * len(g) + [None], pa.int32()), pa.array([bucket] * (len(g) + 1), pa.int64()), pa.array([*rows, None], pa.binary())]
+    columns += [pa.array([0] * len(g) + [int(s)], pa.int64()) for s in stats]
+    return pa.table(columns, ["g", "level", "bucket", "body", "n", "v", "one", "two"])
+
+
+ASKED = "level int, g long, bucket long, heads int, runs int, body binary"
+ASKED_ARROW = pa.schema([("level", pa.int32()), ("g", pa.int64()), ("bucket", pa.int64()), ("heads", pa.int32()), ("runs", pa.int32()), ("body", pa.binary())])
+ANSWERED = "g long, level int, bucket long, body binary, n long, v long, one long, two long"
+
+
+def asked_batch(g: int, level: int, asked: Asked) -> pa.RecordBatch:
+    rows = [(level, g, *message) for message in asked.messages()]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(ASKED_ARROW.types)]
+    return pa.record_batch(columns, schema=ASKED_ARROW)
+
+
+class Group:
+    """Texts of a group as one line of word numbers, each between a start and an end."""
+
+    def __init__(self, row: dict, bits: int):
+        sizes, codes = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["codes"], np.int32)
+        self.g, self.bits = row["g"], bits
+        self.hashes = np.append(np.frombuffer(row["hashes"], np.uint64), np.array([START, END], np.uint64))
+        self.wide = len(self.hashes)
+        self.start, self.end = self.wide - 2, self.wide - 1
+        n = len(sizes)
+        #: Place of the first word of each text, or of its end; words and end of each.
+        self.tokens = sizes.astype(np.int64) + 1
+        self.begin = np.cumsum(self.tokens + 1) - self.tokens
+        self.line = np.full(int((self.tokens + 1).sum()), self.start, np.int64)
+        inside = np.ones(len(self.line), bool)
+        inside[self.begin - 1] = inside[self.begin + self.tokens - 1] = False
+        self.line[inside] = codes
+        self.line[self.begin + self.tokens - 1] = self.end
+        self.is_word = np.ones(len(self.line), bool)
+        self.is_word[self.begin - 1] = False
+        held = np.array(row["held"], bool)
+        self.learnt = np.repeat(~held, self.tokens + 1)
+
+    def words(self) -> Asked:
+        """All words and the end. (The start is no token.)"""
+        own = np.bincount(self.line[self.learnt & self.is_word], minlength=self.wide)
+        few = np.append(np.arange(self.start), self.end)
+        return Asked(self.hashes[few], self.hashes[few], own[few], self.bits)
+
+    def pairs(self, c1: np.ndarray) -> Asked:
+        """Runs of two; afterwards ``pair`` is the number of the run that ends at a place, -1 at a start."""
+        at = np.flatnonzero(self.is_word)
+        keys, inverse = np.unique(self.line[at - 1] * self.wide + self.line[at], return_inverse=True)
+        self.pair = np.full(len(self.line), -1, np.int64)
+        self.pair[at] = inverse
+        self.first, self.second = keys // self.wide, keys % self.wide
+        own = np.bincount(inverse, self.learnt[at], len(keys)).astype(np.int64)
+        return Asked(self.hashes[self.first], self.hashes[self.second], own, self.bits, c1[self.first], (self.hashes, c1))
+
+    def triples(self, c2: np.ndarray) -> Asked:
+        """Runs of three whose halves are arcs: ``left``, ``right`` are the halves' numbers."""
+        before = np.append(-1, self.pair[:-1])
+        at = np.flatnonzero((self.pair >= 0) & (before >= 0))
+        at = at[(c2[self.pair[at]] > 0) & (c2[before[at]] > 0)]
+        n = len(self.first)
+        keys, inverse = np.unique(before[at] * n + self.pair[at], return_inverse=True)
+        self.left, self.right = keys // n, keys % n
+        own = np.bincount(inverse, self.learnt[at], len(keys)).astype(np.int64)
+        self.context = mixed(self.hashes[self.first], self.hashes[self.second])
+        kept = c2 > 0
+        return Asked(self.context[self.left], self.hashes[self.second[self.right]], own, self.bits, c2[self.left], (self.context[kept], c2[kept]))
+
+    def counts(self, asked: Asked, answers: dict[int, bytes]) -> np.ndarray:
+        """Counts of all words; the start is there as often as the end."""
+        out = np.zeros(self.wide, np.int64)
+        out[np.append(np.arange(self.start), self.end)] = asked.answered(answers)[0]
+        out[self.start] = out[self.end]
+        return out
+
+
+def left_over(contexts: np.ndarray, counts: np.ndarray, heads: np.ndarray, arcs: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """b(h) of contexts (hash) with their counts, and whether arcs go out from them."""
+    if not len(heads):
+        return np.ones(len(contexts)), np.zeros(len(contexts), bool)
+    which, part = all_parts(contexts, counts)
+    at = np.minimum(np.searchsorted(heads, part), len(heads) - 1)
+    known = heads[at] == part
+    n = np.bincount(which, np.where(known, arcs[at], 0), len(contexts))
+    taken = np.bincount(which, np.where(known, sums[at], 0), len(contexts)) - DISCOUNT * n
+    over = 1 - taken / np.maximum(counts, 1)
+    return np.where(n > 0, np.clip(over, 1e-12, 1.0), 1.0), n > 0
+
+
+class Automaton:
+    """The part of the automaton that a group's texts can touch.
+
+    States: 0 is the empty run, 1 + w a word, 1 + words + i a run of two.
     """
-    bits, order, often = model.bits, model.order, model.often_runs
-    schema = pa.schema([("bucket", pa.int64()), ("head", pa.int64()), ("x", pa.binary()), ("at", pa.binary())])
-    sums = pa.schema([("head", pa.int64()), ("row", pa.binary()), ("more", pa.binary())])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                raws = batch.column(1).to_pylist()
-                for group in groups(raws):
-                    whole = np.array(group)
-                    # Files are read together, so numbers of one task's rows may be far apart.
-                    for high in np.unique(ids[whole] >> 33):
-                        own = whole[ids[whole] >> 33 == high]
-                        head = int(ids[own].min())
-                        for _, _, _, x, place in runs_of(*numbered([raws[i] for i in own]), order):
-                            rest = often.find(x) < 0
-                            x, place = x[rest], place[rest]
-                            turn = np.argsort(x)
-                            x, place = x[turn], (ids[own] - head)[place[turn]]
-                            for bucket, at in cut(x, bits):
-                                yield bucket, head, x[at].tobytes(), place[at].astype(np.uint32).tobytes()
-
-        yield from batched(rows(), schema)
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        x = known.column("x").to_numpy().view(np.uint64)
-        turn = np.argsort(x)
-        x, v = x[turn], known.column("v").to_numpy()[turn]
-        out = []
-        if len(x):
-            for head, own, place in zip(*(asked.column(c).to_pylist() for c in ("head", "x", "at"))):
-                own, place = np.frombuffer(own, np.uint64), np.frombuffer(place, np.uint32)
-                at = np.minimum(np.searchsorted(x, own), len(x) - 1)
-                good = x[at] == own
-                rows, inverse = np.unique(place[good], return_inverse=True)
-                if len(rows):
-                    out.append((head, rows.tobytes(), np.bincount(inverse, v[at[good]]).tobytes()))
-        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(sums.types)], schema=sums)
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("row").to_pylist()), np.uint32)
-        rows, inverse = np.unique(rows, return_inverse=True)
-        more = np.bincount(inverse, np.frombuffer(b"".join(table.column("more").to_pylist()), np.float64))
-        return pa.table([pa.array(rows.astype(np.int64) + table.column("head")[0].as_py()), pa.array(more)], ["row", "more"])
-
-    asked = texts.select("row", "raw").mapInArrow(ask, "bucket long, head long, x binary, at binary")
-    known = model.rare_runs.withColumn("bucket", F.shiftrightunsigned("x", 64 - bits))
-    answered = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "head long, row binary, more binary")
-    return answered.groupBy("head").applyInArrow(fold, "row long, more double")
+
+    def __init__(self, group: Group, totals: dict, answers: dict[int, dict[int, bytes]]):
+        wide = group.wide
+        c1 = self.counts = group.counts(group.words(), answers.get(1, {}))
+        n, v, d = totals["n"], totals["v"], totals["d"]
+        p1 = np.where(c1 > 0, (c1 - d) / n, d * v / n)
+        c2, *arcs = group.pairs(c1).answered(answers.get(2, {}))
+        over1, state1 = left_over(group.hashes, c1, *arcs)
+        first, second = group.first, group.second
+        p2 = np.where(c2 > 0, (c2 - DISCOUNT) / np.maximum(c1[first], 1) + over1[first] * p1[second], 0.0)
+        c3, *arcs = group.triples(c2).answered(answers.get(3, {}))
+        over2, state2 = left_over(group.context, c2, *arcs)
+        state2 &= c2 > 0
+        left, right = group.left, group.right
+        p3 = (c3 - DISCOUNT) / np.maximum(c2[left], 1) + over2[left] * p2[right]
+
+        self.wide, self.group = wide, group
+        self.word_state = np.where(state1, 1 + np.arange(wide), 0)
+        self.pair_state = np.where(state2, 1 + wide + np.arange(len(first)), self.word_state[second])
+        self.fail = np.concatenate(([0], np.zeros(wide, np.int64), self.word_state[second]))
+        self.fail_weight = np.log10(np.concatenate(([1.0], over1, over2)))
+        self.weight1 = np.log10(p1)
+        two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
+        keys = np.concatenate(((1 + first[two]) * wide + second[two], (1 + wide + left[three]) * wide + second[right[three]]))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.weight = np.log10(np.append(np.concatenate((p2[two], p3[three]))[order], 1.0))
+        self.next = np.append(np.concatenate((self.pair_state[two], self.pair_state[right[three]]))[order], 0)
+
+    def read(self) -> np.ndarray:
+        """Log10 probability of each text."""
+        group = self.group
+        pieces = -(-group.tokens // LANE)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = group.begin[text] + nth * LANE
+        length = np.minimum(group.tokens[text] - nth * LANE, LANE)
+        # The longest on top, so that those still being read come first.
+        order = np.argsort(-length, kind="stable")
+        text, at, length, nth = text[order], at[order], length[order], nth[order]
+        # A text begins at the start; a piece in the state that the words before it lead to.
+        state = np.where(nth == 0, self.word_state[group.start], self.pair_state[group.pair[at - 1]])
+        score = np.zeros(len(at))
+        for step in range(int(length.max(initial=0))):
+            active = int(np.searchsorted(-length, -step, side="left"))
+            word = group.line[at[:active] + step]
+            now = state[:active]
+            left = np.arange(active)
+            while len(left):
+                s, w = now[left], word[left]
+                arc = np.searchsorted(self.keys, s * self.wide + w)
+                found = (self.keys[arc] == s * self.wide + w) & (s > 0)
+                score[left[found]] += self.weight[arc[found]]
+                now[left[found]] = self.next[arc[found]]
+                end = s == 0
+                score[left[end]] += self.weight1[w[end]]
+                now[left[end]] = self.word_state[w[end]]
+                failed = ~found & ~end
+                left = left[failed]
+                score[left] += self.fail_weight[s[failed]]
+                now[left] = self.fail[s[failed]]
+        return np.bincount(text, score, len(pieces))
 
 
 def raw_text() -> Column:
     return F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")
 
 
+def grouped(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, held_out, raw) -> g, ids, held, sizes, codes, hashes, tokens: a row for about ``STEP`` bytes of text."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            codes, hashes = numbered([h[2] for h in held])
+            ids = pa.array([h[0] for h in held], ids_kind)
+            columns = [
+                pa.array([(task << 32) + n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), ids),
+                pa.array([[h[1] for h in held]], pa.list_(pa.bool_())), pa.array([np.array([len(c) for c in codes], np.int32).tobytes()], pa.binary()),
+                pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                pa.array([sum(len(c) + 1 for c in codes)], pa.int64()),
+            ]
+            return pa.record_batch(columns, ["g", "ids", "held", "sizes", "codes", "hashes", "tokens"])
+
+        for batch in batches:
+            ids_kind = batch.schema.field(0).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held.append(row)
+                size += len(row[2])
+                if size > STEP:
+                    yield out()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield out()
+
+    return rows.mapInArrow(
+        number, f"g long, ids array<{kind}>, held array<boolean>, sizes binary, codes binary, hashes binary, tokens long"
+    )
+
+
+def by_level(answers: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for level, bucket, body in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "body"))):
+        out.setdefault(level, {})[bucket] = body
+    return out
+
+
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score; learns from the rows that are not held out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    model = Model(docs.where(~held_out).select(raw_text()))
-    # Rows keep their number while they are read twice.
-    texts = cut_lineage(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), raw_text()), "lm-texts"
-    )
-    n, v = model.total, model.kinds
-    base = n + 0.1 * (v + 1)
-    unknown = model.discount * v / n if n else 0.0
-    often, often_runs, begin, order = model.often, model.often_runs, model.begin, model.order
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The end is a word like any other; here it may be too rare to have a number.
-        end = often.find(np.array([END], np.uint64))[0]
-        logs = np.append(np.log10(often.counts + 0.1), 0.0)
-        values = np.append(often.v, 0.0)
-        of_runs = np.append(often_runs.v, 0.0)
+    rows = docs.select("doc_id", held_out.alias("held_out"), raw_text())
+    groups = cut_into_buckets(grouped(rows, kind), "lm-groups", ["g"])
+    tokens = groups.agg(F.sum("tokens")).first()[0] or 0
+    bits = max(BITS, math.ceil(math.log2(max(1, tokens / HELD))))
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return cut_into_buckets(asked.groupBy("level", "bucket").applyInArrow(added_up, ANSWERED), "lm-answers", ["g"])
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column(3).to_pylist()
-            for group in groups(raws):
-                codes, hashes = numbered([raws[i] for i in group])
-                own = often.find(hashes)
-                scores = np.full(len(group), begin)
-                for _, _, _, x, place in runs_of(codes, hashes, order):
-                    scores += np.bincount(place, of_runs[often_runs.find(x)], len(group))
-                tokens, known, bases, rare, times = [], [], [], [], []
-                for i, text in enumerate(codes):
-                    ids = np.append(own[text], end)
-                    low = np.unique(hashes[text[ids[:-1] < 0]], return_counts=True)
-                    if end < 0:
-                        low = np.append(low[0], np.uint64(END)), np.append(low[1], 1)
-                    tokens.append(len(ids))
-                    known.append(int((ids >= 0).sum()))
-                    bases.append(float(logs[ids].sum()))
-                    scores[i] += values[ids].sum()
-                    rare.append(low[0].view(np.int64))
-                    times.append(low[1])
-                rows = pa.array(group)
-                yield pa.record_batch(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(tokens, pa.int64()),
-                     pa.array(known, pa.int64()), pa.array(bases), pa.array(scores),
-                     pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "rare", "often"],
-                )
-
-    read_rows = cut_lineage(
-        texts.mapInArrow(
-            read,
-            f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double,"
-            " rare array<long>, often array<long>",
-        ),
-        "lm-rows",
-    )
-    each = read_rows.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w"))
-    each = each.select("row", F.col("w.rare").alias("x"), F.col("w.often").alias("k")).join(model.words, "x", "left")
-    rest = each.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("known_more"),
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base_more"),
-        F.sum(F.col("k") * F.coalesce(F.col("v"), F.log10(F.lit(unknown)))).alias("lm_more"),
-    )
-    out = read_rows.drop("rare", "often").join(rest, "row", "left").join(run_scores(texts, model), "row", "left")
-    nought = F.lit(0)
-    score = F.col("lm") + F.coalesce("lm_more", nought) + F.coalesce("more", nought)
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("known_more", nought)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", nought) - F.col("n_tokens") * math.log10(base)).alias("base_score"),
-        (score if n else F.lit(None).cast("double")).alias("score"),
-    )
+            for row in batch.to_pylist():
+                group = Group(row, bits)
+                yield asked_batch(group.g, 1, group.words())
+
+    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            group = Group(row, bits)
+            c1 = group.counts(group.words(), by_level(right)[1])
+            out.append(asked_batch(group.g, 2, group.pairs(c1)))
+        return pa.Table.from_batches(out, schema=ASKED_ARROW)
+
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            group, known = Group(row, bits), by_level(right)
+            c2 = group.pairs(group.counts(group.words(), known[1])).answered(known[2])[0]
+            out.append(asked_batch(group.g, 3, group.triples(c2)))
+        return pa.Table.from_batches(out, schema=ASKED_ARROW)
+
+    parts = groups.select("g", "held", "sizes", "codes", "hashes")
+    words = answered(parts.mapInArrow(ask_words, ASKED))
+    r = words.where("g IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "one", "two"))).first()
+    totals = {"n": max(r.n, 1), "v": r.v, "d": r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5}
+    answers = words.where("g IS NOT NULL").select("g", "level", "bucket", "body")
+    for ask in (ask_pairs, ask_triples):
+        more = answered(parts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(ask, ASKED))
+        answers = answers.unionByName(more.where("g IS NOT NULL").select(*answers.columns))
+    n, v = r.n, r.v
+    base = math.log10(n + 0.1 * (v + 1))
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for i, row in enumerate(left.to_pylist()):
+            group = Group(row, bits)
+            if n:
+                automaton = Automaton(group, totals, by_level(right))
+                counts, scores = automaton.counts, pa.array(automaton.read())
+            else:
+                counts, scores = np.zeros(group.wide, np.int64), pa.nulls(len(group.tokens), pa.float64())
+            text = np.repeat(np.arange(len(group.tokens)), group.tokens)
+            own = counts[group.line[group.is_word]]
+            size = len(group.tokens)
+            columns = [
+                left.column("ids").combine_chunks().slice(i, 1).flatten(), pa.array(row["held"], pa.bool_()), pa.array(group.tokens),
+                pa.array(np.bincount(text, own > 0, size).astype(np.int64)), pa.array(np.full(size, n, np.int64)),
+                pa.array(np.bincount(text, np.log10(own + 0.1), size) - group.tokens * base), scores,
+            ]
+            out.append(pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.concat_tables(out)
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(read, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

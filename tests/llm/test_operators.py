@@ -234,11 +234,11 @@ def test_lm_automaton_is_the_model(spark):
         assert sum(p(history, w) for w in [*one, "zz"]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("share", [1.0, 2.0**-6])
-def test_lm_keeps_rare_runs_of_big_corpora(spark, monkeypatch, share):
-    # As when the corpus is so big that few words or runs make up their share of it.
-    monkeypatch.setattr(lm, "ARC_SHARE", share)
-    monkeypatch.setattr(lm, "WORD_SHARE", share)
+@pytest.mark.parametrize("step, held, split, lane", [(200, 50, 3, 5), (1 << 22, 1 << 21, 20, 1)])
+def test_lm_keeps_rare_runs_of_big_corpora(spark, monkeypatch, step, held, split, lane):
+    # As when the corpus is so big that it has many groups and buckets, and words fill several parts.
+    for name, value in (("STEP", step), ("HELD", held), ("SPLIT", split), ("LANE", lane)):
+        monkeypatch.setattr(lm, name, value)
     rng = random.Random(3)
     texts = [[rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))] for _ in range(60)]
     more = [["a", "b", "zz", "a"], ["zz"], [], [rng.choice("abcdefghij") for _ in range(400)]]
@@ -736,7 +736,8 @@ def test_components(spark):
 @pytest.mark.parametrize("name", registry.ORACLES)
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, sf)
     columns = want.columns
