@@ -89,13 +89,24 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_table(spark: SparkSession, name: str) -> str:
+    """Name of a table for ``add_to_buckets`` in the shared folder; ``clean_up`` removes it."""
+    path = shared_path(spark, name)
+    _tables[path] = f"cut_{uuid.uuid4().hex}"
+    return _tables[path]
+
+
+def add_to_buckets(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Add rows to a table, dealt out by ``keys``, and return the whole of it."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = next(p for p, t in _tables.items() if t == table)
+    df.repartition(buckets, *keys).write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def cut_into_buckets(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """``cut_lineage`` with rows dealt out by ``keys``: joins and groupings on them move
     only what they are joined with. There are as many buckets as a shuffle has partitions."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = shared_path(spark, name)
-    _tables[path] = f"cut_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path)
-    writer.saveAsTable(_tables[path])
-    return spark.table(_tables[path])
+    return add_to_buckets(df, bucket_table(df.sparkSession, name), keys)
