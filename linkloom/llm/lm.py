@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import remainder, table, word_pieces
-from linkloom.session import cut_into_buckets
+from linkloom.session import add_to_buckets, bucket_table, cut_into_buckets
 
 ORDER = 3
 #: Times a run must be seen to be kept, at any size of the corpus.
@@ -54,7 +54,7 @@ BITS = 7
 #: Times a context is seen for each part it is cut into, so that a frequent word fills no bucket.
 SPLIT = 1 << 20
 #: Words of a text read in one piece.
-LANE = 1024
+LANE = 256
 #: Bytes in which the hash of a context and of the word after it are sent.
 LEFT, RIGHT = 6, 5
 
@@ -141,7 +141,7 @@ def all_parts(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Asked:
-    """Distinct runs of a group in the order in which they are asked for: by context, then by word.
+    """Distinct runs of a group in the order in which they are asked for, by context.
 
     ``context`` and ``word`` are hashes, ``own`` the training counts in the group, ``seen`` the
     counts of the contexts in the whole corpus. ``known`` are contexts (hash, count) whose arcs are asked
@@ -158,15 +158,19 @@ class Asked:
         seen: np.ndarray | None = None,
         known: tuple[np.ndarray, np.ndarray] | None = None,
     ):
-        self.heads = context
         if seen is not None:
             parts = spread(seen)
-            context = part_hash(context, (word % parts.astype(np.uint64)), parts)
-            self.heads = np.concatenate((context, all_parts(*known)[1]))
-        self.order = np.lexsort((word, context))
+            if parts.max(initial=1) > 1:
+                context = part_hash(context, (word % parts.astype(np.uint64)), parts)
+        # Runs of one context stand together, so stretches of them are put in order, not runs.
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
+        size = np.diff(np.append(first, len(context)))
+        stretch = np.argsort(context[first], kind="stable")
+        put = np.cumsum(size[stretch]) - size[stretch]
+        self.order = np.repeat(first[stretch] - put, size[stretch]) + np.arange(len(context))
         self.word, self.own = word[self.order], own[self.order]
-        self.heads = np.unique(self.heads)
-        self.wide = np.bincount(np.searchsorted(self.heads, context), minlength=len(self.heads))
+        self.heads = np.unique(context[first] if seen is None else np.concatenate((context[first], all_parts(*known)[1])))
+        self.wide = np.bincount(np.searchsorted(self.heads, context[first]), size, len(self.heads)).astype(np.int64)
         self.bits = bits
         bucket = (self.heads >> np.uint64(64 - bits)).astype(np.int64)
         begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
@@ -283,12 +287,17 @@ class Group:
         return Asked(self.hashes[self.first], self.hashes[self.second], own, self.bits, c1[self.first], (self.hashes, c1))
 
     def triples(self, c2: np.ndarray) -> Asked:
-        """Runs of three whose halves are arcs: ``left``, ``right`` are the halves' numbers."""
+        """Runs of three whose halves are arcs: ``left``, ``right`` are the halves' numbers.
+
+        Afterwards ``triple`` is the number of the run that ends at a place, or -1.
+        """
         before = np.append(-1, self.pair[:-1])
         at = np.flatnonzero((self.pair >= 0) & (before >= 0))
         at = at[(c2[self.pair[at]] > 0) & (c2[before[at]] > 0)]
         n = len(self.first)
         keys, inverse = np.unique(before[at] * n + self.pair[at], return_inverse=True)
+        self.triple = np.full(len(self.line), -1, np.int64)
+        self.triple[at] = inverse
         self.left, self.right = keys // n, keys % n
         own = np.bincount(inverse, self.learnt[at], len(keys)).astype(np.int64)
         self.context = mixed(self.hashes[self.first], self.hashes[self.second])
@@ -342,13 +351,12 @@ class Automaton:
         self.pair_state = np.where(state2, 1 + wide + np.arange(len(first)), self.word_state[second])
         self.fail = np.concatenate(([0], np.zeros(wide, np.int64), self.word_state[second]))
         self.fail_weight = np.log10(np.concatenate(([1.0], over1, over2)))
-        self.weight1 = np.log10(p1)
-        two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
-        keys = np.concatenate(((1 + first[two]) * wide + second[two], (1 + wide + left[three]) * wide + second[right[three]]))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.weight = np.log10(np.append(np.concatenate((p2[two], p3[three]))[order], 1.0))
-        self.next = np.append(np.concatenate((self.pair_state[two], self.pair_state[right[three]]))[order], 0)
+        # Arcs by the run they end: of words, of runs of two and of three, with the states they lead to.
+        of = [np.ones(wide, bool), c2 > 0, c3 > 0]
+        self.base = np.cumsum([0, wide, len(first)])
+        self.known = np.append(np.concatenate(of), False)
+        self.weight = np.log10(np.where(self.known, np.concatenate((p1, p2, p3, [1.0])), 1.0))
+        self.next = np.concatenate((self.word_state, self.pair_state, self.pair_state[right], [0]))
 
     def read(self) -> np.ndarray:
         """Log10 probability of each text."""
@@ -364,24 +372,24 @@ class Automaton:
         # A text begins at the start; a piece in the state that the words before it lead to.
         state = np.where(nth == 0, self.word_state[group.start], self.pair_state[group.pair[at - 1]])
         score = np.zeros(len(at))
+        line, pair, triple = group.line, group.pair, group.triple
+        none = len(self.known) - 1
         for step in range(int(length.max(initial=0))):
             active = int(np.searchsorted(-length, -step, side="left"))
-            word = group.line[at[:active] + step]
-            now = state[:active]
-            left = np.arange(active)
-            while len(left):
-                s, w = now[left], word[left]
-                arc = np.searchsorted(self.keys, s * self.wide + w)
-                found = (self.keys[arc] == s * self.wide + w) & (s > 0)
-                score[left[found]] += self.weight[arc[found]]
-                now[left[found]] = self.next[arc[found]]
-                end = s == 0
-                score[left[end]] += self.weight1[w[end]]
-                now[left[end]] = self.word_state[w[end]]
-                failed = ~found & ~end
-                left = left[failed]
-                score[left] += self.fail_weight[s[failed]]
-                now[left] = self.fail[s[failed]]
+            place, now = at[:active] + step, state[:active]
+            # The arc of the word read from a state of two words, of one, and of none.
+            arcs = (self.base[0] + line[place], self.base[1] + pair[place], np.where(triple[place] >= 0, self.base[2] + triple[place], none))
+            deep, some = now > self.wide, now > 0
+            arc = np.where(deep, arcs[2], np.where(some, arcs[1], arcs[0]))
+            gained = np.zeros(active)
+            for shorter in (arcs[1], arcs[0]):
+                # A state without the arc fails to the state of one word less.
+                failed = ~self.known[arc]
+                gained += np.where(failed, self.fail_weight[now], 0.0)
+                now = np.where(failed, self.fail[now], now)
+                arc = np.where(failed, np.where(now > 0, shorter, arcs[0]), arc)
+            score[:active] += gained + self.weight[arc]
+            state[:active] = self.next[arc]
         return np.bincount(text, score, len(pieces))
 
 
@@ -430,6 +438,11 @@ def by_level(answers: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
+def told(answers: DataFrame):
+    """Answers by the group they are for, without the totals."""
+    return answers.where("g IS NOT NULL").select("g", "level", "bucket", "body").groupBy("g")
+
+
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score; learns from the rows that are not held out."""
@@ -439,8 +452,11 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     tokens = groups.agg(F.sum("tokens")).first()[0] or 0
     bits = max(BITS, math.ceil(math.log2(max(1, tokens / HELD))))
 
+    answers = bucket_table(docs.sparkSession, "lm-answers")
+
     def answered(asked: DataFrame) -> DataFrame:
-        return cut_into_buckets(asked.groupBy("level", "bucket").applyInArrow(added_up, ANSWERED), "lm-answers", ["g"])
+        """All answers so far."""
+        return add_to_buckets(asked.groupBy("level", "bucket").applyInArrow(added_up, ANSWERED), answers, ["g"])
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,13 +481,11 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         return pa.Table.from_batches(out, schema=ASKED_ARROW)
 
     parts = groups.select("g", "held", "sizes", "codes", "hashes")
-    words = answered(parts.mapInArrow(ask_words, ASKED))
-    r = words.where("g IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "one", "two"))).first()
+    known = answered(parts.mapInArrow(ask_words, ASKED))
+    r = known.where("g IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "one", "two"))).first()
     totals = {"n": max(r.n, 1), "v": r.v, "d": r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5}
-    answers = words.where("g IS NOT NULL").select("g", "level", "bucket", "body")
     for ask in (ask_pairs, ask_triples):
-        more = answered(parts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(ask, ASKED))
-        answers = answers.unionByName(more.where("g IS NOT NULL").select(*answers.columns))
+        known = answered(parts.groupBy("g").cogroup(told(known)).applyInArrow(ask, ASKED))
     n, v = r.n, r.v
     base = math.log10(n + 0.1 * (v + 1))
 
@@ -496,7 +510,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(read, schema)
+    return groups.groupBy("g").cogroup(told(known)).applyInArrow(read, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ GRAM = 50
 #: Bytes of segments that one anchor may bring to a block, and that a block should have.
 GROUP = 1 << 18
 BLOCK = 1 << 19
+#: A segment with this share of all is joined by broadcast: so many segments at most, inversely.
+HOT = 1 / 1024
 #: Bytes of text anchored at a time; places in it must fit into ``PLACE`` bits.
 STEP = 1 << 20
 PLACE = 22
@@ -366,9 +368,15 @@ def marks(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = G
         up = up.select(F.col("old_g").alias("g"), F.col("old_t").alias("t"), (F.col("first") + F.col("offset")).alias("first"), (F.col("last") + F.col("offset")).alias("last"))
         spans = cut_lineage(spans.union(up), "segment-marks")
     spans = spans.select(F.col("g").alias("anchor"), F.col("t").alias("seg"), "first", "last")
-    copies = segments.where("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("first"), F.col("more").cast("long").alias("last"))
-    both = spans.union(copies).groupBy("anchor", "seg").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    hit = found.join(both, ["anchor", "seg"]).select("x", "y", "a", F.explode("spans").alias("s"))
+    copies = segments.where("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("first"), F.col("more").cast("long").alias("last"), "n")
+    both = spans.withColumn("n", F.lit(1).cast("long")).union(copies).groupBy("anchor", "seg")
+    both = cut_lineage(both.agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.max("n").alias("n")), "segment-spans")
+    # A passage that very many texts have is one key; such are few, and a segment has few spans.
+    least = max(2, (segments.agg(F.sum("n")).first()[0] or 0) * HOT)
+    key = ["anchor", "seg"]
+    hot = F.broadcast(both.where(F.col("n") >= least).drop("n"))
+    rest = found.join(hot.select(*key), key, "left_anti").join(both.where(F.col("n") < least).drop("n"), key)
+    hit = found.join(hot, key).unionByName(rest).select("x", "y", "a", F.explode("spans").alias("s"))
     return hit.select("x", "y", (F.col("a") + F.col("s.first")).alias("first"), (F.col("a") + F.col("s.last")).alias("last"))
 
 

@@ -441,6 +441,17 @@ def test_without_repeats(spark, docs, monkeypatch, group, block, step):
     )
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_frequent_segments_are_joined_apart(spark, monkeypatch, share):
+    monkeypatch.setattr(repeats, "HOT", share)
+    rng = random.Random(14)
+    passage = prose(rng, 30, VOCABULARY["aa"])
+    texts = [prose(rng, rng.randint(0, 20), VOCABULARY["ii"]) + passage * (i % 3) + prose(rng, 10, VOCABULARY["ii"]) for i in range(90)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in repeats.without_repeats(rows, width=60, gram=12).collect()}
+    assert got == dict(enumerate(plain_repeats([t.encode() for t in texts], 60)))
+
+
 def test_without_repeats_of_nothing(none):
     assert repeats.without_repeats(none).collect() == []
 
@@ -526,6 +537,52 @@ def test_rules_learn_and_compile(spark):
     assert rules.scored(frame.limit(0), labels).collect() == []
 
 
+def plain_statistics(text):
+    """The statistics of one text, in the order of ``STATISTICS``."""
+    text = text or ""
+    own, lines = re.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ").split(" "), text.split("\n")
+    part = lambda a, b: a / b if b else 0.0
+    of = lambda chars: part(sum(text.count(c) for c in chars), len(text))
+    return [
+        math.log1p(len(own)), part(len(text), len(own)), part(len(set(own)), len(own)), part(len(set(lines)), len(lines)), part(len(own), len(lines)),
+        of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("0123456789"), of(".,;:?!'\"()-"), of("#$%&*+/<=>@[\\]^_`{|}~"), of("!"),
+    ]
+
+
+def test_compiled_rules_score_each_row(spark, monkeypatch):
+    """The expression against its rules and weights, taken one by one."""
+    kept = {}
+
+    class Spy(rules.LogisticRegression):
+        def fit(self, rows):
+            kept["model"] = super().fit(rows)
+            return kept["model"]
+
+    def holds(rule, plain=rules.holds):
+        kept.setdefault("rules", {})[rule] = None
+        return plain(rule)
+
+    monkeypatch.setattr(rules, "LogisticRegression", Spy)
+    monkeypatch.setattr(rules, "holds", holds)
+    rng = random.Random(10)
+    texts = [(i, " ".join(rng.choice(["Word", "x1", "!?", "low\nline", "A,B", "é#"]) for _ in range(rng.randint(0, 50)))) for i in range(400)]
+    texts += [(1000, None), (1001, ""), (1002, "long text. " * 100_000), (1002, "id that repeats"), (None, "no id")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t.count("!") > t.count("x")), 0) for i, t in texts[:400]], "doc_id long, quality int, score int")
+    got = collections.Counter((g.doc_id, round(g.score, 9)) for g in rules.scored(frame, labels).collect())
+    # Rules are asked for in their order when they are fitted, before the weighty ones are compiled.
+    weights = dict(zip(sorted(kept["rules"]), kept["model"].coefficients.toArray()))
+    assert 0 < sum(w != 0 for w in weights.values()) < len(weights)
+    want = collections.Counter()
+    for i, text in texts:
+        own = dict(zip(rules.STATISTICS, plain_statistics(text)))
+        odds = kept["model"].intercept
+        for rule, weight in weights.items():
+            odds += weight * all(own[n] > bound if above else own[n] <= bound for n, above, bound in rule)
+        want[i, round(1 / (1 + math.exp(-odds)), 9)] += 1
+    assert got == want
+
+
 def test_paths_keep_the_tightest_bounds():
     assert rules.simplest((("a", False, 3.0), ("a", False, 2.0), ("a", True, 1.0), ("b", True, 0.0), ("b", True, 5.0))) == (
         ("a", False, 2.0), ("a", True, 1.0), ("b", True, 5.0)
