@@ -111,6 +111,15 @@ def unpacked(raw: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
     return small, at
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers with their low bytes first, then the next ones: most are small, so this packs well."""
+    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def cut_hashes(x: np.ndarray, size: int) -> bytes:
     """The first ``size`` bytes of each hash."""
     return np.ascontiguousarray((x >> np.uint64(64 - 8 * size)).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
@@ -140,12 +149,18 @@ def all_parts(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return which, part_hash(contexts[which], part, parts[which])
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 class Asked:
     """Distinct runs of a group in the order in which they are asked for, by context.
 
     ``context`` and ``word`` are hashes, ``own`` the training counts in the group, ``seen`` the
-    counts of the contexts in the whole corpus. ``known`` are contexts (hash, count) whose arcs are asked
-    for, all parts of them, whether the group has words there or not. Words alone are contexts with
+    counts of the contexts in the whole corpus. ``known`` are all contexts (hash, count) whose arcs are asked
+    for, in all their parts, whether the group has words there or not. Words alone are contexts with
     themselves as the only word.
     """
 
@@ -169,7 +184,8 @@ class Asked:
         put = np.cumsum(size[stretch]) - size[stretch]
         self.order = np.repeat(first[stretch] - put, size[stretch]) + np.arange(len(context))
         self.word, self.own = word[self.order], own[self.order]
-        self.heads = np.unique(context[first] if seen is None else np.concatenate((context[first], all_parts(*known)[1])))
+        # What is known holds the contexts of all runs.
+        self.heads = ascending(context[first] if known is None else all_parts(*known)[1])
         self.wide = np.bincount(np.searchsorted(self.heads, context[first]), size, len(self.heads)).astype(np.int64)
         self.bits = bits
         bucket = (self.heads >> np.uint64(64 - bits)).astype(np.int64)
@@ -251,7 +267,7 @@ class Group:
     """Texts of a group as one line of word numbers, each between a start and an end."""
 
     def __init__(self, row: dict, bits: int):
-        sizes, codes = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["codes"], np.int32)
+        sizes, codes = np.frombuffer(row["sizes"], np.int32), from_planes(row["codes"])
         self.g, self.bits = row["g"], bits
         self.hashes = np.append(np.frombuffer(row["hashes"], np.uint64), np.array([START, END], np.uint64))
         self.wide = len(self.hashes)
@@ -300,9 +316,12 @@ class Group:
         self.triple[at] = inverse
         self.left, self.right = keys // n, keys % n
         own = np.bincount(inverse, self.learnt[at], len(keys)).astype(np.int64)
-        self.context = mixed(self.hashes[self.first], self.hashes[self.second])
-        kept = c2 > 0
-        return Asked(self.context[self.left], self.hashes[self.second[self.right]], own, self.bits, c2[self.left], (self.context[kept], c2[kept]))
+        #: Contexts are the runs of two that are arcs.
+        self.kept = np.flatnonzero(c2)
+        self.context = np.zeros(n, np.uint64)
+        self.context[self.kept] = mixed(self.hashes[self.first[self.kept]], self.hashes[self.second[self.kept]])
+        known = self.context[self.kept], c2[self.kept]
+        return Asked(self.context[self.left], self.hashes[self.second[self.right]], own, self.bits, c2[self.left], known)
 
     def counts(self, asked: Asked, answers: dict[int, bytes]) -> np.ndarray:
         """Counts of all words; the start is there as often as the end."""
@@ -341,8 +360,8 @@ class Automaton:
         first, second = group.first, group.second
         p2 = np.where(c2 > 0, (c2 - DISCOUNT) / np.maximum(c1[first], 1) + over1[first] * p1[second], 0.0)
         c3, *arcs = group.triples(c2).answered(answers.get(3, {}))
-        over2, state2 = left_over(group.context, c2, *arcs)
-        state2 &= c2 > 0
+        over2, state2 = np.ones(len(first)), np.zeros(len(first), bool)
+        over2[group.kept], state2[group.kept] = left_over(group.context[group.kept], c2[group.kept], *arcs)
         left, right = group.left, group.right
         p3 = (c3 - DISCOUNT) / np.maximum(c2[left], 1) + over2[left] * p2[right]
 
@@ -406,11 +425,16 @@ def grouped(rows: DataFrame, kind: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             codes, hashes = numbered([h[2] for h in held])
+            # Words are numbered in the order of their hashes, in which they are asked for.
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            hashes = hashes[order]
             ids = pa.array([h[0] for h in held], ids_kind)
             columns = [
                 pa.array([(task << 32) + n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), ids),
                 pa.array([[h[1] for h in held]], pa.list_(pa.bool_())), pa.array([np.array([len(c) for c in codes], np.int32).tobytes()], pa.binary()),
-                pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                pa.array([planes(rank[np.concatenate(codes)])], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
                 pa.array([sum(len(c) + 1 for c in codes)], pa.int64()),
             ]
             return pa.record_batch(columns, ["g", "ids", "held", "sizes", "codes", "hashes", "tokens"])

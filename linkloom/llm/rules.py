@@ -8,9 +8,10 @@ runs as plain projections over whole texts.
 Only the fit uses a sample: at most about ``SAMPLE`` labelled rows, drawn by hash. The
 sample's ids are the only rows that are broadcast.
 
-Defined cases: a null text counts as empty and is scored as such; null labels are left
-out; without labelled rows of both classes the score is the share of ones, 0.5 where
-there are none; repeated rows are scored one by one.
+Defined cases: a null text counts as empty and is scored as such; texts of any length are
+scored whole; null labels are left out; without labelled rows of both classes the score is the share of
+ones, 0.5 where there are none; repeated rows are scored one by one. A drawn label teaches each
+row of its id, so an id that many documents share makes the sample larger by those.
 """
 
 from __future__ import annotations

@@ -441,17 +441,6 @@ def test_without_repeats(spark, docs, monkeypatch, group, block, step):
     )
 
 
-@pytest.mark.parametrize("share", [0.0, 2.0])
-def test_frequent_segments_are_joined_apart(spark, monkeypatch, share):
-    monkeypatch.setattr(repeats, "HOT", share)
-    rng = random.Random(14)
-    passage = prose(rng, 30, VOCABULARY["aa"])
-    texts = [prose(rng, rng.randint(0, 20), VOCABULARY["ii"]) + passage * (i % 3) + prose(rng, 10, VOCABULARY["ii"]) for i in range(90)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in repeats.without_repeats(rows, width=60, gram=12).collect()}
-    assert got == dict(enumerate(plain_repeats([t.encode() for t in texts], 60)))
-
-
 def test_without_repeats_of_nothing(none):
     assert repeats.without_repeats(none).collect() == []
 
@@ -537,6 +526,20 @@ def test_rules_learn_and_compile(spark):
     assert rules.scored(frame.limit(0), labels).collect() == []
 
 
+def test_leaks_in_a_very_long_text(spark):
+    """An item is found wherever it stands, in parts and in other order, too."""
+    rng = random.Random(13)
+    filler = [f"w{rng.randrange(10**7)}" for _ in range(300_000)]
+    item = [f"item{i}" for i in range(30)]
+    whole, turned = filler[:200_000] + item + filler[200_000:], filler[:9] + item[15:] + filler[:250_000] + item[:15]
+    rows = [(1, " ".join(whole)), (2, "\n".join(turned)), (3, " ".join(filler)), (4, None), (5, "item0 item1 item2"), (6, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles, r.longest) for r in tiling.leaks(docs, benchmark).collect())
+    assert got == [(1, 7, 1.0, 1, 30), (2, 7, 1.0, 2, 15)]
+    assert sorted(r.doc_id for r in tiling.clean(docs, benchmark).collect()) == [3, 4, 5, 6]
+
+
 def plain_statistics(text):
     """The statistics of one text, in the order of ``STATISTICS``."""
     text = text or ""
