@@ -96,17 +96,21 @@ def bucket_table(spark: SparkSession, name: str) -> str:
     return _tables[path]
 
 
-def add_to_buckets(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    """Add rows to a table, dealt out by ``keys``, and return the whole of it."""
+def add_to_buckets(df: DataFrame, table: str, keys: list[str], shuffle: bool = True) -> DataFrame:
+    """Add rows to a table, dealt out by ``keys``, and return the whole of it.
+
+    Without a shuffle each task writes a file for each bucket it has rows of: right for few, big rows.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = next(p for p, t in _tables.items() if t == table)
-    df.repartition(buckets, *keys).write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    dealt = df.repartition(buckets, *keys) if shuffle else df
+    dealt.write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
     spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
-def cut_into_buckets(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def cut_into_buckets(df: DataFrame, name: str, keys: list[str], shuffle: bool = True) -> DataFrame:
     """``cut_lineage`` with rows dealt out by ``keys``: joins and groupings on them move
     only what they are joined with. There are as many buckets as a shuffle has partitions."""
-    return add_to_buckets(df, bucket_table(df.sparkSession, name), keys)
+    return add_to_buckets(df, bucket_table(df.sparkSession, name), keys, shuffle)
