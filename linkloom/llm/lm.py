@@ -22,8 +22,8 @@ only if both their halves are arcs, which loses none. From the answers a group b
 automaton and reads all its texts abreast, one word a step; texts of more than ``LANE`` words are read in
 pieces that begin in the state which the two words before them lead to.
 
-Runs are known by hashes of their words: 48 bits and the bucket's for a context, 40 bits for
-the word after it. Defined cases: a null text is empty and has the end as its only token; null ids
+Words are known by 48 bits of their hash and the bucket's, contexts by 40 and the bucket's, the word
+after a context by 32. Defined cases: a null text is empty and has the end as its only token; null ids
 count as the empty id in the split; repeated rows are counted and scored one by one; without training
 rows all words are unknown, N is 0, and scores are null where they are the log of nothing.
 """
@@ -55,8 +55,8 @@ BITS = 7
 SPLIT = 1 << 20
 #: Words of a text read in one piece.
 LANE = 256
-#: Bytes in which the hash of a context and of the word after it are sent.
-LEFT, RIGHT = 6, 5
+#: Bytes in which the hash of a word and of a context are sent, besides the bits of the bucket, and of the word after it.
+WORD, LEFT, RIGHT = 6, 5, 4
 
 #: Neither holds a character of a word.
 START = xxhash.xxh64_intdigest(b" ")
@@ -184,6 +184,7 @@ class Asked:
         put = np.cumsum(size[stretch]) - size[stretch]
         self.order = np.repeat(first[stretch] - put, size[stretch]) + np.arange(len(context))
         self.word, self.own = word[self.order], own[self.order]
+        self.alone = known is None
         # What is known holds the contexts of all runs.
         self.heads = ascending(context[first] if known is None else all_parts(*known)[1])
         self.wide = np.bincount(np.searchsorted(self.heads, context[first]), size, len(self.heads)).astype(np.int64)
@@ -200,8 +201,12 @@ class Asked:
         for i, bucket in enumerate(self.buckets.tolist()):
             heads = slice(self.head_cuts[i], self.head_cuts[i + 1])
             runs = slice(self.run_cuts[i], self.run_cuts[i + 1])
-            body = cut_hashes(self.heads[heads] << np.uint64(self.bits), LEFT) + packed(self.wide[heads])
-            body += cut_hashes(self.word[runs], RIGHT) + packed(self.own[runs])
+            if self.alone:
+                body = cut_hashes(self.heads[heads] << np.uint64(self.bits), WORD)
+            else:
+                body = cut_hashes(self.heads[heads] << np.uint64(self.bits), LEFT) + packed(self.wide[heads])
+                body += cut_hashes(self.word[runs], RIGHT)
+            body += packed(self.own[runs])
             yield bucket, heads.stop - heads.start, runs.stop - runs.start, body
 
     def answered(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +217,8 @@ class Asked:
             raw = answers[bucket]
             heads, runs = slice(self.head_cuts[i], self.head_cuts[i + 1]), slice(self.run_cuts[i], self.run_cuts[i + 1])
             counts[runs], at = unpacked(raw, runs.stop - runs.start, 0)
+            if self.alone:
+                continue
             arcs[heads], at = unpacked(raw, heads.stop - heads.start, at)
             sums[heads], at = unpacked(raw, heads.stop - heads.start, at)
         out = np.zeros_like(counts)
@@ -226,9 +233,13 @@ def added_up(group: pa.Table) -> pa.Table:
     g, n_heads, n_runs, bodies = (group.column(c).to_pylist() for c in ("g", "heads", "runs", "body"))
     heads, wide, words, own = [], [], [], []
     for n, m, raw in zip(n_heads, n_runs, bodies):
-        h, at = read_hashes(raw, n, LEFT, 0)
-        w, at = unpacked(raw, n, at)
-        x, at = read_hashes(raw, m, RIGHT, at)
+        if level == 1:
+            h, at = read_hashes(raw, n, WORD, 0)
+            w, x = np.ones(n, np.int64), np.zeros(n, np.uint64)
+        else:
+            h, at = read_hashes(raw, n, LEFT, 0)
+            w, at = unpacked(raw, n, at)
+            x, at = read_hashes(raw, m, RIGHT, at)
         c, at = unpacked(raw, m, at)
         heads.append(h), wide.append(w), words.append(x), own.append(c)
     heads, wide, words, own = (np.concatenate(c) for c in (heads, wide, words, own))
@@ -244,7 +255,8 @@ def added_up(group: pa.Table) -> pa.Table:
     rows, a, b = [], 0, 0
     for n, m in zip(n_heads, n_runs):
         mine = head[a : a + n]
-        rows.append(packed(kept[run[b : b + m]]) + packed(arcs[mine]) + packed(sums[mine]))
+        body = packed(kept[run[b : b + m]])
+        rows.append(body if level == 1 else body + packed(arcs[mine]) + packed(sums[mine]))
         a, b = a + n, b + m
     stats = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()] if level == 1 else [0] * 4
     columns = [pa.array([*g, None], pa.int64()), pa.array([level] * len(g) + [None], pa.int32()), pa.array([bucket] * (len(g) + 1), pa.int64()), pa.array([*rows, None], pa.binary())]
@@ -472,7 +484,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     score; learns from the rows that are not held out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out.alias("held_out"), raw_text())
-    groups = cut_into_buckets(grouped(rows, kind), "lm-groups", ["g"])
+    groups = cut_into_buckets(grouped(rows, kind), "lm-groups", ["g"], shuffle=False)
     tokens = groups.agg(F.sum("tokens")).first()[0] or 0
     bits = max(BITS, math.ceil(math.log2(max(1, tokens / HELD))))
 
