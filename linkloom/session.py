@@ -89,6 +89,15 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are done.
+
+    The engine removes them once its driver has collected what referred to them, which on a driver with
+    memory to spare can take longer than a chain of big jobs has disk for.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_table(spark: SparkSession, name: str) -> str:
     """Name of a table for ``add_to_buckets`` in the shared folder; ``clean_up`` removes it."""
     path = shared_path(spark, name)
