@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import remainder, table, word_pieces
-from linkloom.session import add_to_buckets, bucket_table, cut_into_buckets
+from linkloom.session import add_to_buckets, bucket_table, cut_into_buckets, release
 
 ORDER = 3
 #: Times a run must be seen to be kept, at any size of the corpus.
@@ -491,8 +491,10 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     answers = bucket_table(docs.sparkSession, "lm-answers")
 
     def answered(asked: DataFrame) -> DataFrame:
-        """All answers so far."""
-        return add_to_buckets(asked.groupBy("level", "bucket").applyInArrow(added_up, ANSWERED), answers, ["g"])
+        """All answers so far. What was shuffled for them is let go before the next level is asked."""
+        out = add_to_buckets(asked.groupBy("level", "bucket").applyInArrow(added_up, ANSWERED), answers, ["g"])
+        release(docs.sparkSession)
+        return out
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
