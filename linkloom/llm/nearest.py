@@ -33,7 +33,7 @@ from linkloom.session import cut_lineage, shared_path
 K = 20
 EVERY = 20
 PLANES = 6
-SIGMAS = 2.5
+SIGMAS = 3.0
 SEED = 11
 #: Query vectors sent to the tasks at a time; queries and rows of one estimate.
 BLOCK = 16384
