@@ -77,6 +77,22 @@ def _(spark, sf):
     )
 
 
+@query(
+    "page_extract_nested",
+    """WITH t AS (SELECT page_id, page_id % 45 AS deep, 'Page ' || page_id AS word FROM pages),
+            x AS (SELECT page_id, word, lower(array_to_string(list_transform(range(0, deep + 1), lambda i: word || CASE WHEN i < deep THEN ' item' ELSE '' END), ' ')) AS main_text FROM t)
+       SELECT page_id, word AS title, word AS headings, lower(word) || ' ' || main_text AS main_text, sha256(word) AS headings_hash,
+              sha256(lower(word) || ' ' || main_text) AS text_hash FROM x""",
+)
+def _(spark, sf):
+    # Lists in lists, up to 44 deep: the innermost text comes once at each level, and in its paragraph.
+    deep, word = (F.col("page_id") % 45).cast("int"), F.concat(F.lit("Page "), F.col("page_id").cast("string"))
+    body = F.concat(F.repeat(F.lit("<ul><li>"), deep), F.lit("<p>"), word, F.lit("</p>"), F.when(deep > 0, " item").otherwise(""), F.repeat(F.lit("</li></ul>"), deep))
+    html = F.concat(F.lit("<html><body><h1>"), word, F.lit("</h1>"), body, F.lit("</body></html>"))
+    found = extract.extract_pages(V.raw_pages(spark, sf).withColumn("html", html))
+    return found.select("page_id", "title", F.array_join("headings", "||").alias("headings"), "main_text", "headings_hash", "text_hash")
+
+
 @query("sitemap_expand", "SELECT site_id, array_to_string(place, '.') AS place, url FROM listed")
 def _(spark, sf):
     docs = V.sitemap_docs(spark, sf)
