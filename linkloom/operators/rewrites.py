@@ -103,14 +103,24 @@ def enqueue_tasks(requests: DataFrame, jobs: DataFrame, tasks: DataFrame, now: C
 
     ``requests`` (request_id, max_depth, max_pages) the jobs were registered for.
     """
-    asked = requests.select(site_key("concat('job|', request_id)").alias("_job"), "max_depth", "max_pages")
+    # A key belongs to a request, so it is looked up before a request meets its jobs.
+    asked = requests.select(
+        site_key("concat('job|', request_id)").alias("_job"), "max_depth", F.col("max_pages").alias("_pages")
+    ).withColumns(
+        {
+            "_task": site_key("concat('task|', _job)"),
+            "idempotency_key": F.concat(F.lit("crawl-job-"), F.col("_job").cast("string")),
+        }
+    )
+    # Distinct: keys that are all one constant are no join key, and each pair of rows would be compared.
+    queued = tasks.select("idempotency_key").distinct()
     payload = F.struct(F.col("max_depth").cast("int").alias("max_depth"), F.col("_pages").cast("int").alias("max_pages"))
     known = jobs.select(F.col("id").alias("_job"), "site_id")
-    new = asked.withColumnRenamed("max_pages", "_pages").join(known, "_job").select(
+    return asked.join(queued, "idempotency_key", "left_anti").join(known, "_job").select(
         *_row(
             "crawl_tasks",
             {
-                "id": site_key("concat('task|', _job)"),
+                "id": F.col("_task"),
                 "site_id": F.col("site_id"),
                 "crawl_job_id": F.col("_job"),
                 "status": F.lit("queued"),
@@ -118,14 +128,13 @@ def enqueue_tasks(requests: DataFrame, jobs: DataFrame, tasks: DataFrame, now: C
                 "attempt_count": F.lit(0),
                 "max_attempts": F.lit(TASK_ATTEMPTS),
                 "available_at": now,
-                "idempotency_key": F.concat(F.lit("crawl-job-"), F.col("_job").cast("string")),
+                "idempotency_key": F.col("idempotency_key"),
                 "payload": payload,
                 "created_at": now,
                 "updated_at": now,
             },
         )
     )
-    return new.join(tasks.select("idempotency_key"), "idempotency_key", "left_anti").select(*new.columns)
 
 
 def edit_overlay(files: DataFrame, edits: DataFrame) -> DataFrame:

@@ -132,6 +132,23 @@ def test_requests(spark):
     assert duplicate_keys(jobs, ["id"]).count() == 0 and duplicate_keys(jobs, ["site_id"]).count() == 1
 
 
+def test_tasks_are_compared_by_key_not_pair_by_pair(spark):
+    """A table whose keys are all one constant stands against requests as one row."""
+    asked = spark.createDataFrame([(i, 3, 200) for i in range(8)] + [(None, 3, 200)], "request_id long, max_depth int, max_pages int")
+    now = at("2024-01-01 00:00:00")
+    sites = spark.createDataFrame([(1, "https://a.example"), (2, "https://a.example")], "id long, url string")
+    jobs = rewrites.register_sites(asked.withColumn("url", F.lit("https://a.example/")), sites, now)[1]
+    no_key = jobs.select(F.lit("").alias("idempotency_key"))
+    first = rewrites.enqueue_tasks(asked.filter("request_id < 3"), jobs, no_key, now)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti") :]
+    # Two sites share the address, so a request has two jobs, with one key.
+    assert first.count() == 6 and first.select("id", "idempotency_key").distinct().count() == 3
+    new = rewrites.enqueue_tasks(asked, jobs, first, now)
+    assert {(r.site_id, r.payload.max_pages) for r in new.collect()} == {(1, 200), (2, 200)}
+    assert new.count() == 10 and new.join(first, "idempotency_key", "left_semi").count() == 0
+
+
 def test_edits_touch_the_newest_file_only(spark):
     files = spark.createDataFrame(
         [(1, 1, "a", "h", False, datetime(2024, 1, 1)), (2, 1, "b", "h", False, datetime(2024, 1, 1)), (3, 2, "c", "h", False, datetime(2024, 1, 1))],
