@@ -3,11 +3,12 @@
 import hashlib
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators.extract import extract_pages
-from linkloom.sources.html import cut_page
+from linkloom.sources.html import cut_page, html_pieces
 
 FIFTY = "x" * 50
 
@@ -168,3 +169,19 @@ def test_facts_of_a_hand_written_page(spark):
     assert row.links == ["http://h.example/login", "http://h.example/b", "https://o.example/"]
     assert row.headings_hash == hashlib.sha256(b"GuideOne||End").hexdigest()
     assert row.metadata_hash == hashlib.sha256(b"The  TitleWhat it is.").hexdigest()
+
+
+def test_a_batch_is_handed_on_piece_by_piece(monkeypatch):
+    """A task holds the pieces of few pages, however many pages its batch has."""
+    monkeypatch.setattr(F, "arrow_udf", lambda returns: lambda read: read)
+    pages = [f"<title>{i}</title><p>" + f"w{i} " * 1500 + "</p>" for i in range(4000)] + [None, ""]
+    batches = [pa.array(pages, type=pa.string()), pa.array(pages[:3]), pa.array([], type=pa.string())]
+    titles, sizes = [], []
+    tracemalloc.start()
+    for got in html_pieces(iter(batches)):
+        sizes.append(len(got))
+        titles += got.field("title").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert titles == [str(i) for i in range(4000)] + [None, None] + ["0", "1", "2"]
+    assert peak < 20_000_000 and max(sizes) < 400
