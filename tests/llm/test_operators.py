@@ -445,6 +445,27 @@ def test_without_repeats_of_nothing(none):
     assert repeats.without_repeats(none).collect() == []
 
 
+def test_repeats_of_the_contract(spark, tmp_path):
+    """400 bytes go, 399 stay, 51 words or not; n_bytes is the input's either way."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    rest = iter(" ".join(words[i : i + 90]) for i in range(0, 3600, 90))
+    short, long = " ".join(words[3600:3651]), " ".join(words[3700:3800])
+    passages = {"51 words": short, "399": long[:399], "400": long[100:500]}
+    rows, want = [], {}
+    for i, (name, passage) in enumerate(passages.items()):
+        for j in range(2):
+            # Marks that differ between the two, so that the passage is all they share.
+            text = f"{next(rest)}é{j}{passage}{2 + j}{next(rest)}"
+            raw, gone = text.encode(), passage.encode() if name == "400" else b""
+            rows.append((10 * i + j, text))
+            kept = raw.replace(gone, b"") if gone else raw
+            want[10 * i + j] = (len(raw), len(gone), int(name == "400"), hashlib.sha256(kept).hexdigest())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.op5(spark, str(tmp_path)).collect()
+    assert {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got} == want
+
+
 # Tiling
 
 
